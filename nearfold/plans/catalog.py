@@ -2,7 +2,8 @@
 
 Each entry reads the driver tables (or tables Spark derives from them) and
 returns a DataFrame whose column names match the oracle SQL in
-``nearfold.plans.oracle``.  Distances are rounded to 6 digits on output.
+``nearfold.plans.oracle``.  Distances and other computed doubles are rounded
+to 6 digits on output; integer outputs are BIGINT.
 """
 
 from __future__ import annotations
@@ -12,30 +13,340 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.operators import knn
+from nearfold.functions import text as TX
+from nearfold.functions import vectors as V
+from nearfold.operators import knn, metrics
+from nearfold.operators import sampling as S
+from nearfold.plans.corpus import corpus
 from nearfold.plans.splits import splits
+from nearfold.session import scratch_path
+from nearfold.sources import fixtures, textio
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 10
+# Fixed value: duration used by the "reads / fixed duration" throughput form
+# (the fixture log covers 30 days).
+LOG_DURATION_SEC = 30 * 86400
+DAY_SEC = 86400
 
 
-def _round(df: DataFrame, col: str = "distance") -> DataFrame:
-    return df.withColumn(col, F.round(col, 6))
+def _round(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols or ("distance",):
+        df = df.withColumn(c, F.round(c, 6))
+    return df
+
+
+def _long(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("long"))
+    return df
+
+
+# ------------------------------------------------------------------ sentences
+
+
+def q_sentences(spark, sf_dir):
+    docs = fixtures.load(spark, sf_dir, "documents")
+    return _long(S.sentences(docs), "pos", "n_chars")
+
+
+def q_sentence_pool(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return _long(c.pool.select("pool_pos", "doc_id", "pos", "text"), "pos")
+
+
+def q_insert_pool(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return _long(c.inserts.select("seq", "pool_pos", "doc_id", "pos", "text"), "pos")
+
+
+def q_permutation(spark, sf_dir):
+    return corpus(spark, sf_dir).perm.select("pool_pos", "perm_rank")
+
+
+def q_tier_slice(spark, sf_dir):
+    return _long(corpus(spark, sf_dir).tiers(), "tier")
+
+
+def q_query_slice(spark, sf_dir):
+    return corpus(spark, sf_dir).queries()
+
+
+def q_length_stats(spark, sf_dir):
+    return _long(S.length_stats(corpus(spark, sf_dir).tiers()), "tier", "min_len", "max_len")
+
+
+def q_row_preview(spark, sf_dir):
+    """Point lookup ``id = 0`` in every sentence tier, text cut to 80 chars."""
+    tiers = corpus(spark, sf_dir).tiers()
+    return _long(
+        tiers.where(F.col("id") == 0).select(
+            "tier", "id", "pool_pos", TX.preview(F.col("text")).alias("preview"),
+            F.length("text").alias("n_chars"),
+        ),
+        "tier",
+        "n_chars",
+    )
+
+
+def q_vector_preview(spark, sf_dir):
+    """Point lookup ``id = 0`` in every vector tier: dims + 60-char literal."""
+    sp = splits(spark, sf_dir)
+    t = sp.tiers.where(F.col("id") == 0)
+    return _long(
+        t.select(
+            "tier", "id", "pool_pos", F.size("embedding").alias("dims"),
+            TX.preview(V.to_vector_text("embedding"), TX.VECTOR_PREVIEW).alias("preview"),
+        ),
+        "tier",
+        "dims",
+    )
+
+
+def q_split_disjoint(spark, sf_dir):
+    """Pairwise shared rows of tiers/queries/inserts, sentence and vector side."""
+    c = corpus(spark, sf_dir)
+    sp = splits(spark, sf_dir)
+    sent = S.disjointness(
+        {
+            "s_tier_max": c.perm.where(F.col("perm_rank") < c.max_tier),
+            "s_queries": c.queries(),
+            "s_inserts": c.inserts,
+        }
+    )
+    vec = S.disjointness({"v_base": sp.base, "v_queries": sp.queries, "v_inserts": sp.inserts})
+    return sent.unionByName(vec)
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    """Largest sentence tier -> ``id,text`` CSV -> read back."""
+    c = corpus(spark, sf_dir)
+    path = scratch_path(spark, "csv")
+    textio.write_text_table(c.tiers().where(F.col("tier") == c.max_tier), path)
+    back = textio.read_text_table(spark, path)
+    return back.select("id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+# ------------------------------------------------------------------ vector functions
+
+
+def _pairs(spark, sf_dir):
+    """Every pool vector with its successor: an equi self-join on vec_id + 1."""
+    e = fixtures.load(spark, sf_dir, "embeddings")
+    a = e.select("vec_id", F.col("embedding").alias("a"))
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("next_id"), F.col("embedding").alias("b"))
+    return a.join(b, "vec_id")
+
+
+def _pair_fn(fn, name):
+    def run(spark, sf_dir):
+        p = _pairs(spark, sf_dir)
+        return _round(p.select("vec_id", "next_id", fn("a", "b").alias(name)), name)
+
+    return run
+
+
+def q_vec_norms(spark, sf_dir):
+    e = fixtures.load(spark, sf_dir, "embeddings")
+    return _round(e.select("vec_id", V.norm("embedding").alias("norm")), "norm")
+
+
+def q_vec_normalize(spark, sf_dir):
+    e = fixtures.load(spark, sf_dir, "embeddings")
+    n = e.select("vec_id", V.normalize("embedding").alias("u"))
+    return _round(
+        n.select(
+            "vec_id",
+            F.size("u").cast("long").alias("dims"),
+            V.norm("u").alias("unit_norm"),
+            F.aggregate("u", F.lit(0.0), lambda acc, x: acc + x).alias("component_sum"),
+        ),
+        "unit_norm",
+        "component_sum",
+    )
+
+
+def q_tier_validate(spark, sf_dir):
+    sp = splits(spark, sf_dir)
+    return _long(metrics.tier_validation(sp.tiers), "tier")
+
+
+def q_dim_quarantine(spark, sf_dir, dim: int = 64):
+    """Rows per dimension and whether the fixed dimension rejects them (V9)."""
+    e = fixtures.load(spark, sf_dir, "embeddings")
+    d = F.size("embedding")
+    return e.groupBy(d.cast("long").alias("dims")).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+    ).withColumn("quarantined", F.col("dims") != dim)
+
+
+def q_vector_tsv_roundtrip(spark, sf_dir):
+    """Base vectors -> ``id \\t [..]`` text -> parsed back."""
+    sp = splits(spark, sf_dir)
+    path = scratch_path(spark, "tsv")
+    textio.write_vector_tsv(sp.base, path)
+    back = textio.read_vector_tsv(spark, path)
+    orig = sp.base.select("id", F.col("embedding").alias("orig"))
+    j = back.join(orig, "id")
+    err = F.array_max(F.zip_with("embedding", "orig", lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
+    return j.select(
+        "id", "embedding_text", F.size("embedding").cast("long").alias("dims"),
+        F.round(err, 5).alias("max_abs_err"),
+    )
+
+
+# ------------------------------------------------------------------ search
 
 
 def _knn_join(metric: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         sp = splits(spark, sf_dir)
         out = knn.knn_join(sp.base, sp.queries, K, metric)
-        return _round(out)
+        return _long(_round(out), "rk")
 
     run.__name__ = f"knn_join_{metric}"
     return run
 
 
+def _first_query(sp) -> list[float]:
+    row = sp.queries.where(F.col("qid") == 0).select("embedding").first()
+    return list(row["embedding"])
+
+
+def q_knn_single_l2(spark, sf_dir, k: int = 5):
+    """``ORDER BY embedding <-> q LIMIT 5`` for query 0 (K1)."""
+    sp = splits(spark, sf_dir)
+    return knn.knn_single(sp.base, _first_query(sp), k, "l2").select("id")
+
+
+def q_knn_with_distance(spark, sf_dir, k: int = 3):
+    """``SELECT id, embedding, embedding <-> q AS distance ... LIMIT 3`` (K2)."""
+    sp = splits(spark, sf_dir)
+    out = knn.knn_single(sp.base, _first_query(sp), k, "l2", with_vector=True)
+    return _round(out.select("id", V.to_vector_text("embedding").alias("embedding_text"), "distance"))
+
+
+# ------------------------------------------------------------------ operation-log metrics
+
+
+def _reads(spark, sf_dir):
+    return fixtures.operation_log(spark, sf_dir).where("is_read")
+
+
+def q_latency_summary(spark, sf_dir):
+    """Per profile, reads after a 20-operation warm-up: n, mean, p95, p99."""
+    timed = metrics.warmup_flags(_reads(spark, sf_dir), ["profile"], ["ts", "event_id"], "event_id")
+    out = metrics.latency_summary(timed, ["profile"])
+    return _round(out, "mean_latency_ms", "p95_latency_ms", "p99_latency_ms")
+
+
+def q_throughput(spark, sf_dir):
+    """The three QPS forms per profile (E4): wall span, sum of latencies, fixed duration."""
+    r = _reads(spark, sf_dir)
+    span = F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / F.lit(1e6)
+    out = r.groupBy("profile").agg(
+        F.count(F.lit(1)).alias("n_reads"),
+        (F.count(F.lit(1)) / span).alias("qps_wall"),
+        (F.count(F.lit(1)) / (F.sum("latency_ms") / 1000.0)).alias("qps_latency_sum"),
+        (F.count(F.lit(1)) / F.lit(float(LOG_DURATION_SEC))).alias("qps_fixed_duration"),
+    )
+    return _round(out, "qps_wall", "qps_latency_sum", "qps_fixed_duration")
+
+
+def workload_summary(ops: DataFrame, window: str = "1 day", window_sec: int = DAY_SEC) -> DataFrame:
+    """Per (profile, window): read QPS, mean/p95/p99 read latency, writes/s, total writes."""
+    w = ops.withColumn("window_start", F.window("ts", window).start)
+    g = ["profile", "window_start"]
+    counts = w.groupBy(*g).agg(
+        F.count_if("is_read").alias("n_reads"),
+        F.count_if(~F.col("is_read")).alias("total_writes"),
+        F.avg(F.when(F.col("is_read"), F.col("latency_ms"))).alias("mean_read_latency_ms"),
+    )
+    pct = metrics.exact_percentiles(
+        w.where("is_read"), g, "latency_ms",
+        {"p95_read_latency_ms": 0.95, "p99_read_latency_ms": 0.99}, "event_id",
+    )
+    out = counts.join(pct, g, "left").select(
+        *g,
+        "n_reads",
+        (F.col("n_reads") / F.lit(float(window_sec))).alias("read_qps"),
+        "mean_read_latency_ms",
+        "p95_read_latency_ms",
+        "p99_read_latency_ms",
+        (F.col("total_writes") / F.lit(float(window_sec))).alias("write_throughput_per_sec"),
+        "total_writes",
+    )
+    return _round(out, "read_qps", "mean_read_latency_ms", "p95_read_latency_ms", "p99_read_latency_ms",
+                  "write_throughput_per_sec")
+
+
+def q_workload_summary(spark, sf_dir):
+    return workload_summary(fixtures.operation_log(spark, sf_dir))
+
+
+def q_metrics_log(spark, sf_dir):
+    """Append the workload summary to a parquet log in two appends, read it back."""
+    summary = q_workload_summary(spark, sf_dir).withColumn(
+        "read_ratio", F.element_at(F.create_map(*[x for p, r in fixtures.READ_RATIOS.items()
+                                                  for x in (F.lit(p), F.lit(r))]), F.col("profile"))
+    ).select(
+        F.lit("events").alias("table"),
+        F.lit("log").alias("index_type"),
+        "profile",
+        "read_ratio",
+        (F.lit(1.0) - F.col("read_ratio")).alias("write_ratio"),
+        F.lit(DAY_SEC).alias("duration_sec"),
+        F.lit(1).alias("n_workers"),
+        "read_qps",
+        "mean_read_latency_ms",
+        "p95_read_latency_ms",
+        "p99_read_latency_ms",
+        "write_throughput_per_sec",
+        "total_writes",
+        "window_start",
+    )
+    path = scratch_path(spark, "workload_log")
+    first = summary.where(F.col("profile") == "read_heavy")
+    textio.append_log(first, path, textio.WORKLOAD_LOG)
+    textio.append_log(summary.where(F.col("profile") != "read_heavy"), path, textio.WORKLOAD_LOG)
+    back = textio.read_log(spark, path)
+    return back.select("profile", "window_start", "read_qps", "mean_read_latency_ms", "p95_read_latency_ms",
+                       "p99_read_latency_ms", "write_throughput_per_sec", "total_writes")
+
+
 def queries() -> dict[str, Query]:
     return {
+        # text preparation and sampling
+        "sentences": q_sentences,
+        "sentence_pool": q_sentence_pool,
+        "insert_pool": q_insert_pool,
+        "permutation": q_permutation,
+        "tier_slice": q_tier_slice,
+        "query_slice": q_query_slice,
+        "length_stats": q_length_stats,
+        "row_preview": q_row_preview,
+        "vector_preview": q_vector_preview,
+        "split_disjoint": q_split_disjoint,
+        "csv_roundtrip": q_csv_roundtrip,
+        # vector functions
+        "vec_l2": _pair_fn(V.l2_distance, "distance"),
+        "vec_cosine": _pair_fn(V.cosine_distance, "distance"),
+        "vec_l1": _pair_fn(V.l1_distance, "distance"),
+        "vec_dot": _pair_fn(V.dot, "dot"),
+        "vec_norms": q_vec_norms,
+        "vec_normalize": q_vec_normalize,
+        "tier_validate": q_tier_validate,
+        "dim_quarantine": q_dim_quarantine,
+        "vector_tsv_roundtrip": q_vector_tsv_roundtrip,
+        # search
+        "knn_single_l2": q_knn_single_l2,
+        "knn_with_distance": q_knn_with_distance,
         "knn_join_cosine": _knn_join("cosine"),
         "knn_join_l2": _knn_join("l2"),
         "knn_join_l1": _knn_join("l1"),
+        # operation-log metrics
+        "latency_summary": q_latency_summary,
+        "throughput": q_throughput,
+        "workload_summary": q_workload_summary,
+        "metrics_log": q_metrics_log,
     }

@@ -67,14 +67,148 @@ def knn_sql(metric: str, k: int, items: str = "base", queries: str = "qs", extra
     d = DIST[metric]("q.embedding", "b.embedding")
     ctes = [PERM, BASE, QUERIES, *extra_ctes]
     return with_(*ctes, f"""d AS (SELECT q.qid, b.id, {d} AS distance FROM {queries} q, {items} b)""") + f"""
-SELECT qid, CAST(rk AS INTEGER) AS rk, id, round(distance, 6) AS distance FROM (
+SELECT qid, rk, id, round(distance, 6) AS distance FROM (
   SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rk
   FROM d WHERE distance IS NOT NULL) WHERE rk <= {k}"""
 
 
+
+
+# ------------------------------------------------------------------ sentence CTEs
+
+WS = (
+    r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+)
+
+SENTS = rf"""pieces AS (
+  SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS pos FROM (
+    SELECT doc_id, string_split_regex(trim(regexp_replace(text, '{WS}', ' ', 'g')), '\. ') AS parts
+    FROM documents WHERE text IS NOT NULL)),
+sents AS (
+  SELECT doc_id, pos, trim(raw) AS text, length(trim(raw)) AS n_chars FROM pieces
+  WHERE length(trim(raw)) > 20 AND length(trim(raw)) < 300)"""
+
+NUMBERED = """numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) - 1 AS pool_pos FROM sents),
+psz AS (SELECT count(*) * 2 // 3 AS np FROM sents),
+mt AS (SELECT np * 10 // 11 AS mt FROM psz)"""
+
+SPOOL = """spool AS (SELECT n.* FROM numbered n, psz WHERE n.pool_pos < psz.np),
+sperm AS (
+  SELECT pool_pos, text,
+         row_number() OVER (ORDER BY md5('42:' || CAST(pool_pos AS VARCHAR)), pool_pos) - 1 AS perm_rank
+  FROM spool)"""
+
+STIERS = """stiers AS (
+  SELECT t.tier, row_number() OVER (PARTITION BY t.tier ORDER BY p.pool_pos) - 1 AS id, p.pool_pos, p.text
+  FROM sperm p, (SELECT unnest([mt * 10 // 100, mt * 50 // 100, mt]) AS tier FROM mt) t
+  WHERE p.perm_rank < t.tier)"""
+
+SQUERIES = """squeries AS (SELECT perm_rank - mt.mt AS qid, pool_pos, text FROM sperm, mt WHERE perm_rank >= mt.mt)"""
+
+SINSERTS = """sinserts AS (
+  SELECT pool_pos - psz.np AS seq, pool_pos, doc_id, pos, text FROM numbered, psz
+  WHERE pool_pos >= psz.np AND pool_pos < psz.np + psz.np // 2)"""
+
+SENT_ALL = (SENTS, NUMBERED, SPOOL, STIERS, SQUERIES, SINSERTS)
+
+
+def vec_text(e: str) -> str:
+    return f"'[' || array_to_string(list_transform({e}, lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',') || ']'"
+
+
+# ------------------------------------------------------------------ operation log
+
+OPS = """ops AS (
+  SELECT event_id, ts, user_id, event_type, value AS latency_ms,
+         event_type IN ('view', 'click') AS is_read,
+         ['read_heavy', 'balanced', 'write_heavy'][(user_id % 3) + 1] AS profile
+  FROM events)"""
+
+
+def pct(col: str, p: float) -> str:
+    return f"quantile_cont({col}, {p})"
+
+
+WORKLOAD = with_(OPS, """w AS (SELECT *, time_bucket(INTERVAL 1 day, ts) AS window_start FROM ops)""") + """
+SELECT profile, window_start, count_if(is_read) AS n_reads,
+       round(count_if(is_read) / 86400.0, 6) AS read_qps,
+       round(avg(CASE WHEN is_read THEN latency_ms END), 6) AS mean_read_latency_ms,
+       round(quantile_cont(latency_ms, 0.95) FILTER (WHERE is_read), 6) AS p95_read_latency_ms,
+       round(quantile_cont(latency_ms, 0.99) FILTER (WHERE is_read), 6) AS p99_read_latency_ms,
+       round(count_if(NOT is_read) / 86400.0, 6) AS write_throughput_per_sec,
+       count_if(NOT is_read) AS total_writes
+FROM w GROUP BY profile, window_start"""
+
+
+def _pair(expr: str, name: str) -> str:
+    return f"""SELECT a.vec_id, b.vec_id AS next_id, round({expr}, 6) AS {name}
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+
+
 def sql() -> dict[str, str]:
-    return {
-        "knn_join_cosine": knn_sql("cosine", 10),
-        "knn_join_l2": knn_sql("l2", 10),
-        "knn_join_l1": knn_sql("l1", 10),
-    }
+    s = {}
+    s["sentences"] = with_(SENTS) + "SELECT doc_id, pos, text, n_chars FROM sents"
+    s["sentence_pool"] = with_(SENTS, NUMBERED, SPOOL) + "SELECT pool_pos, doc_id, pos, text FROM spool"
+    s["insert_pool"] = with_(*SENT_ALL) + "SELECT seq, pool_pos, doc_id, pos, text FROM sinserts"
+    s["permutation"] = with_(SENTS, NUMBERED, SPOOL) + "SELECT pool_pos, perm_rank FROM sperm"
+    s["tier_slice"] = with_(*SENT_ALL) + "SELECT tier, id, pool_pos, text FROM stiers"
+    s["query_slice"] = with_(*SENT_ALL) + "SELECT qid, pool_pos, text FROM squeries"
+    s["length_stats"] = with_(*SENT_ALL) + """SELECT tier, count(*) AS n_rows, min(length(text)) AS min_len,
+  max(length(text)) AS max_len, count_if(length(text) < 20) AS n_short FROM stiers GROUP BY tier"""
+    s["row_preview"] = with_(*SENT_ALL) + """SELECT tier, id, pool_pos, substring(text, 1, 80) AS preview,
+  length(text) AS n_chars FROM stiers WHERE id = 0"""
+    s["vector_preview"] = with_(PERM, TIERS) + f"""SELECT tier, id, pool_pos, len(embedding) AS dims,
+  substring({vec_text('embedding')}, 1, 60) AS preview FROM tiers WHERE id = 0"""
+    s["split_disjoint"] = with_(*SENT_ALL, PERM, BASE, QUERIES, INSERTS) + """,
+ stmax AS (SELECT pool_pos FROM sperm, mt WHERE perm_rank < mt.mt)
+SELECT 's_inserts' AS part_a, 's_queries' AS part_b,
+       (SELECT count(*) FROM sinserts WHERE pool_pos IN (SELECT pool_pos FROM squeries)) AS n_shared
+UNION ALL SELECT 's_inserts', 's_tier_max', (SELECT count(*) FROM sinserts WHERE pool_pos IN (SELECT pool_pos FROM stmax))
+UNION ALL SELECT 's_queries', 's_tier_max', (SELECT count(*) FROM squeries WHERE pool_pos IN (SELECT pool_pos FROM stmax))
+UNION ALL SELECT 'v_base', 'v_inserts', (SELECT count(*) FROM base WHERE pool_pos IN (SELECT pool_pos FROM ins))
+UNION ALL SELECT 'v_base', 'v_queries', (SELECT count(*) FROM base WHERE pool_pos IN (SELECT pool_pos FROM qs))
+UNION ALL SELECT 'v_inserts', 'v_queries', (SELECT count(*) FROM ins WHERE pool_pos IN (SELECT pool_pos FROM qs))"""
+    s["csv_roundtrip"] = with_(*SENT_ALL) + """SELECT id, text, length(text) AS n_chars FROM stiers, mt
+  WHERE tier = mt.mt"""
+    # vector functions
+    s["vec_l2"] = _pair(l2("a.embedding", "b.embedding"), "distance")
+    s["vec_cosine"] = _pair(cosine("a.embedding", "b.embedding"), "distance")
+    s["vec_l1"] = _pair(l1("a.embedding", "b.embedding"), "distance")
+    s["vec_dot"] = _pair(dot("a.embedding", "b.embedding"), "dot")
+    s["vec_norms"] = f"SELECT vec_id, round({norm('embedding')}, 6) AS norm FROM embeddings"
+    s["vec_normalize"] = f"""SELECT vec_id, len(u) AS dims, round({norm('u')}, 6) AS unit_norm,
+  round(list_sum(u), 6) AS component_sum FROM (
+  SELECT vec_id, CASE WHEN {norm('embedding')} > 0 THEN
+    list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / {norm('embedding')}) END AS u FROM embeddings)"""
+    s["tier_validate"] = with_(PERM, TIERS) + f"""SELECT tier, count(*) AS n_rows, min(len(embedding)) AS min_dim,
+  max(len(embedding)) AS max_dim, count_if(list_bool_or(list_transform(embedding, lambda x: isnan(x)))) AS n_nan,
+  count_if(embedding IS NULL) AS n_null, round(min({norm('embedding')}), 6) AS min_norm,
+  round(max({norm('embedding')}), 6) AS max_norm FROM tiers GROUP BY tier"""
+    s["dim_quarantine"] = """SELECT len(embedding) AS dims, count(*) AS n_rows, len(embedding) <> 64 AS quarantined
+FROM embeddings GROUP BY len(embedding)"""
+    s["vector_tsv_roundtrip"] = with_(PERM, BASE) + f"""SELECT id, {vec_text('embedding')} AS embedding_text,
+  len(embedding) AS dims, 0.0 AS max_abs_err FROM base"""
+    # search
+    s["knn_join_cosine"] = knn_sql("cosine", 10)
+    s["knn_join_l2"] = knn_sql("l2", 10)
+    s["knn_join_l1"] = knn_sql("l1", 10)
+    s["knn_single_l2"] = with_(PERM, BASE, QUERIES) + f"""SELECT b.id FROM base b, qs q WHERE q.qid = 0
+  ORDER BY {l2('b.embedding', 'q.embedding')}, b.id LIMIT 5"""
+    s["knn_with_distance"] = with_(PERM, BASE, QUERIES) + f"""SELECT b.id, {vec_text('b.embedding')} AS embedding_text,
+  round({l2('b.embedding', 'q.embedding')}, 6) AS distance FROM base b, qs q WHERE q.qid = 0
+  ORDER BY {l2('b.embedding', 'q.embedding')}, b.id LIMIT 3"""
+    # operation-log metrics
+    s["latency_summary"] = with_(OPS, """reads AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY ts, event_id) AS seq
+  FROM ops WHERE is_read)""") + """SELECT profile, count(*) AS n_ops, round(avg(latency_ms), 6) AS mean_latency_ms,
+  round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms, round(quantile_cont(latency_ms, 0.99), 6) AS p99_latency_ms
+FROM reads WHERE seq > 20 GROUP BY profile"""
+    s["throughput"] = with_(OPS) + """SELECT profile, count(*) AS n_reads,
+  round(count(*) / (date_diff('microsecond', min(ts), max(ts)) / 1e6), 6) AS qps_wall,
+  round(count(*) / (sum(latency_ms) / 1000.0), 6) AS qps_latency_sum,
+  round(count(*) / 2592000.0, 6) AS qps_fixed_duration
+FROM ops WHERE is_read GROUP BY profile"""
+    s["workload_summary"] = WORKLOAD
+    s["metrics_log"] = f"""SELECT profile, window_start, read_qps, mean_read_latency_ms, p95_read_latency_ms,
+  p99_read_latency_ms, write_throughput_per_sec, total_writes FROM ({WORKLOAD})"""
+    return s
