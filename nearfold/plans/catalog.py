@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from nearfold.functions import text as TX
 from nearfold.functions import vectors as V
-from nearfold.operators import knn, metrics
+from nearfold.operators import ground_truth as GT
+from nearfold.operators import ivf, knn, metrics
+from nearfold.plans import studies as ST
 from nearfold.operators import sampling as S
 from nearfold.plans.corpus import corpus
-from nearfold.plans.splits import splits
+from nearfold.plans.splits import INSERT_ID_OFFSET, splits
 from nearfold.session import scratch_path
 from nearfold.sources import fixtures, textio
 
@@ -31,8 +33,9 @@ DAY_SEC = 86400
 
 
 def _round(df: DataFrame, *cols: str) -> DataFrame:
+    """Round to 6 digits; adding 0.0 turns a rounded -0.0 into 0.0."""
     for c in cols or ("distance",):
-        df = df.withColumn(c, F.round(c, 6))
+        df = df.withColumn(c, F.round(c, 6) + F.lit(0.0))
     return df
 
 
@@ -314,6 +317,160 @@ def q_metrics_log(spark, sf_dir):
                        "p99_read_latency_ms", "write_throughput_per_sec", "total_writes")
 
 
+# ------------------------------------------------------------------ ground truth
+
+# Probes used by the pivot-list search checks and the growth study.
+PIVOT_PROBES = 5
+DEGRADATION_PROBES = 5
+SCALING_PROBES = 20
+
+
+def q_ground_truth_topk(spark, sf_dir):
+    """Exact cosine top-100 per (tier, query) in one scan."""
+    sp = splits(spark, sf_dir)
+    gt = GT.tier_ground_truth(ST.perm_base(sp).select("pool_pos", "perm_rank", "embedding"), sp.tiers,
+                              sp.tier_sizes, sp.queries, GT.DEPTH)
+    return _round(gt)
+
+
+def _growing(sp):
+    return GT.growing_ground_truth(sp.base, sp.inserts, sp.queries, sp.checkpoints, sp.n_base, INSERT_ID_OFFSET, K)
+
+
+def q_growing_ground_truth(spark, sf_dir):
+    """Top-10 over base ∪ first c inserts for every checkpoint c."""
+    return _round(_growing(splits(spark, sf_dir)))
+
+
+def q_gt_validate(spark, sf_dir):
+    """Validity checks of the growing ground truth (K7)."""
+    sp = splits(spark, sf_dir)
+    gt = _growing(sp)
+    cps = F.array(*[F.lit(int(c)).cast("long") for c in [0, *sp.checkpoints]])
+    grown = ST.grown_items(sp, max(sp.checkpoints)).select("id", "seq").withColumn(
+        "cumulative_inserts", F.explode(cps)
+    ).where(F.col("seq").isNull() | (F.col("seq") < F.col("cumulative_inserts"))).select("cumulative_inserts", "id")
+    return GT.validate_ground_truth(gt, grown, INSERT_ID_OFFSET)
+
+
+# ------------------------------------------------------------------ inverted lists
+
+
+def q_ivf_pivot_postings(spark, sf_dir):
+    """Pivot centroids (first round(sqrt(n)) rows by rank) and the assignment of every base row (K9)."""
+    sp = splits(spark, sf_dir)
+    idx = ST.pivot_index(sp)
+    assigned = ivf.assign(sp.base.select("id", "embedding"), idx.centroids)
+    return _round(assigned.select("id", "list_id", "centroid_distance"), "centroid_distance")
+
+
+def q_ivf_postings(spark, sf_dir):
+    """Trained (spherical k-means) lists written partitioned by list_id; list sizes (K9)."""
+    sp = splits(spark, sf_dir)
+    idx = ST.trained_index(sp, path=scratch_path(spark, "postings"))
+    return ivf.list_sizes(idx)
+
+
+def q_ivf_pivot_search(spark, sf_dir):
+    """Top-10 through the 5 nearest pivot lists."""
+    sp = splits(spark, sf_dir)
+    return _long(_round(ivf.search(ST.pivot_index(sp), sp.queries, K, PIVOT_PROBES)), "rk")
+
+
+def q_ivf_search(spark, sf_dir):
+    """Trained lists probed exhaustively: must equal the exact kNN."""
+    sp = splits(spark, sf_dir)
+    idx = ST.trained_index(sp)
+    return _long(_round(ivf.search(idx, sp.queries, K, idx.lists)), "rk")
+
+
+def q_ivf_recall(spark, sf_dir):
+    """Recall@10 of trained lists for every probe value, one scan."""
+    sp = splits(spark, sf_dir)
+    idx = ST.trained_index(sp)
+    pv = sorted({p for p in (*ST.PROBES, idx.lists) if p <= idx.lists})
+    out = ST.probe_recall(idx, sp.queries, ST.exact(sp), pv)
+    return _round(out, "mean_recall")
+
+
+def q_ivf_probe_sweep(spark, sf_dir):
+    """lists (L/2, L, 2L) x probes grid on pivot lists: mean recall@10."""
+    sp = splits(spark, sf_dir)
+    return _round(ST.lists_probe_sweep(sp), "mean_recall")
+
+
+def q_recall_at_k(spark, sf_dir):
+    """Per-query recall@10 of the pivot-list search against the exact top-10."""
+    sp = splits(spark, sf_dir)
+    res = ivf.search(ST.pivot_index(sp), sp.queries, K, PIVOT_PROBES)
+    out = metrics.recall_per_query(ST.exact(sp), res, K)
+    return _round(out, "recall")
+
+
+def q_recall_curve(spark, sf_dir):
+    """Mean recall at k = 1, 10, 50, 100 of a depth-100 pivot-list search."""
+    sp = splits(spark, sf_dir)
+    res = ivf.search(ST.pivot_index(sp), sp.queries, GT.DEPTH, PIVOT_PROBES)
+    out = metrics.recall_curve(ST.exact(sp, GT.DEPTH), res)
+    return _long(_round(out, "mean_recall"), "k")
+
+
+def q_sweep_grid(spark, sf_dir):
+    """Parameter cells of both index families for this table."""
+    sp = splits(spark, sf_dir)
+    graph = [("graph", m, efc, efs, None, None) for m, efc, efs in ST.graph_grid()]
+    lists = [("ivf", None, None, None, L, p) for L in ivf.lists_grid(sp.n_base) for p in ST.PROBES if p <= L]
+    schema = "index_type string, m long, ef_construction long, ef_search long, lists long, probes long"
+    cells = spark.createDataFrame(graph + lists, schema)
+    return cells.withColumn("n_rows", F.lit(sp.n_base).cast("long"))
+
+
+def q_degradation_curve_pivot(spark, sf_dir):
+    """Frozen pivot lists while the table grows 10/20/30/50 %, then rebuilt."""
+    return ST.degradation_curve(splits(spark, sf_dir), DEGRADATION_PROBES)
+
+
+def q_degradation_curve(spark, sf_dir):
+    """Same study with trained (k-means) lists."""
+    return ST.degradation_curve(splits(spark, sf_dir), DEGRADATION_PROBES, trained=True)
+
+
+def q_rebuild_delta(spark, sf_dir):
+    """Recall before/after rebuilding at the last checkpoint."""
+    return ST.rebuild_delta(ST.degradation_curve(splits(spark, sf_dir), DEGRADATION_PROBES, trained=True))
+
+
+def q_metrics_scrub(spark, sf_dir):
+    """Maintenance log: append the pivot degradation rows, drop the checkpoint-0
+    no_rebuild row into a new snapshot (S9, S10)."""
+    curve = q_degradation_curve_pivot(spark, sf_dir)
+    path = scratch_path(spark, "maintenance_log")
+    textio.append_log(curve, path, textio.MAINTENANCE_LOG)
+    drop = (F.col("checkpoint_pct") == 0) & (F.col("phase") == "no_rebuild")
+    out = textio.scrub_log(spark, path, drop, scratch_path(spark, "maintenance_log_scrubbed"))
+    return _long(out.select("index_type", "checkpoint_pct", "cumulative_inserts", "total_rows", "phase",
+                            "mean_recall"), "checkpoint_pct")
+
+
+def q_scaling_recall(spark, sf_dir):
+    """Per tier: pivot lists by the sqrt rule, probes 20, recall@10 vs the tier's exact top-10."""
+    sp = splits(spark, sf_dir)
+    out = None
+    for t in sp.tier_sizes:
+        items = sp.tier(t)
+        ranked = items.join(sp.perm.select("pool_pos", "perm_rank"), "pool_pos")
+        lists = ivf.lists_for(t)
+        idx = ivf.build(items.select("id", "embedding"), ivf.pivot_centroids(ranked, lists), lists)
+        res = ivf.search(idx, sp.queries, K, min(SCALING_PROBES, lists))
+        truth = knn.knn_join(items, sp.queries, K, "cosine")
+        r = metrics.mean_recall(truth, res, K).select(
+            F.lit(t).cast("long").alias("tier"), F.lit("ivf_pivot").alias("index_type"),
+            F.lit(lists).cast("long").alias("lists"), F.lit(min(SCALING_PROBES, lists)).cast("long").alias("probes"),
+            "mean_recall", "n_queries")
+        out = r if out is None else out.unionByName(r)
+    return _round(out, "mean_recall")
+
+
 def queries() -> dict[str, Query]:
     return {
         # text preparation and sampling
@@ -349,4 +506,23 @@ def queries() -> dict[str, Query]:
         "throughput": q_throughput,
         "workload_summary": q_workload_summary,
         "metrics_log": q_metrics_log,
+        # ground truth
+        "ground_truth_topk": q_ground_truth_topk,
+        "growing_ground_truth": q_growing_ground_truth,
+        "gt_validate": q_gt_validate,
+        # inverted lists and evaluation
+        "ivf_pivot_postings": q_ivf_pivot_postings,
+        "ivf_postings": q_ivf_postings,
+        "ivf_pivot_search": q_ivf_pivot_search,
+        "ivf_search": q_ivf_search,
+        "ivf_recall": q_ivf_recall,
+        "ivf_probe_sweep": q_ivf_probe_sweep,
+        "recall_at_k": q_recall_at_k,
+        "recall_curve": q_recall_curve,
+        "sweep_grid": q_sweep_grid,
+        "scaling_recall": q_scaling_recall,
+        "degradation_curve_pivot": q_degradation_curve_pivot,
+        "degradation_curve": q_degradation_curve,
+        "rebuild_delta": q_rebuild_delta,
+        "metrics_scrub": q_metrics_scrub,
     }

@@ -67,7 +67,7 @@ def knn_sql(metric: str, k: int, items: str = "base", queries: str = "qs", extra
     d = DIST[metric]("q.embedding", "b.embedding")
     ctes = [PERM, BASE, QUERIES, *extra_ctes]
     return with_(*ctes, f"""d AS (SELECT q.qid, b.id, {d} AS distance FROM {queries} q, {items} b)""") + f"""
-SELECT qid, rk, id, round(distance, 6) AS distance FROM (
+SELECT qid, rk, id, round(distance, 6) + 0.0 AS distance FROM (
   SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rk
   FROM d WHERE distance IS NOT NULL) WHERE rk <= {k}"""
 
@@ -146,6 +146,93 @@ def _pair(expr: str, name: str) -> str:
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
 
 
+def r6(x: str) -> str:
+    return f"(round({x}, 6) + 0.0)"
+
+
+def cos_(a: str, b: str) -> str:
+    return cosine(a, b)
+
+
+NLISTS = """nl AS (SELECT CAST(round(sqrt(nb)) AS BIGINT) AS lists FROM sz),
+pbase AS (SELECT b.id, b.pool_pos, b.embedding, p.perm_rank FROM base b JOIN perm p USING (pool_pos))"""
+
+CENTS = """cents AS (SELECT perm_rank AS list_id, embedding AS centroid FROM pbase, nl WHERE perm_rank < nl.lists)"""
+
+ASG = f"""asg AS (SELECT id, list_id, cd FROM (
+  SELECT b.id, c.list_id, {cosine('b.embedding', 'c.centroid')} AS cd,
+         row_number() OVER (PARTITION BY b.id ORDER BY {cosine('b.embedding', 'c.centroid')}, c.list_id) AS r
+  FROM base b, cents c) WHERE r = 1)"""
+
+
+def probes_cte(p: int) -> str:
+    return f"""probes AS (SELECT qid, list_id, r AS list_rank FROM (
+  SELECT q.qid, c.list_id,
+         row_number() OVER (PARTITION BY q.qid ORDER BY {cosine('q.embedding', 'c.centroid')}, c.list_id) AS r
+  FROM qs q, cents c) WHERE r <= {p})"""
+
+
+def topk_of(src: str, keys: str, k: int) -> str:
+    return f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY distance, id) AS rk
+  FROM {src} WHERE distance IS NOT NULL) WHERE rk <= {k})"""
+
+
+EXACT10 = f"""exact AS (SELECT * FROM {topk_of(f"(SELECT q.qid, b.id, {cosine('q.embedding', 'b.embedding')} AS distance FROM qs q, base b)", "qid", 10)})"""
+EXACT100 = f"""exact AS (SELECT * FROM {topk_of(f"(SELECT q.qid, b.id, {cosine('q.embedding', 'b.embedding')} AS distance FROM qs q, base b)", "qid", 100)})"""
+
+
+def pivot_search_cte(p: int, k: int) -> str:
+    cand = f"""(SELECT p.qid, b.id, {cosine('q.embedding', 'b.embedding')} AS distance
+  FROM probes p JOIN asg a ON a.list_id = p.list_id JOIN base b ON b.id = a.id JOIN qs q ON q.qid = p.qid)"""
+    return f"res AS (SELECT * FROM {topk_of(cand, 'qid', k)})"
+
+
+CPS = """cps AS (SELECT unnest([0, nb * 10 // 100, nb * 20 // 100, nb * 30 // 100, nb * 50 // 100]) AS ci FROM sz)"""
+
+GROWN = """grown AS (SELECT cps.ci, b.id, b.embedding FROM cps, base b
+  UNION ALL SELECT cps.ci, 800000000 + i.seq, i.embedding FROM cps, ins i WHERE i.seq < cps.ci)"""
+
+GROW_GT = f"""ggt AS (SELECT * FROM {topk_of(f"(SELECT g.ci, q.qid, g.id, {cosine('q.embedding', 'g.embedding')} AS distance FROM grown g, qs q)", "ci, qid", 10)})"""
+
+
+def degradation_sql(p: int) -> str:
+    allrows = """allrows AS (SELECT id, pool_pos, embedding, CAST(NULL AS BIGINT) AS seq FROM base
+  UNION ALL SELECT 800000000 + seq, pool_pos, embedding, seq FROM ins, sz WHERE seq < sz.nb * 50 // 100)"""
+    asg_all = f"""asg_all AS (SELECT id, seq, list_id FROM (
+  SELECT a.id, a.seq, c.list_id,
+         row_number() OVER (PARTITION BY a.id ORDER BY {cosine('a.embedding', 'c.centroid')}, c.list_id) AS r
+  FROM allrows a, cents c) WHERE r = 1)"""
+    cand = f"""(SELECT cps.ci, p.qid, x.id, {cosine('q.embedding', 'x.embedding')} AS distance
+  FROM cps, probes p JOIN asg_all a ON a.list_id = p.list_id JOIN allrows x ON x.id = a.id JOIN qs q ON q.qid = p.qid
+  WHERE a.seq IS NULL OR a.seq < cps.ci)"""
+    res = f"dres AS (SELECT * FROM {topk_of(cand, 'ci, qid', 10)})"
+    rec = """drec AS (SELECT t.ci, t.qid, count(r.id) / count(*) AS recall FROM ggt t
+  LEFT JOIN dres r ON r.ci = t.ci AND r.qid = t.qid AND r.id = t.id GROUP BY t.ci, t.qid)"""
+    # rebuild: pivots = first round(sqrt(grown)) rows of the grown table by rank
+    nl2 = """nl2 AS (SELECT CAST(round(sqrt(sz.nb + sz.nb * 50 // 100)) AS BIGINT) AS lists FROM sz),
+ranked AS (SELECT a.*, p.perm_rank FROM allrows a JOIN perm p USING (pool_pos)),
+cents2 AS (SELECT perm_rank AS list_id, embedding AS centroid FROM ranked, nl2 WHERE perm_rank < nl2.lists)"""
+    asg2 = f"""asg2 AS (SELECT id, list_id FROM (
+  SELECT a.id, c.list_id,
+         row_number() OVER (PARTITION BY a.id ORDER BY {cosine('a.embedding', 'c.centroid')}, c.list_id) AS r
+  FROM allrows a, cents2 c) WHERE r = 1)"""
+    probes2 = f"""probes2 AS (SELECT qid, list_id FROM (
+  SELECT q.qid, c.list_id,
+         row_number() OVER (PARTITION BY q.qid ORDER BY {cosine('q.embedding', 'c.centroid')}, c.list_id) AS r
+  FROM qs q, cents2 c) WHERE r <= {p})"""
+    cand2 = f"""(SELECT p.qid, x.id, {cosine('q.embedding', 'x.embedding')} AS distance
+  FROM probes2 p JOIN asg2 a ON a.list_id = p.list_id JOIN allrows x ON x.id = a.id JOIN qs q ON q.qid = p.qid)"""
+    res2 = f"dres2 AS (SELECT * FROM {topk_of(cand2, 'qid', 10)})"
+    rec2 = """drec2 AS (SELECT t.ci, t.qid, count(r.id) / count(*) AS recall FROM ggt t
+  LEFT JOIN dres2 r ON r.qid = t.qid AND r.id = t.id, sz WHERE t.ci = sz.nb * 50 // 100 GROUP BY t.ci, t.qid)"""
+    body = with_(PERM, BASE, QUERIES, INSERTS, NLISTS, CENTS, CPS, GROWN, GROW_GT, allrows, asg_all, probes_cte(p),
+                 res, rec, nl2, asg2, probes2, res2, rec2)
+    return body + f"""SELECT 'ivf_pivot' AS index_type, CAST(round(ci * 100.0 / sz.nb) AS BIGINT) AS checkpoint_pct,
+  ci AS cumulative_inserts, ci + sz.nb AS total_rows, phase, {r6('avg(recall)')} AS mean_recall, count(*) AS n_queries
+FROM (SELECT ci, qid, recall, 'no_rebuild' AS phase FROM drec UNION ALL SELECT ci, qid, recall, 'post_rebuild' FROM drec2), sz
+GROUP BY ci, phase, sz.nb"""
+
+
 def sql() -> dict[str, str]:
     s = {}
     s["sentences"] = with_(SENTS) + "SELECT doc_id, pos, text, n_chars FROM sents"
@@ -211,4 +298,61 @@ FROM ops WHERE is_read GROUP BY profile"""
     s["workload_summary"] = WORKLOAD
     s["metrics_log"] = f"""SELECT profile, window_start, read_qps, mean_read_latency_ms, p95_read_latency_ms,
   p99_read_latency_ms, write_throughput_per_sec, total_writes FROM ({WORKLOAD})"""
+    # ground truth
+    s["ground_truth_topk"] = with_(PERM, QUERIES, TIERS) + f"""SELECT tier, qid, rk, id, pool_pos, {r6('distance')} AS distance
+FROM {topk_of(f"(SELECT t.tier, q.qid, t.id, t.pool_pos, {cosine('q.embedding', 't.embedding')} AS distance FROM tiers t, qs q)", "tier, qid", 100)}"""
+    s["growing_ground_truth"] = with_(PERM, BASE, QUERIES, INSERTS, CPS, GROWN, GROW_GT) + f"""SELECT
+  CAST(round(ci * 100.0 / sz.nb) AS BIGINT) AS checkpoint_pct, ci AS cumulative_inserts, qid, rk, id,
+  {r6('distance')} AS distance FROM ggt, sz"""
+    s["gt_validate"] = with_(PERM, BASE, QUERIES, INSERTS, CPS, GROWN, GROW_GT) + """SELECT
+  CAST(round(ci * 100.0 / sz.nb) AS BIGINT) AS checkpoint_pct, ci AS cumulative_inserts, count(*) AS n_rows,
+  count_if(isnan(distance) OR distance IS NULL) AS n_nan, count_if(id < 0) AS n_negative,
+  count_if(ci > 0 AND id >= 800000000 + ci) AS n_out_of_range,
+  CAST(count_if(NOT EXISTS (SELECT 1 FROM grown g WHERE g.ci = ggt.ci AND g.id = ggt.id)) AS BIGINT) AS n_missing
+FROM ggt, sz GROUP BY ci, sz.nb"""
+    # inverted lists
+    s["ivf_pivot_postings"] = with_(PERM, BASE, NLISTS, CENTS, ASG) + f"SELECT id, list_id, {r6('cd')} AS centroid_distance FROM asg"
+    s["ivf_pivot_search"] = with_(PERM, BASE, QUERIES, NLISTS, CENTS, ASG, probes_cte(5), pivot_search_cte(5, 10)) + \
+        f"SELECT qid, rk, id, {r6('distance')} AS distance FROM res"
+    s["ivf_search"] = knn_sql("cosine", 10)
+    s["recall_at_k"] = with_(PERM, BASE, QUERIES, NLISTS, CENTS, ASG, probes_cte(5), pivot_search_cte(5, 10), EXACT10) + \
+        f"""SELECT t.qid, {r6('count(r.id) / count(*)')} AS recall, count(*) AS n_truth
+FROM exact t LEFT JOIN res r ON r.qid = t.qid AND r.id = t.id GROUP BY t.qid"""
+    s["recall_curve"] = with_(PERM, BASE, QUERIES, NLISTS, CENTS, ASG, probes_cte(5), pivot_search_cte(5, 100), EXACT100,
+                              "ks AS (SELECT unnest([1, 10, 50, 100]) AS k)") + f"""SELECT k, {r6('avg(recall)')} AS mean_recall,
+  count(*) AS n_queries, max(depth) AS depth FROM (
+  SELECT ks.k, t.qid, count(r.id) / count(*) AS recall, count(*) AS depth
+  FROM ks JOIN exact t ON t.rk <= ks.k LEFT JOIN res r ON r.qid = t.qid AND r.id = t.id AND r.rk <= ks.k
+  GROUP BY ks.k, t.qid) GROUP BY k"""
+    grid = """grid AS (SELECT unnest([nl.lists // 2, nl.lists, nl.lists * 2]) AS lists FROM nl),
+pv AS (SELECT unnest([1, 5, 10, 20]) AS probes),
+cells AS (SELECT g.lists, pv.probes FROM grid g, pv WHERE pv.probes <= g.lists)"""
+    gcents = """gcents AS (SELECT g.lists, p.perm_rank AS list_id, p.embedding AS centroid FROM grid g, pbase p
+  WHERE p.perm_rank < g.lists)"""
+    gasg = f"""gasg AS (SELECT lists, id, list_id FROM (
+  SELECT c.lists, b.id, c.list_id,
+         row_number() OVER (PARTITION BY c.lists, b.id ORDER BY {cosine('b.embedding', 'c.centroid')}, c.list_id) AS r
+  FROM base b, gcents c) WHERE r = 1)"""
+    gprobe = f"""gprobe AS (SELECT c.lists, q.qid, c.list_id,
+  row_number() OVER (PARTITION BY c.lists, q.qid ORDER BY {cosine('q.embedding', 'c.centroid')}, c.list_id) AS list_rank
+  FROM qs q, gcents c)"""
+    gcand = f"""(SELECT cl.lists, cl.probes, gp.qid, b.id, {cosine('q.embedding', 'b.embedding')} AS distance
+  FROM cells cl JOIN gprobe gp ON gp.lists = cl.lists AND gp.list_rank <= cl.probes
+  JOIN gasg a ON a.lists = cl.lists AND a.list_id = gp.list_id JOIN base b ON b.id = a.id JOIN qs q ON q.qid = gp.qid)"""
+    gres = f"gres AS (SELECT * FROM {topk_of(gcand, 'lists, probes, qid', 10)})"
+    s["ivf_probe_sweep"] = with_(PERM, BASE, QUERIES, NLISTS, grid, gcents, gasg, gprobe, gres, EXACT10) + f"""SELECT
+  lists, probes, {r6('avg(recall)')} AS mean_recall, count(*) AS n_queries FROM (
+  SELECT ct.lists, ct.probes, ct.qid, count(r.id) / count(*) AS recall
+  FROM (SELECT * FROM cells, exact) ct LEFT JOIN gres r
+    ON r.lists = ct.lists AND r.probes = ct.probes AND r.qid = ct.qid AND r.id = ct.id
+  GROUP BY ct.lists, ct.probes, ct.qid) GROUP BY lists, probes"""
+    s["sweep_grid"] = with_(PERM, NLISTS.split(",\npbase")[0], grid) + """SELECT 'graph' AS index_type, m, ef_construction,
+  ef_search, CAST(NULL AS BIGINT) AS lists, CAST(NULL AS BIGINT) AS probes, sz.nb AS n_rows
+FROM (SELECT unnest([16, 32, 64]) AS m), (SELECT unnest([64, 128, 200]) AS ef_construction),
+     (SELECT unnest([10, 20, 40, 80, 160]) AS ef_search), sz
+WHERE ef_construction >= 2 * m
+UNION ALL SELECT 'ivf', NULL, NULL, NULL, lists, probes, sz.nb FROM cells, sz"""
+    s["degradation_curve_pivot"] = degradation_sql(5)
+    s["metrics_scrub"] = f"""SELECT index_type, checkpoint_pct, cumulative_inserts, total_rows, phase, mean_recall
+FROM ({degradation_sql(5)}) WHERE NOT (checkpoint_pct = 0 AND phase = 'no_rebuild')"""
     return s

@@ -119,8 +119,12 @@ def read_vector_tsv(spark: SparkSession, path: str) -> DataFrame:
 def append_log(df: DataFrame, path: str, schema: T.StructType | None = None) -> None:
     """Append rows to a parquet metrics log with a fixed schema."""
     if schema is not None:
-        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields],
-                       *[c for c in df.columns if c not in schema.fieldNames()])
+        # fields the run did not measure (e.g. timings of a batch job) stay NULL
+        df = df.select(
+            *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+              for f in schema.fields],
+            *[c for c in df.columns if c not in schema.fieldNames()],
+        )
     df.write.mode("append").parquet(path)
 
 
@@ -135,6 +139,6 @@ def read_csv_log(spark: SparkSession, path: str, schema: T.StructType, header: b
 
 def scrub_log(spark: SparkSession, path: str, drop_when, out_path: str) -> DataFrame:
     """Drop rows matching ``drop_when`` into a new snapshot (S10); the old one stays."""
-    kept = read_log(spark, path).where(~drop_when)
+    kept = read_log(spark, path).where(~F.coalesce(drop_when, F.lit(False)))
     kept.write.mode("overwrite").parquet(out_path)
     return spark.read.parquet(out_path)
