@@ -17,6 +17,7 @@ from nearfold.functions import text as TX
 from nearfold.functions import vectors as V
 from nearfold.operators import ground_truth as GT
 from nearfold.operators import ivf, knn, metrics
+from nearfold.operators import tables as TB
 from nearfold.plans import studies as ST
 from nearfold.operators import sampling as S
 from nearfold.plans.corpus import corpus
@@ -471,6 +472,115 @@ def q_scaling_recall(spark, sf_dir):
     return _round(out, "mean_recall")
 
 
+# ------------------------------------------------------------------ table operations
+
+
+def _items_table(spark, sp, name):
+    path = scratch_path(spark, name)
+    TB.create_or_replace(sp.base.select("id", "pool_pos", "embedding"), path)
+    return path
+
+
+def _ins(sp, start, end):
+    return TB.offset_range(sp.inserts, start, end, INSERT_ID_OFFSET).select("id", "pool_pos", "embedding")
+
+
+def q_load_tier(spark, sf_dir):
+    """Load every tier into one items table partitioned by tier and check the counts."""
+    sp = splits(spark, sf_dir)
+    out = TB.load_checked(sp.tiers.select("tier", "id", "pool_pos", "embedding"), scratch_path(spark, "items"),
+                          {t: t for t in sp.tier_sizes}, group_col="tier")
+    return out.select("tier", "n_rows", "n_expected", "count_ok")
+
+
+def q_pk_violations(spark, sf_dir):
+    """A load retried without the anti join duplicates keys; the check finds them (D3)."""
+    sp = splits(spark, sf_dir)
+    path = _items_table(spark, sp, "pk")
+    rows = _ins(sp, 0, sp.checkpoints[0])
+    TB.append(rows, path)
+    TB.append(rows, path)
+    return TB.pk_violations(spark.read.parquet(path))
+
+
+def q_append_range(spark, sf_dir):
+    """Two ranged appends of the insert pool with id offset."""
+    sp = splits(spark, sf_dir)
+    path = _items_table(spark, sp, "append")
+    c1, c2 = sp.checkpoints[:2]
+    TB.append(_ins(sp, 0, c1), path)
+    TB.append(_ins(sp, c1, c2), path)
+    return spark.read.parquet(path).select("id", "pool_pos")
+
+
+def q_append_resume(spark, sf_dir):
+    """An interrupted append resumed by anti join: every key exactly once."""
+    sp = splits(spark, sf_dir)
+    path = _items_table(spark, sp, "resume")
+    c1, c2 = sp.checkpoints[:2]
+    TB.append(_ins(sp, 0, c1), path)  # the run that stopped early
+    TB.append_missing(spark, _ins(sp, 0, c2), path)
+    TB.append_missing(spark, _ins(sp, 0, c2), path)  # resuming twice adds nothing
+    back = spark.read.parquet(path)
+    return back.groupBy("id").agg(F.count(F.lit(1)).alias("n_copies"))
+
+
+def q_delete_range(spark, sf_dir):
+    """``DELETE WHERE id >= offset`` after growth: back to the base rows."""
+    sp = splits(spark, sf_dir)
+    path = _items_table(spark, sp, "delete")
+    TB.append(_ins(sp, 0, max(sp.checkpoints)), path)
+    out = TB.delete_where(spark, path, F.col("id") >= INSERT_ID_OFFSET, scratch_path(spark, "delete_snapshot"))
+    return out.select("id", "pool_pos")
+
+
+def q_table_state(spark, sf_dir):
+    """count(*) and count of inserted rows after every append step."""
+    sp = splits(spark, sf_dir)
+    path = scratch_path(spark, "state")
+    TB.create_or_replace(sp.base.select("id", "pool_pos").withColumn("slab", F.lit(0)), path)
+    prev = 0
+    for i, c in enumerate(sp.checkpoints):
+        TB.append(_ins(sp, prev, c).select("id", "pool_pos").withColumn("slab", F.lit(i + 1)), path)
+        prev = c
+    cps = F.array(*[F.lit(x) for x in range(len(sp.checkpoints) + 1)])
+    t = spark.read.parquet(path).withColumn("step", F.explode(F.filter(cps, lambda s: s >= F.col("slab"))))
+    cp_map = F.array(*[F.lit(int(c)).cast("long") for c in [0, *sp.checkpoints]])
+    st = TB.state(t, INSERT_ID_OFFSET, group_cols=["step"])
+    return st.select(F.element_at(cp_map, (F.col("step") + 1).cast("int")).alias("cumulative_inserts"),
+                     "n_rows", "n_inserted")
+
+
+def q_compact_postings(spark, sf_dir):
+    """Postings written by many small writers, then compacted: rows per list unchanged."""
+    sp = splits(spark, sf_dir)
+    idx = ST.pivot_index(sp)
+    path = scratch_path(spark, "fragmented")
+    idx.postings.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).write.mode(
+        "overwrite").partitionBy("list_id").parquet(path)
+    out = TB.compact(spark, path, scratch_path(spark, "compacted"), "list_id")
+    return out.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_index_manifest(spark, sf_dir):
+    """Indexes of the base table with params, rows, lists and bytes on disk."""
+    sp = splits(spark, sf_dir)
+    rows = []
+    for kind in ("pivot", "trained"):
+        path = scratch_path(spark, f"index_{kind}")
+        lists = ivf.lists_for(sp.n_base)
+        if kind == "pivot":
+            cents = ivf.pivot_centroids(ST.perm_base(sp), lists)
+        else:
+            cents = ivf.train_centroids(sp.base, lists)
+        idx = ivf.build(sp.base.select("id", "embedding"), cents, lists, path=path, kind=kind)
+        stats = idx.postings.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("list_id").alias("n_lists")).first()
+        rows.append(("items_base", f"ivf_{kind}", {"lists": lists}, int(stats["rows"]), int(stats["n_lists"]),
+                     TB.size_bytes(spark, path)))
+    schema = "table string, index_type string, params map<string,int>, rows long, n_lists long, size_bytes long"
+    return spark.createDataFrame(rows, schema)
+
+
 def queries() -> dict[str, Query]:
     return {
         # text preparation and sampling
@@ -525,4 +635,13 @@ def queries() -> dict[str, Query]:
         "degradation_curve": q_degradation_curve,
         "rebuild_delta": q_rebuild_delta,
         "metrics_scrub": q_metrics_scrub,
+        # table operations
+        "load_tier": q_load_tier,
+        "pk_violations": q_pk_violations,
+        "append_range": q_append_range,
+        "append_resume": q_append_resume,
+        "delete_range": q_delete_range,
+        "table_state": q_table_state,
+        "compact_postings": q_compact_postings,
+        "index_manifest": q_index_manifest,
     }

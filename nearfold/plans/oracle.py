@@ -355,4 +355,17 @@ UNION ALL SELECT 'ivf', NULL, NULL, NULL, lists, probes, sz.nb FROM cells, sz"""
     s["degradation_curve_pivot"] = degradation_sql(5)
     s["metrics_scrub"] = f"""SELECT index_type, checkpoint_pct, cumulative_inserts, total_rows, phase, mean_recall
 FROM ({degradation_sql(5)}) WHERE NOT (checkpoint_pct = 0 AND phase = 'no_rebuild')"""
+    # table operations
+    s["load_tier"] = with_(PERM, TIERS) + """SELECT tier, count(*) AS n_rows, tier AS n_expected, true AS count_ok
+FROM tiers GROUP BY tier"""
+    s["pk_violations"] = with_(PERM, INSERTS) + """SELECT 800000000 + seq AS id, CAST(2 AS BIGINT) AS n_copies
+FROM ins, sz WHERE seq < sz.nb * 10 // 100"""
+    s["append_range"] = with_(PERM, BASE, INSERTS) + """SELECT id, pool_pos FROM base
+UNION ALL SELECT 800000000 + seq, pool_pos FROM ins, sz WHERE seq < sz.nb * 20 // 100"""
+    s["append_resume"] = with_(PERM, BASE, INSERTS) + """SELECT id, CAST(1 AS BIGINT) AS n_copies FROM base
+UNION ALL SELECT 800000000 + seq, 1 FROM ins, sz WHERE seq < sz.nb * 20 // 100"""
+    s["delete_range"] = with_(PERM, BASE) + "SELECT id, pool_pos FROM base"
+    s["table_state"] = with_(PERM, BASE, INSERTS, CPS) + """SELECT ci AS cumulative_inserts,
+  (SELECT count(*) FROM base) + (SELECT count(*) FROM ins WHERE seq < ci) AS n_rows,
+  (SELECT count(*) FROM ins WHERE seq < ci) AS n_inserted FROM cps"""
     return s
