@@ -23,6 +23,7 @@ from nearfold.operators import sampling as S
 from nearfold.plans.corpus import corpus
 from nearfold.plans.splits import INSERT_ID_OFFSET, splits
 from nearfold.session import scratch_path
+from nearfold.streaming import ingest as STR
 from nearfold.sources import fixtures, textio
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -581,6 +582,49 @@ def q_index_manifest(spark, sf_dir):
     return spark.createDataFrame(rows, schema)
 
 
+# ------------------------------------------------------------------ streaming
+
+STREAM_FILES = 8
+
+
+def q_stream_ingest(spark, sf_dir):
+    """Insert pool arriving as files -> ids + frozen pivot lists -> list-partitioned sink (ST1)."""
+    sp = splits(spark, sf_dir)
+    d = STR.scratch(spark, "ingest")
+    STR.land_files(sp.inserts.select("seq", "embedding"), d["landing"], "seq", STREAM_FILES)
+    schema = spark.read.parquet(d["landing"]).schema
+    cents = ivf.pivot_centroids(ST.perm_base(sp), ivf.lists_for(sp.n_base))
+    STR.ingest(spark, d["landing"], schema, cents, d["out"], d["checkpoint"], INSERT_ID_OFFSET, sp.n_ins)
+    out = spark.read.parquet(d["out"])
+    return _round(out.select("id", "list_id", "centroid_distance"), "centroid_distance")
+
+
+def q_stream_lookup(spark, sf_dir):
+    """Query files arriving while the index serves: foreachBatch pivot-list search (ST2)."""
+    sp = splits(spark, sf_dir)
+    d = STR.scratch(spark, "lookup")
+    idx_path = scratch_path(spark, "lookup_index")
+    lists = ivf.lists_for(sp.n_base)
+    cents = ivf.pivot_centroids(ST.perm_base(sp), lists)
+    ivf.build(sp.base.select("id", "embedding"), cents, lists, path=idx_path)
+    STR.land_files(sp.queries.select("qid", "embedding"), d["landing"], "qid", STREAM_FILES)
+    schema = spark.read.parquet(d["landing"]).schema
+    STR.lookups(spark, d["landing"], schema, idx_path, cents, lists, d["out"], d["checkpoint"], K, PIVOT_PROBES)
+    out = spark.read.parquet(d["out"]).select("qid", "rk", "id", "distance")
+    return _long(_round(out), "rk")
+
+
+def q_stream_workload_windows(spark, sf_dir):
+    """Operation log as a stream: 1-minute watermark, 60 s windows per profile (ST3)."""
+    d = STR.scratch(spark, "windows")
+    ops = fixtures.operation_log(spark, sf_dir)
+    STR.land_files(ops, d["landing"], "ts", STREAM_FILES)
+    schema = spark.read.parquet(d["landing"]).schema
+    STR.windows(spark, d["landing"], schema, d["out"], d["checkpoint"])
+    out = spark.read.parquet(d["out"])
+    return _round(out, "mean_read_latency_ms", "max_latency_ms")
+
+
 def queries() -> dict[str, Query]:
     return {
         # text preparation and sampling
@@ -644,4 +688,8 @@ def queries() -> dict[str, Query]:
         "table_state": q_table_state,
         "compact_postings": q_compact_postings,
         "index_manifest": q_index_manifest,
+        # streaming
+        "stream_ingest": q_stream_ingest,
+        "stream_lookup": q_stream_lookup,
+        "stream_workload_windows": q_stream_workload_windows,
     }

@@ -368,4 +368,16 @@ UNION ALL SELECT 800000000 + seq, 1 FROM ins, sz WHERE seq < sz.nb * 20 // 100""
     s["table_state"] = with_(PERM, BASE, INSERTS, CPS) + """SELECT ci AS cumulative_inserts,
   (SELECT count(*) FROM base) + (SELECT count(*) FROM ins WHERE seq < ci) AS n_rows,
   (SELECT count(*) FROM ins WHERE seq < ci) AS n_inserted FROM cps"""
+    # streaming
+    s["stream_ingest"] = with_(PERM, BASE, INSERTS, NLISTS, CENTS) + f"""SELECT 800000000 + seq AS id, list_id,
+  {r6('cd')} AS centroid_distance FROM (
+  SELECT i.seq, c.list_id, {cosine('i.embedding', 'c.centroid')} AS cd,
+         row_number() OVER (PARTITION BY i.seq ORDER BY {cosine('i.embedding', 'c.centroid')}, c.list_id) AS r
+  FROM ins i, cents c) WHERE r = 1"""
+    s["stream_lookup"] = s["ivf_pivot_search"]
+    s["stream_workload_windows"] = with_(OPS, "w AS (SELECT *, time_bucket(INTERVAL 60 second, ts) AS window_start FROM ops)") + \
+        f"""SELECT window_start, profile, count_if(is_read) AS n_reads, count_if(NOT is_read) AS n_writes,
+  {r6('avg(CASE WHEN is_read THEN latency_ms END)')} AS mean_read_latency_ms, {r6('max(latency_ms)')} AS max_latency_ms
+FROM w GROUP BY window_start, profile
+HAVING window_start + INTERVAL 60 second <= (SELECT max(ts) FROM events) - INTERVAL 1 minute"""
     return s
