@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from nearfold.functions import text as TX
 from nearfold.functions import vectors as V
 from nearfold.operators import ground_truth as GT
+from nearfold.operators import embed as EM
 from nearfold.operators import ivf, knn, metrics
 from nearfold.operators import tables as TB
 from nearfold.plans import studies as ST
@@ -625,6 +626,30 @@ def q_stream_workload_windows(spark, sf_dir):
     return _round(out, "mean_read_latency_ms", "max_latency_ms")
 
 
+# ------------------------------------------------------------------ embedding stage
+
+
+def _largest_tier_texts(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return c.tiers().where(F.col("tier") == c.max_tier).select("id", "text")
+
+
+def _embedding_summary(df):
+    return _round(df.select("id", *EM.embedding_checksum("embedding")), "norm", "checksum")
+
+
+def q_embed_pool(spark, sf_dir):
+    """Largest sentence tier -> 64-d hashed bag-of-words vectors, JVM-side."""
+    t = _largest_tier_texts(spark, sf_dir)
+    return _embedding_summary(t.select("id", EM.hashed_embedding("text").alias("embedding")))
+
+
+def q_embed_pool_batched(spark, sf_dir):
+    """Same stage through the pluggable encoder in Arrow batches of 256."""
+    t = _largest_tier_texts(spark, sf_dir)
+    return _embedding_summary(EM.embed_batches(t, "text", EM.numpy_hashed_encoder(), EM.DIM))
+
+
 def queries() -> dict[str, Query]:
     return {
         # text preparation and sampling
@@ -688,6 +713,9 @@ def queries() -> dict[str, Query]:
         "table_state": q_table_state,
         "compact_postings": q_compact_postings,
         "index_manifest": q_index_manifest,
+        # embedding stage
+        "embed_pool": q_embed_pool,
+        "embed_pool_batched": q_embed_pool_batched,
         # streaming
         "stream_ingest": q_stream_ingest,
         "stream_lookup": q_stream_lookup,

@@ -233,6 +233,17 @@ FROM (SELECT ci, qid, recall, 'no_rebuild' AS phase FROM drec UNION ALL SELECT c
 GROUP BY ci, phase, sz.nb"""
 
 
+EMBED = r"""etoks AS (
+  SELECT id, list_transform(list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda t: t <> ''),
+    lambda t: {'b': CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 64,
+               's': CASE WHEN CAST(('0x' || substr(md5(t), 9, 1)) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END}) AS toks
+  FROM stiers, mt WHERE tier = mt.mt),
+eraw AS (SELECT id, list_transform(range(64), lambda i: coalesce(list_sum(list_transform(toks,
+    lambda x: CASE WHEN x.b = i THEN x.s ELSE 0.0 END)), 0.0)) AS raw FROM etoks),
+vec AS (SELECT id, list_transform(raw, lambda x: CAST(CASE WHEN n > 0 THEN x / n ELSE 0.0 END AS FLOAT)) AS embedding
+  FROM (SELECT id, raw, sqrt(list_sum(list_transform(raw, lambda x: x * x))) AS n FROM eraw))"""
+
+
 def sql() -> dict[str, str]:
     s = {}
     s["sentences"] = with_(SENTS) + "SELECT doc_id, pos, text, n_chars FROM sents"
@@ -380,4 +391,9 @@ UNION ALL SELECT 800000000 + seq, 1 FROM ins, sz WHERE seq < sz.nb * 20 // 100""
   {r6('avg(CASE WHEN is_read THEN latency_ms END)')} AS mean_read_latency_ms, {r6('max(latency_ms)')} AS max_latency_ms
 FROM w GROUP BY window_start, profile
 HAVING window_start + INTERVAL 60 second <= (SELECT max(ts) FROM events) - INTERVAL 1 minute"""
+    # embedding stage
+    s["embed_pool"] = with_(*SENT_ALL, EMBED) + f"""SELECT id, len(embedding) AS dims, {r6(norm('embedding'))} AS norm,
+  {r6("list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i))")} AS checksum,
+  len(list_filter(embedding, lambda x: x <> 0)) AS n_nonzero FROM vec"""
+    s["embed_pool_batched"] = s["embed_pool"]
     return s
