@@ -17,6 +17,7 @@ from nearfold.functions import text as TX
 from nearfold.functions import vectors as V
 from nearfold.operators import ground_truth as GT
 from nearfold.operators import embed as EM
+from nearfold.operators import graph as GR
 from nearfold.operators import ivf, knn, metrics
 from nearfold.operators import tables as TB
 from nearfold.plans import studies as ST
@@ -650,6 +651,51 @@ def q_embed_pool_batched(spark, sf_dir):
     return _embedding_summary(EM.embed_batches(t, "text", EM.numpy_hashed_encoder(), EM.DIM))
 
 
+# ------------------------------------------------------------------ neighbour graph
+
+# Smallest valid cell of the reference grid, and its default beam.
+GRAPH_M = 16
+GRAPH_EF_CONSTRUCTION = 64
+GRAPH_EF_SEARCH = 40
+
+
+def _graph(sp, m=GRAPH_M, efc=GRAPH_EF_CONSTRUCTION):
+    lists = ivf.lists_for(sp.n_base)
+    pb = ST.perm_base(sp)
+    cents = ivf.pivot_centroids(pb, lists)
+    assigned = ivf.assign(sp.base.select("id", "embedding"), cents).select("id", "list_id")
+    entry = pb.where(F.col("perm_rank") < lists).select("id")
+    return GR.build(sp.base.select("id", "embedding"), assigned, m, efc, entry)
+
+
+def q_graph_edges(spark, sf_dir):
+    """kNN graph m=16, ef_construction=64 as an edge table."""
+    g = _graph(splits(spark, sf_dir))
+    return _round(g.edges.select("src", "dst", F.col("d").alias("distance")))
+
+
+def q_graph_search(spark, sf_dir):
+    """Beam search with ef_search=40 over the graph, all queries together."""
+    sp = splits(spark, sf_dir)
+    g = _graph(sp)
+    return _long(_round(GR.search(g, sp.base, sp.queries, K, GRAPH_EF_SEARCH)), "rk")
+
+
+def q_graph_recall(spark, sf_dir):
+    """Recall@10 of the graph for beam widths 10..160 (E7 for the graph family)."""
+    sp = splits(spark, sf_dir)
+    g = _graph(sp)
+    truth = ST.exact(sp)
+    out = None
+    for efs in ST.GRAPH_EF_SEARCH:
+        res = GR.search(g, sp.base, sp.queries, K, efs)
+        r = metrics.mean_recall(truth, res, K).select(
+            F.lit(GRAPH_M).cast("long").alias("m"), F.lit(GRAPH_EF_CONSTRUCTION).cast("long").alias("ef_construction"),
+            F.lit(efs).cast("long").alias("ef_search"), "mean_recall", "n_queries")
+        out = r if out is None else out.unionByName(r)
+    return _round(out, "mean_recall")
+
+
 def queries() -> dict[str, Query]:
     return {
         # text preparation and sampling
@@ -716,6 +762,10 @@ def queries() -> dict[str, Query]:
         # embedding stage
         "embed_pool": q_embed_pool,
         "embed_pool_batched": q_embed_pool_batched,
+        # neighbour graph
+        "graph_edges": q_graph_edges,
+        "graph_search": q_graph_search,
+        "graph_recall": q_graph_recall,
         # streaming
         "stream_ingest": q_stream_ingest,
         "stream_lookup": q_stream_lookup,
