@@ -121,17 +121,14 @@ def assign(items: DataFrame, centroids: DataFrame, metric: str = "cosine", vec_c
 def write_postings(assigned: DataFrame, path: str, id_col: str = "id", vec_col: str = "embedding",
                    num_partitions: int | None = None) -> None:
     """Write postings partitioned by list; a range repartition on (list_id, id)
-    splits an oversized list over several writers and keeps files per task few."""
-    spark = assigned.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        assigned.where(F.col("list_id").isNotNull())
-        .select("list_id", F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
-        .repartitionByRange(n, "list_id", "id")
-        .write.mode("overwrite")
-        .partitionBy("list_id")
-        .parquet(path)
+    splits an oversized list over several writers and keeps files per task few.
+    Without ``num_partitions`` AQE sizes the writers from the shuffle bytes."""
+    rows = assigned.where(F.col("list_id").isNotNull()).select(
+        "list_id", F.col(id_col).alias("id"), F.col(vec_col).alias("embedding")
     )
+    ranged = (rows.repartitionByRange(num_partitions, "list_id", "id") if num_partitions
+              else rows.repartitionByRange("list_id", "id"))
+    ranged.write.mode("overwrite").partitionBy("list_id").parquet(path)
 
 
 @dataclass

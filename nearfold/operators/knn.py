@@ -35,6 +35,7 @@ METRICS = ("cosine", "l2", "l1", "dot")
 DEFAULT_BROADCAST_LIMIT = 64 << 20  # bytes of float64 query matrix shipped per pass
 _BLOCK_BYTES = 96 << 20  # bound on one distance block inside a task
 _SALT_MIN_PARTITIONS = 64  # below this many scan partitions one merge level suffices
+TIE_DECIMALS = 12
 
 
 # ---------------------------------------------------------------- numpy helpers
@@ -92,7 +93,9 @@ def distances(metric: str, P: dict, qsel, X: np.ndarray) -> np.ndarray:
     else:
         raise ValueError(f"unknown metric {metric!r}")
     D[~np.isfinite(D)] = np.inf
-    return D
+    # snap to 1e-12 so distances equal up to rounding noise (x vs 2x under
+    # cosine) tie exactly and fall back to the id order
+    return np.round(D, TIE_DECIMALS)
 
 
 # ---------------------------------------------------------------- task kernel

@@ -9,11 +9,14 @@ idempotent appends use an anti join on the key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TARGET_FILE_BYTES = 128 << 20
+
 
 def create_or_replace(df: DataFrame, path: str, partition_cols: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as the only content of ``path`` (D1) and return the read-back table."""
@@ -95,19 +98,20 @@ def state(df: DataFrame, offset: int, key: str = "id", group_cols: Sequence[str]
 
 
 def compact(spark: SparkSession, path: str, out_path: str, partition_col: str | None = None,
-            files_per_partition: int = 1) -> DataFrame:
-    """Rewrite a table with few files per partition.
+            target_file_bytes: int = TARGET_FILE_BYTES) -> DataFrame:
+    """Rewrite a table into files of about ``target_file_bytes``.
 
-    A range repartition on (partition_col, id) keeps one partition's rows
-    together without funnelling a huge partition through one task."""
+    The writer count comes from the bytes on disk; a range repartition on
+    (partition_col, id) keeps each partition's rows together and contiguous,
+    so most tasks write a single file, and a huge partition is still cut over
+    several writers instead of one."""
     df = spark.read.parquet(path)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * files_per_partition)
+    n = max(1, math.ceil(size_bytes(spark, path) / target_file_bytes))
+    keys = ([partition_col] if partition_col else []) + ["id"]
+    w = df.repartitionByRange(n, *keys).write.mode("overwrite")
     if partition_col:
-        df.repartitionByRange(n, partition_col, "id").write.mode("overwrite").partitionBy(partition_col).parquet(
-            out_path
-        )
-    else:
-        df.repartitionByRange(n, "id").write.mode("overwrite").parquet(out_path)
+        w = w.partitionBy(partition_col)
+    w.parquet(out_path)
     return spark.read.parquet(out_path)
 
 
