@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfold.session import checkpoint_dir
+from nearfold.session import reliable_checkpoint
 
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id: record number lives in the low 33 bits
 
@@ -30,15 +30,14 @@ def dense_index(
     restarting for every value of ``partition_cols``.  ``order_cols`` must make
     the order total (include a unique key)."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
     part = list(partition_cols)
     keys = part + list(order_cols)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
+    ranged = reliable_checkpoint(
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_nf_mid", F.monotonically_increasing_id())
-    ).checkpoint(eager=True)
+    )
     tagged = ranged.withColumn("_nf_pid", F.shiftright("_nf_mid", 33)).withColumn(
         "_nf_loc", F.col("_nf_mid").bitwiseAND(F.lit(_LOW_BITS))
     )

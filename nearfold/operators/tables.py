@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfold.session import reliable_checkpoint
+
 TARGET_FILE_BYTES = 128 << 20
 
 
@@ -76,7 +78,7 @@ def append_missing(spark: SparkSession, rows: DataFrame, path: str, key: str = "
     existing = spark.read.parquet(path).select(key)
     todo = rows.join(existing, key, "left_anti")
     # materialise the anti join before writing into the table it reads from
-    todo = todo.checkpoint(eager=True)
+    todo = reliable_checkpoint(todo)
     n = todo.count()
     if n:
         append(todo, path)

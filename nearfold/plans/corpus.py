@@ -34,6 +34,7 @@ class Corpus:
     pool_rows: int
     numbered: DataFrame  # doc_id, pos, text, n_chars, pool_pos (all sentences)
     perm: DataFrame  # pool rows + perm_rank
+    staged_tiers: DataFrame  # tier, id, pool_pos, text
 
     @property
     def pool(self) -> DataFrame:
@@ -52,7 +53,7 @@ class Corpus:
         return S.max_tier(self.pool_rows)
 
     def tiers(self) -> DataFrame:
-        return S.tier_slice(self.perm, self.tier_sizes).select("tier", "id", "pool_pos", "text")
+        return self.staged_tiers
 
     def queries(self) -> DataFrame:
         return S.query_slice(self.perm, self.max_tier).select("qid", "pool_pos", "text")
@@ -72,5 +73,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
         f"{root}/perm",
         lambda: S.permuted(numbered.where(F.col("pool_pos") < pool_rows).select("pool_pos", "text")),
     )
-    c = _MEMO[key] = Corpus(n, pool_rows, numbered, perm)
+    sizes = S.tier_sizes(pool_rows)
+    tiers = staged(
+        spark,
+        f"{root}/tiers",
+        lambda: S.tier_slice(perm, sizes).select("tier", "id", "pool_pos", "text"),
+    )
+    c = _MEMO[key] = Corpus(n, pool_rows, numbered, perm, tiers)
     return c

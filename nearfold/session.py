@@ -78,3 +78,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         return True
     except Exception:  # AnalysisException: path does not exist
         return False
+
+
+def reliable_checkpoint(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+
+    The plan is persisted first so the checkpoint write reads the computed
+    partitions instead of running the plan a second time; the cache is
+    released once the checkpoint files exist."""
+    from pyspark import StorageLevel
+
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from nearfold.operators import ivf
 from nearfold.operators.indexing import dense_index
-from nearfold.session import scratch_path
+from nearfold.session import reliable_checkpoint, scratch_path
 
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -31,7 +31,7 @@ def land_files(df: DataFrame, path: str, order_col: str, n_files: int) -> None:
     ranked = dense_index(df, [order_col], "_nf_arrival")
     n = ranked.count()
     bucket = (F.col("_nf_arrival") * n_files / F.lit(max(n, 1))).cast("long")
-    ranked = ranked.withColumn("_nf_drop", bucket).checkpoint(eager=True)
+    ranked = reliable_checkpoint(ranked.withColumn("_nf_drop", bucket))
     for i in range(n_files):
         ranked.where(F.col("_nf_drop") == i).drop("_nf_arrival", "_nf_drop").coalesce(1).write.mode(
             "append").parquet(path)
