@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearfold.session import spread
+
 # Token pattern (runs of letters/digits), default dimension and
 # the reference's encoder batch size.
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -119,7 +121,7 @@ def embed_batches(df: DataFrame, text_col: str, encoder: Callable[[list[str]], n
                     out["batch_seconds"] = dt
                 yield out
 
-    return df.select(*cols, text_col).mapInPandas(run, schema)
+    return spread(df.select(*cols, text_col)).mapInPandas(run, schema)
 
 
 def embedding_rate(timed: DataFrame) -> DataFrame:

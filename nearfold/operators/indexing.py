@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +34,17 @@ def dense_index(
     part = list(partition_cols)
     keys = part + list(order_cols)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = reliable_checkpoint(
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_nf_mid", F.monotonically_increasing_id())
-    )
+    # range partitioning samples its input in a separate job: persist the input
+    # so the upstream plan runs once, not once for the sample and once for the shuffle
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranged = reliable_checkpoint(
+            src.repartitionByRange(n, *keys)
+            .sortWithinPartitions(*keys)
+            .withColumn("_nf_mid", F.monotonically_increasing_id())
+        )
+    finally:
+        src.unpersist()
     tagged = ranged.withColumn("_nf_pid", F.shiftright("_nf_mid", 33)).withColumn(
         "_nf_loc", F.col("_nf_mid").bitwiseAND(F.lit(_LOW_BITS))
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from nearfold.functions import text as TX
 from nearfold.operators.indexing import dense_index
 from nearfold.plans.splits import permute
+from nearfold.session import spread
 
 # Pool cut and insert pool as shares of all sentences (pool 2/3,
 # inserts the remaining 1/3 = half the pool); the largest tier is pool*10/11,
@@ -25,7 +26,7 @@ TIER_SHARES = (10, 50, 100)
 def sentences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, pos, text, n_chars) for every sentence that passes the length rule."""
     clean = TX.collapse_whitespace(F.col(text_col))
-    pieces = docs.where(F.col(text_col).isNotNull()).select(
+    pieces = spread(docs.where(F.col(text_col).isNotNull())).select(
         F.col(id_col).alias("doc_id"), F.posexplode(TX.split_sentences(clean)).alias("pos", "raw")
     )
     s = F.trim(F.col("raw"))

@@ -24,7 +24,7 @@ from nearfold.plans import studies as ST
 from nearfold.operators import sampling as S
 from nearfold.plans.corpus import corpus
 from nearfold.plans.splits import INSERT_ID_OFFSET, splits
-from nearfold.session import scratch_path
+from nearfold.session import scratch_path, spread
 from nearfold.streaming import ingest as STR
 from nearfold.sources import fixtures, textio
 
@@ -641,7 +641,7 @@ def _embedding_summary(df):
 
 def q_embed_pool(spark, sf_dir):
     """Largest sentence tier -> 64-d hashed bag-of-words vectors, JVM-side."""
-    t = _largest_tier_texts(spark, sf_dir)
+    t = spread(_largest_tier_texts(spark, sf_dir))
     return _embedding_summary(t.select("id", EM.hashed_embedding("text").alias("embedding")))
 
 
@@ -668,6 +668,28 @@ def _graph(sp, m=GRAPH_M, efc=GRAPH_EF_CONSTRUCTION):
     return GR.build(sp.base.select("id", "embedding"), assigned, m, efc, entry)
 
 
+def q_graph_degradation_curve(spark, sf_dir):
+    """Graph grown by batched inserts to +10/20/30/50 % without rebuild, then rebuilt."""
+    return ST.graph_degradation_curve(splits(spark, sf_dir), GRAPH_M, GRAPH_EF_CONSTRUCTION, GRAPH_EF_SEARCH)
+
+
+def q_graph_scaling_recall(spark, sf_dir):
+    """Per tier: graph m=16/ef_construction=64, beam 40, recall@10 vs the tier's exact top-10."""
+    sp = splits(spark, sf_dir)
+    out = None
+    for t in sp.tier_sizes:
+        items = sp.tier(t)
+        g = ST.graph_index(items, sp.perm, GRAPH_M, GRAPH_EF_CONSTRUCTION)
+        res = GR.search(g, items.select("id", "embedding"), sp.queries, K, GRAPH_EF_SEARCH)
+        truth = knn.knn_join(items, sp.queries, K, "cosine")
+        r = metrics.mean_recall(truth, res, K).select(
+            F.lit(t).cast("long").alias("tier"), F.lit("graph").alias("index_type"),
+            F.lit(GRAPH_M).cast("long").alias("m"), F.lit(GRAPH_EF_SEARCH).cast("long").alias("ef_search"),
+            "mean_recall", "n_queries")
+        out = r if out is None else out.unionByName(r)
+    return _round(out, "mean_recall")
+
+
 def q_graph_edges(spark, sf_dir):
     """kNN graph m=16, ef_construction=64 as an edge table."""
     g = _graph(splits(spark, sf_dir))
@@ -766,6 +788,8 @@ def queries() -> dict[str, Query]:
         "graph_edges": q_graph_edges,
         "graph_search": q_graph_search,
         "graph_recall": q_graph_recall,
+        "graph_degradation_curve": q_graph_degradation_curve,
+        "graph_scaling_recall": q_graph_scaling_recall,
         # streaming
         "stream_ingest": q_stream_ingest,
         "stream_lookup": q_stream_lookup,

@@ -60,7 +60,7 @@ class Corpus:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    key = (id(spark.sparkContext), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key in _MEMO:
         return _MEMO[key]
     root = scratch_path(spark, "corpus", hashlib.sha1(sf_dir.encode()).hexdigest()[:12], fresh=False)
@@ -77,7 +77,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     tiers = staged(
         spark,
         f"{root}/tiers",
-        lambda: S.tier_slice(perm, sizes).select("tier", "id", "pool_pos", "text"),
+        lambda: S.tier_slice(perm, sizes).select("tier", "id", "pool_pos", "text").repartitionByRange("tier", "id"),
     )
     c = _MEMO[key] = Corpus(n, pool_rows, numbered, perm, tiers)
     return c

@@ -102,7 +102,7 @@ def tier_slices(perm: DataFrame, tier_sizes: list[int]) -> DataFrame:
 
 
 def splits(spark: SparkSession, sf_dir: str) -> Splits:
-    key = (id(spark.sparkContext), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key in _MEMO:
         return _MEMO[key]
     pool = fixtures.vectors(spark, sf_dir)

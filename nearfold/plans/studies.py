@@ -141,6 +141,60 @@ def degradation_curve(sp: Splits, probes: int, trained: bool = False, k: int = K
     )
 
 
+def graph_index(items: DataFrame, perm: DataFrame, m: int, ef_construction: int):
+    """Graph over ``items`` (id, pool_pos, embedding): start lists and entry points are
+    the first round(sqrt(n)) rows of ``items`` by permutation rank."""
+    from nearfold.operators import graph as GR
+
+    ranked = items.join(perm.select("pool_pos", "perm_rank"), "pool_pos")
+    lists = ivf.lists_for(items.count())
+    piv = ivf.pivot_centroids(ranked, lists)
+    assigned = ivf.assign(items.select("id", "embedding"), piv).select("id", "list_id")
+    entry = ranked.where(F.col("perm_rank") < lists).select("id")
+    return GR.build(items.select("id", "embedding"), assigned, m, ef_construction, entry)
+
+
+def graph_degradation_curve(sp: Splits, m: int, ef_construction: int, ef_search: int, k: int = K) -> DataFrame:
+    """E9/E10 for the graph family: insert each slab into the built graph (no
+    rebuild), search at every checkpoint, then rebuild on the grown table."""
+    from nearfold.operators import graph as GR
+
+    cps = [0, *sp.checkpoints]
+    truth = GT.growing_ground_truth(sp.base, sp.inserts, sp.queries, sp.checkpoints, sp.n_base,
+                                    INSERT_ID_OFFSET, k)
+    g = graph_index(sp.base, sp.perm, m, ef_construction)
+    current = sp.base.select("id", "pool_pos", "embedding")
+    out = None
+    prev = 0
+    for c in cps:
+        if c > prev:
+            slab = sp.inserts.where((F.col("seq") >= prev) & (F.col("seq") < c)).select(
+                (F.lit(INSERT_ID_OFFSET) + F.col("seq")).alias("id"), "pool_pos", "embedding")
+            g = GR.insert(g, current.select("id", "embedding"), slab.select("id", "embedding"))
+            current = current.unionByName(slab)
+            prev = c
+        res = GR.search(g, current.select("id", "embedding"), sp.queries, k, ef_search)
+        r = metrics.mean_recall(truth.where(F.col("cumulative_inserts") == c), res, k).select(
+            F.lit(c).cast("long").alias("cumulative_inserts"), F.lit("no_rebuild").alias("phase"),
+            "mean_recall", "n_queries")
+        out = r if out is None else out.unionByName(r)
+    g2 = graph_index(current, sp.perm, m, ef_construction)
+    res2 = GR.search(g2, current.select("id", "embedding"), sp.queries, k, ef_search)
+    r2 = metrics.mean_recall(truth.where(F.col("cumulative_inserts") == prev), res2, k).select(
+        F.lit(prev).cast("long").alias("cumulative_inserts"), F.lit("post_rebuild").alias("phase"),
+        "mean_recall", "n_queries")
+    out = out.unionByName(r2)
+    return out.select(
+        F.lit("graph").alias("index_type"),
+        GT.checkpoint_pct("cumulative_inserts", sp.n_base).cast("long").alias("checkpoint_pct"),
+        "cumulative_inserts",
+        (F.col("cumulative_inserts") + sp.n_base).alias("total_rows"),
+        "phase",
+        F.round("mean_recall", 6).alias("mean_recall"),
+        "n_queries",
+    )
+
+
 def rebuild_delta(curve: DataFrame) -> DataFrame:
     """no_rebuild vs post_rebuild at the last checkpoint, with the recall delta."""
     last = curve.where(F.col("phase") == "post_rebuild").select(

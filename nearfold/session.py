@@ -94,3 +94,16 @@ def reliable_checkpoint(df):
         return cached.checkpoint(eager=True)
     finally:
         cached.unpersist()
+
+
+def spread(df):
+    """Round-robin a scan that has fewer partitions than the cluster has cores.
+
+    For CPU-heavy per-row stages (regex sentence cutting, encoders) on inputs
+    stored as a few large row groups.  Big inputs already have many more
+    splits than cores, so this is a no-op at scale and never shuffles them."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
