@@ -153,13 +153,31 @@ def build(items: DataFrame, centroids: DataFrame, lists: int, path: str | None =
     return IvfIndex(centroids, post, lists, metric, path, kind)
 
 
-def probe_lists(index: IvfIndex, queries: DataFrame, probes: int) -> DataFrame:
-    """(qid, list_rank, list_id) of the ``probes`` nearest lists of every query."""
+def probe_lists(index: IvfIndex, queries: DataFrame, probes: int, collected=None) -> DataFrame:
+    """(qid, list_rank, list_id) of the ``probes`` nearest lists of every query.
+
+    ``collected`` = (qids, matrix) reuses a query block already on the driver."""
     cents = index.centroids.select(F.col("list_id").alias("id"), F.col("centroid").alias("embedding"))
-    near = knn.knn_join(cents, queries, min(probes, index.lists), index.metric)
+    p = min(probes, index.lists)
+    if collected is None:
+        near = knn.knn_join(cents, queries, p, index.metric)
+    else:
+        qids, Q = collected
+        cands = knn.block_candidates(cents, qids, Q, p, index.metric)
+        near = knn.merge_topk(cands, ["qid"], p)
     return near.select("qid", F.col("rk").alias("list_rank"), F.col("id").alias("list_id"))
 
 
+def _collect_checked(queries: DataFrame):
+    """The query block for routed search: one broadcast, so its size must fit."""
+    n, d = knn.query_stats(queries, "embedding")
+    if n * d * 8 > knn.DEFAULT_BROADCAST_LIMIT:
+        raise ValueError(f"{n} queries x {d} dims exceed the broadcast limit; search them in chunks")
+    q = queries.select("qid", "embedding")
+    q = q.where(F.col("embedding").isNotNull() & (F.size("embedding") == d))
+    return knn.collect_query_matrix(q, "qid", "embedding", d)
+
+
 def _route(probes_df: DataFrame, qids: np.ndarray) -> tuple[dict, list[int]]:
     """list_id -> query row indices; the probe table is nq x probes rows."""
     pos = {int(q): i for i, q in enumerate(qids)}
@@ -176,9 +194,8 @@ def search(index: IvfIndex, queries: DataFrame, k: int, probes: int, group_cols:
     """Approximate top-k through the ``probes`` nearest lists: (group..., qid, rk, id, distance).
 
     ``group_cols`` of the postings (e.g. a growth slab) keep separate top-k lists."""
-    n, d = knn.query_stats(queries, "embedding")
-    qids, Q = knn.collect_query_matrix(queries.select("qid", "embedding"), "qid", "embedding", d)
-    pr = probe_lists(index, queries, probes)
+    qids, Q = _collect_checked(queries)
+    pr = probe_lists(index, queries, probes, (qids, Q))
     route, probed = _route(pr, qids)
     post = index.postings.where(F.col("list_id").isin(probed))  # partition pruning
     cands = knn.block_candidates(post, qids, Q, k, index.metric, group_cols=group_cols, route=route,
@@ -192,9 +209,8 @@ def probe_sweep(index: IvfIndex, queries: DataFrame, k: int, probe_values: Seque
 
     Top-k is kept per (list, query); probe value p merges the lists ranked <= p."""
     pmax = min(max(probe_values), index.lists)
-    n, d = knn.query_stats(queries, "embedding")
-    qids, Q = knn.collect_query_matrix(queries.select("qid", "embedding"), "qid", "embedding", d)
-    pr = probe_lists(index, queries, pmax)
+    qids, Q = _collect_checked(queries)
+    pr = probe_lists(index, queries, pmax, (qids, Q))
     route, probed = _route(pr, qids)
     post = index.postings.where(F.col("list_id").isin(probed))
     cands = knn.block_candidates(post, qids, Q, k, index.metric, group_cols=["list_id"], route=route,
@@ -210,8 +226,3 @@ def probe_sweep(index: IvfIndex, queries: DataFrame, k: int, probe_values: Seque
 def list_sizes(index: IvfIndex) -> DataFrame:
     return index.postings.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
-
-def index_size_bytes(spark: SparkSession, path: str) -> int:
-    """Total bytes of the index files, from the binaryFile reader's ``length``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
-    return int(files.agg(F.sum("length")).first()[0] or 0)

@@ -8,6 +8,7 @@ to 6 digits on output; integer outputs are BIGINT.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -568,20 +569,29 @@ def q_compact_postings(spark, sf_dir):
 def q_index_manifest(spark, sf_dir):
     """Indexes of the base table with params, rows, lists and bytes on disk."""
     sp = splits(spark, sf_dir)
-    rows = []
+    manifest = None
     for kind in ("pivot", "trained"):
         path = scratch_path(spark, f"index_{kind}")
         lists = ivf.lists_for(sp.n_base)
+        t0 = time.perf_counter()
         if kind == "pivot":
             cents = ivf.pivot_centroids(ST.perm_base(sp), lists)
         else:
             cents = ivf.train_centroids(sp.base, lists)
         idx = ivf.build(sp.base.select("id", "embedding"), cents, lists, path=path, kind=kind)
-        stats = idx.postings.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("list_id").alias("n_lists")).first()
-        rows.append(("items_base", f"ivf_{kind}", {"lists": lists}, int(stats["rows"]), int(stats["n_lists"]),
-                     TB.size_bytes(spark, path)))
-    schema = "table string, index_type string, params map<string,int>, rows long, n_lists long, size_bytes long"
-    return spark.createDataFrame(rows, schema)
+        build_sec = time.perf_counter() - t0
+        row = idx.postings.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("list_id").alias("n_lists")).select(
+            F.lit("items_base").alias("table"), F.lit(f"ivf_{kind}").alias("index_type"),
+            F.create_map(F.lit("lists"), F.lit(lists)).alias("params"), "rows", "n_lists",
+            F.lit(round(build_sec, 3)).alias("build_time_sec"),
+            F.lit(TB.size_bytes(spark, path)).cast("long").alias("size_bytes"))
+        manifest = row if manifest is None else manifest.unionByName(row)
+    # the build log (S9): appended, then read back
+    log = scratch_path(spark, "build_log")
+    textio.append_log(manifest.withColumn("params", F.to_json("params")), log, textio.BUILD_LOG)
+    back = textio.read_log(spark, log)
+    return back.withColumn("params", F.from_json("params", "map<string,int>")).join(
+        manifest.select("table", "index_type", "rows", "n_lists"), ["table", "index_type"])
 
 
 # ------------------------------------------------------------------ streaming
