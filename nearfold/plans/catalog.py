@@ -590,8 +590,7 @@ def q_index_manifest(spark, sf_dir):
     log = scratch_path(spark, "build_log")
     textio.append_log(manifest.withColumn("params", F.to_json("params")), log, textio.BUILD_LOG)
     back = textio.read_log(spark, log)
-    return back.withColumn("params", F.from_json("params", "map<string,int>")).join(
-        manifest.select("table", "index_type", "rows", "n_lists"), ["table", "index_type"])
+    return back.withColumn("params", F.from_json("params", "map<string,int>"))
 
 
 # ------------------------------------------------------------------ streaming
