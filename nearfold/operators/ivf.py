@@ -190,10 +190,24 @@ def _route(probes_df: DataFrame, qids: np.ndarray) -> tuple[dict, list[int]]:
     return {k: np.array(sorted(v), dtype=np.int64) for k, v in route.items()}, sorted(route)
 
 
+def _query_chunks(queries: DataFrame) -> list[DataFrame]:
+    return knn.query_chunks(queries, "qid", "embedding")  # one cheap count when it fits
+
+
 def search(index: IvfIndex, queries: DataFrame, k: int, probes: int, group_cols: Sequence[str] = ()) -> DataFrame:
     """Approximate top-k through the ``probes`` nearest lists: (group..., qid, rk, id, distance).
 
-    ``group_cols`` of the postings (e.g. a growth slab) keep separate top-k lists."""
+    ``group_cols`` of the postings (e.g. a growth slab) keep separate top-k lists.
+    A query table larger than one broadcast is searched chunk by chunk (each
+    chunk re-scans only the lists it probes)."""
+    parts = [_search_block(index, q, k, probes, group_cols) for q in _query_chunks(queries)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _search_block(index: IvfIndex, queries: DataFrame, k: int, probes: int, group_cols: Sequence[str]) -> DataFrame:
     qids, Q = _collect_checked(queries)
     pr = probe_lists(index, queries, probes, (qids, Q))
     route, probed = _route(pr, qids)
@@ -208,6 +222,13 @@ def probe_sweep(index: IvfIndex, queries: DataFrame, k: int, probe_values: Seque
     """Results for every probe value in one scan (E7): (probes, qid, rk, id, distance).
 
     Top-k is kept per (list, query); probe value p merges the lists ranked <= p."""
+    chunks = _query_chunks(queries)
+    if len(chunks) > 1:
+        parts = [probe_sweep(index, q, k, probe_values) for q in chunks]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     pmax = min(max(probe_values), index.lists)
     qids, Q = _collect_checked(queries)
     pr = probe_lists(index, queries, pmax, (qids, Q))

@@ -262,6 +262,24 @@ def query_stats(queries: DataFrame, vec: str) -> tuple[int, int]:
     return int(r["n"]), int(r["d"] or 0)
 
 
+def query_chunks(queries: DataFrame, qid: str = "qid", vec: str = "embedding", limit: int | None = None,
+                 level: int = 0) -> list[DataFrame]:
+    """Split a query table into hash chunks whose float64 matrices each fit one
+    broadcast of ``limit`` bytes; a chunk still over the limit (hash skew on
+    small tables) is split again with a new hash seed."""
+    limit = limit or DEFAULT_BROADCAST_LIMIT
+    n, d = query_stats(queries, vec)
+    c = -(-n * max(d, 1) * 8 // limit)
+    if c <= 1:
+        return [queries]
+    c = max(2, c)
+    out = []
+    for i in range(c):
+        part = queries.where(F.pmod(F.xxhash64(F.col(qid), F.lit(level)), F.lit(c)) == i)
+        out.extend(query_chunks(part, qid, vec, limit, level + 1))
+    return out
+
+
 def merge_topk(
     cands: DataFrame,
     keys: Sequence[str],
@@ -346,10 +364,10 @@ def knn_join(
     q = queries.select(query_id, query_vec)
     if d:
         q = _valid_vectors(q, query_vec, d)
-    chunks = max(1, math.ceil(n * max(d, 1) * 8 / broadcast_limit_bytes))
     parts = []
-    for c in range(chunks):
-        qc = q if chunks == 1 else q.where(F.pmod(F.xxhash64(query_id), F.lit(chunks)) == c)
+    fits = n * max(d, 1) * 8 <= broadcast_limit_bytes
+    blocks = [] if n == 0 else [q] if fits else query_chunks(q, query_id, query_vec, broadcast_limit_bytes)
+    for qc in blocks:
         qids, Q = collect_query_matrix(qc, query_id, query_vec, d)
         if len(qids) == 0:
             continue

@@ -52,3 +52,14 @@ def test_trained_lists_write_partitioned(spark, sp, tmp_path):
 def test_lists_rule():
     assert ivf.lists_for(300) == 17 and ivf.lists_for(1200) == 35
     assert ivf.lists_grid(1200) == [17, 35, 70]
+
+
+def test_chunked_query_table_matches_single_block(sp, monkeypatch):
+    from nearfold.operators import knn
+
+    idx = ST.pivot_index(sp)
+    one = ivf.search(idx, sp.queries, 10, 4).orderBy("qid", "rk").collect()
+    monkeypatch.setattr(knn, "DEFAULT_BROADCAST_LIMIT", 8 * 64 * 7)  # 7 queries per chunk
+    assert len(ivf._query_chunks(sp.queries)) > 1
+    many = ivf.search(idx, sp.queries, 10, 4).orderBy("qid", "rk").collect()
+    assert one == many
