@@ -30,18 +30,18 @@ def dense_index(
     """Add ``index_col`` = 0-based position of each row in ``order_cols`` order,
     restarting for every value of ``partition_cols``.  ``order_cols`` must make
     the order total (include a unique key)."""
-    spark = df.sparkSession
     part = list(partition_cols)
     keys = part + list(order_cols)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # range partitioning samples its input in a separate job: persist the input
     # so the upstream plan runs once, not once for the sample and once for the shuffle
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # without an explicit count AQE sizes the ranges (initial partition number,
+    # then coalescing of adjacent ranges to the advisory size); coalesced
+    # partitions stay contiguous and ordered, so local numbering stays correct
+    ranged_src = src.repartitionByRange(num_partitions, *keys) if num_partitions else src.repartitionByRange(*keys)
     try:
         ranged = reliable_checkpoint(
-            src.repartitionByRange(n, *keys)
-            .sortWithinPartitions(*keys)
-            .withColumn("_nf_mid", F.monotonically_increasing_id())
+            ranged_src.sortWithinPartitions(*keys).withColumn("_nf_mid", F.monotonically_increasing_id())
         )
     finally:
         src.unpersist()
