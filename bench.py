@@ -75,10 +75,12 @@ def main() -> None:
     ivf_path = scratch_path(spark, "bench_ivf")
     idx, times["ivf_build_trained"] = timed(lambda: ST.trained_index(sp, lists, path=ivf_path))
     sizes = {"ivf_postings_bytes": TB.size_bytes(spark, ivf_path)}
-    _, times["ivf_search_probes20"] = timed(lambda: run(ivf.search(idx, sp.queries, K, min(20, lists))))
-    qps["ivf_search_probes20"] = nq / times["ivf_search_probes20"]
-    recall["ivf_search_probes20"] = metrics.mean_recall(truth, ivf.search(idx, sp.queries, K, min(20, lists)),
-                                                        K).first()["mean_recall"]
+    qlog = scratch_path(spark, "query_log")
+    row = ST.benchmark_run(lambda: ivf.search(idx, sp.queries, K, min(20, lists)), truth, f"items_{sp.n_base}",
+                           "ivf_trained", min(20, lists), K, nq, qlog, {"lists": lists}).collect()[-1]
+    times["ivf_search_probes20"] = row["wall_sec"]
+    qps["ivf_search_probes20"] = row["qps"]
+    recall["ivf_search_probes20"] = row["mean_recall"]
 
     # neighbour graph m=16, ef_construction=64, beam 40
     g, times["graph_build_m16"] = timed(lambda: C._graph(sp))

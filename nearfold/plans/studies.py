@@ -195,6 +195,41 @@ def graph_degradation_curve(sp: Splits, m: int, ef_construction: int, ef_search:
     )
 
 
+def benchmark_run(search_fn, truth: DataFrame, table: str, index_type: str, param: int, k: int,
+                  n_queries: int, log_path: str | None = None, params: dict | None = None) -> DataFrame:
+    """One query-benchmark log row (F7) for a batched search.
+
+    ``search_fn()`` returns the (qid, rk, id, distance) result; it is run to
+    completion (noop sink) and timed.  qps = queries / job wall time (the batch
+    form of the throughput definitions); per-query latencies do not exist in a
+    batch job, so the latency columns stay NULL.  The row is appended to
+    ``log_path`` when given (S9) and carries the build params and a run id."""
+    import time
+    import uuid
+
+    t0 = time.perf_counter()
+    res = search_fn()
+    res.write.format("noop").mode("overwrite").save()
+    wall = time.perf_counter() - t0
+    spark = truth.sparkSession
+    rec = metrics.mean_recall(truth, res, k)
+    row = rec.select(
+        F.lit(table).alias("table"), F.lit(index_type).alias("index_type"), F.lit(param).alias("param"),
+        F.lit(k).alias("k"), F.lit(n_queries).alias("n_queries"), F.lit(n_queries / wall).alias("qps"),
+        F.lit(None).cast("double").alias("mean_latency_ms"), F.lit(None).cast("double").alias("p95_latency_ms"),
+        F.lit(None).cast("double").alias("p99_latency_ms"), "mean_recall",
+        F.lit(uuid.uuid4().hex).alias("run_id"),
+        F.lit(",".join(f"{a}={b}" for a, b in (params or {}).items())).alias("params"),
+        F.lit(wall).alias("wall_sec"),
+    )
+    if log_path:
+        from nearfold.sources import textio
+
+        textio.append_log(row, log_path, textio.QUERY_LOG)
+        return spark.read.parquet(log_path)
+    return row
+
+
 def rebuild_delta(curve: DataFrame) -> DataFrame:
     """no_rebuild vs post_rebuild at the last checkpoint, with the recall delta."""
     last = curve.where(F.col("phase") == "post_rebuild").select(

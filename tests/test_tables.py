@@ -47,3 +47,39 @@ def test_delete_keeps_old_snapshot_and_compaction_keeps_rows(spark, toy, tmp_pat
     assert comp.count() == 10 and TB.file_count(comp) < before
     st = TB.state(spark.read.parquet(path), 6).first()
     assert (st["n_rows"], st["n_inserted"]) == (10, 5)
+
+
+def test_logs_with_and_without_header(spark, tmp_path):
+    """The reference's CSV logs come with and without a header: an explicit schema reads both."""
+    from nearfold.sources import textio
+
+    rows = [("ivf", 0, 0, 300, "no_rebuild", 0.61, None, None, None, None),
+            ("ivf", 50, 150, 450, "post_rebuild", 0.6, None, None, None, None)]
+    df = spark.createDataFrame(rows, textio.MAINTENANCE_LOG)
+    for header in (True, False):
+        path = str(tmp_path / f"log_{header}")
+        df.write.options(header=str(header).lower()).csv(path)
+        back = textio.read_csv_log(spark, path, textio.MAINTENANCE_LOG, header)
+        assert sorted(back.collect()) == sorted(df.collect())
+    build = spark.createDataFrame([("items_1m", "hnsw", "m=32,ef_construction=128", 1.5, 10)], textio.BUILD_LOG)
+    path = str(tmp_path / "build")
+    build.write.options(header="true", quote='"', escape='"').csv(path)
+    assert textio.read_csv_log(spark, path, textio.BUILD_LOG, True).first()["params"] == "m=32,ef_construction=128"
+
+
+def test_benchmark_run_appends_query_log(spark, tmp_path):
+    from nearfold.plans import studies as ST
+    from nearfold.plans.splits import splits
+
+    sp = splits(spark, "/root/testdata/sf0.001")
+    idx = ST.pivot_index(sp)
+    from nearfold.operators import ivf
+
+    log = str(tmp_path / "qlog")
+    truth = ST.exact(sp)
+    ST.benchmark_run(lambda: ivf.search(idx, sp.queries, 10, idx.lists), truth, "items", "ivf_pivot", idx.lists, 10,
+                     sp.n_q, log)
+    out = ST.benchmark_run(lambda: ivf.search(idx, sp.queries, 10, 1), truth, "items", "ivf_pivot", 1, 10, sp.n_q, log)
+    rows = {r["param"]: r for r in out.collect()}
+    assert len(rows) == 2 and rows[idx.lists]["mean_recall"] == 1.0 and rows[1]["mean_recall"] < 1.0
+    assert rows[1]["qps"] > 0 and rows[1]["p95_latency_ms"] is None
