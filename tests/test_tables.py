@@ -83,3 +83,18 @@ def test_benchmark_run_appends_query_log(spark, tmp_path):
     rows = {r["param"]: r for r in out.collect()}
     assert len(rows) == 2 and rows[idx.lists]["mean_recall"] == 1.0 and rows[1]["mean_recall"] < 1.0
     assert rows[1]["qps"] > 0 and rows[1]["p95_latency_ms"] is None
+
+
+def test_stage_cache_reuses_a_finished_snapshot(spark, toy, tmp_path):
+    """A stage with _SUCCESS is read back, not recomputed."""
+    from nearfold.plans.corpus import staged
+
+    path = str(tmp_path / "stage")
+    first = staged(spark, path, lambda: toy)
+    assert first.count() == 10
+
+    def must_not_run():
+        raise AssertionError("stage recomputed although its snapshot exists")
+
+    again = staged(spark, path, must_not_run)
+    assert sorted(again.collect()) == sorted(first.collect())
