@@ -100,14 +100,35 @@ def _assign_kernel(bc, metric, vec_col):
     return run
 
 
-def assign(items: DataFrame, centroids: DataFrame, metric: str = "cosine", vec_col: str = "embedding") -> DataFrame:
-    """Nearest centroid for every item (map-only): adds list_id, centroid_distance.
-
+def assign(items: DataFrame, centroids: DataFrame, metric: str = "cosine", vec_col: str = "embedding",
+           limit: int = CENTROID_BROADCAST_LIMIT) -> DataFrame:
+    """Nearest centroid for every item: adds list_id, centroid_distance.
+
+    Map-only when the centroid matrix fits one broadcast (checked).  Beyond
+    that, items are assigned against centroid chunks that each fit, and the
+    per-item minimum (ties by list_id) is taken with an aggregation on the id
+    — a shuffle of (id, list_id, distance) only — then joined back.
     Items whose distance is undefined (zero/NaN vector) get a NULL list."""
-    spark = items.sparkSession
     n, d = knn.query_stats(centroids, "centroid")
-    if n * d * 8 > CENTROID_BROADCAST_LIMIT:
-        raise ValueError(f"{n} centroids x {d} dims exceed the broadcast limit; use fewer lists")
+    if n * d * 8 <= limit:
+        return _assign_block(items, centroids, metric, vec_col, d)
+    chunks = -(-n * d * 8 // limit)
+    keyed = items.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == d))
+    best = None
+    for c in range(chunks):
+        part = centroids.where(F.pmod(F.col("list_id"), F.lit(chunks)) == c)
+        got = _assign_block(keyed.select("id", vec_col), part, metric, vec_col, d).select(
+            "id", "list_id", "centroid_distance")
+        best = got if best is None else best.unionByName(got)
+    win = best.where(F.col("list_id").isNotNull()).groupBy("id").agg(
+        F.min(F.struct("centroid_distance", "list_id")).alias("_nf_b"))
+    win = win.select("id", F.col("_nf_b.list_id").alias("list_id"),
+                     F.col("_nf_b.centroid_distance").alias("centroid_distance"))
+    return keyed.join(win, "id", "left")
+
+
+def _assign_block(items: DataFrame, centroids: DataFrame, metric: str, vec_col: str, d: int) -> DataFrame:
+    spark = items.sparkSession
     cids, C = knn.collect_query_matrix(centroids.orderBy("list_id"), "list_id", "centroid", d)
     payload = knn.prepare_queries(metric, C)
     payload.update(qids=cids, d=d)

@@ -63,3 +63,11 @@ def test_chunked_query_table_matches_single_block(sp, monkeypatch):
     assert len(ivf._query_chunks(sp.queries)) > 1
     many = ivf.search(idx, sp.queries, 10, 4).orderBy("qid", "rk").collect()
     assert one == many
+
+
+def test_chunked_centroids_assign_like_one_broadcast(sp):
+    idx = ST.pivot_index(sp)
+    items = sp.base.select("id", "embedding")
+    one = sorted((r["id"], r["list_id"]) for r in ivf.assign(items, idx.centroids).collect())
+    chunked = ivf.assign(items, idx.centroids, limit=8 * 64 * 3)  # 3 centroids per broadcast
+    assert sorted((r["id"], r["list_id"]) for r in chunked.collect()) == one
