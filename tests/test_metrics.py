@@ -42,3 +42,20 @@ def test_warmup_drops_first_operations_per_group(spark):
     kept = metrics.warmup_flags(df, ["g"], ["ts", "event_id"], "event_id", warmup=20)
     assert kept.count() == 10
     assert kept.agg(F.min("event_id")).first()[0] == 40
+
+
+def test_empty_read_set_gives_zero_qps_and_null_percentiles(spark):
+    import datetime as dt
+
+    from nearfold.plans.catalog import workload_summary
+
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 5)
+    rows = [(1, t0, "read_heavy", True, 5.0), (2, t0, "read_heavy", True, 7.0),
+            (3, t0, "balanced", False, 3.0), (4, t0 + dt.timedelta(days=1), "read_heavy", False, 1.0)]
+    ops = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, profile string, is_read boolean, latency_ms double")
+    out = {(r["profile"], r["window_start"].day): r for r in workload_summary(ops).collect()}
+    only_writes = out[("balanced", 1)]
+    assert only_writes["read_qps"] == 0.0 and only_writes["p95_read_latency_ms"] is None
+    assert only_writes["total_writes"] == 1
+    reads = out[("read_heavy", 1)]
+    assert reads["p95_read_latency_ms"] == pytest.approx(np.percentile([5.0, 7.0], 95))
