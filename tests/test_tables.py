@@ -61,7 +61,7 @@ def test_logs_with_and_without_header(spark, tmp_path):
         df.write.options(header=str(header).lower()).csv(path)
         back = textio.read_csv_log(spark, path, textio.MAINTENANCE_LOG, header)
         assert sorted(back.collect()) == sorted(df.collect())
-    build = spark.createDataFrame([("items_1m", "hnsw", "m=32,ef_construction=128", 1.5, 10)], textio.BUILD_LOG)
+    build = spark.createDataFrame([("items_1m", "graph", "m=32,ef_construction=128", 1.5, 10)], textio.BUILD_LOG)
     path = str(tmp_path / "build")
     build.write.options(header="true", quote='"', escape='"').csv(path)
     assert textio.read_csv_log(spark, path, textio.BUILD_LOG, True).first()["params"] == "m=32,ef_construction=128"
