@@ -21,6 +21,7 @@ from nearfold.operators import embed as EM
 from nearfold.operators import graph as GR
 from nearfold.operators import ivf, knn, metrics
 from nearfold.operators import tables as TB
+from nearfold.operators.indexing import dense_index
 from nearfold.plans import studies as ST
 from nearfold.operators import sampling as S
 from nearfold.plans.corpus import corpus
@@ -610,6 +611,26 @@ def q_stream_ingest(spark, sf_dir):
     return _round(out.select("id", "list_id", "centroid_distance"), "centroid_distance")
 
 
+# Fixed value: id offset of rows written by the mixed workload.
+WORKLOAD_ID_OFFSET = 900_000_000
+
+
+def q_stream_cyclic_ingest(spark, sf_dir):
+    """Every write of the operation log, in time order, inserts insert-pool vector
+    ``counter mod pool`` with id offset + counter, through the stream (ST1, §1.4-13)."""
+    sp = splits(spark, sf_dir)
+    d = STR.scratch(spark, "cyclic")
+    writes = fixtures.operation_log(spark, sf_dir).where(~F.col("is_read")).select("event_id", "ts")
+    counters = dense_index(writes, ["ts", "event_id"], "counter").select("counter", "event_id")
+    STR.land_files(counters, d["landing"], "counter", STREAM_FILES)
+    schema = spark.read.parquet(d["landing"]).schema
+    cents = ivf.pivot_centroids(ST.perm_base(sp), ivf.lists_for(sp.n_base))
+    STR.cyclic_ingest(spark, d["landing"], schema, sp.inserts.select("seq", "embedding"), cents, d["out"],
+                      d["checkpoint"], WORKLOAD_ID_OFFSET)
+    out = spark.read.parquet(d["out"])
+    return _round(out.select("id", "vec_ix", "list_id", "centroid_distance"), "centroid_distance")
+
+
 def q_stream_lookup(spark, sf_dir):
     """Query files arriving while the index serves: foreachBatch pivot-list search (ST2)."""
     sp = splits(spark, sf_dir)
@@ -802,5 +823,6 @@ def queries() -> dict[str, Query]:
         # streaming
         "stream_ingest": q_stream_ingest,
         "stream_lookup": q_stream_lookup,
+        "stream_cyclic_ingest": q_stream_cyclic_ingest,
         "stream_workload_windows": q_stream_workload_windows,
     }

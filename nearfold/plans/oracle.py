@@ -386,6 +386,15 @@ UNION ALL SELECT 800000000 + seq, 1 FROM ins, sz WHERE seq < sz.nb * 20 // 100""
          row_number() OVER (PARTITION BY i.seq ORDER BY {cosine('i.embedding', 'c.centroid')}, c.list_id) AS r
   FROM ins i, cents c) WHERE r = 1"""
     s["stream_lookup"] = s["ivf_pivot_search"]
+    s["stream_cyclic_ingest"] = with_(PERM, BASE, INSERTS, NLISTS, CENTS, """w AS (
+  SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS counter FROM events
+  WHERE event_type NOT IN ('view', 'click')),
+wr AS (SELECT 900000000 + w.counter AS id, i.seq AS vec_ix, i.embedding FROM w
+  JOIN ins i ON i.seq = w.counter % (SELECT count(*) FROM ins))""") + f"""SELECT id, vec_ix, list_id,
+  {r6('cd')} AS centroid_distance FROM (
+  SELECT x.id, x.vec_ix, c.list_id, {cosine('x.embedding', 'c.centroid')} AS cd,
+         row_number() OVER (PARTITION BY x.id ORDER BY {cosine('x.embedding', 'c.centroid')}, c.list_id) AS r
+  FROM wr x, cents c) WHERE r = 1"""
     s["stream_workload_windows"] = with_(OPS, "w AS (SELECT *, time_bucket(INTERVAL 60 second, ts) AS window_start FROM ops)") + \
         f"""SELECT window_start, profile, count_if(is_read) AS n_reads, count_if(NOT is_read) AS n_writes,
   {r6('avg(CASE WHEN is_read THEN latency_ms END)')} AS mean_read_latency_ms, {r6('max(latency_ms)')} AS max_latency_ms

@@ -58,6 +58,29 @@ def ingest(spark: SparkSession, landing: str, schema, centroids: DataFrame, out_
     return q
 
 
+def cyclic_ingest(spark: SparkSession, landing: str, schema, pool: DataFrame, centroids: DataFrame, out_path: str,
+                  checkpoint: str, offset: int, files_per_trigger: int = 1):
+    """ST1 with cyclic vectors: a stream of write counters picks vector
+    ``counter mod pool_size`` from the static pool (stream-static equi join on
+    the pool index), gets id ``offset + counter`` and its list, and is appended
+    to the list-partitioned sink.  ``pool`` has (seq, embedding), seq 0..n-1."""
+    n_pool = pool.count()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
+    writes = stream.select("counter", F.pmod(F.col("counter"), F.lit(n_pool)).alias("seq"))
+    rows = writes.join(pool.select("seq", "embedding"), "seq").select(
+        (F.lit(offset) + F.col("counter")).alias("id"), F.col("seq").alias("vec_ix"), "embedding")
+    assigned = ivf.assign(rows, centroids).select("list_id", "id", "vec_ix", "embedding", "centroid_distance")
+    q = (
+        assigned.writeStream.format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .partitionBy("list_id")
+        .trigger(availableNow=True)
+        .start(out_path)
+    )
+    q.awaitTermination()
+    return q
+
+
 def lookups(spark: SparkSession, landing: str, schema, index_path: str, centroids: DataFrame, lists: int,
             out_path: str, checkpoint: str, k: int, probes: int, files_per_trigger: int = 1):
     """ST2: every micro-batch of queries is searched against the committed postings."""
