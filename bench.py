@@ -44,7 +44,7 @@ def timed(fn):
 
 
 def main() -> None:
-    spark = local_session(CPUS, shuffle_partitions=int(CPUS) * 2)
+    spark = local_session(CPUS, shuffle_partitions=int(CPUS))  # local: one shuffle partition per core
     times: dict[str, float] = {}
     qps: dict[str, float] = {}
     recall: dict[str, float] = {}
