@@ -646,6 +646,25 @@ def q_stream_lookup(spark, sf_dir):
     return _long(_round(out), "rk")
 
 
+def q_stream_mixed_workload(spark, sf_dir):
+    """Lookups and inserts as two concurrent streams; every lookup batch sees the
+    inserts committed before it (ST1 + ST2).  Rows-only: visibility depends on timing."""
+    sp = splits(spark, sf_dir)
+    d = STR.scratch(spark, "mixed")
+    root = d["landing"]
+    lists = ivf.lists_for(sp.n_base)
+    cents = ivf.pivot_centroids(ST.perm_base(sp), lists)
+    base_index = scratch_path(spark, "mixed_index")
+    ivf.build(sp.base.select("id", "embedding"), cents, lists, path=base_index)
+    STR.land_files(sp.inserts.select("seq", "embedding"), f"{root}/inserts", "seq", STREAM_FILES)
+    STR.land_files(sp.queries.select("qid", "embedding"), f"{root}/queries", "qid", STREAM_FILES)
+    STR.mixed(spark, f"{root}/inserts", spark.read.parquet(f"{root}/inserts").schema, f"{root}/queries",
+              spark.read.parquet(f"{root}/queries").schema, base_index, cents, lists, d["out"] + "/postings",
+              d["out"] + "/lookups", d["checkpoint"], INSERT_ID_OFFSET, sp.n_ins, K, PIVOT_PROBES)
+    out = spark.read.parquet(d["out"] + "/lookups")
+    return _long(_round(out.select("qid", "rk", "id", "distance", "epoch", "visible_inserts")), "rk")
+
+
 def q_stream_workload_windows(spark, sf_dir):
     """Operation log as a stream: 1-minute watermark, 60 s windows per profile (ST3)."""
     d = STR.scratch(spark, "windows")
@@ -824,5 +843,6 @@ def queries() -> dict[str, Query]:
         "stream_ingest": q_stream_ingest,
         "stream_lookup": q_stream_lookup,
         "stream_cyclic_ingest": q_stream_cyclic_ingest,
+        "stream_mixed_workload": q_stream_mixed_workload,
         "stream_workload_windows": q_stream_workload_windows,
     }

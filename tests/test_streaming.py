@@ -34,3 +34,20 @@ def test_window_report_emits_only_closed_windows(spark):
     total = out.agg(F.sum(F.col("n_reads") + F.col("n_writes"))).first()[0]
     assert 0 < total <= ops.count()
     assert out.groupBy("window_start", "profile").count().where("count > 1").count() == 0
+
+
+def test_concurrent_lookups_see_committed_inserts_only(spark):
+    from nearfold.plans.catalog import q_stream_mixed_workload
+
+    sp = splits(spark, "/root/testdata/sf0.001")
+    out = q_stream_mixed_workload(spark, "/root/testdata/sf0.001")
+    rows = out.collect()
+    per_q = {}
+    for r in rows:
+        per_q.setdefault(r["qid"], []).append(r)
+    assert sorted(per_q) == list(range(sp.n_q)) and all(len(v) == 10 for v in per_q.values())
+    by_epoch = sorted({(r["epoch"], r["visible_inserts"]) for r in rows})
+    vis = [v for _, v in by_epoch]
+    assert vis == sorted(vis) and vis[-1] <= sp.n_ins  # committed inserts only grow
+    ok_ids = {r["id"] for r in sp.base.select("id").collect()} | {INSERT_ID_OFFSET + s for s in range(sp.n_ins)}
+    assert all(r["id"] in ok_ids for r in rows)
