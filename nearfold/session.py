@@ -69,13 +69,16 @@ def scratch_path(spark: SparkSession, *parts: str, fresh: bool = True) -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """True when a finished parquet snapshot is at ``path``."""
+    """True when a finished snapshot (one with its ``_SUCCESS`` marker) is at ``path``.
+
+    Local paths are checked directly; on a cluster file system the marker is
+    read through Spark's own file reader, so a half-written folder never
+    counts as a finished stage."""
     if "://" not in path or path.startswith("file:"):
         local = path.split("file:", 1)[-1]
         return os.path.exists(os.path.join(local, "_SUCCESS"))
     try:
-        spark.read.parquet(path).schema  # noqa: B018 - raises when missing
-        return True
+        return spark.read.format("binaryFile").load(f"{path.rstrip('/')}/_SUCCESS").select("length").count() == 1
     except Exception:  # AnalysisException: path does not exist
         return False
 
