@@ -603,7 +603,7 @@ def q_stream_ingest(spark, sf_dir):
     """Insert pool arriving as files -> ids + frozen pivot lists -> list-partitioned sink (ST1)."""
     sp = splits(spark, sf_dir)
     d = STR.scratch(spark, "ingest")
-    STR.land_files(sp.inserts.select("seq", "embedding"), d["landing"], "seq", STREAM_FILES)
+    STR.land_files(sp.inserts.select("seq", "embedding"), d["landing"], "seq", STREAM_FILES, ordered=False)
     schema = spark.read.parquet(d["landing"]).schema
     cents = ivf.pivot_centroids(ST.perm_base(sp), ivf.lists_for(sp.n_base))
     STR.ingest(spark, d["landing"], schema, cents, d["out"], d["checkpoint"], INSERT_ID_OFFSET, sp.n_ins)
@@ -622,7 +622,7 @@ def q_stream_cyclic_ingest(spark, sf_dir):
     d = STR.scratch(spark, "cyclic")
     writes = fixtures.operation_log(spark, sf_dir).where(~F.col("is_read")).select("event_id", "ts")
     counters = dense_index(writes, ["ts", "event_id"], "counter").select("counter", "event_id")
-    STR.land_files(counters, d["landing"], "counter", STREAM_FILES)
+    STR.land_files(counters, d["landing"], "counter", STREAM_FILES, ordered=False)
     schema = spark.read.parquet(d["landing"]).schema
     cents = ivf.pivot_centroids(ST.perm_base(sp), ivf.lists_for(sp.n_base))
     STR.cyclic_ingest(spark, d["landing"], schema, sp.inserts.select("seq", "embedding"), cents, d["out"],
@@ -639,7 +639,7 @@ def q_stream_lookup(spark, sf_dir):
     lists = ivf.lists_for(sp.n_base)
     cents = ivf.pivot_centroids(ST.perm_base(sp), lists)
     ivf.build(sp.base.select("id", "embedding"), cents, lists, path=idx_path)
-    STR.land_files(sp.queries.select("qid", "embedding"), d["landing"], "qid", STREAM_FILES)
+    STR.land_files(sp.queries.select("qid", "embedding"), d["landing"], "qid", STREAM_FILES, ordered=False)
     schema = spark.read.parquet(d["landing"]).schema
     STR.lookups(spark, d["landing"], schema, idx_path, cents, lists, d["out"], d["checkpoint"], K, PIVOT_PROBES)
     out = spark.read.parquet(d["out"]).select("qid", "rk", "id", "distance")

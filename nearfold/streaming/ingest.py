@@ -22,12 +22,17 @@ from nearfold.session import reliable_checkpoint, scratch_path
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
-def land_files(df: DataFrame, path: str, order_col: str, n_files: int) -> None:
-    """Land ``df`` as ``n_files`` successive file drops in ``order_col`` order.
-
-    The file source orders new files by modification time, so each drop is a
-    separate append: drop i holds the i-th slice of the order, and a stream
-    reading one drop per trigger sees event time advance as it would live."""
+def land_files(df: DataFrame, path: str, order_col: str, n_files: int, ordered: bool = True) -> None:
+    """Land ``df`` as ``n_files`` file drops for a file-source stream.
+
+    ``ordered``: the file source orders new files by modification time, so each
+    drop is a separate append and drop i holds the i-th slice of ``order_col``
+    — a stream reading one drop per trigger sees event time advance as it would
+    live (needed by watermarks).  Stateless consumers do not care about order:
+    then one write produces all files."""
+    if not ordered:
+        df.repartitionByRange(n_files, order_col).write.mode("overwrite").parquet(path)
+        return
     ranked = dense_index(df, [order_col], "_nf_arrival")
     n = ranked.count()
     bucket = (F.col("_nf_arrival") * n_files / F.lit(max(n, 1))).cast("long")
