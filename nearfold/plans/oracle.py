@@ -244,6 +244,32 @@ vec AS (SELECT id, list_transform(raw, lambda x: CAST(CASE WHEN n > 0 THEN x / n
   FROM (SELECT id, raw, sqrt(list_sum(list_transform(raw, lambda x: x * x))) AS n FROM eraw))"""
 
 
+def scaling_sql(p: int) -> str:
+    """Per tier: pivot lists by the sqrt rule, probes min(p, lists), recall@10 vs the tier's exact top-10."""
+    tl = """tl AS (SELECT DISTINCT tier, CAST(round(sqrt(tier)) AS BIGINT) AS lists FROM tiers),
+tp AS (SELECT t.tier, t.id, t.embedding, p.perm_rank FROM tiers t JOIN perm p USING (pool_pos)),
+tc AS (SELECT tp.tier, tp.perm_rank AS list_id, tp.embedding AS centroid FROM tp JOIN tl USING (tier)
+  WHERE tp.perm_rank < tl.lists)"""
+    ta = f"""ta AS (SELECT tier, id, list_id FROM (
+  SELECT x.tier, x.id, c.list_id, row_number() OVER (PARTITION BY x.tier, x.id
+         ORDER BY {cosine('x.embedding', 'c.centroid')}, c.list_id) AS r
+  FROM tp x JOIN tc c USING (tier)) WHERE r = 1)"""
+    tprobe = f"""tprobe AS (SELECT tier, qid, list_id FROM (
+  SELECT c.tier, q.qid, c.list_id, tl.lists, row_number() OVER (PARTITION BY c.tier, q.qid
+         ORDER BY {cosine('q.embedding', 'c.centroid')}, c.list_id) AS r
+  FROM qs q, tc c JOIN tl USING (tier)) WHERE r <= least({p}, lists))"""
+    cand = f"""(SELECT pr.tier, pr.qid, x.id, {cosine('q.embedding', 'x.embedding')} AS distance
+  FROM tprobe pr JOIN ta a ON a.tier = pr.tier AND a.list_id = pr.list_id
+  JOIN tp x ON x.tier = a.tier AND x.id = a.id JOIN qs q ON q.qid = pr.qid)"""
+    exact = f"""(SELECT x.tier, q.qid, x.id, {cosine('q.embedding', 'x.embedding')} AS distance FROM tp x, qs q)"""
+    body = with_(PERM, TIERS, QUERIES, tl, ta, tprobe, f"tres AS (SELECT * FROM {topk_of(cand, 'tier, qid', 10)})",
+                 f"texact AS (SELECT * FROM {topk_of(exact, 'tier, qid', 10)})",
+                 """trec AS (SELECT t.tier, t.qid, count(r.id) / count(*) AS recall FROM texact t
+  LEFT JOIN tres r ON r.tier = t.tier AND r.qid = t.qid AND r.id = t.id GROUP BY t.tier, t.qid)""")
+    return body + f"""SELECT tier, 'ivf_pivot' AS index_type, lists, least({p}, lists) AS probes,
+  {r6('avg(recall)')} AS mean_recall, count(*) AS n_queries FROM trec JOIN tl USING (tier) GROUP BY tier, lists"""
+
+
 def sql() -> dict[str, str]:
     s = {}
     s["sentences"] = with_(SENTS) + "SELECT doc_id, pos, text, n_chars FROM sents"
@@ -363,6 +389,7 @@ FROM (SELECT unnest([16, 32, 64]) AS m), (SELECT unnest([64, 128, 200]) AS ef_co
      (SELECT unnest([10, 20, 40, 80, 160]) AS ef_search), sz
 WHERE ef_construction >= 2 * m
 UNION ALL SELECT 'ivf', NULL, NULL, NULL, lists, probes, sz.nb FROM cells, sz"""
+    s["scaling_recall"] = scaling_sql(20)
     s["degradation_curve_pivot"] = degradation_sql(5)
     s["metrics_scrub"] = f"""SELECT index_type, checkpoint_pct, cumulative_inserts, total_rows, phase, mean_recall
 FROM ({degradation_sql(5)}) WHERE NOT (checkpoint_pct = 0 AND phase = 'no_rebuild')"""
