@@ -446,6 +446,11 @@ def q_rebuild_delta(spark, sf_dir):
     return ST.rebuild_delta(ST.degradation_curve(splits(spark, sf_dir), DEGRADATION_PROBES, trained=True))
 
 
+def q_rebuild_delta_pivot(spark, sf_dir):
+    """Recall before/after rebuilding at the last checkpoint, pivot lists."""
+    return ST.rebuild_delta(ST.degradation_curve(splits(spark, sf_dir), DEGRADATION_PROBES))
+
+
 def q_metrics_scrub(spark, sf_dir):
     """Maintenance log: append the pivot degradation rows, drop the checkpoint-0
     no_rebuild row into a new snapshot (S9, S10)."""
@@ -820,6 +825,7 @@ def queries() -> dict[str, Query]:
         "degradation_curve_pivot": q_degradation_curve_pivot,
         "degradation_curve": q_degradation_curve,
         "rebuild_delta": q_rebuild_delta,
+        "rebuild_delta_pivot": q_rebuild_delta_pivot,
         "metrics_scrub": q_metrics_scrub,
         # table operations
         "load_tier": q_load_tier,

@@ -390,6 +390,12 @@ FROM (SELECT unnest([16, 32, 64]) AS m), (SELECT unnest([64, 128, 200]) AS ef_co
 WHERE ef_construction >= 2 * m
 UNION ALL SELECT 'ivf', NULL, NULL, NULL, lists, probes, sz.nb FROM cells, sz"""
     s["scaling_recall"] = scaling_sql(20)
+    s["compact_postings"] = with_(PERM, BASE, NLISTS, CENTS, ASG) + "SELECT list_id, count(*) AS n_rows FROM asg GROUP BY list_id"
+    s["rebuild_delta_pivot"] = f"""WITH curve AS ({degradation_sql(5)})
+SELECT b.index_type, b.checkpoint_pct, b.mean_recall AS recall_no_rebuild, a.mean_recall AS recall_post_rebuild,
+  {r6('a.mean_recall - b.mean_recall')} AS recall_delta
+FROM curve b JOIN curve a ON a.index_type = b.index_type AND a.checkpoint_pct = b.checkpoint_pct
+WHERE b.phase = 'no_rebuild' AND a.phase = 'post_rebuild'"""
     s["degradation_curve_pivot"] = degradation_sql(5)
     s["metrics_scrub"] = f"""SELECT index_type, checkpoint_pct, cumulative_inserts, total_rows, phase, mean_recall
 FROM ({degradation_sql(5)}) WHERE NOT (checkpoint_pct = 0 AND phase = 'no_rebuild')"""

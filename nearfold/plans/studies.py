@@ -239,4 +239,5 @@ def rebuild_delta(curve: DataFrame) -> DataFrame:
         "index_type", "checkpoint_pct", F.col("mean_recall").alias("recall_no_rebuild")
     )
     j = before.join(last, ["index_type", "checkpoint_pct"], "inner")
-    return j.withColumn("recall_delta", F.round(F.col("recall_post_rebuild") - F.col("recall_no_rebuild"), 6))
+    return j.withColumn("recall_delta",
+                        F.round(F.col("recall_post_rebuild") - F.col("recall_no_rebuild"), 6) + F.lit(0.0))
