@@ -394,16 +394,21 @@ def knn_join(
 
 def knn_single(items: DataFrame, query: Sequence[float], k: int, metric: str = "l2",
                id_col: str = "id", vec_col: str = "embedding", with_vector: bool = False) -> DataFrame:
-    """``ORDER BY embedding <op> q LIMIT k`` for one query vector (K1/K2).
-
-    Planned as ``TakeOrderedAndProject``: each task keeps its k best rows."""
-    qv = F.array(*[F.lit(float(x)).cast("float") for x in query])
-    dist = V.distance(metric, F.col(vec_col), qv)
-    cols = [F.col(id_col).alias("id")]
-    if with_vector:
-        cols.append(F.col(vec_col).alias("embedding"))
-    out = items.select(*cols, dist.alias("distance")).where(F.col("distance").isNotNull())
-    return out.orderBy(F.col("distance").asc(), F.col("id").asc()).limit(k)
+    """``ORDER BY embedding <op> q LIMIT k`` for one query vector (K1/K2): (id[, embedding], distance).
+
+    Runs the vectorised block kernel with a one-row query block (each task
+    keeps its k best rows); with ``with_vector`` the k winning vectors are
+    fetched back by an ``id IN (...)`` filter that parquet can skip on."""
+    qids = np.zeros(1, dtype=np.int64)
+    Q = np.asarray([list(query)], dtype=np.float64)
+    cands = block_candidates(items, qids, Q, k, metric, id_col=id_col, vec_col=vec_col)
+    top = merge_topk(cands, ["qid"], k, salt_buckets=salt_for(items)).select("rk", "id", "distance")
+    if not with_vector:
+        return top.orderBy("rk").select("id", "distance")
+    top = top.cache()
+    ids = [r["id"] for r in top.select("id").collect()]  # k ids
+    vecs = items.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
+    return top.join(vecs, "id").orderBy("rk").select("id", "embedding", "distance")
 
 
 def cumulative_topk(slab_topk: DataFrame, cutoffs: Sequence[int], k: int,
