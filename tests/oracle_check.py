@@ -1,9 +1,10 @@
 """Run catalog queries in Spark and their oracle SQL in DuckDB, then compare.
 
-    python tests/oracle_check.py [sf_dir] [key ...]
+    python tests/oracle_check.py [--strict] [sf_dir] [key ...]
 
 Mirrors the driver's check: row count, column names, and an order-insensitive
-comparison of values (floats compared after rounding to 6 digits).
+comparison of values.  Floats are compared after rounding to 5 digits, or
+bit for bit with ``--strict``.
 """
 
 from __future__ import annotations
@@ -27,11 +28,14 @@ def duck(sf_dir: str):
     return con
 
 
+STRICT = False
+
+
 def norm_val(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 5)
+        return v if STRICT else round(v, 5)
     if isinstance(v, (list, tuple)):
         return tuple(norm_val(x) for x in v)
     if hasattr(v, "isoformat"):
@@ -56,6 +60,9 @@ def compare(spark_rows, spark_cols, duck_rows, duck_cols):
 
 
 def main(argv):
+    global STRICT
+    STRICT = "--strict" in argv
+    argv = [a for a in argv if a != "--strict"]
     sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
     keys = [a for a in argv[1:] if not a.startswith("/")]
     import __spark_entry__ as E

@@ -98,3 +98,29 @@ def test_stage_cache_reuses_a_finished_snapshot(spark, toy, tmp_path):
 
     again = staged(spark, path, must_not_run)
     assert sorted(again.collect()) == sorted(first.collect())
+
+
+def test_spread_only_touches_under_partitioned_scans(spark):
+    from nearfold.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    few = spark.range(100).coalesce(1)
+    assert spread(few).rdd.getNumPartitions() == cores
+    many = spark.range(100).repartition(cores * 2)
+    assert spread(many) is many
+
+
+def test_path_exists_needs_the_success_marker(spark, tmp_path):
+    from nearfold.session import path_exists
+
+    p = str(tmp_path / "snap")
+    assert not path_exists(spark, p)
+    spark.range(3).write.parquet(p)
+    assert path_exists(spark, p) and path_exists(spark, "file://" + p)
+    import os
+
+    half = str(tmp_path / "half")  # a folder with data files but no _SUCCESS: a job that did not finish
+    os.makedirs(half)
+    with open(os.path.join(half, "part-00000.parquet"), "wb") as f:
+        f.write(b"PAR1")
+    assert not path_exists(spark, half) and not path_exists(spark, "file://" + half)
