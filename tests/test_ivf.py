@@ -71,3 +71,16 @@ def test_chunked_centroids_assign_like_one_broadcast(sp):
     one = sorted((r["id"], r["list_id"]) for r in ivf.assign(items, idx.centroids).collect())
     chunked = ivf.assign(items, idx.centroids, limit=8 * 64 * 3)  # 3 centroids per broadcast
     assert sorted((r["id"], r["list_id"]) for r in chunked.collect()) == one
+
+
+def test_returned_distances_equal_recomputed(sp):
+    from nearfold.functions import vectors as V
+    from nearfold.operators import knn
+
+    idx = ST.pivot_index(sp)
+    items = sp.base.select("id", F.col("embedding").alias("x"))
+    q = sp.queries.select("qid", F.col("embedding").alias("q"))
+    for res in (knn.knn_join(sp.base, sp.queries, 10, "cosine"), ivf.search(idx, sp.queries, 10, 3)):
+        chk = res.join(items, "id").join(q, "qid").select(
+            F.abs(F.col("distance") - V.cosine_distance("q", "x")).alias("err"))
+        assert chk.agg(F.max("err")).first()[0] < 1e-9
