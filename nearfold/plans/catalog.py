@@ -592,6 +592,19 @@ def q_index_manifest(spark, sf_dir):
             F.lit(round(build_sec, 3)).alias("build_time_sec"),
             F.lit(TB.size_bytes(spark, path)).cast("long").alias("size_bytes"))
         manifest = row if manifest is None else manifest.unionByName(row)
+    # the graph family: edge table written next to the lists
+    path = scratch_path(spark, "index_graph")
+    t0 = time.perf_counter()
+    g = _graph(sp)
+    g.edges.write.mode("overwrite").parquet(path)
+    build_sec = time.perf_counter() - t0
+    row = g.edges.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("src").alias("n_lists")).select(
+        F.lit("items_base").alias("table"), F.lit("graph").alias("index_type"),
+        F.create_map(F.lit("m"), F.lit(GRAPH_M), F.lit("ef_construction"), F.lit(GRAPH_EF_CONSTRUCTION)).alias("params"),
+        "rows", F.lit(None).cast("long").alias("n_lists"),
+        F.lit(round(build_sec, 3)).alias("build_time_sec"),
+        F.lit(TB.size_bytes(spark, path)).cast("long").alias("size_bytes"))
+    manifest = manifest.unionByName(row)
     # the build log (S9): appended, then read back
     log = scratch_path(spark, "build_log")
     textio.append_log(manifest.withColumn("params", F.to_json("params")), log, textio.BUILD_LOG)
