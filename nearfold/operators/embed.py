@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfold.session import spread
+from nearfold.session import ship_package, spread
 
 # Token pattern (runs of letters/digits), default dimension and
 # the reference's encoder batch size.
@@ -121,6 +121,7 @@ def embed_batches(df: DataFrame, text_col: str, encoder: Callable[[list[str]], n
                     out["batch_seconds"] = dt
                 yield out
 
+    ship_package(df.sparkSession)
     return spread(df.select(*cols, text_col)).mapInPandas(run, schema)
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfold.operators import knn
+from nearfold.session import ship_package
 
 # K-means sample size rule (50 rows per list, at least 10,000)
 # and seed.
@@ -129,6 +130,7 @@ def assign(items: DataFrame, centroids: DataFrame, metric: str = "cosine", vec_c
 
 def _assign_block(items: DataFrame, centroids: DataFrame, metric: str, vec_col: str, d: int) -> DataFrame:
     spark = items.sparkSession
+    ship_package(spark)
     cids, C = knn.collect_query_matrix(centroids.orderBy("list_id"), "list_id", "centroid", d)
     payload = knn.prepare_queries(metric, C)
     payload.update(qids=cids, d=d)

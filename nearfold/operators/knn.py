@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfold.functions import vectors as V
+from nearfold.session import ship_package
 
 METRICS = ("cosine", "l2", "l1", "dot")
 DEFAULT_BROADCAST_LIMIT = 64 << 20  # bytes of float64 query matrix shipped per pass
@@ -233,6 +234,7 @@ def pair_distances(df: DataFrame, a: str, b: str, metric: str = "cosine", out: s
     The row-wise counterpart of ``functions.vectors``: same semantics (NULL
     for NULL vectors, mismatched dimensions or a zero norm under cosine), but
     vectorised in NumPy instead of interpreted higher-order functions."""
+    ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
     return df.mapInArrow(_pair_kernel(a, b, metric, out), schema)
 
@@ -322,6 +324,7 @@ def block_candidates(
 ) -> DataFrame:
     """Per-task top-k candidates of ``items`` for an in-memory query block."""
     spark = items.sparkSession
+    ship_package(spark)
     d = Q.shape[1]
     payload = prepare_queries(metric, Q)
     payload.update(qids=np.asarray(qids, dtype=np.int64), d=d, route=route)
