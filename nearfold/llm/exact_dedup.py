@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import SPACES, staged
+from nearfold.llm.common import SPACES, row_id, staged
 
 _KEY = ["_digest", "_sha", "_len"]
 
@@ -32,10 +32,12 @@ def digests(docs: DataFrame, run_bits: int) -> DataFrame:
     """One slim row per document: normalised text's digests, its place in the order, its run."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"))
-        .select("doc_id", F.char_length("_text").cast("long").alias("_chars"), F.translate("_text", SPACES, "").alias("_norm"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), *row_id())
+        .select("doc_id", "_id", "_th", F.char_length("_text").cast("long").alias("_chars"), F.translate("_text", SPACES, "").alias("_norm"))
         .select(
             "doc_id",
+            "_id",
+            "_th",
             "_chars",
             F.xxhash64("_norm").alias("_digest"),
             F.unhex(F.sha2("_norm", 256)).alias("_sha"),
@@ -66,7 +68,7 @@ def tree_merge(rows: DataFrame, run_bits: int, round_bits: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, run_bits: int = 6, round_bits: int = 3) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256``: one row per row of ``docs``."""
+    """``doc_id, keep_id, group_size, kept, text_sha256`` (and ``_id, _th``): one row per row of ``docs``."""
     rows = staged(digests(docs, run_bits), "digest_runs")
     best = tree_merge(rows, run_bits, round_bits)
     # Repeated rows share id and length; number them so that one of them stays.
@@ -80,5 +82,7 @@ def exact_dedup(docs: DataFrame, run_bits: int = 6, round_bits: int = 3) -> Data
             F.col("_size").alias("group_size"),
             ((_order() == F.col("_best")) & (F.col("_nth") == 1)).alias("kept"),
             F.lower(F.hex("_sha")).alias("text_sha256"),
+            "_id",
+            "_th",
         )
     )
