@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from nearfold.llm import bpe
 from nearfold.llm.common import python_ready, staged
-from nearfold.llm.words import words_of
+from nearfold.llm.words import text_bytes, words_of
 from nearfold.session import path_exists
 
 #: Tokenizer versions by name: how many tokens a batch of texts has.
@@ -49,7 +49,7 @@ def _counts(texts: pa.Array, tokenizers: tuple[str, ...], paths: tuple[str, str]
         elif name == BPE:
             out[name] = np.diff(bpe.encode(texts, paths)[1])
         elif name == BYTES:
-            out[name] = np.array([len(t.encode()) for t in texts.to_pylist()], np.int64)
+            out[name] = np.diff(text_bytes(texts)[0])
         else:
             raise ValueError(f"unknown tokenizer version {name!r}")
     return out
