@@ -225,17 +225,48 @@ def _plausible_block(left: np.ndarray, right: np.ndarray, mask: np.ndarray) -> n
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surviving pairs of different components between two blocks of a bucket."""
+    """Verified links between components that meet in two blocks of a bucket.
+
+    Only links that join components not yet joined by the task's own links
+    are given out, so a task has fewer results than rows; links are counted
+    within the final components later."""
     for group in _groups(batches, _TASK):
         a, b = _block_pairs(group)
         cls, comp = group.column("cls").to_numpy(), group.column("comp").to_numpy()
-        sig = _matrix(group.column("sig").combine_chunks())
         mask = comp[a][:, None] != comp[b][None, :]
-        if group.column("lo")[0].as_py() == group.column("hi")[0].as_py():
-            mask &= cls[a][:, None] < cls[b][None, :]
-        i, j = np.nonzero(_plausible_block(sig[a], sig[b], mask))
-        x, y = cls[a[i]], cls[b[j]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        i, j = np.nonzero(_linked(group, a, b, mask))
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := top.get(x, x)) != x:
+                top[x] = top.get(up, up)
+                x = up
+            return x
+
+        # One link for each pair of components.
+        _, code = np.unique(comp, return_inverse=True)
+        _, one = np.unique(code[a[i]] * len(comp) + code[b[j]], return_index=True)
+        out: list[tuple[int, int]] = []
+        for x, y in zip(a[i[one]].tolist(), b[j[one]].tolist(), strict=True):
+            p, q = find(int(comp[x])), find(int(comp[y]))
+            if p != q:
+                top[max(p, q)] = min(p, q)
+                out.append((int(cls[x]), int(cls[y])))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
+def _linked(group: pa.Table, a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which of ``mask``'s pairs between rows ``a`` and ``b`` survive all steps and reach the threshold."""
+    sig = _matrix(group.column("sig").combine_chunks())
+    mask = _plausible_block(sig[a], sig[b], mask)
+    if not mask.any():
+        return mask
+    lists = group.column("shingles").combine_chunks()
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    sets = [values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    inter = _common([sets[i] for i in a], [sets[i] for i in b])
+    size = np.array([len(s) for s in sets], float)
+    return mask & (inter / (size[a][:, None] + size[b][None, :] - inter) >= THRESHOLD)
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -261,19 +292,12 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per class of a block task: how many documents of the other block it is linked to."""
     for group in _groups(batches, _TASK):
         a, b = _block_pairs(group)
-        sig = _matrix(group.column("sig").combine_chunks())
         cls, copies = group.column("cls").to_numpy(), group.column("copies").to_numpy()
-        lists = group.column("shingles").combine_chunks()
-        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        sets = [values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
         one = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
         mask = np.ones((len(a), len(b)), bool)
         if one:
             mask[np.diag_indices(len(a))] = False
-        mask = _plausible_block(sig[a], sig[b], mask)
-        inter = _common([sets[i] for i in a], [sets[i] for i in b])
-        size = np.array([len(s) for s in sets], float)
-        link = mask & (inter / (size[a][:, None] + size[b][None, :] - inter) >= THRESHOLD)
+        link = _linked(group, a, b, mask)
         rows, counts = [cls[a]], [link @ copies[b]]
         if not one:
             rows.append(cls[b])
@@ -377,9 +401,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64("cls"), F.col("_few")).cast("int")
     )
     last = F.when(F.col("_is_major"), F.col("_few") - 1).otherwise(F.col("_few") + F.col("_many") - 1)
-    large = large.select(F.col("key").alias("grp"), "cls", "comp", block.alias("block"), last.alias("partners")).join(classes.select("cls", "sig"), "cls")
-    cross = cross.union(_in_blocks(large, _across, "a long, b long")).distinct()
-    more = staged(_verified(cross, store), "cross_links")
+    large = large.select(F.col("key").alias("grp"), "cls", "comp", block.alias("block"), last.alias("partners"))
+    large = large.join(classes.select("cls", "sig"), "cls").join(store, "cls")
+    more = staged(_verified(cross, store).union(_in_blocks(large, _across, "a long, b long")), "cross_links")
     comps = components(links.union(more))
 
     # All pairs within the final components.
