@@ -63,8 +63,10 @@ def _encode_chunks(chunks: list[bytes], quick, width: np.ndarray) -> tuple[np.nd
     return np.concatenate([*ids, np.zeros(0, np.int64)]), np.concatenate([*firsts, [done]]).astype(np.int64)
 
 
-def encode(texts: pa.Array, paths: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, first): the ids of all texts in a row, and where each text's ids begin (one beyond at the end)."""
+def encode(texts: pa.Array, paths: tuple[str, str], count_only: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
+    """(ids, first): the ids of all texts in a row, and where each text's ids begin (one beyond at the end).
+
+    ``count_only``: no ids, which saves putting them together."""
     plain, quick, width, odd_rule = _load(*paths)
     values = texts.to_pylist()
     odd = {i: plain.encode(t, add_special_tokens=False).ids for i, t in enumerate(values) if t and odd_rule.search(t)}
@@ -90,6 +92,7 @@ def encode(texts: pa.Array, paths: tuple[str, str]) -> tuple[np.ndarray, np.ndar
     order = np.argsort(begin, kind="stable")
     begin, end, owner = begin[order], end[order], owner[order]
     encoded = slices(end - begin, data).dictionary_encode()
+    del begin, end, order, solid, starts, ends, last, tail, has, more
     codes = encoded.indices.to_numpy(zero_copy_only=False)
     chunks = encoded.dictionary.to_pylist()
     spaced = np.fromiter((c[:1].isspace() and not c.isspace() for c in chunks), bool, len(chunks))
@@ -102,10 +105,14 @@ def encode(texts: pa.Array, paths: tuple[str, str]) -> tuple[np.ndarray, np.ndar
     begins[alone] = len(ids) + np.cumsum(counts[alone]) - counts[alone]
     ids = np.concatenate([ids, np.asarray([x for y in single for x in y], np.int64)])
     size = counts[codes]
+    lengths = np.bincount(owner, weights=size, minlength=n).astype(np.int64)
+    if count_only:
+        for i, x in odd.items():
+            lengths[i] = len(x)
+        return None, np.concatenate([[0], np.cumsum(lengths)])
     total = int(size.sum())
     to = np.cumsum(size) - size
     out = ids[np.arange(total) + np.repeat(begins[codes] - to, size)] if total else np.zeros(0, np.int64)
-    lengths = np.bincount(owner, weights=size, minlength=n).astype(np.int64)
     ends_of = np.concatenate([[0], np.cumsum(lengths)])
     if odd:
         parts, before = [], 0

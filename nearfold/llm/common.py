@@ -11,7 +11,7 @@ from nearfold.session import scratch_path, ship_package
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of one Arrow batch handed to a Python worker, whatever the length of the rows.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -47,7 +47,7 @@ def _counts(texts: pa.Array, tokenizers: tuple[str, ...], paths: tuple[str, str]
         if name == WORDS:
             out[name] = words_of(texts).counts
         elif name == BPE:
-            out[name] = np.diff(bpe.encode(texts, paths)[1])
+            out[name] = np.diff(bpe.encode(texts, paths, count_only=True)[1])
         elif name == BYTES:
             out[name] = np.diff(text_bytes(texts)[0])
         else:
