@@ -52,8 +52,8 @@ def dense_index(
         F.count(F.lit(1)).alias("_nf_cnt"), F.min("_nf_loc").alias("_nf_first")
     )
     w = Window.partitionBy(*part).orderBy("_nf_pid") if part else Window.orderBy("_nf_pid")
-    # one row per (group, input partition): small, the window stays cheap
+    # one row per (group, input partition): small, so the window stays cheap and the join is a broadcast
     stats = stats.withColumn("_nf_off", F.sum("_nf_cnt").over(w) - F.col("_nf_cnt")).drop("_nf_cnt")
-    out = tagged.join(stats, on=[*part, "_nf_pid"], how="inner")
+    out = tagged.join(F.broadcast(stats), on=[*part, "_nf_pid"], how="inner")
     out = out.withColumn(index_col, F.col("_nf_off") + F.col("_nf_loc") - F.col("_nf_first"))
     return out.drop("_nf_mid", "_nf_pid", "_nf_loc", "_nf_first", "_nf_off")

@@ -2,15 +2,14 @@
 
 * ``centroids``: (list_id, centroid) — either *pivots* (the first ``lists``
   base rows in permutation order; deterministic, checkable in SQL) or trained
-  with MLlib spherical k-means on a bounded sample.
+  with MLlib spherical k-means on all rows.
 * ``postings``: (list_id, id, embedding), every item assigned to its nearest
   centroid by a map-only kernel (centroid matrix broadcast after a size check),
   written ``partitionBy(list_id)`` after a range repartition on (list_id, id)
   so a huge list is cut across many writers instead of one.
-* search: queries are routed to their ``probes`` nearest lists (a small kNN
-  join against the centroids); postings of unprobed lists are pruned at the
-  scan, and each posting batch is scored only against the queries that probe
-  its list, keeping a running top-k per query inside the task.
+* search: queries are routed to their ``probes`` nearest lists (a kNN join
+  against the centroids); the probes, as rows, meet the stored postings by
+  list, in pairs of bounded blocks, and a task keeps the top-k per query.
 """
 
 from __future__ import annotations
@@ -26,13 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfold.operators import knn
-from nearfold.session import ship_package
+from nearfold.session import reliable_checkpoint, scratch_path, ship_package
 
-# K-means sample size rule (50 rows per list, at least 10,000)
-# and seed.
-KMEANS_ROWS_PER_LIST = 50
-KMEANS_MIN_SAMPLE = 10_000
+# Fixed value: seed of k-means.
 KMEANS_SEED = 42
+# Items of a list, and queries of a list, that one task holds.
+LIST_BLOCK, QUERY_BLOCK = 16_384, 4_096
 CENTROID_BROADCAST_LIMIT = 256 << 20
 _ASSIGN_BLOCK = 64 << 20
 
@@ -56,7 +54,7 @@ def pivot_centroids(perm_items: DataFrame, lists: int) -> DataFrame:
 
 
 def train_centroids(items: DataFrame, lists: int, seed: int = KMEANS_SEED, vec_col: str = "embedding") -> DataFrame:
-    """Spherical k-means (MLlib, cosine) on a bounded sample; zero vectors excluded."""
+    """Spherical k-means (MLlib, cosine) on all rows; zero vectors excluded."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -64,10 +62,7 @@ def train_centroids(items: DataFrame, lists: int, seed: int = KMEANS_SEED, vec_c
 
     spark = items.sparkSession
     usable = items.where(F.col(vec_col).isNotNull() & (V.norm(vec_col) > 0))
-    n = usable.count()
-    want = max(KMEANS_MIN_SAMPLE, KMEANS_ROWS_PER_LIST * lists)
-    sample = usable if n <= want else usable.sample(fraction=min(1.0, want / n), seed=seed)
-    feats = sample.select(array_to_vector(F.col(vec_col)).alias("features"))
+    feats = usable.select(array_to_vector(F.col(vec_col)).alias("features"))
     model = KMeans(k=lists, distanceMeasure="cosine", seed=seed, maxIter=20).fit(feats)
     centers = [c.tolist() for c in model.clusterCenters()]  # lists x d, bounded by the parameter
     schema = T.StructType([T.StructField("list_id", T.LongType()), T.StructField("centroid", T.ArrayType(T.FloatType()))])
@@ -142,12 +137,12 @@ def _assign_block(items: DataFrame, centroids: DataFrame, metric: str, vec_col:
 
 
 def write_postings(assigned: DataFrame, path: str, id_col: str = "id", vec_col: str = "embedding",
-                   num_partitions: int | None = None) -> None:
+                   num_partitions: int | None = None, keep: Sequence[str] = ()) -> None:
     """Write postings partitioned by list; a range repartition on (list_id, id)
     splits an oversized list over several writers and keeps files per task few.
     Without ``num_partitions`` AQE sizes the writers from the shuffle bytes."""
     rows = assigned.where(F.col("list_id").isNotNull()).select(
-        "list_id", F.col(id_col).alias("id"), F.col(vec_col).alias("embedding")
+        "list_id", *keep, F.col(id_col).alias("id"), F.col(vec_col).alias("embedding")
     )
     ranged = (rows.repartitionByRange(num_partitions, "list_id", "id") if num_partitions
               else rows.repartitionByRange("list_id", "id"))
@@ -166,101 +161,98 @@ class IvfIndex:
 
 def build(items: DataFrame, centroids: DataFrame, lists: int, path: str | None = None, metric: str = "cosine",
           kind: str = "pivot") -> IvfIndex:
-    """Assign and (when ``path`` is given) persist the postings."""
-    assigned = assign(items, centroids, metric)
-    if path is None:
-        post = assigned.select("list_id", "id", "embedding")
-    else:
-        write_postings(assigned, path)
-        post = items.sparkSession.read.parquet(path)
+    """Assign every item and store the postings, under the shared folder where no ``path`` is given."""
+    path = path or scratch_path(items.sparkSession, "postings")
+    write_postings(assign(items, centroids, metric), path)
+    post = items.sparkSession.read.parquet(path)
     return IvfIndex(centroids, post, lists, metric, path, kind)
 
 
-def probe_lists(index: IvfIndex, queries: DataFrame, probes: int, collected=None) -> DataFrame:
-    """(qid, list_rank, list_id) of the ``probes`` nearest lists of every query.
-
-    ``collected`` = (qids, matrix) reuses a query block already on the driver."""
+def probe_lists(index: IvfIndex, queries: DataFrame, probes: int) -> DataFrame:
+    """(qid, list_rank, list_id) of the ``probes`` nearest lists of every query."""
     cents = index.centroids.select(F.col("list_id").alias("id"), F.col("centroid").alias("embedding"))
-    p = min(probes, index.lists)
-    if collected is None:
-        near = knn.knn_join(cents, queries, p, index.metric)
-    else:
-        qids, Q = collected
-        cands = knn.block_candidates(cents, qids, Q, p, index.metric)
-        near = knn.merge_topk(cands, ["qid"], p)
+    near = knn.knn_join(cents, queries, min(probes, index.lists), index.metric)
     return near.select("qid", F.col("rk").alias("list_rank"), F.col("id").alias("list_id"))
 
 
-def _collect_checked(queries: DataFrame):
-    """The query block for routed search: one broadcast, so its size must fit."""
-    n, d = knn.query_stats(queries, "embedding")
-    if n * d * 8 > knn.DEFAULT_BROADCAST_LIMIT:
-        raise ValueError(f"{n} queries x {d} dims exceed the broadcast limit; search them in chunks")
-    q = queries.select("qid", "embedding")
-    q = q.where(F.col("embedding").isNotNull() & (F.size("embedding") == d))
-    return knn.collect_query_matrix(q, "qid", "embedding", d)
-
+def _block_kernel(k: int, metric: str, dim: int, group_cols: tuple[str, ...], schema: pa.Schema):
+    """Top-k of one block of queries over one block of a list, per group."""
+
+    def run(items: pa.Table, asked: pa.Table) -> pa.Table:
+        if not items.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        def matrix(column):
+            return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+        X, ids = matrix(items.column("embedding")), items.column("id").to_numpy()
+        payload, qids = knn.prepare_queries(metric, matrix(asked.column("_nf_v"))), asked.column("qid").to_numpy()
+        groups = np.stack([items.column(c).to_numpy() for c in group_cols], axis=1) if group_cols else np.zeros((len(ids), 0), np.int64)
+        kinds, code = np.unique(groups, axis=0, return_inverse=True) if group_cols else (groups[:1], np.zeros(len(ids), np.int64))
+        out = {c: [] for c in schema.names}
+        for g, kind in enumerate(kinds):
+            rows = np.flatnonzero(code.reshape(-1) == g)
+            step = max(1, knn._BLOCK_BYTES // max(1, 8 * len(rows)))
+            for s in range(0, len(qids), step):
+                at = np.arange(s, min(s + step, len(qids)))
+                D = knn.nearest_distances(metric, payload, at, X[rows], k)
+                D, I = knn.select_topk(D, np.broadcast_to(ids[rows], D.shape), k)
+                real = np.isfinite(D)
+                for c, v in zip(group_cols, kind, strict=True):
+                    out[c].append(np.full(int(real.sum()), v, np.int64))
+                out["qid"].append(np.repeat(qids[at], D.shape[1]).reshape(D.shape)[real])
+                out["id"].append(I[real])
+                out["distance"].append(D[real])
+        n = sum(map(len, out["qid"]))
+        out["list_id"] = [np.full(n, items.column("list_id")[0].as_py(), np.int64)]
+        return pa.table([pa.array(np.concatenate(out[c])) for c in schema.names], schema=schema)
 
-def _route(probes_df: DataFrame, qids: np.ndarray) -> tuple[dict, list[int]]:
-    """list_id -> query row indices; the probe table is nq x probes rows."""
-    pos = {int(q): i for i, q in enumerate(qids)}
-    tbl = probes_df.select("qid", "list_id").toArrow()
-    q = tbl.column("qid").to_numpy()
-    li = tbl.column("list_id").to_numpy()
-    route: dict[int, list[int]] = {}
-    for a, b in zip(q, li):
-        route.setdefault(int(b), []).append(pos[int(a)])
-    return {k: np.array(sorted(v), dtype=np.int64) for k, v in route.items()}, sorted(route)
+    return run
 
 
-def _query_chunks(queries: DataFrame) -> list[DataFrame]:
-    return knn.query_chunks(queries, "qid", "embedding")  # one cheap count when it fits
+def routed_topk(index: IvfIndex, queries: DataFrame, probed: DataFrame, k: int, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Candidates (group..., list_id, qid, id, distance): top-k of every probed list's blocks.
+
+    Probes are rows (list_id, qid) that meet the stored postings by list.  A
+    list is cut into blocks of ``LIST_BLOCK`` items and its queries into blocks
+    of ``QUERY_BLOCK``, so a task holds one pair of blocks, however large a
+    list is or however many queries ask for it; lists that no query probes
+    fall out at the join with the blocks."""
+    ship_package(queries.sparkSession)
+    dim = knn.query_stats(queries, "embedding")[1]
+    per = lambda df, size, name: df.groupBy(F.col("list_id").cast("long").alias("list_id")).agg(
+        F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    blocks = per(probed, QUERY_BLOCK, "_nf_nq").join(per(index.postings, LIST_BLOCK, "_nf_ni"), "list_id")
+    group_cols = tuple(group_cols)
+    items = knn._valid_vectors(index.postings, "embedding", dim).withColumn("list_id", F.col("list_id").cast("long")).join(blocks, "list_id")
+    items = items.select(*[F.col(c).cast("long").alias(c) for c in group_cols], "list_id", F.col("id").cast("long").alias("id"), "embedding",
+                         F.pmod(F.xxhash64("id"), "_nf_ni").cast("int").alias("_nf_i"), F.explode(F.sequence(F.lit(0), F.col("_nf_nq") - 1)).alias("_nf_q"))
+    vectors = knn._valid_vectors(queries, "embedding", dim).select(F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("_nf_v"))
+    asked = probed.select(F.col("qid").cast("long").alias("qid"), F.col("list_id").cast("long").alias("list_id")).join(vectors, "qid").join(blocks, "list_id")
+    asked = asked.select("list_id", "qid", "_nf_v", F.pmod(F.xxhash64("qid"), "_nf_nq").cast("int").alias("_nf_q"),
+                         F.explode(F.sequence(F.lit(0), F.col("_nf_ni") - 1)).alias("_nf_i"))
+    key = ["list_id", "_nf_i", "_nf_q"]
+    names = [*group_cols, "list_id", "qid", "id"]
+    schema = pa.schema([*((c, pa.int64()) for c in names), ("distance", pa.float64())])
+    kernel = _block_kernel(k, index.metric, dim, group_cols, schema)
+    ddl = ", ".join([*(f"{c} long" for c in names), "distance double"])
+    return items.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(kernel, ddl)
 
 
 def search(index: IvfIndex, queries: DataFrame, k: int, probes: int, group_cols: Sequence[str] = ()) -> DataFrame:
     """Approximate top-k through the ``probes`` nearest lists: (group..., qid, rk, id, distance).
 
-    ``group_cols`` of the postings (e.g. a growth slab) keep separate top-k lists.
-    A query table larger than one broadcast is searched chunk by chunk (each
-    chunk re-scans only the lists it probes)."""
-    parts = [_search_block(index, q, k, probes, group_cols) for q in _query_chunks(queries)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _search_block(index: IvfIndex, queries: DataFrame, k: int, probes: int, group_cols: Sequence[str]) -> DataFrame:
-    qids, Q = _collect_checked(queries)
-    pr = probe_lists(index, queries, probes, (qids, Q))
-    route, probed = _route(pr, qids)
-    post = index.postings.where(F.col("list_id").isin(probed))  # partition pruning
-    cands = knn.block_candidates(post, qids, Q, k, index.metric, group_cols=group_cols, route=route,
-                                 route_col="list_id")
-    out = knn.merge_topk(cands, [*group_cols, "qid"], k, salt_buckets=knn.salt_for(post))
-    return out.select(*group_cols, "qid", "rk", "id", "distance")
+    ``group_cols`` of the postings (e.g. a growth slab) keep separate top-k lists."""
+    probed = reliable_checkpoint(probe_lists(index, queries, probes))
+    cands = routed_topk(index, queries, probed, k, group_cols)
+    return knn.merge_topk(cands, [*group_cols, "qid"], k).select(*group_cols, "qid", "rk", "id", "distance")
 
 
 def probe_sweep(index: IvfIndex, queries: DataFrame, k: int, probe_values: Sequence[int]) -> DataFrame:
-    """Results for every probe value in one scan (E7): (probes, qid, rk, id, distance).
+    """Results for every probe value from one pass (E7): (probes, qid, rk, id, distance).
 
     Top-k is kept per (list, query); probe value p merges the lists ranked <= p."""
-    chunks = _query_chunks(queries)
-    if len(chunks) > 1:
-        parts = [probe_sweep(index, q, k, probe_values) for q in chunks]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    pmax = min(max(probe_values), index.lists)
-    qids, Q = _collect_checked(queries)
-    pr = probe_lists(index, queries, pmax, (qids, Q))
-    route, probed = _route(pr, qids)
-    post = index.postings.where(F.col("list_id").isin(probed))
-    cands = knn.block_candidates(post, qids, Q, k, index.metric, group_cols=["list_id"], route=route,
-                                 route_col="list_id")
-    per_list = knn.merge_topk(cands, ["list_id", "qid"], k, salt_buckets=knn.salt_for(post)).drop("rk")
-    ranked = per_list.join(pr, ["qid", "list_id"], "inner")
+    probed = reliable_checkpoint(probe_lists(index, queries, max(probe_values)))
+    ranked = routed_topk(index, queries, probed, k).join(probed, ["qid", "list_id"])
     arr = F.array(*[F.lit(int(p)) for p in sorted(set(probe_values))])
     exploded = ranked.withColumn("probes", F.explode(F.filter(arr, lambda p: p >= F.col("list_rank"))))
     out = knn.merge_topk(exploded, ["probes", "qid"], k)

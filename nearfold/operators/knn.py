@@ -10,9 +10,8 @@ Physical plan of ``knn_join`` (a table of queries against a table of items):
    the running top-k per query (and per group) is kept in the task and only
    k rows per query leave it.  No pair rows are ever materialised.
 3. The per-task candidates are merged by a windowed top-k on the query key
-   (Catalyst plans ``WindowGroupLimit`` before and after the shuffle).  When
-   the scan has many partitions, a salted first level keeps any one query
-   from funnelling every task's candidates into one reducer.
+   (Catalyst plans ``WindowGroupLimit`` before and after the shuffle), with a
+   salted first level, so that no reducer gets every task's candidates.
 
 Ties are broken by item id ascending; zero vectors, NaN vectors and vectors
 of the wrong dimension are never candidates.
@@ -20,7 +19,6 @@ of the wrong dimension are never candidates.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -35,8 +33,8 @@ from nearfold.session import ship_package
 METRICS = ("cosine", "l2", "l1", "dot")
 DEFAULT_BROADCAST_LIMIT = 64 << 20  # bytes of float64 query matrix shipped per pass
 _BLOCK_BYTES = 96 << 20  # bound on one distance block inside a task
-_SALT_MIN_PARTITIONS = 64  # below this many scan partitions one merge level suffices
-TIE_DECIMALS = 12
+MERGE_SALT = 8  # groups in which a query's candidates are merged first
+TIE_DECIMALS = 12  # of distances relative to their scale: 1 for cosine, the query's length for dot
 
 
 # ---------------------------------------------------------------- numpy helpers
@@ -94,9 +92,40 @@ def distances(metric: str, P: dict, qsel, X: np.ndarray) -> np.ndarray:
     else:
         raise ValueError(f"unknown metric {metric!r}")
     D[~np.isfinite(D)] = np.inf
-    # snap to 1e-12 so distances equal up to rounding noise (x vs 2x under
-    # cosine) tie exactly and fall back to the id order
-    return np.round(D, TIE_DECIMALS)
+    # Distances equal up to rounding noise (x vs 2x under cosine) tie exactly
+    # and fall back to the id order.  L2 and L1 have no scale of their own and
+    # are not rounded.
+    if metric == "cosine":
+        return np.round(D, TIE_DECIMALS)
+    if metric == "dot":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scale = np.exp2(np.floor(np.log2(np.sqrt(P["q2"][qsel]))))
+        scale = np.where(np.isfinite(scale) & (scale > 0), scale, 1.0)[:, None]
+        return np.round(D / scale, TIE_DECIMALS) * scale
+    return D
+
+
+def nearest_distances(metric: str, P: dict, qsel, X: np.ndarray, k: int) -> np.ndarray:
+    """As :func:`distances`, but with the k smallest of each row exact to the last digits.
+
+    The matrix form of L2 cancels where vectors are long and near.  Its error
+    has a bound, so the items that may be among the k nearest are known; they
+    are computed again from ``q - x``, and the others are left out (+inf)."""
+    if metric != "l2":
+        return distances(metric, P, qsel, X)
+    Q = P["Q"][qsel]
+    size = P["q2"][qsel][:, None] + (X * X).sum(axis=1)[None, :]
+    D2 = size - 2.0 * (Q @ X.T)
+    error = 8.0 * np.finfo(float).eps * (Q.shape[1] + 2) * size
+    upper = np.where(np.isfinite(D2), D2 + error, np.inf)
+    worst = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(Q), np.inf)
+    i, j = np.nonzero(np.isfinite(D2) & (D2 - error <= worst[:, None]))
+    D = np.full(D2.shape, np.inf)
+    step = max(1, _BLOCK_BYTES // max(1, 16 * Q.shape[1]))
+    for s in range(0, len(i), step):
+        a, b = i[s : s + step], j[s : s + step]
+        D[a, b] = np.sqrt(((Q[a] - X[b]) ** 2).sum(axis=1))
+    return D
 
 
 # ---------------------------------------------------------------- task kernel
@@ -133,7 +162,7 @@ def _kernel(bc, k, metric, id_col, vec_col, group_cols, route_col):
             step = max(1, _BLOCK_BYTES // max(1, 8 * len(ids)))
             for a in range(0, len(rows_q), step):
                 rq = rows_q[a : a + step]
-                D = distances(metric, P, s[0][rq], X)
+                D = nearest_distances(metric, P, s[0][rq], X, k)
                 Dm = np.concatenate([s[1][rq], D], axis=1)
                 Im = np.concatenate([s[2][rq], np.broadcast_to(ids, D.shape)], axis=1)
                 s[1][rq], s[2][rq] = select_topk(Dm, Im, k)
@@ -259,9 +288,25 @@ def _valid_vectors(df: DataFrame, vec: str, dim: int) -> DataFrame:
 
 
 def query_stats(queries: DataFrame, vec: str) -> tuple[int, int]:
-    """(rows, dimension) of a query table in one job."""
-    r = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    return int(r["n"]), int(r["d"] or 0)
+    """(rows, dimension) of a query table in one job.
+
+    The dimension is the one that most rows have (one row per distinct
+    dimension comes to the driver); see :func:`misfits` for the others."""
+    found = queries.groupBy(F.size(vec).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
+    usual = max((r for r in found if (r["d"] or 0) > 0), key=lambda r: (r["n"], -r["d"]), default=None)
+    return sum(r["n"] for r in found), usual["d"] if usual else 0
+
+
+def misfits(queries: DataFrame, vec: str = "embedding") -> DataFrame:
+    """The rows that a search leaves out, with the reason: no vector, another dimension, NaN, zero length."""
+    dim = query_stats(queries, vec)[1]
+    why = (
+        F.when(F.col(vec).isNull(), "null")
+        .when(F.size(vec) != dim, "dimension")
+        .when(V.has_nan(vec), "nan")
+        .when(V.norm(vec) == 0, "zero")
+    )
+    return queries.withColumn("reason", why).where(F.col("reason").isNotNull())
 
 
 def query_chunks(queries: DataFrame, qid: str = "qid", vec: str = "embedding", limit: int | None = None,
@@ -303,12 +348,6 @@ def merge_topk(
     return cands.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def salt_for(df: DataFrame) -> int:
-    """Salt buckets for merging per-task candidate lists of ``df``'s scan."""
-    n = df.rdd.getNumPartitions()
-    return 1 if n <= _SALT_MIN_PARTITIONS else int(math.ceil(math.sqrt(n)))
-
-
 def block_candidates(
     items: DataFrame,
     qids: np.ndarray,
@@ -391,7 +430,7 @@ def knn_join(
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)
-    out = merge_topk(cands, [*group_cols, "qid"], k, salt_buckets=salt_for(items))
+    out = merge_topk(cands, [*group_cols, "qid"], k, salt_buckets=MERGE_SALT)
     return out.select(*group_cols, "qid", "rk", "id", "distance")
 
 
@@ -405,7 +444,7 @@ def knn_single(items: DataFrame, query: Sequence[float], k: int, metric: str = "
     qids = np.zeros(1, dtype=np.int64)
     Q = np.asarray([list(query)], dtype=np.float64)
     cands = block_candidates(items, qids, Q, k, metric, id_col=id_col, vec_col=vec_col)
-    top = merge_topk(cands, ["qid"], k, salt_buckets=salt_for(items)).select("rk", "id", "distance")
+    top = merge_topk(cands, ["qid"], k, salt_buckets=MERGE_SALT).select("rk", "id", "distance")
     if not with_vector:
         return top.orderBy("rk").select("id", "distance")
     top = top.cache()

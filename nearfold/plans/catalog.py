@@ -394,8 +394,7 @@ def q_ivf_recall(spark, sf_dir):
     """Recall@10 of trained lists for every probe value, one scan."""
     sp = splits(spark, sf_dir)
     idx = ST.trained_index(sp)
-    pv = sorted({p for p in (*ST.PROBES, idx.lists) if p <= idx.lists})
-    out = ST.probe_recall(idx, sp.queries, ST.exact(sp), pv)
+    out = ST.clamped_recall(idx, sp.queries, ST.exact(sp), (*ST.PROBES, idx.lists))
     return _round(out, "mean_recall")
 
 
@@ -424,9 +423,9 @@ def q_recall_curve(spark, sf_dir):
 def q_sweep_grid(spark, sf_dir):
     """Parameter cells of both index families for this table."""
     sp = splits(spark, sf_dir)
-    graph = [("graph", m, efc, efs, None, None) for m, efc, efs in ST.graph_grid()]
-    lists = [("ivf", None, None, None, L, p) for L in ivf.lists_grid(sp.n_base) for p in ST.PROBES if p <= L]
-    schema = "index_type string, m long, ef_construction long, ef_search long, lists long, probes long"
+    graph = [("graph", m, efc, efs, None, None, None) for m, efc, efs in ST.graph_grid()]
+    lists = [("ivf", None, None, None, L, p, min(p, L)) for L in ivf.lists_grid(sp.n_base) for p in ST.PROBES]
+    schema = "index_type string, m long, ef_construction long, ef_search long, lists long, probes long, effective_probes long"
     cells = spark.createDataFrame(graph + lists, schema)
     return cells.withColumn("n_rows", F.lit(sp.n_base).cast("long"))
 

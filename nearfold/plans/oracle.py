@@ -363,7 +363,7 @@ FROM exact t LEFT JOIN res r ON r.qid = t.qid AND r.id = t.id GROUP BY t.qid"""
   GROUP BY ks.k, t.qid) GROUP BY k"""
     grid = """grid AS (SELECT unnest([nl.lists // 2, nl.lists, nl.lists * 2]) AS lists FROM nl),
 pv AS (SELECT unnest([1, 5, 10, 20]) AS probes),
-cells AS (SELECT g.lists, pv.probes FROM grid g, pv WHERE pv.probes <= g.lists)"""
+cells AS (SELECT g.lists, pv.probes, least(pv.probes, g.lists) AS effective_probes FROM grid g, pv)"""
     gcents = """gcents AS (SELECT g.lists, p.perm_rank AS list_id, p.embedding AS centroid FROM grid g, pbase p
   WHERE p.perm_rank < g.lists)"""
     gasg = f"""gasg AS (SELECT lists, id, list_id FROM (
@@ -378,17 +378,17 @@ cells AS (SELECT g.lists, pv.probes FROM grid g, pv WHERE pv.probes <= g.lists)"
   JOIN gasg a ON a.lists = cl.lists AND a.list_id = gp.list_id JOIN base b ON b.id = a.id JOIN qs q ON q.qid = gp.qid)"""
     gres = f"gres AS (SELECT * FROM {topk_of(gcand, 'lists, probes, qid', 10)})"
     s["ivf_probe_sweep"] = with_(PERM, BASE, QUERIES, NLISTS, grid, gcents, gasg, gprobe, gres, EXACT10) + f"""SELECT
-  lists, probes, {r6('avg(recall)')} AS mean_recall, count(*) AS n_queries FROM (
+  lists, probes, least(probes, lists) AS effective_probes, {r6('avg(recall)')} AS mean_recall, count(*) AS n_queries FROM (
   SELECT ct.lists, ct.probes, ct.qid, count(r.id) / count(*) AS recall
   FROM (SELECT * FROM cells, exact) ct LEFT JOIN gres r
     ON r.lists = ct.lists AND r.probes = ct.probes AND r.qid = ct.qid AND r.id = ct.id
   GROUP BY ct.lists, ct.probes, ct.qid) GROUP BY lists, probes"""
     s["sweep_grid"] = with_(PERM, NLISTS.split(",\npbase")[0], grid) + """SELECT 'graph' AS index_type, m, ef_construction,
-  ef_search, CAST(NULL AS BIGINT) AS lists, CAST(NULL AS BIGINT) AS probes, sz.nb AS n_rows
+  ef_search, CAST(NULL AS BIGINT) AS lists, CAST(NULL AS BIGINT) AS probes, CAST(NULL AS BIGINT) AS effective_probes, sz.nb AS n_rows
 FROM (SELECT unnest([16, 32, 64]) AS m), (SELECT unnest([64, 128, 200]) AS ef_construction),
      (SELECT unnest([10, 20, 40, 80, 160]) AS ef_search), sz
 WHERE ef_construction >= 2 * m
-UNION ALL SELECT 'ivf', NULL, NULL, NULL, lists, probes, sz.nb FROM cells, sz"""
+UNION ALL SELECT 'ivf', NULL, NULL, NULL, lists, probes, effective_probes, sz.nb FROM cells, sz"""
     s["scaling_recall"] = scaling_sql(20)
     s["compact_postings"] = with_(PERM, BASE, NLISTS, CENTS, ASG) + "SELECT list_id, count(*) AS n_rows FROM asg GROUP BY list_id"
     s["rebuild_delta_pivot"] = f"""WITH curve AS ({degradation_sql(5)})

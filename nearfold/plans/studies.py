@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from nearfold.operators import ground_truth as GT
 from nearfold.operators import ivf, knn, metrics
 from nearfold.plans.splits import INSERT_ID_OFFSET, Splits
+from nearfold.session import scratch_path
 
 # Fixed values of the reference's sweeps: graph m x ef_construction x ef_search
 # (cells with ef_construction < 2*m are skipped), and probe values for lists.
@@ -72,6 +73,17 @@ def probe_recall(index: ivf.IvfIndex, queries: DataFrame, truth: DataFrame, prob
     return metrics.mean_recall(truth_p, res, k, keys=["probes"])
 
 
+def clamped_recall(index: ivf.IvfIndex, queries: DataFrame, truth: DataFrame, probe_values: Sequence[int],
+                   k: int = K) -> DataFrame:
+    """:func:`probe_recall` for every requested value; ``effective_probes`` is at most the number of lists."""
+    real = {p: min(p, index.lists) for p in probe_values}
+    cells = F.array(*[F.struct(F.lit(p).cast("long").alias("probes"), F.lit(e).cast("long").alias("effective_probes"))
+                      for p, e in sorted(real.items())])
+    out = probe_recall(index, queries, truth, sorted(set(real.values())), k)
+    out = out.withColumn("_c", F.explode(F.filter(cells, lambda c: c["effective_probes"] == F.col("probes"))))
+    return out.select("_c.probes", "_c.effective_probes", "mean_recall", "n_queries")
+
+
 def lists_probe_sweep(sp: Splits, probe_values: Sequence[int] = PROBES, k: int = K,
                       trained: bool = False) -> DataFrame:
     """lists in (L//2, L, 2L) x probes: mean recall@k per cell."""
@@ -79,8 +91,7 @@ def lists_probe_sweep(sp: Splits, probe_values: Sequence[int] = PROBES, k: int =
     out = None
     for lists in ivf.lists_grid(sp.n_base):
         idx = trained_index(sp, lists) if trained else pivot_index(sp, lists)
-        pv = [p for p in probe_values if p <= lists] or [lists]
-        r = probe_recall(idx, sp.queries, truth, pv, k).withColumn("lists", F.lit(lists).cast("long"))
+        r = clamped_recall(idx, sp.queries, truth, probe_values, k).withColumn("lists", F.lit(lists).cast("long"))
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -109,8 +120,10 @@ def degradation_curve(sp: Splits, probes: int, trained: bool = False, k: int = K
         cents = ivf.pivot_centroids(perm_base(sp), lists)
     everything = grown_items(sp, max(cps))
     slab = F.when(F.col("seq").isNull(), F.lit(0)).otherwise(GT.slab_of("seq", sp.checkpoints) + 1)
-    frozen = ivf.assign(everything.withColumn("slab", slab), cents).select("list_id", "slab", "id", "embedding")
-    idx = ivf.IvfIndex(cents, frozen, lists, "cosine", kind="trained" if trained else "pivot")
+    path = scratch_path(everything.sparkSession, "frozen_postings")
+    ivf.write_postings(ivf.assign(everything.withColumn("slab", slab), cents), path, keep=["slab"])
+    frozen = everything.sparkSession.read.parquet(path)
+    idx = ivf.IvfIndex(cents, frozen, lists, "cosine", path, kind="trained" if trained else "pivot")
     per_slab = ivf.search(idx, sp.queries, k, probes, group_cols=["slab"])
     res = knn.cumulative_topk(per_slab, list(range(len(cps))), k, out_col="cp_ix")
     cp_map = F.array(*[F.lit(int(c)).cast("long") for c in cps])

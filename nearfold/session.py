@@ -8,9 +8,11 @@ unset (local tests, the bench) do we pick a private folder ourselves.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 _LOCAL_DIR: dict[int, str] = {}
@@ -52,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = id(sc)
     if key not in _LOCAL_DIR:
         _LOCAL_DIR[key] = tempfile.mkdtemp(prefix="nearfold-ckpt-")
@@ -79,7 +83,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         return os.path.exists(os.path.join(local, "_SUCCESS"))
     try:
         return spark.read.format("binaryFile").load(f"{path.rstrip('/')}/_SUCCESS").select("length").count() == 1
-    except Exception:  # AnalysisException: path does not exist
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
 
 

@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +98,8 @@ def lookups(spark: SparkSession, landing: str, schema, index_path: str, centroid
         post = spark.read.parquet(index_path).select("list_id", "id", "embedding")
         idx = ivf.IvfIndex(centroids, post, lists, "cosine", path=index_path)
         res = ivf.search(idx, batch.select("qid", "embedding"), k, probes)
-        res.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("append").parquet(out_path)
+        # a batch that runs again replaces what its first run left
+        res.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
     q = (
@@ -135,8 +137,8 @@ def mixed(spark: SparkSession, insert_landing: str, insert_schema, query_landing
             post = post.unionByName(ingested)
         idx = ivf.IvfIndex(centroids, post, lists, "cosine")
         res = ivf.search(idx, batch.select("qid", "embedding"), k, probes)
-        res.withColumn("epoch", F.lit(epoch_id).cast("long")).withColumn(
-            "visible_inserts", F.lit(visible_inserts).cast("long")).write.mode("append").parquet(lookup_out)
+        res.withColumn("visible_inserts", F.lit(visible_inserts).cast("long")).write.mode("overwrite").parquet(
+            f"{lookup_out}/epoch={epoch_id}")
 
     queries = spark.readStream.schema(query_schema).option("maxFilesPerTrigger", 1).parquet(query_landing)
     reader = (queries.writeStream.foreachBatch(search_batch).option("checkpointLocation", f"{checkpoints}/lookup")
@@ -147,9 +149,10 @@ def mixed(spark: SparkSession, insert_landing: str, insert_schema, query_landing
 
 def _has_commits(spark: SparkSession, path: str) -> bool:
     try:
-        spark.read.parquet(path).schema  # noqa: B018
-        return True
-    except Exception:  # nothing committed yet
+        return bool(spark.read.schema("id long").parquet(path).inputFiles())
+    except AnalysisException as e:  # nothing committed yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
 
 

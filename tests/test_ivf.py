@@ -54,17 +54,29 @@ def test_lists_rule():
     assert ivf.lists_grid(1200) == [17, 35, 70]
 
 
-def test_chunked_query_table_matches_single_block(sp, monkeypatch):
-    from nearfold.operators import knn
-
+def test_small_blocks_match_whole_lists(sp, monkeypatch):
     idx = ST.pivot_index(sp)
     one = ivf.search(idx, sp.queries, 10, 4).orderBy("qid", "rk").collect()
-    monkeypatch.setattr(knn, "DEFAULT_BROADCAST_LIMIT", 8 * 64 * 7)  # 7 queries per chunk
-    assert len(ivf._query_chunks(sp.queries)) > 1
+    monkeypatch.setattr(ivf, "LIST_BLOCK", 5)
+    monkeypatch.setattr(ivf, "QUERY_BLOCK", 3)
     many = ivf.search(idx, sp.queries, 10, 4).orderBy("qid", "rk").collect()
     assert one == many
 
 
+def test_search_reads_stored_postings_and_assigns_nothing(sp):
+    idx = ST.pivot_index(sp)
+    found = ivf.search(idx, sp.queries, 10, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert any(idx.path.split("/")[-1] in f for f in found.inputFiles())
+    assert "MapInArrow" not in plan and "CoGroupsInArrow" in plan
+
+
+def test_clamped_probes_are_reported(sp):
+    rows = ST.lists_probe_sweep(sp).collect()
+    assert len(rows) == 12
+    assert all(r["effective_probes"] == min(r["probes"], r["lists"]) for r in rows)
+
+
 def test_chunked_centroids_assign_like_one_broadcast(sp):
     idx = ST.pivot_index(sp)
     items = sp.base.select("id", "embedding")

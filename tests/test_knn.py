@@ -99,3 +99,26 @@ def test_cumulative_topk_is_topk_of_union(spark, data):
         direct = _as_dict(knn.knn_join(slabbed.where(F.col("slab") <= cut), queries, 4, "l2"))
         via = _as_dict(cum.where(F.col("cut") == cut))
         assert via == direct
+
+
+def test_one_odd_query_does_not_empty_the_answer(spark):
+    items = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(6)], "id long, embedding array<double>")
+    queries = spark.createDataFrame(
+        [(0, [1.0, 1.0, 2.0]), (1, [4.0, 1.0, 2.0]), (2, [1.0, 1.0, 2.0, 9.0]), (3, None)], "qid long, embedding array<double>"
+    )
+    got = knn.knn_join(items, queries, 3, "l2").collect()
+    assert {r["qid"] for r in got} == {0, 1} and len(got) == 6
+    assert {(r["qid"], r["reason"]) for r in knn.misfits(queries).collect()} == {(2, "dimension"), (3, "null")}
+
+
+def test_l2_of_long_near_vectors(spark):
+    items = spark.createDataFrame([(i, [37000.0 + 0.001 * i, 5.0]) for i in range(1, 60)], "id long, embedding array<double>")
+    got = knn.knn_single(items, [37000.0, 5.0], 4, "l2").collect()
+    assert [r["id"] for r in got] == [1, 2, 3, 4]
+    assert all(abs(r["distance"] - 0.001 * r["id"]) < 1e-11 for r in got)
+
+
+def test_tiny_distances_do_not_tie(spark):
+    items = spark.createDataFrame([(i, [(5 - i) * 1e-13]) for i in range(5)], "id long, embedding array<double>")
+    for metric in ("l1", "l2"):
+        assert [r["id"] for r in knn.knn_single(items, [0.0], 2, metric).collect()] == [4, 3]
