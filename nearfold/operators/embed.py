@@ -76,15 +76,18 @@ def numpy_hashed_encoder(dim: int = DIM) -> Callable[[list[str]], np.ndarray]:
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float64)
+        # every distinct token of the batch is hashed once
+        known: dict[str, int] = {}
+        rows, codes = [], []
         for i, t in enumerate(texts):
-            if t is None:
-                continue
-            for tok in pat.split(t):
-                if not tok:
-                    continue
-                h = hashlib.md5(tok.encode("utf-8")).hexdigest()
-                sign = 1.0 if int(h[8], 16) % 2 == 0 else -1.0
-                out[i, int(h[:8], 16) % dim] += sign
+            tokens = [known.setdefault(tok, len(known)) for tok in pat.split(t or "") if tok]
+            rows += [i] * len(tokens)
+            codes += tokens
+        digests = [hashlib.md5(tok.encode("utf-8")).hexdigest() for tok in known]
+        bucket = np.array([int(h[:8], 16) % dim for h in digests], np.int64)
+        sign = np.array([1.0 if int(h[8], 16) % 2 == 0 else -1.0 for h in digests])
+        if codes:
+            np.add.at(out, (rows, bucket[codes]), sign[codes])
         n = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.where(n > 0, out / np.where(n > 0, n, 1.0), 0.0).astype(np.float32)
 

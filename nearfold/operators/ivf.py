@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,6 @@ from nearfold.session import reliable_checkpoint, scratch_path, ship_package
 
 # Fixed value: seed of k-means.
 KMEANS_SEED = 42
-# Items of a list, and queries of a list, that one task holds.
-LIST_BLOCK, QUERY_BLOCK = 16_384, 4_096
 CENTROID_BROADCAST_LIMIT = 256 << 20
 _ASSIGN_BLOCK = 64 << 20
 
@@ -69,7 +68,9 @@ def train_centroids(items: DataFrame, lists: int, seed: int = KMEANS_SEED, vec_c
     return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], schema)
 
 
-def _assign_kernel(bc, metric, vec_col):
+def _assign_kernel(bc, metric, vec_col, first):
+    """Nearest of one broadcast's centroids; later broadcasts improve on the columns of the first."""
+
     def run(batches):
         P = bc.value
         C, cids, d = P["Q"], P["qids"], P["d"]
@@ -86,12 +87,18 @@ def _assign_kernel(bc, metric, vec_col):
                 j = np.argmin(D, axis=0)  # first minimum = smallest list_id (cids sorted)
                 best[s : s + step] = cids[j]
                 bestd[s : s + step] = D[j, np.arange(D.shape[1])]
+            columns = rb.columns
+            if not first:  # equal distances: the smaller list_id, whichever broadcast holds it
+                old = pc.fill_null(columns[-2], -1).to_numpy(zero_copy_only=False)
+                oldd = pc.fill_null(columns[-1], np.inf).to_numpy(zero_copy_only=False)
+                keep = (oldd < bestd) | ((oldd == bestd) & (old < best))
+                best, bestd = np.where(keep, old, best), np.where(keep, oldd, bestd)
+                columns = columns[:-2]
             ok = np.isfinite(bestd)
             lid = pa.array(best, mask=~ok)
             cd = pa.array(np.where(ok, bestd, np.nan), mask=~ok)
-            yield pa.RecordBatch.from_arrays(
-                [*rb.columns, lid, cd], names=[*rb.schema.names, "list_id", "centroid_distance"]
-            )
+            names = [n for n in rb.schema.names if n not in ("list_id", "centroid_distance")]
+            yield pa.RecordBatch.from_arrays([*columns, lid, cd], names=[*names, "list_id", "centroid_distance"])
 
     return run
 
@@ -100,40 +107,30 @@ def assign(items: DataFrame, centroids: DataFrame, metric: str = "cosine", vec_c
            limit: int = CENTROID_BROADCAST_LIMIT) -> DataFrame:
     """Nearest centroid for every item: adds list_id, centroid_distance.
 
-    Map-only when the centroid matrix fits one broadcast (checked).  Beyond
-    that, items are assigned against centroid chunks that each fit, and the
-    per-item minimum (ties by list_id) is taken with an aggregation on the id
-    — a shuffle of (id, list_id, distance) only — then joined back.
-    Items whose distance is undefined (zero/NaN vector) get a NULL list."""
+    One map-only pass over the items, also on a stream.  Centroids are shipped
+    in broadcasts of at most ``limit`` bytes; a row passes all of them in turn
+    and keeps the nearest list so far (ties by list_id), so repeated ids and
+    the number of broadcasts make no difference.  The number of lists is a
+    parameter, about the square root of the rows.  Items whose distance is
+    undefined (zero/NaN vector) get a NULL list."""
     n, d = knn.query_stats(centroids, "centroid")
-    if n * d * 8 <= limit:
-        return _assign_block(items, centroids, metric, vec_col, d)
-    chunks = -(-n * d * 8 // limit)
-    keyed = items.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == d))
-    best = None
-    for c in range(chunks):
-        part = centroids.where(F.pmod(F.col("list_id"), F.lit(chunks)) == c)
-        got = _assign_block(keyed.select("id", vec_col), part, metric, vec_col, d).select(
-            "id", "list_id", "centroid_distance")
-        best = got if best is None else best.unionByName(got)
-    win = best.where(F.col("list_id").isNotNull()).groupBy("id").agg(
-        F.min(F.struct("centroid_distance", "list_id")).alias("_nf_b"))
-    win = win.select("id", F.col("_nf_b.list_id").alias("list_id"),
-                     F.col("_nf_b.centroid_distance").alias("centroid_distance"))
-    return keyed.join(win, "id", "left")
-
-
-def _assign_block(items: DataFrame, centroids: DataFrame, metric: str, vec_col: str, d: int) -> DataFrame:
+    chunks = max(1, -(-n * d * 8 // limit))
     spark = items.sparkSession
     ship_package(spark)
-    cids, C = knn.collect_query_matrix(centroids.orderBy("list_id"), "list_id", "centroid", d)
-    payload = knn.prepare_queries(metric, C)
-    payload.update(qids=cids, d=d)
-    bc = spark.sparkContext.broadcast(payload)
-    src = items.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == d))
-    schema = T.StructType(src.schema.fields + [T.StructField("list_id", T.LongType()),
-                                                T.StructField("centroid_distance", T.DoubleType())])
-    return src.mapInArrow(_assign_kernel(bc, metric, vec_col), schema)
+    out = items.drop("list_id", "centroid_distance").where(F.col(vec_col).isNotNull() & (F.size(vec_col) == d))
+    schema = T.StructType([*out.schema.fields, T.StructField("list_id", T.LongType()), T.StructField("centroid_distance", T.DoubleType())])
+    first = True
+    for c in range(chunks):
+        part = centroids.where(F.pmod(F.col("list_id"), F.lit(chunks)) == c) if chunks > 1 else centroids
+        cids, C = knn.collect_query_matrix(part.orderBy("list_id"), "list_id", "centroid", d)
+        if len(cids):
+            payload = knn.prepare_queries(metric, C)
+            payload.update(qids=cids, d=d)
+            out = out.mapInArrow(_assign_kernel(spark.sparkContext.broadcast(payload), metric, vec_col, first), schema)
+            first = False
+    if first:
+        raise ValueError("no centroids")
+    return out
 
 
 def write_postings(assigned: DataFrame, path: str, id_col: str = "id", vec_col: str = "embedding",
@@ -175,67 +172,15 @@ def probe_lists(index: IvfIndex, queries: DataFrame, probes: int) -> DataFrame:
     return near.select("qid", F.col("rk").alias("list_rank"), F.col("id").alias("list_id"))
 
 
-def _block_kernel(k: int, metric: str, dim: int, group_cols: tuple[str, ...], schema: pa.Schema):
-    """Top-k of one block of queries over one block of a list, per group."""
-
-    def run(items: pa.Table, asked: pa.Table) -> pa.Table:
-        if not items.num_rows or not asked.num_rows:
-            return schema.empty_table()
-        def matrix(column):
-            return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-
-        X, ids = matrix(items.column("embedding")), items.column("id").to_numpy()
-        payload, qids = knn.prepare_queries(metric, matrix(asked.column("_nf_v"))), asked.column("qid").to_numpy()
-        groups = np.stack([items.column(c).to_numpy() for c in group_cols], axis=1) if group_cols else np.zeros((len(ids), 0), np.int64)
-        kinds, code = np.unique(groups, axis=0, return_inverse=True) if group_cols else (groups[:1], np.zeros(len(ids), np.int64))
-        out = {c: [] for c in schema.names}
-        for g, kind in enumerate(kinds):
-            rows = np.flatnonzero(code.reshape(-1) == g)
-            step = max(1, knn._BLOCK_BYTES // max(1, 8 * len(rows)))
-            for s in range(0, len(qids), step):
-                at = np.arange(s, min(s + step, len(qids)))
-                D = knn.nearest_distances(metric, payload, at, X[rows], k)
-                D, I = knn.select_topk(D, np.broadcast_to(ids[rows], D.shape), k)
-                real = np.isfinite(D)
-                for c, v in zip(group_cols, kind, strict=True):
-                    out[c].append(np.full(int(real.sum()), v, np.int64))
-                out["qid"].append(np.repeat(qids[at], D.shape[1]).reshape(D.shape)[real])
-                out["id"].append(I[real])
-                out["distance"].append(D[real])
-        n = sum(map(len, out["qid"]))
-        out["list_id"] = [np.full(n, items.column("list_id")[0].as_py(), np.int64)]
-        return pa.table([pa.array(np.concatenate(out[c])) for c in schema.names], schema=schema)
-
-    return run
-
-
 def routed_topk(index: IvfIndex, queries: DataFrame, probed: DataFrame, k: int, group_cols: Sequence[str] = ()) -> DataFrame:
     """Candidates (group..., list_id, qid, id, distance): top-k of every probed list's blocks.
 
-    Probes are rows (list_id, qid) that meet the stored postings by list.  A
-    list is cut into blocks of ``LIST_BLOCK`` items and its queries into blocks
-    of ``QUERY_BLOCK``, so a task holds one pair of blocks, however large a
-    list is or however many queries ask for it; lists that no query probes
-    fall out at the join with the blocks."""
-    ship_package(queries.sparkSession)
+    Probes are rows (list_id, qid) that meet the stored postings by list, in
+    bounded blocks of both (``knn.meet_in_blocks``); lists that no query
+    probes fall out at the join with the blocks."""
     dim = knn.query_stats(queries, "embedding")[1]
-    per = lambda df, size, name: df.groupBy(F.col("list_id").cast("long").alias("list_id")).agg(
-        F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    blocks = per(probed, QUERY_BLOCK, "_nf_nq").join(per(index.postings, LIST_BLOCK, "_nf_ni"), "list_id")
-    group_cols = tuple(group_cols)
-    items = knn._valid_vectors(index.postings, "embedding", dim).withColumn("list_id", F.col("list_id").cast("long")).join(blocks, "list_id")
-    items = items.select(*[F.col(c).cast("long").alias(c) for c in group_cols], "list_id", F.col("id").cast("long").alias("id"), "embedding",
-                         F.pmod(F.xxhash64("id"), "_nf_ni").cast("int").alias("_nf_i"), F.explode(F.sequence(F.lit(0), F.col("_nf_nq") - 1)).alias("_nf_q"))
-    vectors = knn._valid_vectors(queries, "embedding", dim).select(F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("_nf_v"))
-    asked = probed.select(F.col("qid").cast("long").alias("qid"), F.col("list_id").cast("long").alias("list_id")).join(vectors, "qid").join(blocks, "list_id")
-    asked = asked.select("list_id", "qid", "_nf_v", F.pmod(F.xxhash64("qid"), "_nf_nq").cast("int").alias("_nf_q"),
-                         F.explode(F.sequence(F.lit(0), F.col("_nf_ni") - 1)).alias("_nf_i"))
-    key = ["list_id", "_nf_i", "_nf_q"]
-    names = [*group_cols, "list_id", "qid", "id"]
-    schema = pa.schema([*((c, pa.int64()) for c in names), ("distance", pa.float64())])
-    kernel = _block_kernel(k, index.metric, dim, group_cols, schema)
-    ddl = ", ".join([*(f"{c} long" for c in names), "distance double"])
-    return items.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(kernel, ddl)
+    asked = probed.select("qid", "list_id").join(queries.select("qid", "embedding"), "qid")
+    return knn.meet_in_blocks(index.postings, asked, k, index.metric, dim, key=["list_id"], group_cols=group_cols)
 
 
 def search(index: IvfIndex, queries: DataFrame, k: int, probes: int, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -2,10 +2,11 @@
 
 Physical plan of ``knn_join`` (a table of queries against a table of items):
 
-1. The query side is counted and its size checked (rows x dims x 8 bytes).
+1. The query side is counted and its size checked (vectors and running top-k).
    Within ``broadcast_limit_bytes`` it is shipped once as a broadcast matrix;
-   above it, it is cut into hash chunks that each fit, and items are scanned
-   once per chunk (the items table is never shuffled or replicated).
+   above it, both tables are cut into hash blocks of bounded size, and every
+   pair of blocks meets in a task (``meet_in_blocks``); no query vector passes
+   through the driver then.  Both ways give the same rows.
 2. ``mapInArrow`` over the item scan: one matrix product per Arrow batch,
    the running top-k per query (and per group) is kept in the task and only
    k rows per query leave it.  No pair rows are ever materialised.
@@ -33,6 +34,8 @@ from nearfold.session import ship_package
 METRICS = ("cosine", "l2", "l1", "dot")
 DEFAULT_BROADCAST_LIMIT = 64 << 20  # bytes of float64 query matrix shipped per pass
 _BLOCK_BYTES = 96 << 20  # bound on one distance block inside a task
+# items, and queries of one key, that a task holds where both sides are cut into blocks
+ITEM_BLOCK, QUERY_BLOCK = 16_384, 4_096
 MERGE_SALT = 8  # groups in which a query's candidates are merged first
 TIE_DECIMALS = 12  # of distances relative to their scale: 1 for cosine, the query's length for dot
 
@@ -131,41 +134,29 @@ def nearest_distances(metric: str, P: dict, qsel, X: np.ndarray, k: int) -> np.n
 # ---------------------------------------------------------------- task kernel
 
 
-def _kernel(bc, k, metric, id_col, vec_col, group_cols, route_col):
+def _kernel(bc, k, metric, id_col, vec_col, group_cols):
     """Build the mapInArrow function; all state lives inside one task."""
 
     def run(batches):
         import pandas as pd
 
         P = bc.value
-        qids = P["qids"]
-        d = P["d"]
-        route = P.get("route")
-        per_route = route is not None and route_col in group_cols
+        qids, d = P["qids"], P["d"]
+        everyone = np.arange(len(qids))
         state: dict = {}
 
-        def slot(gkey, rv):
-            s = state.get(gkey)
-            if s is None:
-                qsel = route.get(rv, np.empty(0, np.int64)) if per_route else np.arange(len(qids))
-                s = state[gkey] = [
-                    qsel,
-                    np.full((len(qsel), k), np.inf),
-                    np.full((len(qsel), k), -1, dtype=np.int64),
-                ]
-            return s
-
-        def absorb(s, rows_q, X, ids):
-            """Merge distances of queries s[0][rows_q] to X into the slot."""
-            if len(rows_q) == 0 or len(ids) == 0:
-                return
+        def absorb(gkey, X, ids):
+            """Merge the distances of all queries to X into the group's running top-k."""
+            if gkey not in state:
+                state[gkey] = (np.full((len(qids), k), np.inf), np.full((len(qids), k), -1, dtype=np.int64))
+            Dk, Ik = state[gkey]
             step = max(1, _BLOCK_BYTES // max(1, 8 * len(ids)))
-            for a in range(0, len(rows_q), step):
-                rq = rows_q[a : a + step]
-                D = nearest_distances(metric, P, s[0][rq], X, k)
-                Dm = np.concatenate([s[1][rq], D], axis=1)
-                Im = np.concatenate([s[2][rq], np.broadcast_to(ids, D.shape)], axis=1)
-                s[1][rq], s[2][rq] = select_topk(Dm, Im, k)
+            for a in range(0, len(qids), step):
+                rq = everyone[a : a + step]
+                D = nearest_distances(metric, P, rq, X, k)
+                Dm = np.concatenate([Dk[rq], D], axis=1)
+                Im = np.concatenate([Ik[rq], np.broadcast_to(ids, D.shape)], axis=1)
+                Dk[rq], Ik[rq] = select_topk(Dm, Im, k)
 
         for rb in batches:
             if rb.num_rows == 0:
@@ -173,44 +164,60 @@ def _kernel(bc, k, metric, id_col, vec_col, group_cols, route_col):
             ids = rb.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = rb.column(vec_col).flatten().to_numpy(zero_copy_only=False)
             X = flat.astype(np.float64, copy=False).reshape(-1, d)
-            keys = list(group_cols)
-            if route is not None and route_col not in keys:
-                keys.append(route_col)
-            if not keys:
-                absorb(slot((), None), np.arange(len(qids)), X, ids)
+            if not group_cols:
+                absorb((), X, ids)
                 continue
-            kdf = pd.DataFrame({c: rb.column(c).to_numpy(zero_copy_only=False) for c in keys})
-            for kv, rows in kdf.groupby(keys, sort=False).indices.items():
+            kdf = pd.DataFrame({c: rb.column(c).to_numpy(zero_copy_only=False) for c in group_cols})
+            for kv, rows in kdf.groupby(list(group_cols), sort=False).indices.items():
                 kv = kv if isinstance(kv, tuple) else (kv,)
-                kmap = dict(zip(keys, kv))
-                gkey = tuple(int(kmap[c]) for c in group_cols)
-                rv = int(kmap[route_col]) if route is not None else None
-                s = slot(gkey, rv)
-                if route is None or per_route:
-                    rows_q = np.arange(len(s[0]))
-                else:
-                    rows_q = route.get(rv, np.empty(0, np.int64))
-                absorb(s, rows_q, X[rows], ids[rows])
-
-        cols = {c: [] for c in group_cols}
-        out_q, out_i, out_d = [], [], []
-        for gkey, (qsel, Dk, Ik) in state.items():
+                absorb(tuple(int(v) for v in kv), X[rows], ids[rows])
+
+        for gkey, (Dk, Ik) in state.items():
             m = np.isfinite(Dk)
             n = int(m.sum())
             if n == 0:
                 continue
-            out_q.append(np.repeat(qids[qsel], k).reshape(Dk.shape)[m])
-            out_i.append(Ik[m])
-            out_d.append(Dk[m])
-            for c, v in zip(group_cols, gkey):
-                cols[c].append(np.full(n, v, dtype=np.int64))
-        if not out_q:
-            return
-        arrays = {c: pa.array(np.concatenate(v)) for c, v in cols.items()}
-        arrays["qid"] = pa.array(np.concatenate(out_q))
-        arrays["id"] = pa.array(np.concatenate(out_i))
-        arrays["distance"] = pa.array(np.concatenate(out_d))
-        yield pa.RecordBatch.from_pydict(arrays)
+            arrays = {c: pa.array(np.full(n, v, dtype=np.int64)) for c, v in zip(group_cols, gkey, strict=True)}
+            arrays["qid"] = pa.array(np.repeat(qids, k).reshape(Dk.shape)[m])
+            arrays["id"] = pa.array(Ik[m])
+            arrays["distance"] = pa.array(Dk[m])
+            yield pa.RecordBatch.from_pydict(arrays)
+
+    return run
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _block_kernel(k: int, metric: str, dim: int, key: tuple[str, ...], group_cols: tuple[str, ...], schema: pa.Schema):
+    """Top-k of one block of queries over one block of items, per group."""
+
+    def run(items: pa.Table, asked: pa.Table) -> pa.Table:
+        if not items.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        X, ids = _matrix(items.column("embedding"), dim), items.column("id").to_numpy()
+        payload, qids = prepare_queries(metric, _matrix(asked.column("_nf_v"), dim)), asked.column("qid").to_numpy()
+        groups = np.stack([items.column(c).to_numpy() for c in group_cols], axis=1) if group_cols else np.zeros((len(ids), 0), np.int64)
+        kinds, code = np.unique(groups, axis=0, return_inverse=True) if group_cols else (groups[:1], np.zeros(len(ids), np.int64))
+        out = {c: [] for c in schema.names}
+        for g, kind in enumerate(kinds):
+            rows = np.flatnonzero(code.reshape(-1) == g)
+            step = max(1, _BLOCK_BYTES // max(1, 8 * len(rows)))
+            for s in range(0, len(qids), step):
+                at = np.arange(s, min(s + step, len(qids)))
+                D = nearest_distances(metric, payload, at, X[rows], k)
+                D, I = select_topk(D, np.broadcast_to(ids[rows], D.shape), k)
+                real = np.isfinite(D)
+                for c, v in zip(group_cols, kind, strict=True):
+                    out[c].append(np.full(int(real.sum()), v, np.int64))
+                out["qid"].append(np.repeat(qids[at], D.shape[1]).reshape(D.shape)[real])
+                out["id"].append(I[real])
+                out["distance"].append(D[real])
+        n = sum(map(len, out["qid"]))
+        for c in key:
+            out[c] = [np.full(n, items.column(c)[0].as_py(), np.int64)]
+        return pa.table([pa.array(np.concatenate(out[c])) for c in schema.names], schema=schema)
 
     return run
 
@@ -309,24 +316,6 @@ def misfits(queries: DataFrame, vec: str = "embedding") -> DataFrame:
     return queries.withColumn("reason", why).where(F.col("reason").isNotNull())
 
 
-def query_chunks(queries: DataFrame, qid: str = "qid", vec: str = "embedding", limit: int | None = None,
-                 level: int = 0) -> list[DataFrame]:
-    """Split a query table into hash chunks whose float64 matrices each fit one
-    broadcast of ``limit`` bytes; a chunk still over the limit (hash skew on
-    small tables) is split again with a new hash seed."""
-    limit = limit or DEFAULT_BROADCAST_LIMIT
-    n, d = query_stats(queries, vec)
-    c = -(-n * max(d, 1) * 8 // limit)
-    if c <= 1:
-        return [queries]
-    c = max(2, c)
-    out = []
-    for i in range(c):
-        part = queries.where(F.pmod(F.xxhash64(F.col(qid), F.lit(level)), F.lit(c)) == i)
-        out.extend(query_chunks(part, qid, vec, limit, level + 1))
-    return out
-
-
 def merge_topk(
     cands: DataFrame,
     keys: Sequence[str],
@@ -358,19 +347,15 @@ def block_candidates(
     id_col: str = "id",
     vec_col: str = "embedding",
     group_cols: Sequence[str] = (),
-    route: dict | None = None,
-    route_col: str | None = None,
 ) -> DataFrame:
     """Per-task top-k candidates of ``items`` for an in-memory query block."""
     spark = items.sparkSession
     ship_package(spark)
     d = Q.shape[1]
     payload = prepare_queries(metric, Q)
-    payload.update(qids=np.asarray(qids, dtype=np.int64), d=d, route=route)
+    payload.update(qids=np.asarray(qids, dtype=np.int64), d=d)
     bc = spark.sparkContext.broadcast(payload)
     cols = [F.col(c).cast("long").alias(c) for c in group_cols]
-    if route_col is not None and route_col not in group_cols:
-        cols.append(F.col(route_col).cast("long").alias(route_col))
     src = _valid_vectors(items, vec_col, d).select(
         *cols, F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("embedding")
     )
@@ -380,7 +365,7 @@ def block_candidates(
         T.StructField("id", T.LongType()),
         T.StructField("distance", T.DoubleType()),
     ]
-    fn = _kernel(bc, k, metric, "id", "embedding", tuple(group_cols), route_col)
+    fn = _kernel(bc, k, metric, "id", "embedding", tuple(group_cols))
     return src.mapInArrow(fn, T.StructType(fields))
 
 
@@ -403,37 +388,57 @@ def knn_join(
     if k <= 0:
         raise ValueError("k must be positive")
     n, d = query_stats(queries, query_vec)
-    q = queries.select(query_id, query_vec)
-    if d:
-        q = _valid_vectors(q, query_vec, d)
-    parts = []
-    fits = n * max(d, 1) * 8 <= broadcast_limit_bytes
-    blocks = [] if n == 0 else [q] if fits else query_chunks(q, query_id, query_vec, broadcast_limit_bytes)
-    for qc in blocks:
-        qids, Q = collect_query_matrix(qc, query_id, query_vec, d)
-        if len(qids) == 0:
-            continue
-        parts.append(
-            block_candidates(items, qids, Q, k, metric, id_col=item_id, vec_col=item_vec, group_cols=group_cols)
-        )
-    schema = T.StructType(
-        [T.StructField(c, T.LongType()) for c in group_cols]
-        + [
-            T.StructField("qid", T.LongType()),
-            T.StructField("id", T.LongType()),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-    if not parts:
-        empty = items.sparkSession.createDataFrame([], schema)
-        return empty.withColumn("rk", F.lit(1)).select(*group_cols, "qid", "rk", "id", "distance")
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+    if not d:
+        fields = [T.StructField(c, T.LongType()) for c in (*group_cols, "qid", "rk", "id")]
+        return items.sparkSession.createDataFrame([], T.StructType([*fields, T.StructField("distance", T.DoubleType())]))
+    q = _valid_vectors(queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("embedding")), "embedding", d)
+    # a task keeps the queries and, for each, k distances and ids
+    if n * (d + 2 * k) * 8 <= broadcast_limit_bytes:
+        qids, Q = collect_query_matrix(q, "qid", "embedding", d)
+        cands = block_candidates(items, qids, Q, k, metric, id_col=item_id, vec_col=item_vec, group_cols=group_cols)
+    else:
+        rows = items.select(*group_cols, F.col(item_id).alias("id"), F.col(item_vec).alias("embedding"))
+        per_block = max(1, broadcast_limit_bytes // ((d + 2 * k) * 8))
+        cands = meet_in_blocks(rows, q, k, metric, d, group_cols=group_cols, query_block=per_block)
     out = merge_topk(cands, [*group_cols, "qid"], k, salt_buckets=MERGE_SALT)
     return out.select(*group_cols, "qid", "rk", "id", "distance")
 
 
+def meet_in_blocks(items: DataFrame, asked: DataFrame, k: int, metric: str, dim: int, key: Sequence[str] = (),
+                   group_cols: Sequence[str] = (), item_block: int | None = None, query_block: int | None = None) -> DataFrame:
+    """Candidates (group..., key..., qid, id, distance): top-k of every query over blocks of the items of its key.
+
+    ``items``: key..., group..., ``id, embedding``; ``asked``: key..., ``qid, embedding``.
+    Items of one key are cut into blocks of ``item_block`` rows and its queries
+    into blocks of ``query_block``; a task holds one pair of blocks, however
+    many rows a key has.  Without a key all items meet all queries.  Nothing
+    passes through the driver; the broadcast has one row per key."""
+    ship_package(items.sparkSession)
+    key, group_cols = tuple(key), tuple(group_cols)
+    key_of = [F.col(c).cast("long").alias(c) for c in key]
+    sizes = {"_nf_nq": (asked, query_block or QUERY_BLOCK), "_nf_ni": (items, item_block or ITEM_BLOCK)}
+    if key:
+        per = [df.groupBy(*key_of).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(c)) for c, (df, size) in sizes.items()]
+        blocks = F.broadcast(per[0].join(per[1], list(key)))
+        sized = lambda df: df.join(blocks, list(key))
+    else:
+        number = {c: F.lit(max(1, -(-df.count() // size))) for c, (df, size) in sizes.items()}
+        sized = lambda df: df.withColumns(number)
+    left = _valid_vectors(items, "embedding", dim).select(
+        *key_of, *[F.col(c).cast("long").alias(c) for c in group_cols], F.col("id").cast("long").alias("id"), "embedding")
+    left = sized(left).withColumn("_nf_i", F.pmod(F.xxhash64("id"), "_nf_ni").cast("int")).withColumn(
+        "_nf_q", F.explode(F.sequence(F.lit(0), F.col("_nf_nq") - 1))).drop("_nf_ni", "_nf_nq")
+    right = _valid_vectors(asked, "embedding", dim).select(*key_of, F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("_nf_v"))
+    right = sized(right).withColumn("_nf_q", F.pmod(F.xxhash64("qid"), "_nf_nq").cast("int")).withColumn(
+        "_nf_i", F.explode(F.sequence(F.lit(0), F.col("_nf_ni") - 1))).drop("_nf_ni", "_nf_nq")
+    names = [*group_cols, *key, "qid", "id"]
+    schema = pa.schema([*((c, pa.int64()) for c in names), ("distance", pa.float64())])
+    kernel = _block_kernel(k, metric, dim, key, group_cols, schema)
+    ddl = ", ".join([*(f"{c} long" for c in names), "distance double"])
+    cell = [*key, "_nf_i", "_nf_q"]
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(kernel, ddl)
+
+
 def knn_single(items: DataFrame, query: Sequence[float], k: int, metric: str = "l2",
                id_col: str = "id", vec_col: str = "embedding", with_vector: bool = False) -> DataFrame:
     """``ORDER BY embedding <op> q LIMIT k`` for one query vector (K1/K2): (id[, embedding], distance).

@@ -73,8 +73,8 @@ def permuted(pool: DataFrame) -> DataFrame:
 def tier_slice(perm: DataFrame, sizes: list[int]) -> DataFrame:
     """Nested tiers: (tier, id, pool_pos, text), ids 0..n-1 in pool order."""
     arr = F.array(*[F.lit(int(t)) for t in sizes])
-    exploded = perm.withColumn("tier", F.explode(F.filter(arr, lambda t: t > F.col("perm_rank"))))
-    return dense_index(exploded, ["pool_pos"], "id", partition_cols=["tier"])
+    keys = perm.select("pool_pos", F.explode(F.filter(arr, lambda t: t > F.col("perm_rank"))).alias("tier"))
+    return dense_index(keys, ["pool_pos"], "id", partition_cols=["tier"]).join(perm, "pool_pos")
 
 
 def query_slice(perm: DataFrame, start: int, count: int | None = None) -> DataFrame:

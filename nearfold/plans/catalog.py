@@ -422,12 +422,7 @@ def q_recall_curve(spark, sf_dir):
 
 def q_sweep_grid(spark, sf_dir):
     """Parameter cells of both index families for this table."""
-    sp = splits(spark, sf_dir)
-    graph = [("graph", m, efc, efs, None, None, None) for m, efc, efs in ST.graph_grid()]
-    lists = [("ivf", None, None, None, L, p, min(p, L)) for L in ivf.lists_grid(sp.n_base) for p in ST.PROBES]
-    schema = "index_type string, m long, ef_construction long, ef_search long, lists long, probes long, effective_probes long"
-    cells = spark.createDataFrame(graph + lists, schema)
-    return cells.withColumn("n_rows", F.lit(sp.n_base).cast("long"))
+    return ST.sweep_cells(splits(spark, sf_dir).base)
 
 
 def q_degradation_curve_pivot(spark, sf_dir):
@@ -513,12 +508,11 @@ def q_pk_violations(spark, sf_dir):
 
 
 def q_append_range(spark, sf_dir):
-    """Two ranged appends of the insert pool with id offset."""
+    """Ranged appends of the insert pool with id offset, one for each checkpoint."""
     sp = splits(spark, sf_dir)
     path = _items_table(spark, sp, "append")
-    c1, c2 = sp.checkpoints[:2]
-    TB.append(_ins(sp, 0, c1), path)
-    TB.append(_ins(sp, c1, c2), path)
+    for lo, hi in zip([0, *sp.checkpoints], sp.checkpoints):
+        TB.append(_ins(sp, lo, hi), path)
     return spark.read.parquet(path).select("id", "pool_pos")
 
 
@@ -526,10 +520,10 @@ def q_append_resume(spark, sf_dir):
     """An interrupted append resumed by anti join: every key exactly once."""
     sp = splits(spark, sf_dir)
     path = _items_table(spark, sp, "resume")
-    c1, c2 = sp.checkpoints[:2]
-    TB.append(_ins(sp, 0, c1), path)  # the run that stopped early
-    TB.append_missing(spark, _ins(sp, 0, c2), path)
-    TB.append_missing(spark, _ins(sp, 0, c2), path)  # resuming twice adds nothing
+    last = sp.checkpoints[-1]
+    TB.append(_ins(sp, 0, sp.checkpoints[0]), path)  # the run that stopped early
+    TB.append_missing(spark, _ins(sp, 0, last), path)
+    TB.append_missing(spark, _ins(sp, 0, last), path)  # resuming twice adds nothing
     back = spark.read.parquet(path)
     return back.groupBy("id").agg(F.count(F.lit(1)).alias("n_copies"))
 
@@ -663,25 +657,6 @@ def q_stream_lookup(spark, sf_dir):
     return _long(_round(out), "rk")
 
 
-def q_stream_mixed_workload(spark, sf_dir):
-    """Lookups and inserts as two concurrent streams; every lookup batch sees the
-    inserts committed before it (ST1 + ST2).  Rows-only: visibility depends on timing."""
-    sp = splits(spark, sf_dir)
-    d = STR.scratch(spark, "mixed")
-    root = d["landing"]
-    lists = ivf.lists_for(sp.n_base)
-    cents = ivf.pivot_centroids(ST.perm_base(sp), lists)
-    base_index = scratch_path(spark, "mixed_index")
-    ivf.build(sp.base.select("id", "embedding"), cents, lists, path=base_index)
-    STR.land_files(sp.inserts.select("seq", "embedding"), f"{root}/inserts", "seq", STREAM_FILES)
-    STR.land_files(sp.queries.select("qid", "embedding"), f"{root}/queries", "qid", STREAM_FILES)
-    STR.mixed(spark, f"{root}/inserts", spark.read.parquet(f"{root}/inserts").schema, f"{root}/queries",
-              spark.read.parquet(f"{root}/queries").schema, base_index, cents, lists, d["out"] + "/postings",
-              d["out"] + "/lookups", d["checkpoint"], INSERT_ID_OFFSET, sp.n_ins, K, PIVOT_PROBES)
-    out = spark.read.parquet(d["out"] + "/lookups")
-    return _long(_round(out.select("qid", "rk", "id", "distance", "epoch", "visible_inserts")), "rk")
-
-
 def q_stream_workload_windows(spark, sf_dir):
     """Operation log as a stream: 1-minute watermark, 60 s windows per profile (ST3)."""
     d = STR.scratch(spark, "windows")
@@ -717,6 +692,36 @@ def q_embed_pool_batched(spark, sf_dir):
     return _embedding_summary(EM.embed_batches(t, "text", EM.numpy_hashed_encoder(), EM.DIM))
 
 
+def q_text_items(spark, sf_dir):
+    """Vectors of every sentence tier, the queries and the inserts, from one stored embedding pass."""
+    c = corpus(spark, sf_dir)
+    rows = c.parts().join(c.vectors, "pool_pos")
+    return _round(rows.select("part", "id", "pool_pos", *EM.embedding_checksum("embedding")), "norm", "checksum")
+
+
+def _text_queries(c):
+    return c.queries().select("qid", "pool_pos").join(c.vectors, "pool_pos").select("qid", "embedding")
+
+
+def q_text_ground_truth(spark, sf_dir):
+    """Exact cosine top-10 of the held-out sentences in every sentence tier (K4, S6): written once, read back."""
+    c = corpus(spark, sf_dir)
+    base = c.perm.where(F.col("perm_rank") < c.max_tier).select("pool_pos", "perm_rank").join(c.vectors, "pool_pos")
+    path = scratch_path(spark, "text_ground_truth")
+    GT.tier_ground_truth(base, c.tiers(), c.tier_sizes, _text_queries(c), K).write.partitionBy("tier").parquet(path)
+    return _long(_round(spark.read.parquet(path)), "tier")
+
+
+def q_text_knn(spark, sf_dir):
+    """Top-10 of the held-out sentences through the lists of the largest sentence tier, all probed."""
+    c = corpus(spark, sf_dir)
+    items = c.tiers().where(F.col("tier") == c.max_tier).select("id", "pool_pos").join(c.vectors, "pool_pos")
+    lists = ivf.lists_for(c.max_tier)
+    cents = ivf.pivot_centroids(items.join(c.perm.select("pool_pos", "perm_rank"), "pool_pos"), lists)
+    idx = ivf.build(items.select("id", "embedding"), cents, lists)
+    return _long(_round(ivf.search(idx, _text_queries(c), K, lists)), "rk")
+
+
 # ------------------------------------------------------------------ neighbour graph
 
 # Smallest valid cell of the reference grid, and its default beam.
@@ -851,6 +856,10 @@ def queries() -> dict[str, Query]:
         # embedding stage
         "embed_pool": q_embed_pool,
         "embed_pool_batched": q_embed_pool_batched,
+        # corpus to search
+        "text_items": q_text_items,
+        "text_ground_truth": q_text_ground_truth,
+        "text_knn": q_text_knn,
         # neighbour graph
         "graph_edges": q_graph_edges,
         "graph_search": q_graph_search,
@@ -861,6 +870,5 @@ def queries() -> dict[str, Query]:
         "stream_ingest": q_stream_ingest,
         "stream_lookup": q_stream_lookup,
         "stream_cyclic_ingest": q_stream_cyclic_ingest,
-        "stream_mixed_workload": q_stream_mixed_workload,
         "stream_workload_windows": q_stream_workload_windows,
     }

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfold.operators import embed as EM
 from nearfold.operators import sampling as S
 from nearfold.session import path_exists, scratch_path
 from nearfold.sources import fixtures
@@ -35,6 +36,7 @@ class Corpus:
     numbered: DataFrame  # doc_id, pos, text, n_chars, pool_pos (all sentences)
     perm: DataFrame  # pool rows + perm_rank
     staged_tiers: DataFrame  # tier, id, pool_pos, text
+    root: str
 
     @property
     def pool(self) -> DataFrame:
@@ -52,6 +54,23 @@ class Corpus:
     def max_tier(self) -> int:
         return S.max_tier(self.pool_rows)
 
+    @property
+    def vectors(self) -> DataFrame:
+        """(pool_pos, embedding) of every sentence: embedded once, stored, read by all parts."""
+        texts = self.numbered.select("pool_pos", "text")
+        encode = EM.numpy_hashed_encoder()
+        return staged(
+            self.numbered.sparkSession, f"{self.root}/vectors", lambda: EM.embed_batches(texts, "text", encode, EM.DIM, ("pool_pos",))
+        )
+
+    def parts(self) -> DataFrame:
+        """(part, id, pool_pos) of every tier, the queries and the inserts."""
+        return (
+            self.tiers().select(F.concat(F.lit("tier_"), F.col("tier").cast("string")).alias("part"), "id", "pool_pos")
+            .unionByName(self.queries().select(F.lit("queries").alias("part"), F.col("qid").alias("id"), "pool_pos"))
+            .unionByName(self.inserts.select(F.lit("inserts").alias("part"), F.col("seq").alias("id"), "pool_pos"))
+        )
+
     def tiers(self) -> DataFrame:
         return self.staged_tiers
 
@@ -60,10 +79,11 @@ class Corpus:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    files = fixtures.fingerprint(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, sf_dir, files)
     if key in _MEMO:
         return _MEMO[key]
-    root = scratch_path(spark, "corpus", hashlib.sha1(sf_dir.encode()).hexdigest()[:12], fresh=False)
+    root = scratch_path(spark, "corpus", hashlib.sha1(f"{sf_dir}:{files}".encode()).hexdigest()[:12], fresh=False)
     docs = fixtures.load(spark, sf_dir, "documents").select("doc_id", "text")
     numbered = staged(spark, f"{root}/numbered", lambda: S.numbered(S.sentences(docs)))
     n = numbered.count()
@@ -79,5 +99,5 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
         f"{root}/tiers",
         lambda: S.tier_slice(perm, sizes).select("tier", "id", "pool_pos", "text").repartitionByRange("tier", "id"),
     )
-    c = _MEMO[key] = Corpus(n, pool_rows, numbered, perm, tiers)
+    c = _MEMO[key] = Corpus(n, pool_rows, numbered, perm, tiers, root)
     return c

@@ -233,17 +233,31 @@ FROM (SELECT ci, qid, recall, 'no_rebuild' AS phase FROM drec UNION ALL SELECT c
 GROUP BY ci, phase, sz.nb"""
 
 
-EMBED = r"""etoks AS (
-  SELECT id, list_transform(list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda t: t <> ''),
-    lambda t: {'b': CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 64,
-               's': CASE WHEN CAST(('0x' || substr(md5(t), 9, 1)) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END}) AS toks
-  FROM stiers, mt WHERE tier = mt.mt),
+def embed_cte(src: str) -> str:
+    """``vec (id, embedding)`` from ``src (id, text)``."""
+    return rf"""etoks AS (
+  SELECT id, list_transform(list_filter(string_split_regex(text, '[^\p{{L}}\p{{N}}]+'), lambda t: t <> ''),
+    lambda t: {{'b': CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 64,
+               's': CASE WHEN CAST(('0x' || substr(md5(t), 9, 1)) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END}}) AS toks
+  FROM ({src})),
 eraw AS (SELECT id, list_transform(range(64), lambda i: coalesce(list_sum(list_transform(toks,
     lambda x: CASE WHEN x.b = i THEN x.s ELSE 0.0 END)), 0.0)) AS raw FROM etoks),
-vec AS (SELECT id, list_transform(raw, lambda x: CAST(CASE WHEN n > 0 THEN x / n ELSE 0.0 END AS FLOAT)) AS embedding
+vec AS MATERIALIZED (SELECT id, list_transform(raw, lambda x: CAST(CASE WHEN n > 0 THEN x / n ELSE 0.0 END AS FLOAT)) AS embedding
   FROM (SELECT id, raw, sqrt(list_sum(list_transform(raw, lambda x: x * x))) AS n FROM eraw))"""
 
 
+EMBED = embed_cte("SELECT id, text FROM stiers, mt WHERE tier = mt.mt")
+# every sentence once, by pool position; unit vectors as fixed-size arrays for the pair products
+TEXT_VEC = embed_cte("SELECT pool_pos AS id, text FROM numbered")
+TEXT_UNIT = f"""unit AS MATERIALIZED (
+  SELECT id, CAST(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / {norm('embedding')}) AS DOUBLE[64]) AS u
+  FROM vec WHERE {norm('embedding')} > 0),
+uq AS MATERIALIZED (SELECT q.qid, u.u FROM squeries q JOIN unit u ON u.id = q.pool_pos),
+ui AS MATERIALIZED (SELECT t.tier, t.id, t.pool_pos, u.u FROM stiers t JOIN unit u ON u.id = t.pool_pos)"""
+# equal up to rounding noise is a tie, which goes to the smaller id
+TEXT_PAIR = "round(1 - array_inner_product(q.u, t.u), 12)"
+
+
 def scaling_sql(p: int) -> str:
     """Per tier: pivot lists by the sqrt rule, probes min(p, lists), recall@10 vs the tier's exact top-10."""
     tl = """tl AS (SELECT DISTINCT tier, CAST(round(sqrt(tier)) AS BIGINT) AS lists FROM tiers),
@@ -405,9 +419,9 @@ FROM tiers GROUP BY tier"""
     s["pk_violations"] = with_(PERM, INSERTS) + """SELECT 800000000 + seq AS id, CAST(2 AS BIGINT) AS n_copies
 FROM ins, sz WHERE seq < sz.nb * 10 // 100"""
     s["append_range"] = with_(PERM, BASE, INSERTS) + """SELECT id, pool_pos FROM base
-UNION ALL SELECT 800000000 + seq, pool_pos FROM ins, sz WHERE seq < sz.nb * 20 // 100"""
+UNION ALL SELECT 800000000 + seq, pool_pos FROM ins, sz WHERE seq < sz.nb * 50 // 100"""
     s["append_resume"] = with_(PERM, BASE, INSERTS) + """SELECT id, CAST(1 AS BIGINT) AS n_copies FROM base
-UNION ALL SELECT 800000000 + seq, 1 FROM ins, sz WHERE seq < sz.nb * 20 // 100"""
+UNION ALL SELECT 800000000 + seq, 1 FROM ins, sz WHERE seq < sz.nb * 50 // 100"""
     s["delete_range"] = with_(PERM, BASE) + "SELECT id, pool_pos FROM base"
     s["table_state"] = with_(PERM, BASE, INSERTS, CPS) + """SELECT ci AS cumulative_inserts,
   (SELECT count(*) FROM base) + (SELECT count(*) FROM ins WHERE seq < ci) AS n_rows,
@@ -438,4 +452,15 @@ HAVING window_start + INTERVAL 60 second <= (SELECT max(ts) FROM events) - INTER
   {r6("list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i))")} AS checksum,
   len(list_filter(embedding, lambda x: x <> 0)) AS n_nonzero FROM vec"""
     s["embed_pool_batched"] = s["embed_pool"]
+    # corpus to search
+    s["text_items"] = with_(*SENT_ALL, TEXT_VEC) + f"""SELECT part, p.id, p.pool_pos, len(embedding) AS dims,
+  {r6(norm('embedding'))} AS norm, {r6("list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i))")} AS checksum,
+  len(list_filter(embedding, lambda x: x <> 0)) AS n_nonzero FROM (
+  SELECT 'tier_' || CAST(tier AS VARCHAR) AS part, id, pool_pos FROM stiers
+  UNION ALL SELECT 'queries', qid, pool_pos FROM squeries
+  UNION ALL SELECT 'inserts', seq, pool_pos FROM sinserts) p JOIN vec ON vec.id = p.pool_pos"""
+    s["text_ground_truth"] = with_(*SENT_ALL, TEXT_VEC, TEXT_UNIT) + f"""SELECT tier, qid, rk, id, pool_pos, {r6('distance')} AS distance
+FROM {topk_of(f"(SELECT t.tier, q.qid, t.id, t.pool_pos, {TEXT_PAIR} AS distance FROM ui t, uq q)", "tier, qid", 10)}"""
+    s["text_knn"] = with_(*SENT_ALL, TEXT_VEC, TEXT_UNIT) + f"""SELECT qid, rk, id, {r6('distance')} AS distance
+FROM {topk_of(f"(SELECT q.qid, t.id, {TEXT_PAIR} AS distance FROM ui t JOIN mt ON t.tier = mt.mt, uq q)", "qid", 10)}"""
     return s

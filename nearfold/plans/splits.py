@@ -40,8 +40,9 @@ def permutation_key(pos_col: str = "pool_pos"):
 
 def permute(df: DataFrame, pos_col: str = "pool_pos", rank_col: str = "perm_rank") -> DataFrame:
     """Add the 0-based permutation rank (T6): rank of the md5 key, ties by position."""
-    keyed = df.withColumn("_nf_pkey", permutation_key(pos_col))
-    return dense_index(keyed, ["_nf_pkey", pos_col], rank_col).drop("_nf_pkey")
+    keys = df.select(pos_col, permutation_key(pos_col).alias("_nf_pkey"))
+    ranks = dense_index(keys, ["_nf_pkey", pos_col], rank_col).drop("_nf_pkey")
+    return df.join(ranks, pos_col)  # only keys are sorted; the rows move once
 
 
 @dataclass
@@ -97,18 +98,19 @@ def tier_slices(perm: DataFrame, tier_sizes: list[int]) -> DataFrame:
     """All nested tiers at once (T7): a row joins every tier whose size exceeds
     its rank; ids restart at 0 in each tier, in pool order."""
     arr = F.array(*[F.lit(int(t)) for t in tier_sizes])
-    exploded = perm.withColumn("tier", F.explode(F.filter(arr, lambda t: t > F.col("perm_rank"))))
-    return dense_index(exploded, ["pool_pos"], "id", partition_cols=["tier"])
+    keys = perm.select("pool_pos", F.explode(F.filter(arr, lambda t: t > F.col("perm_rank"))).alias("tier"))
+    return dense_index(keys, ["pool_pos"], "id", partition_cols=["tier"]).join(perm, "pool_pos")
 
 
 def splits(spark: SparkSession, sf_dir: str) -> Splits:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    files = fixtures.fingerprint(spark, sf_dir, "embeddings")
+    key = (spark.sparkContext.applicationId, sf_dir, files)
     if key in _MEMO:
         return _MEMO[key]
     pool = fixtures.vectors(spark, sf_dir)
     n = pool.count()
     n_base, n_ins, n_q = sizes(n)
-    tag = hashlib.sha1(f"{sf_dir}:{n}".encode()).hexdigest()[:12]
+    tag = hashlib.sha1(f"{sf_dir}:{files}".encode()).hexdigest()[:12]
     root = scratch_path(spark, "splits", tag, fresh=False)
     perm_path, tiers_path = f"{root}/perm", f"{root}/tiers"
     if not path_exists(spark, perm_path):

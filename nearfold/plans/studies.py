@@ -37,6 +37,29 @@ def graph_grid() -> list[tuple[int, int, int]]:
     ]
 
 
+def sweep_cells(items: DataFrame) -> DataFrame:
+    """The cells of both families for a table, derived from its row count by Spark."""
+    fixed = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    n = items.agg(F.count(F.lit(1)).alias("n_rows"))
+    none = F.lit(None).cast("long")
+    graph = (
+        n.withColumn("m", F.explode(fixed(GRAPH_M)))
+        .withColumn("ef_construction", F.explode(fixed(GRAPH_EF_CONSTRUCTION)))
+        .where(F.col("ef_construction") >= 2 * F.col("m"))
+        .withColumn("ef_search", F.explode(fixed(GRAPH_EF_SEARCH)))
+        .select(F.lit("graph").alias("index_type"), "m", "ef_construction", "ef_search", none.alias("lists"),
+                none.alias("probes"), none.alias("effective_probes"), "n_rows")
+    )
+    rule = F.greatest(F.lit(1), F.bround(F.sqrt("n_rows"), 0).cast("long"))
+    grid = F.array_distinct(F.array(F.greatest(F.lit(1), F.floor(rule / 2)), rule, 2 * rule))
+    lists = (
+        n.withColumn("lists", F.explode(grid)).withColumn("probes", F.explode(fixed(PROBES)))
+        .select(F.lit("ivf").alias("index_type"), none.alias("m"), none.alias("ef_construction"), none.alias("ef_search"),
+                "lists", "probes", F.least("probes", "lists").alias("effective_probes"), "n_rows")
+    )
+    return graph.unionByName(lists)
+
+
 def check_graph_params(m: int, ef_construction: int) -> None:
     if ef_construction < 2 * m:
         raise ValueError(f"ef_construction={ef_construction} < 2*m={2 * m}")

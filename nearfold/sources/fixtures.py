@@ -21,6 +21,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def fingerprint(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Names, lengths and times of a table's files as one hash: replaced data gets a new one.
+
+    Reads the file listing only, not the contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(table_path(sf_dir, name))
+    one = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("x")).first()
+    return f"{row['n']}-{(row['x'] or 0) & (1 << 64) - 1:016x}"
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector pool: ``pool_pos`` (= ``vec_id``), ``embedding``, ``label``."""
     return load(spark, sf_dir, "embeddings").select(

@@ -12,7 +12,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,50 +111,6 @@ def lookups(spark: SparkSession, landing: str, schema, index_path: str, centroid
     return q
 
 
-def mixed(spark: SparkSession, insert_landing: str, insert_schema, query_landing: str, query_schema,
-          base_index: str, centroids: DataFrame, lists: int, ingest_out: str, lookup_out: str, checkpoints: str,
-          offset: int, pool_size: int, k: int, probes: int):
-    """ST1 + ST2 at once: an ingest stream appends postings while a lookup
-    stream answers queries.  Each lookup micro-batch searches the base postings
-    plus the ingested postings committed so far (the sink's metadata log lists
-    committed files only), so it always reads a consistent snapshot."""
-    stream = spark.readStream.schema(insert_schema).option("maxFilesPerTrigger", 1).parquet(insert_landing)
-    rows = stream.select((F.lit(offset) + F.col("seq")).alias("id"),
-                         F.pmod(F.col("seq"), F.lit(pool_size)).alias("vec_ix"), "embedding")
-    assigned = ivf.assign(rows, centroids).select("list_id", "id", "embedding")
-    writer = (assigned.writeStream.format("parquet").option("checkpointLocation", f"{checkpoints}/ingest")
-              .partitionBy("list_id").trigger(availableNow=True).start(ingest_out))
-
-    def search_batch(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        post = spark.read.parquet(base_index).select("list_id", "id", "embedding")
-        visible_inserts = 0
-        if _has_commits(spark, ingest_out):
-            ingested = spark.read.parquet(ingest_out).select("list_id", "id", "embedding")
-            visible_inserts = ingested.count()
-            post = post.unionByName(ingested)
-        idx = ivf.IvfIndex(centroids, post, lists, "cosine")
-        res = ivf.search(idx, batch.select("qid", "embedding"), k, probes)
-        res.withColumn("visible_inserts", F.lit(visible_inserts).cast("long")).write.mode("overwrite").parquet(
-            f"{lookup_out}/epoch={epoch_id}")
-
-    queries = spark.readStream.schema(query_schema).option("maxFilesPerTrigger", 1).parquet(query_landing)
-    reader = (queries.writeStream.foreachBatch(search_batch).option("checkpointLocation", f"{checkpoints}/lookup")
-              .trigger(availableNow=True).start())
-    writer.awaitTermination()
-    reader.awaitTermination()
-
-
-def _has_commits(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.schema("id long").parquet(path).inputFiles())
-    except AnalysisException as e:  # nothing committed yet
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-
-
 def to_event_time(col: str = "ts"):
     """TIMESTAMP_NTZ -> TIMESTAMP at the same epoch micros, independent of the session zone."""
     return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, {col})"))

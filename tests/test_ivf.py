@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from nearfold.operators import ivf, metrics
+from nearfold.operators import ivf, knn, metrics
 from nearfold.plans import studies as ST
 from nearfold.plans.splits import splits
 
@@ -57,8 +57,8 @@ def test_lists_rule():
 def test_small_blocks_match_whole_lists(sp, monkeypatch):
     idx = ST.pivot_index(sp)
     one = ivf.search(idx, sp.queries, 10, 4).orderBy("qid", "rk").collect()
-    monkeypatch.setattr(ivf, "LIST_BLOCK", 5)
-    monkeypatch.setattr(ivf, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(knn, "ITEM_BLOCK", 5)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 3)
     many = ivf.search(idx, sp.queries, 10, 4).orderBy("qid", "rk").collect()
     assert one == many
 
@@ -85,10 +85,17 @@ def test_chunked_centroids_assign_like_one_broadcast(sp):
     assert sorted((r["id"], r["list_id"]) for r in chunked.collect()) == one
 
 
+def test_repeated_ids_keep_their_own_lists_over_several_broadcasts(spark):
+    items = spark.createDataFrame([(7, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [0.0, 0.0])], "id long, embedding array<float>")
+    cents = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (5, [0.0, 2.0])], "list_id long, centroid array<float>")
+    for limit in (1 << 20, 16):
+        rows = sorted((r["id"], r["list_id"]) for r in ivf.assign(items, cents, limit=limit).where("id = 7").collect())
+        assert rows == [(7, 0), (7, 1)]
+        assert ivf.assign(items, cents, limit=limit).where("id = 8").first()["list_id"] is None
+
+
 def test_returned_distances_equal_recomputed(sp):
     from nearfold.functions import vectors as V
-    from nearfold.operators import knn
-
     idx = ST.pivot_index(sp)
     items = sp.base.select("id", F.col("embedding").alias("x"))
     q = sp.queries.select("qid", F.col("embedding").alias("q"))

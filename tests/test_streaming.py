@@ -36,18 +36,14 @@ def test_window_report_emits_only_closed_windows(spark):
     assert out.groupBy("window_start", "profile").count().where("count > 1").count() == 0
 
 
-def test_concurrent_lookups_see_committed_inserts_only(spark):
-    from nearfold.plans.catalog import q_stream_mixed_workload
-
+def test_ingest_over_several_centroid_broadcasts_and_repeated_lookup_batch(spark, monkeypatch):
     sp = splits(spark, "/root/testdata/sf0.001")
-    out = q_stream_mixed_workload(spark, "/root/testdata/sf0.001")
-    rows = out.collect()
-    per_q = {}
-    for r in rows:
-        per_q.setdefault(r["qid"], []).append(r)
-    assert sorted(per_q) == list(range(sp.n_q)) and all(len(v) == 10 for v in per_q.values())
-    by_epoch = sorted({(r["epoch"], r["visible_inserts"]) for r in rows})
-    vis = [v for _, v in by_epoch]
-    assert vis == sorted(vis) and vis[-1] <= sp.n_ins  # committed inserts only grow
-    ok_ids = {r["id"] for r in sp.base.select("id").collect()} | {INSERT_ID_OFFSET + s for s in range(sp.n_ins)}
-    assert all(r["id"] in ok_ids for r in rows)
+    d = STR.scratch(spark, "test_ingest_chunks")
+    STR.land_files(sp.inserts.select("seq", "embedding"), d["landing"], "seq", 2, ordered=False)
+    cents = ivf.pivot_centroids(ST.perm_base(sp), ivf.lists_for(sp.n_base))
+    rows = sp.inserts.select((F.lit(INSERT_ID_OFFSET) + F.col("seq")).alias("id"), "embedding")
+    batch = ivf.assign(rows, cents).select("id", "list_id").collect()
+    assign = ivf.assign
+    monkeypatch.setattr(ivf, "assign", lambda items, c, **kw: assign(items, c, limit=8 * 64 * 3, **kw))
+    STR.ingest(spark, d["landing"], spark.read.parquet(d["landing"]).schema, cents, d["out"], d["checkpoint"], INSERT_ID_OFFSET, sp.n_ins)
+    assert sorted(spark.read.parquet(d["out"]).select("id", "list_id").collect()) == sorted(batch)
