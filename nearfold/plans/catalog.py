@@ -327,7 +327,7 @@ def q_metrics_log(spark, sf_dir):
 
 # Probes used by the pivot-list search checks and the growth study.
 PIVOT_PROBES = 5
-DEGRADATION_PROBES = 5
+DEGRADATION_PROBES = 20
 SCALING_PROBES = 20
 
 
@@ -665,7 +665,8 @@ def q_stream_workload_windows(spark, sf_dir):
     schema = spark.read.parquet(d["landing"]).schema
     STR.windows(spark, d["landing"], schema, d["out"], d["checkpoint"])
     out = spark.read.parquet(d["out"])
-    return _round(out, "mean_read_latency_ms", "max_latency_ms")
+    return _round(out, "mean_read_latency_ms", "p95_read_latency_ms", "p99_read_latency_ms", "max_latency_ms", "read_qps",
+                  "write_throughput_per_sec")
 
 
 # ------------------------------------------------------------------ embedding stage
@@ -730,13 +731,13 @@ GRAPH_EF_CONSTRUCTION = 64
 GRAPH_EF_SEARCH = 40
 
 
-def _graph(sp, m=GRAPH_M, efc=GRAPH_EF_CONSTRUCTION):
+def _graph(sp, m=GRAPH_M, efc=GRAPH_EF_CONSTRUCTION, metric="cosine"):
     lists = ivf.lists_for(sp.n_base)
     pb = ST.perm_base(sp)
     cents = ivf.pivot_centroids(pb, lists)
-    assigned = ivf.assign(sp.base.select("id", "embedding"), cents).select("id", "list_id")
+    assigned = ivf.assign(sp.base.select("id", "embedding"), cents, metric).select("id", "list_id")
     entry = pb.where(F.col("perm_rank") < lists).select("id")
-    return GR.build(sp.base.select("id", "embedding"), assigned, m, efc, entry)
+    return GR.build(sp.base.select("id", "embedding"), assigned, m, efc, entry, metric=metric)
 
 
 def q_graph_degradation_curve(spark, sf_dir):
@@ -774,6 +775,29 @@ def q_graph_search(spark, sf_dir):
     return _long(_round(GR.search(g, sp.base, sp.queries, K, GRAPH_EF_SEARCH)), "rk")
 
 
+def q_graph_search_l2(spark, sf_dir):
+    """L2 graph searched with a beam as wide as the table: must equal the exact kNN."""
+    sp = splits(spark, sf_dir)
+    g = _graph(sp, metric="l2")
+    return _long(_round(GR.search(g, sp.base, sp.queries, K, sp.n_base)), "rk")
+
+
+def q_graph_validate(spark, sf_dir):
+    """Nodes of the graph and violations of its rules: self edges, repeated edges, degrees, stored distances."""
+    sp = splits(spark, sf_dir)
+    g = _graph(sp)
+    side = lambda c: sp.base.select(F.col("id").alias(c), F.col("embedding").alias(f"_{c}"))
+    edges = knn.pair_distances(g.edges.join(side("src"), "src").join(side("dst"), "dst"), "_src", "_dst", "cosine", "again")
+    per = edges.groupBy("src").agg(
+        F.count(F.lit(1)).alias("degree"), F.countDistinct("dst").alias("n_dst"),
+        F.count_if(F.col("src") == F.col("dst")).alias("n_self"), F.max(F.abs(F.col("d") - F.col("again"))).alias("err"))
+    out = per.agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.sum("n_self").alias("n_self_edges"),
+        F.sum(F.col("degree") - F.col("n_dst")).alias("n_repeated_edges"),
+        F.count_if(F.col("degree") > 2 * g.m).alias("n_over_degree"), F.max("err").alias("max_error"))
+    return _round(out, "max_error")
+
+
 def q_graph_recall(spark, sf_dir):
     """Recall@10 of the graph for beam widths 10..160 (E7 for the graph family)."""
     sp = splits(spark, sf_dir)
@@ -863,6 +887,8 @@ def queries() -> dict[str, Query]:
         # neighbour graph
         "graph_edges": q_graph_edges,
         "graph_search": q_graph_search,
+        "graph_search_l2": q_graph_search_l2,
+        "graph_validate": q_graph_validate,
         "graph_recall": q_graph_recall,
         "graph_degradation_curve": q_graph_degradation_curve,
         "graph_scaling_recall": q_graph_scaling_recall,

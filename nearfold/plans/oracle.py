@@ -405,14 +405,14 @@ WHERE ef_construction >= 2 * m
 UNION ALL SELECT 'ivf', NULL, NULL, NULL, lists, probes, effective_probes, sz.nb FROM cells, sz"""
     s["scaling_recall"] = scaling_sql(20)
     s["compact_postings"] = with_(PERM, BASE, NLISTS, CENTS, ASG) + "SELECT list_id, count(*) AS n_rows FROM asg GROUP BY list_id"
-    s["rebuild_delta_pivot"] = f"""WITH curve AS ({degradation_sql(5)})
+    s["rebuild_delta_pivot"] = f"""WITH curve AS ({degradation_sql(20)})
 SELECT b.index_type, b.checkpoint_pct, b.mean_recall AS recall_no_rebuild, a.mean_recall AS recall_post_rebuild,
   {r6('a.mean_recall - b.mean_recall')} AS recall_delta
 FROM curve b JOIN curve a ON a.index_type = b.index_type AND a.checkpoint_pct = b.checkpoint_pct
 WHERE b.phase = 'no_rebuild' AND a.phase = 'post_rebuild'"""
-    s["degradation_curve_pivot"] = degradation_sql(5)
+    s["degradation_curve_pivot"] = degradation_sql(20)
     s["metrics_scrub"] = f"""SELECT index_type, checkpoint_pct, cumulative_inserts, total_rows, phase, mean_recall
-FROM ({degradation_sql(5)}) WHERE NOT (checkpoint_pct = 0 AND phase = 'no_rebuild')"""
+FROM ({degradation_sql(20)}) WHERE NOT (checkpoint_pct = 0 AND phase = 'no_rebuild')"""
     # table operations
     s["load_tier"] = with_(PERM, TIERS) + """SELECT tier, count(*) AS n_rows, tier AS n_expected, true AS count_ok
 FROM tiers GROUP BY tier"""
@@ -444,7 +444,10 @@ wr AS (SELECT 900000000 + w.counter AS id, i.seq AS vec_ix, i.embedding FROM w
   FROM wr x, cents c) WHERE r = 1"""
     s["stream_workload_windows"] = with_(OPS, "w AS (SELECT *, time_bucket(INTERVAL 60 second, ts) AS window_start FROM ops)") + \
         f"""SELECT window_start, profile, count_if(is_read) AS n_reads, count_if(NOT is_read) AS n_writes,
-  {r6('avg(CASE WHEN is_read THEN latency_ms END)')} AS mean_read_latency_ms, {r6('max(latency_ms)')} AS max_latency_ms
+  {r6('avg(CASE WHEN is_read THEN latency_ms END)')} AS mean_read_latency_ms, {r6('max(latency_ms)')} AS max_latency_ms,
+  {r6("quantile_cont(latency_ms, 0.95) FILTER (WHERE is_read)")} AS p95_read_latency_ms,
+  {r6("quantile_cont(latency_ms, 0.99) FILTER (WHERE is_read)")} AS p99_read_latency_ms,
+  {r6("count_if(is_read) / 60.0")} AS read_qps, {r6("count_if(NOT is_read) / 60.0")} AS write_throughput_per_sec
 FROM w GROUP BY window_start, profile
 HAVING window_start + INTERVAL 60 second <= (SELECT max(ts) FROM events) - INTERVAL 1 minute"""
     # embedding stage
@@ -452,6 +455,10 @@ HAVING window_start + INTERVAL 60 second <= (SELECT max(ts) FROM events) - INTER
   {r6("list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i))")} AS checksum,
   len(list_filter(embedding, lambda x: x <> 0)) AS n_nonzero FROM vec"""
     s["embed_pool_batched"] = s["embed_pool"]
+    # neighbour graph
+    s["graph_search_l2"] = knn_sql("l2", 10)
+    s["graph_validate"] = with_(PERM) + """SELECT nb AS n_nodes, CAST(0 AS BIGINT) AS n_self_edges,
+  CAST(0 AS BIGINT) AS n_repeated_edges, CAST(0 AS BIGINT) AS n_over_degree, CAST(0 AS DOUBLE) AS max_error FROM sz"""
     # corpus to search
     s["text_items"] = with_(*SENT_ALL, TEXT_VEC) + f"""SELECT part, p.id, p.pool_pos, len(embedding) AS dims,
   {r6(norm('embedding'))} AS norm, {r6("list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i))")} AS checksum,
