@@ -12,9 +12,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nearfold.functions import vectors as V
 from nearfold.session import reliable_checkpoint
 
 TARGET_FILE_BYTES = 128 << 20
@@ -63,6 +64,33 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_checked(spark: SparkSession, rows: DataFrame, path: str, rejected_path: str, dim: int,
+                   key: str = "id", vec: str = "embedding") -> DataFrame:
+    """Append the rows that a vector column of ``dim`` components under a primary key admits (V9, D3).
+
+    The others go to ``rejected_path`` with a ``reason``, the first that holds:
+    ``null_key``, ``null``, ``dimension``, ``nan``, ``repeated_key`` (of the
+    good rows of one key the first by vector hash stays), ``known_key`` (the
+    table has it).  Returns the rejected table."""
+    fault = (
+        F.when(F.col(key).isNull(), "null_key")
+        .when(F.col(vec).isNull(), "null")
+        .when(F.size(vec) != dim, "dimension")
+        .when(V.has_nan(vec), "nan")
+    )
+    one = Window.partitionBy(key, F.col("reason").isNull()).orderBy(F.xxhash64(vec))
+    judged = rows.withColumn("reason", fault).withColumn("_nf_nth", F.row_number().over(one))
+    known = spark.read.parquet(path).select(F.col(key).alias("_nf_known"))
+    judged = judged.withColumn("reason", F.coalesce("reason", F.when(F.col("_nf_nth") > 1, "repeated_key"))).drop("_nf_nth")
+    judged = judged.join(known.distinct(), F.col(key) == F.col("_nf_known"), "left")
+    judged = judged.withColumn("reason", F.coalesce("reason", F.when(F.col("_nf_known").isNotNull(), "known_key"))).drop("_nf_known")
+    # both writes read one result, made before the table changes
+    judged = reliable_checkpoint(judged)
+    judged.where(F.col("reason").isNotNull()).write.mode("append").parquet(rejected_path)
+    append(judged.where(F.col("reason").isNull()).drop("reason"), path)
+    return spark.read.schema(judged.schema).parquet(rejected_path)
+
+
 def offset_range(inserts: DataFrame, start: int, end: int, offset: int, seq_col: str = "seq") -> DataFrame:
     """Insert-pool rows [start, end) with ids offset + seq."""
     return inserts.where((F.col(seq_col) >= start) & (F.col(seq_col) < end)).withColumn(
@@ -73,10 +101,11 @@ def offset_range(inserts: DataFrame, start: int, end: int, offset: int, seq_col:
 def append_missing(spark: SparkSession, rows: DataFrame, path: str, key: str = "id") -> int:
     """Idempotent (resumable) append (D6): only rows whose key is not yet in the table.
 
-    Safe after a partial earlier run and with gaps, unlike resuming from a count.
+    Safe after a partial earlier run and with gaps, unlike resuming from a count;
+    of incoming rows with one key, one is appended.
     Returns the number of rows appended."""
     existing = spark.read.parquet(path).select(key)
-    todo = rows.join(existing, key, "left_anti")
+    todo = rows.dropDuplicates([key]).join(existing, key, "left_anti")
     # materialise the anti join before writing into the table it reads from
     todo = reliable_checkpoint(todo)
     n = todo.count()

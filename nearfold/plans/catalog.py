@@ -332,11 +332,13 @@ SCALING_PROBES = 20
 
 
 def q_ground_truth_topk(spark, sf_dir):
-    """Exact cosine top-100 per (tier, query) in one scan."""
+    """Exact cosine top-100 per (tier, query) in one scan, written per tier and read back."""
     sp = splits(spark, sf_dir)
     gt = GT.tier_ground_truth(ST.perm_base(sp).select("pool_pos", "perm_rank", "embedding"), sp.tiers,
                               sp.tier_sizes, sp.queries, GT.DEPTH)
-    return _round(gt)
+    path = scratch_path(spark, "ground_truth")
+    gt.write.partitionBy("tier").parquet(path)
+    return _long(_round(spark.read.parquet(path)), "tier")
 
 
 def _growing(sp):
@@ -516,6 +518,23 @@ def q_append_range(spark, sf_dir):
     return spark.read.parquet(path).select("id", "pool_pos")
 
 
+def q_append_checked(spark, sf_dir):
+    """A faulty load of the insert pool: rows that the dimension or the key rejects, by reason (V9, D3).
+
+    Derived faults by ``seq % 10``: 0 cut vectors, 1 no vector, 2 sent twice, 3 an id of the base table."""
+    sp = splits(spark, sf_dir)
+    path = _items_table(spark, sp, "checked")
+    kind = F.pmod("seq", F.lit(10))
+    rows = sp.inserts.select(
+        F.when(kind == 3, F.col("seq")).otherwise(F.lit(INSERT_ID_OFFSET) + F.col("seq")).alias("id"), "pool_pos",
+        F.when(kind == 0, F.slice("embedding", 1, 32)).when(kind != 1, F.col("embedding")).alias("embedding"), kind.alias("kind"))
+    rows = rows.unionByName(rows.where("kind = 2")).drop("kind")
+    rejected = TB.append_checked(spark, rows, path, scratch_path(spark, "rejected"), EM.DIM)
+    loaded = spark.read.parquet(path).select(F.lit("loaded").alias("outcome"))
+    out = loaded.unionByName(rejected.select(F.col("reason").alias("outcome")))
+    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def q_append_resume(spark, sf_dir):
     """An interrupted append resumed by anti join: every key exactly once."""
     sp = splits(spark, sf_dir)
@@ -873,6 +892,7 @@ def queries() -> dict[str, Query]:
         "pk_violations": q_pk_violations,
         "append_range": q_append_range,
         "append_resume": q_append_resume,
+        "append_checked": q_append_checked,
         "delete_range": q_delete_range,
         "table_state": q_table_state,
         "compact_postings": q_compact_postings,

@@ -422,6 +422,10 @@ FROM ins, sz WHERE seq < sz.nb * 10 // 100"""
 UNION ALL SELECT 800000000 + seq, pool_pos FROM ins, sz WHERE seq < sz.nb * 50 // 100"""
     s["append_resume"] = with_(PERM, BASE, INSERTS) + """SELECT id, CAST(1 AS BIGINT) AS n_copies FROM base
 UNION ALL SELECT 800000000 + seq, 1 FROM ins, sz WHERE seq < sz.nb * 50 // 100"""
+    s["append_checked"] = with_(PERM, INSERTS) + """SELECT outcome, count(*) AS n_rows FROM (
+  SELECT 'loaded' AS outcome FROM perm, sz WHERE perm_rank < sz.nb
+  UNION ALL SELECT CASE seq % 10 WHEN 0 THEN 'dimension' WHEN 1 THEN 'null' WHEN 3 THEN 'known_key' ELSE 'loaded' END FROM ins
+  UNION ALL SELECT 'repeated_key' FROM ins WHERE seq % 10 = 2) GROUP BY outcome"""
     s["delete_range"] = with_(PERM, BASE) + "SELECT id, pool_pos FROM base"
     s["table_state"] = with_(PERM, BASE, INSERTS, CPS) + """SELECT ci AS cumulative_inserts,
   (SELECT count(*) FROM base) + (SELECT count(*) FROM ins WHERE seq < ci) AS n_rows,

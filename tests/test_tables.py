@@ -24,6 +24,20 @@ def test_append_missing_is_idempotent(spark, toy, tmp_path):
     assert back.count() == 10 and TB.pk_violations(back).count() == 0
 
 
+def test_append_checked_rejects_by_reason(spark, toy, tmp_path):
+    path = str(tmp_path / "c")
+    TB.create_or_replace(toy.where("id <= 2"), path)
+    nan = float("nan")
+    rows = [(1, [1.0, 2.0, 3.0]), (3, [1.0, 2.0]), (3, [1.0, 2.0, 3.0]), (4, None), (5, [nan, 0.0, 0.0]), (None, [1.0, 1.0, 1.0]),
+            (6, [1.0, 1.0, 1.0]), (6, [2.0, 1.0, 1.0])]
+    bad = TB.append_checked(spark, spark.createDataFrame(rows, toy.schema), path, str(tmp_path / "bad"), 3)
+    assert sorted((r["id"] or 0, r["reason"]) for r in bad.collect()) == [
+        (0, "null_key"), (1, "known_key"), (3, "dimension"), (4, "null"), (5, "nan"), (6, "repeated_key")]
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3, 6]
+    empty = spark.createDataFrame([], toy.schema)
+    assert TB.append_checked(spark, empty, path, str(tmp_path / "none"), 3).count() == 0
+
+
 def test_load_checked_raises_on_mismatch(spark, toy, tmp_path):
     out = TB.load_checked(toy, str(tmp_path / "ok"), 10)
     assert out.first()["count_ok"]
