@@ -79,7 +79,7 @@ def tree_merge(rows: DataFrame, run_bits: int, round_bits: int) -> DataFrame:
 def exact_dedup(docs: DataFrame, run_bits: int = 6, round_bits: int = 3) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` (and ``_id, _th``): one row per row of ``docs``."""
     rows = staged(digests(docs, run_bits), "digest_runs")
-    best = tree_merge(rows, run_bits, round_bits)
+    best = staged(tree_merge(rows, run_bits, round_bits), "digest_groups")
     is_hot = F.col("_size") * HOT_GROUPS >= F.lit(rows.count())
     hot = F.broadcast(best.where(is_hot))
     met = rows.join(hot, _KEY).unionByName(rows.join(hot, _KEY, "left_anti").join(best.where(~is_hot), _KEY))
