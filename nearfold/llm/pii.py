@@ -6,8 +6,9 @@ one normal form; each distinct (type, normal form) gets a surrogate drawn
 from SHA-256 over a secret key, so the same entity has the same surrogate
 everywhere (coreference).  Surrogates of two entities that collide, or that
 equal some entity of the table, are drawn again with the next attempt number
-until none is left (distinctness).  A mention is then rendered in the format
-of the original: separators, case, title and script are kept.
+until none is left (distinctness); names grow by a family name with every
+attempt, so no number of people uses them up.  A mention is then rendered in
+the format of the original: separators, case, title and script are kept.
 
 *   mail address: letters and digits drawn one by one, a reserved domain;
 *   telephone, IPv4 address, card number (Luhn-valid where the original is),
@@ -154,7 +155,9 @@ def surrogate() -> Column:
     phone = F.concat(F.substring(norm, F.lit(1), country.cast("int")), _redraw(F.substring(norm, (country + 1).cast("int"), F.length(norm))))
     iban = F.concat(F.substring(norm, 1, 2), _redraw(F.substring(norm, F.lit(3), F.length(norm))))
     hexed = _redraw(norm, letters=("abcdef", "ABCDEF"))
-    secret = F.when(norm.rlike("^[0-9a-fA-F]+$"), hexed).otherwise(_redraw(norm))
+    # A value of marks alone has nothing to draw, one of few letters runs out of draws: from the third attempt on its marks are drawn too.
+    marks = _redraw(F.when(F.col("attempt") > 1, F.regexp_replace(norm, "[^A-Za-z0-9]", "x")).otherwise(norm))
+    secret = F.when(norm.rlike("^[0-9a-fA-F]+$"), hexed).otherwise(marks)
     script = F.when(norm.rlike(r" .*\p{IsCyrillic}"), F.lit("cyrillic")).when(norm.rlike(r" .*\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
     gender = F.substring(norm, 1, 1)
     parts = F.size(F.split(norm, " ")) - 1
@@ -165,10 +168,8 @@ def surrogate() -> Column:
 
     def person(table: str) -> Column:
         given = lambda i: F.when(gender == "f", name(table, "f", F.lit(i))).when(gender == "m", name(table, "m", F.lit(i))).otherwise(name(table, "n", F.lit(i)))
-        family = name(table, "family", F.lit(9))
-        # A second family name from the second attempt on, so names do not run out.
-        double = F.concat(family, F.lit("-"), name(table, "family", F.lit(11)), F.when(F.col("attempt") > 1, F.concat(F.lit("-"), name(table, "family", F.lit(13)))).otherwise(F.lit("")))
-        family = F.when(F.col("attempt") > 0, double).otherwise(family)
+        # One more family name with every attempt, so names do not run out.
+        family = F.array_join(F.transform(F.sequence(F.lit(0), F.col("attempt")), lambda i: name(table, "family", i * 2 + 9)), "-")
         return F.when(parts == 1, family).when(parts == 2, F.concat_ws(" ", given(3), family)).otherwise(F.concat_ws(" ", given(3), given(5), family))
 
     who = F.when(script == "cyrillic", person("cyrillic")).when(script == "greek", person("greek")).otherwise(person("latin"))

@@ -63,6 +63,40 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len(set(texts)) == 20
 
 
+def few_rounds(monkeypatch, most):
+    """Fail where the rounds do not end."""
+    calls, staged = [], pii.staged
+
+    def counted(df, name):
+        calls.append(name)
+        assert calls.count("surrogates_again") <= most, "rounds without end"
+        return staged(df, name)
+
+    monkeypatch.setattr(pii, "staged", counted)
+
+
+def test_more_people_than_names(spark, monkeypatch):
+    """Two family names: 2 + 4 + 8 surrogates of up to three parts, and more people than that."""
+    few_rounds(monkeypatch, 20)
+    people, pools = [], []
+    for title, letters, script in (("Mr", "abcde", "latin"), ("г-н", "абвгд", "cyrillic"), ("κος", "αβγδε", "greek")):
+        family = pii.NAMES[script]["family"][:2]
+        monkeypatch.setitem(pii.NAMES, script, {"f": ["X"], "m": ["Y"], "family": family})
+        people += [f"{title} {letters[0].upper()}{a}{b}" for a in letters for b in letters]
+        pools += [set(family)] * 25
+    texts, n = run(spark, people)
+    assert n == [1] * 75 and len(set(texts)) == 75 and not set(texts) & set(people)
+    assert all(set(t.split(" ", 1)[1].split("-")) <= pool for t, pool in zip(texts, pools, strict=True))
+
+
+def test_secrets_with_nothing_to_draw(spark, monkeypatch):
+    few_rounds(monkeypatch, 20)
+    secrets = ["password: ____________", "password: ............"] + [f"token = {i}-----------" for i in range(10)]
+    texts, n = run(spark, secrets)
+    assert n == [1] * 12 and len(set(texts)) == 12 and not set(texts) & set(secrets)
+    assert [len(t) for t in texts] == [len(t) for t in secrets]
+
+
 def test_clean_and_odd_texts(spark):
     clean = ["", None, "Version 2.0 of 2023-01-05, 1,000 words; a@b, 3.14, no. 12345.", "Mr is a word. Dr", "word " * 40_000]
     texts, n = run(spark, clean)
