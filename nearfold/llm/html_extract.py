@@ -8,6 +8,12 @@ Neighbouring blocks, and blocks of one parent element, are joined by
 smoothness edges, so a lone odd block follows its surroundings.  The minimum
 cut (max-flow) separates content from boilerplate.
 
+Names like ``has-sidebar`` on a wrapper say what lies within, not what the
+wrapper is.  So names on html and body do not count, and boilerplate words do
+not count on main (or role main), on what holds main, and on what holds the
+longest article or a h1 together with most of the text that would otherwise be
+content.
+
 Pages are independent: the work is map-only, one page at a time.
 
 Defined results: null or empty html, and a page whose blocks are all
@@ -38,6 +44,7 @@ _MARK = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_MAIN = re.compile(r"""(?:^|\s)role\s*=\s*["']?main\b""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 #: White space of HTML and the no-break space's kin.
 _SPACE = re.compile(r"\s+")
@@ -83,12 +90,22 @@ class Block:
 @dataclass
 class _Element:
     name: str
-    odds: float
     silent: bool
     number: int
     inside: bool  # within article or main
 
 
+@dataclass
+class _Node:
+    """An element as the classifier sees it; its number is its place in the page's list."""
+
+    name: str
+    above: int
+    odds: float  # all its own
+    plain: float  # without the boilerplate words of its names
+    main: bool
+
+
 @dataclass
 class _Page:
     blocks: list[Block] = field(default_factory=list)
@@ -97,17 +114,61 @@ class _Page:
     shown: int = 0
 
 
-def _names_odds(attributes: str) -> float:
-    odds = 0.0
+def _names_odds(attributes: str) -> tuple[float, float]:
+    """Sums of the positive and of the negative log odds of the words in class, id and role."""
+    good = bad = 0.0
     for groups in _NAMES.findall(attributes):
         for word in _PARTS.findall(next((g for g in groups if g), "").lower()):
-            odds += WORD_ODDS.get(word, 0.0)
-    return odds
+            odds = WORD_ODDS.get(word, 0.0)
+            good, bad = good + max(0.0, odds), bad + min(0.0, odds)
+    return good, bad
+
+
+def _sums(nodes: list[_Node], plain: set[int]) -> list[float]:
+    """Log odds of each element with those around it; in ``plain`` boilerplate words do not count."""
+    out: list[float] = []
+    for i, node in enumerate(nodes):
+        out.append((out[node.above] if i else BIAS) + (node.plain if i in plain else node.odds))
+    return out
+
+
+def _element_odds(nodes: list[_Node], blocks: list[Block]) -> list[float]:
+    """Log odds of each element, names of wrappers left out; ``blocks`` have their own odds only."""
+    main = {i for i, node in enumerate(nodes) if node.main}
+    # An element comes after those around it.
+    for i in range(len(nodes) - 1, 0, -1):
+        if i in main:
+            main.add(nodes[i].above)
+    if all(node.odds == node.plain for i, node in enumerate(nodes) if i not in main):
+        return _sums(nodes, main)
+
+    def held(sums: list[float]) -> list[int]:
+        """Characters of content blocks in each element."""
+        chars = [0] * len(nodes)
+        for b in blocks:
+            if sums[b.parent] + b.odds > 0:
+                chars[b.parent] += len(b.text)
+        for i in range(len(nodes) - 1, 0, -1):
+            chars[nodes[i].above] += chars[i]
+        return chars
+
+    def around(of: list[int]) -> set[int]:
+        out: set[int] = set()
+        for i in of:
+            while (i := nodes[i].above) and i not in out:
+                out.add(i)
+        return out
+
+    articles = [i for i, node in enumerate(nodes) if node.name == "article" and node.odds > 0]
+    heads = [i for i, node in enumerate(nodes) if node.name == "h1"]
+    chars = held(_sums(nodes, main | around(articles + heads)))
+    wrappers = around([max(articles, key=chars.__getitem__)] if articles else []) | around(heads)
+    return _sums(nodes, main | {i for i in wrappers if 2 * chars[i] > chars[0]})
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order with their log odds for content."""
-    state, stack, number = _Page(), [_Element("", BIAS, False, 0, False)], 0
+    state, stack, nodes = _Page(), [_Element("", False, 0, False)], [_Node("", 0, 0.0, 0.0, False)]
     links = 0
 
     def close_block() -> None:
@@ -115,7 +176,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             top = next(e for e in reversed(stack) if e.name not in _INLINE)
             share = state.linked / max(1, state.shown)
-            odds = top.odds + LINK_ODDS * share + LENGTH_ODDS * min(8.0, len(text) ** 0.5 / 3)
+            odds = LINK_ODDS * share + LENGTH_ODDS * min(8.0, len(text) ** 0.5 / 3)
             state.blocks.append(Block(text, odds, top.number))
         state.words, state.linked, state.shown = [], 0, 0
 
@@ -176,16 +237,19 @@ def blocks_of(page: str) -> list[Block]:
             at = over.end() if over else end
             continue
         above = stack[-1]
-        number += 1
         own = TAG_ODDS.get(name, 0.0)
         if name == "header" and above.inside:
             own = -0.5  # an article's own heading
-        if attributes:
-            own += _names_odds(attributes)
+        good, bad = _names_odds(attributes) if attributes and name not in ("html", "body") else (0.0, 0.0)
         silent = above.silent or name in _SILENT or bool(attributes) and bool(_HIDDEN.search(attributes))
-        stack.append(_Element(name, above.odds + max(-9.0, own), silent, number, above.inside or name in ("article", "main")))
+        main = name == "main" or bool(attributes) and bool(_MAIN.search(attributes))
+        stack.append(_Element(name, silent, len(nodes), above.inside or name in ("article", "main")))
+        nodes.append(_Node(name, above.number, max(-9.0, own + good + bad), max(-9.0, own + good), main))
         links += name == "a"
     close_block()
+    sums = _element_odds(nodes, state.blocks)
+    for b in state.blocks:
+        b.odds += sums[b.parent]
     return state.blocks
 
 

@@ -29,6 +29,36 @@ def test_article_only(body, want):
     assert h.extract(PAGE % body) == want
 
 
+LONG = "<p>" + "Words of a long text that somebody wants to read. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize("names", ["single-post has-sidebar", "no-sidebar", "with-menu", "social-on", "comments-open", "has-sidebar no-comments ad"])
+@pytest.mark.parametrize(
+    "form",
+    [
+        "<html class='{n}'><body>{s}<article>{a}</article>{s}</body></html>",
+        "<body class='{n}'>{s}<article>{a}</article>{s}</body>",
+        "<body class='{n}'>{s}<div>{a}</div>{s}</body>",
+        "<div id='{n}'>{s}<article>{a}</article>{s}</div>",
+        "<div class='{n}'><div class='{n}'>{s}<main>{a}</main></div>{s}</div>",
+        "<div class='{n}'>{s}<div role='main' class='{n}'>{a}</div></div>",
+        "<div class='{n}'>{s}<article>{a}</article><article>{a}</article></div>",
+        "<div class='{n}'>{s}<div><h1>Head</h1>{a}</div>{s}</div>",
+    ],
+)
+def test_names_on_wrappers(names, form):
+    side = "<nav class='menu'><a href='/'>Home</a></nav><div class='sidebar'><p>Other things to read.</p></div><section id='comments'><article class='comment'><p>I do not agree at all.</p></article></section>"
+    got = h.extract(form.format(n=names, s=side, a=LONG))
+    assert got.removeprefix("Head\n\n").split("\n\n")[0] == LONG[3:-4].strip()
+    assert "Home" not in got and "Other" not in got and "agree" not in got
+
+
+def test_side_blocks_with_articles_stay_out():
+    side = "<div class='related'><article><h1>Else</h1><p>Another text.</p></article></div>"
+    for page in (f"<article>{LONG}</article>{side}", f"<main>{LONG}{side}</main>", f"<div>{LONG}</div>{side}"):
+        assert h.extract(page) == LONG[3:-4].strip()
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "plain", "<!-- open", "<p>a<script>never closed", "</div></p>x", "<a <b>c", "a < b > c &am &#x41;", "<p title='>'>q</p>"])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(h.extract(page), str)
