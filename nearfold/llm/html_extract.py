@@ -42,9 +42,9 @@ _MARK = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_MAIN = re.compile(r"""(?:^|\s)role\s*=\s*["']?main\b""", re.I)
+#: An attribute: its name and its value in double, single or no quotes.
+_ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _PARTS = re.compile(r"[a-z]+")
 #: White space of HTML and the no-break space's kin.
 _SPACE = re.compile(r"\s+")
@@ -114,11 +114,27 @@ class _Page:
     shown: int = 0
 
 
-def _names_odds(attributes: str) -> tuple[float, float]:
+def _attributes(text: str) -> dict[str, str]:
+    """Values by lower-case name; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), html.unescape(next(filter(None, values), "")))
+    return out
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return (
+        "hidden" in attributes
+        or attributes.get("aria-hidden", "").strip().lower() == "true"
+        or bool(_NO_DISPLAY.search(attributes.get("style", "")))
+    )
+
+
+def _names_odds(attributes: dict[str, str]) -> tuple[float, float]:
     """Sums of the positive and of the negative log odds of the words in class, id and role."""
     good = bad = 0.0
-    for groups in _NAMES.findall(attributes):
-        for word in _PARTS.findall(next((g for g in groups if g), "").lower()):
+    for key in ("class", "id", "role"):
+        for word in _PARTS.findall(attributes.get(key, "").lower()):
             odds = WORD_ODDS.get(word, 0.0)
             good, bad = good + max(0.0, odds), bad + min(0.0, odds)
     return good, bad
@@ -220,7 +236,7 @@ def blocks_of(page: str) -> list[Block]:
         if name == "br":
             text_here(" ")
             continue
-        attributes = mark.group(3) or ""
+        written = mark.group(3) or ""
         if name not in _INLINE:
             close_block()
             # A block closes an open paragraph, and inline elements left open in it.
@@ -230,19 +246,19 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[i].name in _FENCE:
                     break
-        if name in _VOID or attributes.endswith("/") and name in ("svg", "path"):
+        if name in _VOID or written.endswith("/") and name in ("svg", "path"):
             continue
         if name in _RAW:
             over = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = over.end() if over else end
             continue
-        above = stack[-1]
+        above, attributes = stack[-1], _attributes(written) if written else {}
         own = TAG_ODDS.get(name, 0.0)
         if name == "header" and above.inside:
             own = -0.5  # an article's own heading
-        good, bad = _names_odds(attributes) if attributes and name not in ("html", "body") else (0.0, 0.0)
-        silent = above.silent or name in _SILENT or bool(attributes) and bool(_HIDDEN.search(attributes))
-        main = name == "main" or bool(attributes) and bool(_MAIN.search(attributes))
+        good, bad = _names_odds(attributes) if name not in ("html", "body") else (0.0, 0.0)
+        silent = above.silent or name in _SILENT or _hidden(attributes)
+        main = name == "main" or "main" in attributes.get("role", "").lower().split()
         stack.append(_Element(name, silent, len(nodes), above.inside or name in ("article", "main")))
         nodes.append(_Node(name, above.number, max(-9.0, own + good + bad), max(-9.0, own + good), main))
         links += name == "a"

@@ -59,6 +59,19 @@ def test_side_blocks_with_articles_stay_out():
         assert h.extract(page) == LONG[3:-4].strip()
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    ["title='The hidden cost of x'", 'data-title="a hidden life"', 'style="overflow: hidden !important"', "title=hidden", "data-hidden", "data-style='display: none'", "aria-hidden=false title='aria-hidden=true'", "data-class='sidebar' title=\"class='ad'\"", "style='x-display: none'"],
+)
+def test_words_in_values_hide_nothing(attributes):
+    assert h.extract(f"<article {attributes}><p>Some <a {attributes}>linked</a> text.</p></article>") == "Some linked text."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "class=x hidden", 'hidden="hidden"', "aria-hidden=true", 'ARIA-HIDDEN = "true"', "style='color: red; Display : None'", "style=display:none!important", "style='display&#58; none'"])
+def test_hidden_elements_are_silent(attributes):
+    assert h.extract(f"<article><p>Shown.</p><div {attributes}><p>Never shown.</p></div></article>") == "Shown."
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "plain", "<!-- open", "<p>a<script>never closed", "</div></p>x", "<a <b>c", "a < b > c &am &#x41;", "<p title='>'>q</p>"])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(h.extract(page), str)
