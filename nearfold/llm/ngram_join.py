@@ -32,7 +32,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.llm.common import python_ready, row_id, staged
@@ -47,6 +47,8 @@ HASHES = BANDS * ROWS
 STEP, TOLERANCE = 32, 1e-6
 #: Buckets and components up to this size are compared pair by pair, larger ones by blocks of BLOCK.
 SMALL, BLOCK = 16, 512
+#: Shingles of a block, on average: long texts get blocks of fewer classes, so that a task's two blocks fit its memory.
+BLOCK_SHINGLES = 1 << 21
 SEED = 20240229
 
 _rng = np.random.default_rng(SEED)
@@ -314,6 +316,11 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "shingles"])
 
 
+def _n_blocks(classes: Column, shingles: Column) -> Column:
+    """Number of blocks for so many classes with so many shingles together."""
+    return F.greatest(F.ceil(classes / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
 def _in_blocks(df: DataFrame, task: Callable, schema: str) -> DataFrame:
     """Runs ``task`` on every pair of blocks.
 
@@ -366,7 +373,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     classes = staged(
         signed.where("cls IS NOT NULL")
         .groupBy("cls", "check")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_id", "_th")).alias("rep"), F.first("sig").alias("sig")),
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_id", "_th")).alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")),
         "shingle_classes",
     )
     bands = classes.select("cls", "sig").mapInArrow(_band_keys, "key long, cls long")
@@ -391,11 +398,13 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     mixed = member.groupBy("key").agg(F.min("comp").alias("_min"), F.max("comp").alias("_max")).where("_min <> _max").select("key")
     member = staged(member.join(mixed, "key"), "mixed_buckets")
     cross = _pruned(_pairs_of(member.where(F.col("n") <= SMALL), "key", "comp"), classes)
-    large = member.where(F.col("n") > SMALL)
+    lengths = classes.select("cls", "n_shingles")
+    large = member.where(F.col("n") > SMALL).join(lengths, "cls")
     # The most frequent component of a large bucket need not be compared with itself.
-    per = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_c"))
-    per = per.groupBy("key").agg(F.max_by("comp", F.struct("_c", "comp")).alias("_major"), F.max("_c").alias("_top"), F.sum("_c").alias("_all"))
-    per = per.select("key", "_major", F.ceil((F.col("_all") - F.col("_top")) / BLOCK).cast("int").alias("_few"), F.ceil(F.col("_top") / BLOCK).cast("int").alias("_many"))
+    per = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_c"), F.sum("n_shingles").alias("_s"))
+    per = per.groupBy("key").agg(F.max(F.struct("_c", "comp", "_s")).alias("_top"), F.sum("_c").alias("_c"), F.sum("_s").alias("_s"))
+    few = _n_blocks(F.col("_c") - F.col("_top._c"), F.col("_s") - F.col("_top._s"))
+    per = per.select("key", F.col("_top.comp").alias("_major"), few.alias("_few"), _n_blocks(F.col("_top._c"), F.col("_top._s")).alias("_many"))
     large = large.join(per, "key").withColumn("_is_major", F.col("comp") == F.col("_major"))
     block = F.when(F.col("_is_major"), F.col("_few") + F.pmod(F.xxhash64("cls"), F.col("_many")).cast("int")).otherwise(
         F.pmod(F.xxhash64("cls"), F.col("_few")).cast("int")
@@ -407,12 +416,13 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     comps = components(links.union(more))
 
     # All pairs within the final components.
-    sized = comps.join(comps.groupBy("label").agg(F.count(F.lit(1)).alias("_m")), "label").select(F.col("node").alias("cls"), "label", "_m")
+    sized = comps.withColumnRenamed("node", "cls").join(lengths, "cls")
+    sized = sized.join(sized.groupBy("label").agg(F.count(F.lit(1)).alias("_m"), F.sum("n_shingles").alias("_s")), "label").select("cls", "label", "_m", "_s")
     sized = staged(sized, "components")
     pairs = _verified(_pruned(_pairs_of(sized.where(F.col("_m") <= SMALL), "label"), classes), store)
     both = pairs.union(pairs.select("b", "a")).toDF("cls", "_with")
     counted = both.join(classes.select(F.col("cls").alias("_with"), "copies"), "_with").select("cls", F.col("copies").alias("links"))
-    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
+    blocks = _n_blocks(F.col("_m"), F.col("_s"))
     big = (
         sized.where(F.col("_m") > SMALL)
         .select(F.col("label").alias("grp"), "cls", F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"), (blocks - 1).alias("partners"))

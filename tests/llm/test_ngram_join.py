@@ -42,6 +42,22 @@ def test_groups_of_near_copies(spark, monkeypatch, small, block):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def test_long_texts_get_smaller_blocks(spark, monkeypatch):
+    """60 near copies of 400 words, fewer than a block of classes: blocks are bounded by shingles too."""
+    monkeypatch.setattr(nj, "BLOCK_SHINGLES", 4000, raising=False)
+    in_blocks, most = nj._in_blocks, []
+
+    def watched(df, task, schema):
+        held = df.selectExpr("grp", "block", "size(shingles) AS n").groupBy("grp", "block").sum("n").collect()
+        most.append(max((r["sum(n)"] for r in held), default=0))
+        return in_blocks(df, task, schema)
+
+    monkeypatch.setattr(nj, "_in_blocks", watched)
+    texts = variants(60, 400, 12, random.Random(5))
+    check(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert 0 < max(most) < 16_000
+
+
 def test_odd_rows(odd):
     got = nj.ngram_join(odd).collect()
     assert len(got) == odd.count()
