@@ -16,6 +16,7 @@ from nearfold.llm import (
     packing,
     pii,
     quality_rules,
+    spelling,
     token_counts,
     warc,
 )
@@ -75,6 +76,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_mixing,
         op9_exact_dedup,
         op10_packing,
+        op12_spelling_variants,
         pipeline,
     )
     return {f.__name__: f for f in operators}
