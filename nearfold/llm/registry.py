@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearfold.llm import (
     chat_format,
+    collocations,
     exact_dedup,
     html_extract,
     mixing,
@@ -76,6 +77,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_mixing,
         op9_exact_dedup,
         op10_packing,
+        op11_collocations,
         op12_spelling_variants,
         pipeline,
     )
