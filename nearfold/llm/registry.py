@@ -19,6 +19,7 @@ from nearfold.llm import (
     quality_rules,
     spelling,
     token_counts,
+    toxicity,
     warc,
 )
 from nearfold.llm.common import table
@@ -85,6 +86,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_packing,
         op11_collocations,
         op12_spelling_variants,
+        op13_toxicity,
         pipeline,
     )
     return {f.__name__: f for f in operators}
