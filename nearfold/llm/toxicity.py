@@ -432,7 +432,7 @@ def _fit(share: float):
         rows = rows.sort_values(["label", "doc_id", "text"], kind="stable", ignore_index=True)
         for y in (0, 1):
             own = rows[rows["label"] == y]
-            fits = own["text"].str.len().sort_values(kind="stable").cumsum() <= MAX_LABEL_CHARS
+            fits = own["text"].map(len).astype("int64").sort_values(kind="stable").cumsum() <= MAX_LABEL_CHARS
             rows = rows.drop(fits.index[~fits])
         out = io.BytesIO()
         np.savez(out, **train(rows["text"].tolist(), rows["label"].to_numpy(), share))
