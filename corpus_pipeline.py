@@ -43,10 +43,9 @@ def repeat_rows(docs: DataFrame, plan: DataFrame) -> DataFrame:
     times = plan.groupBy(F.col("_id").alias("__nf0"), F.col("_th").alias("__nf1")).agg(
         F.sum("_times").alias("__nf2"), F.count(F.lit(1)).alias("__nf3")
     )
-    out = docs.select("*", *mixing.row_id()).withColumnsRenamed({"_id": "__nf0", "_th": "__nf1"})
-    out = out.join(times, ["__nf0", "__nf1"])
+    out = docs.select("*", *[c.alias(f"__nf{i}") for i, c in enumerate(mixing.row_id())]).join(times, ["__nf0", "__nf1"])
     copies = F.expr("explode(array_repeat(0, int(ceil(__nf2 / __nf3))))").alias("__nf4")
-    return out.select(*docs.columns, copies).drop("__nf4")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], copies).drop("__nf4")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
