@@ -1,8 +1,10 @@
-"""Vector tables as parquet snapshots.
+"""Vector tables as parquet folders.
 
-A table is a directory of parquet files.  Create/replace is an overwrite of
-the directory; appends add files; a delete writes a new snapshot without the
-deleted rows (the old one stays readable until dropped).  Key uniqueness,
+Create/replace is an overwrite of the directory; appends add files.  A delete
+adds deletion vectors: bitmaps over the row positions of a file, one row per
+32,768 positions that hold a deleted row, in ``_deletes`` beside the data.  It
+writes bytes in proportion to the deleted rows and no data file; ``read_live``
+merges the bitmaps into a scan, ``compact`` folds them in.  Key uniqueness,
 which a database enforces on insert, becomes a checked invariant here, and
 idempotent appends use an anti join on the key.
 """
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfold.functions import vectors as V
-from nearfold.session import reliable_checkpoint
+from nearfold.session import path_exists, reliable_checkpoint
 
 TARGET_FILE_BYTES = 128 << 20
 
@@ -114,11 +116,68 @@ def append_missing(spark: SparkSession, rows: DataFrame, path: str, key: str = "
     return n
 
 
-def delete_where(spark: SparkSession, path: str, cond: Column, out_path: str) -> DataFrame:
-    """``DELETE WHERE cond`` as a new snapshot without the matching rows."""
-    kept = spark.read.parquet(path).where(~F.coalesce(cond, F.lit(False)))
-    kept.write.mode("overwrite").parquet(out_path)
-    return spark.read.parquet(out_path)
+#: Bytes of bitmaps that a scan may broadcast; more are joined by file and bucket.
+MAX_BITMAP_BYTES = 64 << 20
+#: Bytes of one bitmap of Spark's ``bitmap_construct_agg``.
+_BITMAP = 4096
+_DELETES = "file string, bucket long, bits binary"
+
+
+def _deletes(spark: SparkSession, path: str) -> DataFrame | None:
+    """One bitmap per file and bucket over all deletes so far; None without any."""
+    folder = f"{path}/_deletes"
+    if not path_exists(spark, folder):
+        return None
+    return spark.read.schema(_DELETES).parquet(folder).groupBy("file", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def _with_positions(spark: SparkSession, path: str) -> DataFrame:
+    row = F.col("_metadata.row_index")
+    return spark.read.parquet(path).select(
+        "*",
+        F.col("_metadata.file_path").alias("_nf_file"),
+        F.bitmap_bucket_number(row).alias("_nf_bucket"),
+        F.bitmap_bit_position(row).alias("_nf_bit"),
+    )
+
+
+def _live(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """The rows that no bitmap marks, with their positions."""
+    rows, dead = _with_positions(spark, path), _deletes(spark, path)
+    if dead is None:
+        return rows
+    dead = dead.select(F.col("file").alias("_nf_file"), F.col("bucket").alias("_nf_bucket"), F.col("bits").alias("_nf_bits"))
+    if spark.read.parquet(f"{path}/_deletes").count() * _BITMAP <= limit:
+        dead = F.broadcast(dead)
+    octet = F.conv(F.hex(F.expr("substring(_nf_bits, cast(_nf_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = F.expr("shiftright(_nf_octet, cast(_nf_bit % 8 as int)) & 1") == 1
+    joined = rows.join(dead, ["_nf_file", "_nf_bucket"], "left").withColumn("_nf_octet", octet)
+    return joined.where(F.col("_nf_bits").isNull() | ~marked).drop("_nf_bits", "_nf_octet")
+
+
+def read_live(spark: SparkSession, path: str, limit: int = MAX_BITMAP_BYTES) -> DataFrame:
+    """The table without its deleted rows."""
+    if not path_exists(spark, f"{path}/_deletes"):
+        return spark.read.parquet(path)
+    return _live(spark, path, limit).drop("_nf_file", "_nf_bucket", "_nf_bit")
+
+
+def delete_rows(spark: SparkSession, path: str, cond: Column, limit: int = MAX_BITMAP_BYTES) -> int:
+    """``DELETE WHERE cond`` (D7): adds deletion vectors; returns the number of rows that are now gone.
+
+    A condition that is null for a row keeps it.  Files are only read where
+    their statistics let the condition hold."""
+    # both the count and the write read one result, made before the table changes
+    gone = reliable_checkpoint(
+        _live(spark, path, limit)
+        .where(F.coalesce(cond, F.lit(False)))
+        .groupBy(F.col("_nf_file").alias("file"), F.col("_nf_bucket").alias("bucket"))
+        .agg(F.bitmap_construct_agg("_nf_bit").alias("bits"))
+    )
+    n = gone.agg(F.sum(F.bitmap_count("bits"))).first()[0] or 0
+    if n:
+        gone.write.mode("append").parquet(f"{path}/_deletes")
+    return n
 
 
 def state(df: DataFrame, offset: int, key: str = "id", group_cols: Sequence[str] = ()) -> DataFrame:
@@ -130,13 +189,13 @@ def state(df: DataFrame, offset: int, key: str = "id", group_cols: Sequence[str]
 
 def compact(spark: SparkSession, path: str, out_path: str, partition_col: str | None = None,
             target_file_bytes: int = TARGET_FILE_BYTES) -> DataFrame:
-    """Rewrite a table into files of about ``target_file_bytes``.
+    """Rewrite a table without its deleted rows into files of about ``target_file_bytes``.
 
     The writer count comes from the bytes on disk; a range repartition on
     (partition_col, id) keeps each partition's rows together and contiguous,
     so most tasks write a single file, and a huge partition is still cut over
     several writers instead of one."""
-    df = spark.read.parquet(path)
+    df = read_live(spark, path)
     n = max(1, math.ceil(size_bytes(spark, path) / target_file_bytes))
     keys = ([partition_col] if partition_col else []) + ["id"]
     w = df.repartitionByRange(n, *keys).write.mode("overwrite")
@@ -151,7 +210,7 @@ def file_count(df: DataFrame) -> int:
 
 
 def size_bytes(spark: SparkSession, path: str) -> int:
-    """Sum of file lengths under ``path`` via the binaryFile reader (content not read)."""
+    """Sum of data file lengths under ``path`` via the binaryFile reader (content not read)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
         "pathGlobFilter", "*.parquet").load(path)
     return int(files.agg(F.sum("length")).first()[0] or 0)

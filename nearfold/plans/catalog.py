@@ -22,12 +22,13 @@ from nearfold.operators import ground_truth as GT
 from nearfold.operators import ivf, knn, metrics
 from nearfold.operators import sampling as S
 from nearfold.operators import tables as TB
+from nearfold.operators.catalog import IndexCatalog
 from nearfold.operators.indexing import dense_index
 from nearfold.plans import studies as ST
 from nearfold.plans.corpus import corpus
 from nearfold.plans.splits import INSERT_ID_OFFSET, splits
 from nearfold.session import scratch_path, spread
-from nearfold.sources import fixtures, textio
+from nearfold.sources import fixtures, textio, timelog
 from nearfold.streaming import ingest as STR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -548,12 +549,55 @@ def q_append_resume(spark, sf_dir):
 
 
 def q_delete_range(spark, sf_dir):
-    """``DELETE WHERE id >= offset`` after growth: back to the base rows."""
+    """``DELETE WHERE id >= offset`` after growth, as deletion vectors: back to the base rows."""
     sp = splits(spark, sf_dir)
     path = _items_table(spark, sp, "delete")
     TB.append(_ins(sp, 0, max(sp.checkpoints)), path)
-    out = TB.delete_where(spark, path, F.col("id") >= INSERT_ID_OFFSET, scratch_path(spark, "delete_snapshot"))
-    return out.select("id", "pool_pos")
+    TB.delete_rows(spark, path, F.col("id") >= INSERT_ID_OFFSET)
+    return TB.read_live(spark, path).select("id", "pool_pos")
+
+
+def q_delete_steps(spark, sf_dir):
+    """Two overlapping deletes, an append after them and a compaction: live rows, deleted rows and rows in the files."""
+    sp = splits(spark, sf_dir)
+    path = _items_table(spark, sp, "delete_steps")
+    live = lambda p: TB.read_live(spark, p).count()
+    stored = lambda p: spark.read.parquet(p).count()
+    steps = [("loaded", 0, live(path), stored(path))]
+    for name, cond in (("every third", F.col("id") % 3 == 0), ("every second", F.col("id") % 2 == 0)):
+        steps.append((name, TB.delete_rows(spark, path, cond), live(path), stored(path)))
+    TB.append(_ins(sp, 0, sp.n_ins), path)
+    steps.append(("appended", 0, live(path), stored(path)))
+    packed = scratch_path(spark, "delete_compacted")
+    TB.compact(spark, path, packed)
+    steps.append(("compacted", 0, live(packed), stored(packed)))
+    return spark.createDataFrame(steps, "step string, n_deleted long, n_live long, n_stored long")
+
+
+def q_index_versions(spark, sf_dir):
+    """The index catalog through builds, a replacement, a failed build and a drop: each version's list."""
+    sp = splits(spark, sf_dir)
+    cat = IndexCatalog(spark, scratch_path(spark, "index_catalog"))
+    base = ST.perm_base(sp)
+    n_lists = ivf.lists_for(sp.n_base)
+
+    def pivot(lists, rows=sp.base):
+        def write(path):
+            idx = ivf.build(rows.select("id", "embedding"), ivf.pivot_centroids(base, lists), lists, path=path, kind="pivot")
+            return idx.postings.count()
+
+        return write
+
+    cat.build("items", "ivf_pivot", {"lists": n_lists}, pivot(n_lists), sp.n_base)
+    cat.build("items", "ivf_pivot", {"lists": 2 * n_lists}, pivot(2 * n_lists), sp.n_base)
+    try:
+        cat.build("items", "ivf_pivot", {"lists": 1}, pivot(1, sp.base.where("id % 2 = 0")), sp.n_base)
+    except AssertionError:
+        pass  # half of the rows: the index of 2 x lists stays active
+    cat.drop("items")
+    cat.build("items", "ivf_pivot", {"lists": n_lists}, pivot(n_lists), sp.n_base)
+    return cat.history().select(F.col("version").cast("long").alias("version"), "table", "index_type",
+                                F.col("params")["lists"].cast("long").alias("lists"), "n_rows", "status", "since", "until")
 
 
 def q_table_state(spark, sf_dir):
@@ -626,17 +670,13 @@ def q_index_manifest(spark, sf_dir):
 
 # ------------------------------------------------------------------ streaming
 
-STREAM_FILES = 8
-
-
 def q_stream_ingest(spark, sf_dir):
-    """Insert pool arriving as files -> ids + frozen pivot lists -> list-partitioned sink (ST1)."""
+    """Insert pool arriving as a log -> ids + frozen pivot lists -> list-partitioned sink (ST1)."""
     sp = splits(spark, sf_dir)
     d = STR.scratch(spark, "ingest")
-    STR.land_files(sp.inserts.select("seq", "embedding"), d["landing"], "seq", STREAM_FILES, ordered=False)
-    schema = spark.read.parquet(d["landing"]).schema
+    timelog.write_log(sp.inserts.select("seq", "embedding"), d["log"], "seq")
     cents = ivf.pivot_centroids(ST.perm_base(sp), ivf.lists_for(sp.n_base))
-    STR.ingest(spark, d["landing"], schema, cents, d["out"], d["checkpoint"], INSERT_ID_OFFSET, sp.n_ins)
+    STR.ingest(spark, d["log"], cents, d["out"], d["checkpoint"], INSERT_ID_OFFSET, sp.n_ins)
     out = spark.read.parquet(d["out"])
     return _round(out.select("id", "list_id", "centroid_distance"), "centroid_distance")
 
@@ -652,38 +692,34 @@ def q_stream_cyclic_ingest(spark, sf_dir):
     d = STR.scratch(spark, "cyclic")
     writes = fixtures.operation_log(spark, sf_dir).where(~F.col("is_read")).select("event_id", "ts")
     counters = dense_index(writes, ["ts", "event_id"], "counter").select("counter", "event_id")
-    STR.land_files(counters, d["landing"], "counter", STREAM_FILES, ordered=False)
-    schema = spark.read.parquet(d["landing"]).schema
+    timelog.write_log(counters, d["log"], "counter")
     cents = ivf.pivot_centroids(ST.perm_base(sp), ivf.lists_for(sp.n_base))
-    STR.cyclic_ingest(spark, d["landing"], schema, sp.inserts.select("seq", "embedding"), cents, d["out"],
-                      d["checkpoint"], WORKLOAD_ID_OFFSET)
+    STR.cyclic_ingest(spark, d["log"], sp.inserts.select("seq", "embedding"), cents, d["out"], d["checkpoint"],
+                      WORKLOAD_ID_OFFSET)
     out = spark.read.parquet(d["out"])
     return _round(out.select("id", "vec_ix", "list_id", "centroid_distance"), "centroid_distance")
 
 
 def q_stream_lookup(spark, sf_dir):
-    """Query files arriving while the index serves: foreachBatch pivot-list search (ST2)."""
+    """Queries arriving while the index serves: foreachBatch pivot-list search (ST2)."""
     sp = splits(spark, sf_dir)
     d = STR.scratch(spark, "lookup")
     idx_path = scratch_path(spark, "lookup_index")
     lists = ivf.lists_for(sp.n_base)
     cents = ivf.pivot_centroids(ST.perm_base(sp), lists)
     ivf.build(sp.base.select("id", "embedding"), cents, lists, path=idx_path)
-    STR.land_files(sp.queries.select("qid", "embedding"), d["landing"], "qid", STREAM_FILES, ordered=False)
-    schema = spark.read.parquet(d["landing"]).schema
-    STR.lookups(spark, d["landing"], schema, idx_path, cents, lists, d["out"], d["checkpoint"], K, PIVOT_PROBES)
+    timelog.write_log(sp.queries.select("qid", "embedding"), d["log"], "qid")
+    STR.lookups(spark, d["log"], idx_path, cents, lists, d["out"], d["checkpoint"], K, PIVOT_PROBES)
     out = spark.read.parquet(d["out"]).select("qid", "rk", "id", "distance")
     return _long(_round(out), "rk")
 
 
 def q_stream_workload_windows(spark, sf_dir):
-    """Operation log as a stream: 1-minute watermark, 60 s windows per profile (ST3)."""
+    """Operation log as a stream: 1-minute watermark, 60 s windows per profile, all events (ST3)."""
     d = STR.scratch(spark, "windows")
-    ops = fixtures.operation_log(spark, sf_dir)
-    STR.land_files(ops, d["landing"], "ts", STREAM_FILES)
-    schema = spark.read.parquet(d["landing"]).schema
-    STR.windows(spark, d["landing"], schema, d["out"], d["checkpoint"])
-    out = spark.read.parquet(d["out"])
+    ops = fixtures.operation_log(spark, sf_dir).select(STR.to_micros("ts").alias("t"), "profile", "is_read", "latency_ms")
+    timelog.write_log(ops, d["log"])
+    out = STR.windows(spark, d["log"], d["out"], d["checkpoint"])
     return _round(out, "mean_read_latency_ms", "p95_read_latency_ms", "p99_read_latency_ms", "max_latency_ms", "read_qps",
                   "write_throughput_per_sec")
 
@@ -894,6 +930,8 @@ def queries() -> dict[str, Query]:
         "append_resume": q_append_resume,
         "append_checked": q_append_checked,
         "delete_range": q_delete_range,
+        "delete_steps": q_delete_steps,
+        "index_versions": q_index_versions,
         "table_state": q_table_state,
         "compact_postings": q_compact_postings,
         "index_manifest": q_index_manifest,

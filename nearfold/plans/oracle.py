@@ -430,6 +430,18 @@ UNION ALL SELECT 800000000 + seq, 1 FROM ins, sz WHERE seq < sz.nb * 50 // 100""
     s["table_state"] = with_(PERM, BASE, INSERTS, CPS) + """SELECT ci AS cumulative_inserts,
   (SELECT count(*) FROM base) + (SELECT count(*) FROM ins WHERE seq < ci) AS n_rows,
   (SELECT count(*) FROM ins WHERE seq < ci) AS n_inserted FROM cps"""
+    s["delete_steps"] = with_(PERM, BASE, INSERTS, """c AS (SELECT count(*) AS n,
+  count_if(id % 3 = 0) AS d3, count_if(id % 2 = 0 AND id % 3 <> 0) AS d2, (SELECT count(*) FROM ins) AS m FROM base)""") + """
+SELECT 'loaded' AS step, 0::BIGINT AS n_deleted, n AS n_live, n AS n_stored FROM c
+UNION ALL SELECT 'every third', d3, n - d3, n FROM c
+UNION ALL SELECT 'every second', d2, n - d3 - d2, n FROM c
+UNION ALL SELECT 'appended', 0, n - d3 - d2 + m, n + m FROM c
+UNION ALL SELECT 'compacted', 0, n - d3 - d2 + m, n - d3 - d2 + m FROM c"""
+    s["index_versions"] = with_(PERM, BASE, NLISTS, """v AS (SELECT (SELECT lists FROM nl) AS nl, (SELECT count(*) FROM base) AS n)""") + """
+SELECT x.version::BIGINT AS version, 'items' AS "table", 'ivf_pivot' AS index_type, (x.f * v.nl)::BIGINT AS lists, v.n AS n_rows,
+  x.status, x.since::BIGINT AS since, x.until::BIGINT AS until
+FROM v, (VALUES (1, 1, 'active', 1, NULL), (2, 1, 'replaced', 1, 2), (2, 2, 'active', 2, NULL), (3, 1, 'replaced', 1, 2),
+  (3, 2, 'dropped', 2, 3), (4, 1, 'replaced', 1, 2), (4, 2, 'dropped', 2, 3), (4, 1, 'active', 4, NULL)) x(version, f, status, since, until)"""
     # streaming
     s["stream_ingest"] = with_(PERM, BASE, INSERTS, NLISTS, CENTS) + f"""SELECT 800000000 + seq AS id, list_id,
   {r6('cd')} AS centroid_distance FROM (
@@ -452,8 +464,7 @@ wr AS (SELECT 900000000 + w.counter AS id, i.seq AS vec_ix, i.embedding FROM w
   {r6("quantile_cont(latency_ms, 0.95) FILTER (WHERE is_read)")} AS p95_read_latency_ms,
   {r6("quantile_cont(latency_ms, 0.99) FILTER (WHERE is_read)")} AS p99_read_latency_ms,
   {r6("count_if(is_read) / 60.0")} AS read_qps, {r6("count_if(NOT is_read) / 60.0")} AS write_throughput_per_sec
-FROM w GROUP BY window_start, profile
-HAVING window_start + INTERVAL 60 second <= (SELECT max(ts) FROM events) - INTERVAL 1 minute"""
+FROM w GROUP BY window_start, profile"""
     # embedding stage
     s["embed_pool"] = with_(*SENT_ALL, EMBED) + f"""SELECT id, len(embedding) AS dims, {r6(norm('embedding'))} AS norm,
   {r6("list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i))")} AS checksum,

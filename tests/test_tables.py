@@ -49,20 +49,94 @@ def test_load_checked_raises_on_mismatch(spark, toy, tmp_path):
         raise AssertionError("mismatch not detected")
 
 
-def test_delete_keeps_old_snapshot_and_compaction_keeps_rows(spark, toy, tmp_path):
+def folder_bytes(path):
+    import os
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+
+def test_deletes_write_bitmaps_only_and_reads_honour_them(spark, tmp_path):
     path = str(tmp_path / "d")
-    TB.create_or_replace(toy.repartition(5), path)
-    new = TB.delete_where(spark, path, F.col("id") >= 6, str(tmp_path / "d2"))
-    assert new.count() == 5 and spark.read.parquet(path).count() == 10
+    rows = spark.range(200_000).select("id", F.array(F.rand(1), F.rand(2), F.rand(3)).alias("embedding"))
+    TB.create_or_replace(rows.repartition(3), path)
+    data = folder_bytes(path)
+    assert TB.delete_rows(spark, path, F.col("id") < 0) == 0 and folder_bytes(path) == data
+    assert TB.delete_rows(spark, path, F.col("id") == 77) == 1
+    assert folder_bytes(path) - data < 20_000
+    assert TB.delete_rows(spark, path, F.col("id").isin(77, 78) | (F.col("id") >= 150_000)) == 50_001
+    assert TB.delete_rows(spark, path, F.when(F.col("id") < 5, None).otherwise(F.col("id") < 10)) == 5
+    assert folder_bytes(path) - data < 100_000
+    want = [i for i in range(150_000) if i not in (77, 78) and not 5 <= i < 10]
+    for limit in (1 << 30, 0):  # broadcast bitmaps, or joined by file and bucket
+        live = TB.read_live(spark, path, limit)
+        assert live.columns == ["id", "embedding"]
+        assert sorted(r.id for r in live.select("id").collect()) == want
+    assert spark.read.parquet(path).count() == 200_000
+    TB.append(rows.where("id < 10"), path)  # new files have no bitmaps
+    assert TB.read_live(spark, path).count() == len(want) + 10
+    packed = TB.compact(spark, path, str(tmp_path / "packed"))
+    assert packed.count() == len(want) + 10 and TB.read_live(spark, str(tmp_path / "packed")).count() == len(want) + 10
+
+
+def test_deletes_in_partitioned_and_empty_tables(spark, toy, tmp_path):
+    path = str(tmp_path / "p")
+    TB.create_or_replace(toy.withColumn("list_id", F.col("id") % 3).coalesce(1), path, ["list_id"])
+    assert TB.delete_rows(spark, path, (F.col("list_id") == 1) & (F.col("id") > 4)) == 2
+    assert sorted(r.id for r in TB.read_live(spark, path).collect()) == [1, 2, 3, 4, 5, 6, 8, 9]
+    none = str(tmp_path / "none")
+    TB.create_or_replace(toy.limit(0), none)
+    assert TB.delete_rows(spark, none, F.lit(True)) == 0 and TB.read_live(spark, none).count() == 0
+
+
+def test_compaction_keeps_rows(spark, toy, tmp_path):
     frag = str(tmp_path / "frag")
     toy.withColumn("list_id", F.col("id") % 2).repartition(10).write.partitionBy("list_id").parquet(frag)
     before = TB.file_count(spark.read.parquet(frag))
     comp = TB.compact(spark, frag, str(tmp_path / "comp"), "list_id")
     assert comp.count() == 10 and TB.file_count(comp) < before
-    st = TB.state(spark.read.parquet(path), 6).first()
+    st = TB.state(toy, 6).first()
     assert (st["n_rows"], st["n_inserted"]) == (10, 5)
 
 
+def test_index_catalog_swaps_versions(spark, toy, tmp_path):
+    from nearfold.operators.catalog import ConcurrentCommit, IndexCatalog
+
+    cat = IndexCatalog(spark, str(tmp_path / "cat"))
+    assert cat.version() == 0 and cat.active("a") is None and cat.history().count() == 0 and not cat.drop("a")
+
+    def write(rows):
+        def run(path):
+            rows.write.parquet(path)
+            return rows.count()
+
+        return run
+
+    one = cat.build("a", "lists", {"lists": 3}, write(toy), 10)
+    other = cat.build("b", "graph", {"m": 16}, write(toy), 10)
+    assert cat.active("a").index_id == one.index_id and one.size_bytes > 0
+    for bad in (write(toy.limit(4)), lambda path: 1 / 0):
+        try:
+            cat.build("a", "lists", {"lists": 5}, bad, 10)
+        except (AssertionError, ZeroDivisionError):
+            pass
+        else:
+            raise AssertionError("a failed build was committed")
+        assert cat.version() == 2 and cat.active("a").index_id == one.index_id
+    two = cat.build("a", "graph", {"m": 8}, write(toy), 10)
+    assert cat.active("a").index_id == two.index_id and cat.active("a", 2).index_id == one.index_id
+    assert spark.read.parquet(cat.active("a", 1).path).count() == 10  # older versions stay readable
+    assert cat.drop("a") and cat.active("a") is None and cat.active("b").index_id == other.index_id
+    status = {r.index_id: (r.status, r.since, r.until) for r in cat.snapshot().collect()}
+    assert status == {one.index_id: ("replaced", 1, 3), two.index_id: ("dropped", 3, 4), other.index_id: ("active", 2, None)}
+    assert cat.history().groupBy("version", "table").agg(F.count_if(F.col("status") == "active").alias("n")).where("n > 1").count() == 0
+    try:
+        cat._commit(2, cat.snapshot(2))
+    except ConcurrentCommit:
+        pass
+    else:
+        raise AssertionError("an old writer overwrote a version")
+
+
 def test_logs_with_and_without_header(spark, tmp_path):
     """The reference's CSV logs come with and without a header: an explicit schema reads both."""
     from nearfold.sources import textio
