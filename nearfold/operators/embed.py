@@ -21,7 +21,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,15 +128,24 @@ def embed_batches(df: DataFrame, text_col: str, encoder: Callable[[list[str]], n
     return spread(df.select(*cols, text_col)).mapInPandas(run, schema)
 
 
-def embedding_rate(timed: DataFrame) -> DataFrame:
-    """Rows per second of encoder time, over all batches."""
-    per_batch = timed.groupBy("batch_id").agg(F.first("batch_rows").alias("batch_rows"),
-                                              F.first("batch_seconds").alias("batch_seconds"))
-    return per_batch.agg(
-        F.sum("batch_rows").alias("rows"),
-        F.sum("batch_seconds").alias("encoder_seconds"),
-        (F.sum("batch_rows") / F.sum("batch_seconds")).alias("rows_per_sec"),
+def embed_and_measure(df: DataFrame, text_col: str, encoder: Callable[[list[str]], np.ndarray], dim: int, path: str,
+                      keep_cols: tuple[str, ...] = ("id",), batch_size: int = BATCH_SIZE) -> dict:
+    """Write the embeddings of ``df`` to ``path``; the write itself measures rows, batches and encoder seconds.
+
+    The figures are observed metrics of the one job that writes, so nothing is
+    read or encoded a second time."""
+    timed = embed_batches(df, text_col, encoder, dim, keep_cols, batch_size, with_timing=True)
+    seen = Observation()
+    timed = timed.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(1.0 / F.col("batch_rows")), F.lit(0.0)).alias("batches"),
+        F.coalesce(F.sum(F.col("batch_seconds") / F.col("batch_rows")), F.lit(0.0)).alias("encoder_seconds"),
     )
+    timed.drop("batch_id", "batch_rows", "batch_seconds").write.parquet(path)
+    got = seen.get
+    seconds = got["encoder_seconds"]
+    return {"rows": got["rows"], "batches": round(got["batches"]), "encoder_seconds": seconds, "rows_per_sec": got["rows"] / seconds if seconds else 0.0}
 
 
 def embedding_checksum(vec: str = "embedding") -> list[Column]:

@@ -5,8 +5,10 @@
   computed from global ranks: values are range-partitioned by (group, value)
   and numbered with ``dense_index``, so a group holding a third of all rows
   is still spread over many tasks, never buffered in one;
-* warm-up exclusion keeps the first W operations per group with a windowed
-  top-W (``WindowGroupLimit`` trims each partition before the shuffle).
+* a run's warm-up repeats the first W operations per group, found with a
+  windowed top-W (``WindowGroupLimit`` trims each partition before the shuffle);
+* where exact ranks are not needed, latencies are kept as KLL sketches of
+  bounded size per minute, which merge into any longer window.
 """
 
 from __future__ import annotations
@@ -106,13 +108,41 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     return out.select(*g, *cols)
 
 
-def warmup_flags(ops: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], id_col: str,
-                 warmup: int = WARMUP) -> DataFrame:
-    """Drop the first ``warmup`` operations of every group (E5)."""
+def with_warmup(ops: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], warmup: int = WARMUP) -> DataFrame:
+    """The operations of a benchmark run (E5): the first ``warmup`` of every group run once
+    untimed (``phase`` warmup), then all of them are timed, these included (``phase`` timed)."""
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    first = ops.select(*group_cols, *order_cols, id_col).withColumn("_nf_w", F.row_number().over(w))
-    first = first.where(F.col("_nf_w") <= warmup).select(id_col)
-    return ops.join(first, id_col, "left_anti")
+    first = ops.withColumn("_nf_w", F.row_number().over(w)).where(F.col("_nf_w") <= warmup).drop("_nf_w")
+    return first.withColumn("phase", F.lit("warmup")).unionByName(ops.withColumn("phase", F.lit("timed")))
+
+
+#: Size parameter of a latency sketch, and the rank error that its quantiles stay within.
+SKETCH_K, SKETCH_RANK_ERROR = 400, 0.02
+
+
+def latency_sketches(ops: DataFrame, group_cols: Sequence[str], latency_col: str = "latency_ms") -> DataFrame:
+    """One mergeable quantile sketch (KLL) per group, of bounded size: group cols, ``n``, ``sketch``."""
+    seen = ops.where(F.col(latency_col).isNotNull())
+    return seen.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(latency_col, F.lit(SKETCH_K)).alias("sketch")
+    )
+
+
+def merged_quantiles(sketches: DataFrame, group_cols: Sequence[str], ps: dict[str, float]) -> DataFrame:
+    """Quantiles of the union of the groups' sketches (E3, E12): group cols, ``n``, one column per entry of ``ps``."""
+    merged = sketches.groupBy(*group_cols).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("_s"))
+    return merged.select(*group_cols, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(c) for c, p in ps.items()])
+
+
+def rank_errors(ops: DataFrame, quantiles: DataFrame, group_cols: Sequence[str], ps: dict[str, float], latency_col: str = "latency_ms") -> DataFrame:
+    """Per group: how far each quantile's exact rank lies from the asked one (0 where it holds the rank)."""
+    both = ops.where(F.col(latency_col).isNotNull()).join(quantiles, list(group_cols))
+    n = F.count(F.lit(1))
+    error = {
+        c: F.greatest(F.lit(0.0), F.count_if(F.col(latency_col) < F.col(c)) / n - p, p - F.count_if(F.col(latency_col) <= F.col(c)) / n)
+        for c, p in ps.items()
+    }
+    return both.groupBy(*group_cols).agg(n.alias("n"), *[e.alias(f"{c}_rank_error") for c, e in error.items()])
 
 
 def latency_summary(ops: DataFrame, group_cols: Sequence[str], latency_col: str = "latency_ms",

@@ -25,7 +25,7 @@ from nearfold.operators import tables as TB
 from nearfold.operators.catalog import IndexCatalog
 from nearfold.operators.indexing import dense_index
 from nearfold.plans import studies as ST
-from nearfold.plans.corpus import corpus
+from nearfold.plans.corpus import corpus, staged
 from nearfold.plans.splits import INSERT_ID_OFFSET, splits
 from nearfold.session import scratch_path, spread
 from nearfold.sources import fixtures, textio, timelog
@@ -129,12 +129,17 @@ def q_split_disjoint(spark, sf_dir):
 
 
 def q_csv_roundtrip(spark, sf_dir):
-    """Largest sentence tier -> ``id,text`` CSV -> read back."""
+    """Every tier, the queries and the inserts -> ``id,text`` CSV tables -> read back."""
     c = corpus(spark, sf_dir)
-    path = scratch_path(spark, "csv")
-    textio.write_text_table(c.tiers().where(F.col("tier") == c.max_tier), path)
-    back = textio.read_text_table(spark, path)
-    return back.select("id", "text", F.length("text").cast("long").alias("n_chars"))
+    parts = {f"tier_{t}": c.tiers().where(F.col("tier") == t) for t in c.tier_sizes}
+    parts |= {"queries": c.queries().withColumnRenamed("qid", "id"), "inserts": c.inserts.withColumnRenamed("seq", "id")}
+    out = None
+    for name, rows in parts.items():
+        path = scratch_path(spark, "csv", name)
+        textio.write_text_table(rows, path)
+        back = textio.read_text_table(spark, path).withColumn("part", F.lit(name))
+        out = back if out is None else out.unionByName(back)
+    return out.select("part", "id", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 # ------------------------------------------------------------------ vector functions
@@ -191,16 +196,17 @@ def q_dim_quarantine(spark, sf_dir, dim: int = 64):
 
 
 def q_vector_tsv_roundtrip(spark, sf_dir):
-    """Base vectors -> ``id \\t [..]`` text -> parsed back."""
+    """Base, insert and query vectors -> ``id \\t [..]`` text -> parsed back."""
     sp = splits(spark, sf_dir)
-    path = scratch_path(spark, "tsv")
-    textio.write_vector_tsv(sp.base, path)
-    back = textio.read_vector_tsv(spark, path)
-    orig = sp.base.select("id", F.col("embedding").alias("orig"))
-    j = back.join(orig, "id")
+    out = None
+    for name, rows in {"base": sp.base, "inserts": sp.inserts.withColumnRenamed("seq", "id"), "queries": sp.queries.withColumnRenamed("qid", "id")}.items():
+        path = scratch_path(spark, "tsv", name)
+        textio.write_vector_tsv(rows, path)
+        back = textio.read_vector_tsv(spark, path).join(rows.select("id", F.col("embedding").alias("orig")), "id").withColumn("part", F.lit(name))
+        out = back if out is None else out.unionByName(back)
     err = F.array_max(F.zip_with("embedding", "orig", lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
-    return j.select(
-        "id", "embedding_text", F.size("embedding").cast("long").alias("dims"),
+    return out.select(
+        "part", "id", "embedding_text", F.size("embedding").cast("long").alias("dims"),
         F.round(err, 5).alias("max_abs_err"),
     )
 
@@ -244,10 +250,27 @@ def _reads(spark, sf_dir):
 
 
 def q_latency_summary(spark, sf_dir):
-    """Per profile, reads after a 20-operation warm-up: n, mean, p95, p99."""
-    timed = metrics.warmup_flags(_reads(spark, sf_dir), ["profile"], ["ts", "event_id"], "event_id")
-    out = metrics.latency_summary(timed, ["profile"])
-    return _round(out, "mean_latency_ms", "p95_latency_ms", "p99_latency_ms")
+    """Per profile, all reads, timed after a warm-up run of the first 20 of them: n, mean, p95, p99."""
+    runs = metrics.with_warmup(_reads(spark, sf_dir), ["profile"], ["ts", "event_id"])
+    out = metrics.latency_summary(runs.where("phase = 'timed'"), ["profile"])
+    warm = runs.where("phase = 'warmup'").groupBy("profile").agg(F.count(F.lit(1)).alias("n_warmup"))
+    return _round(out.join(warm, "profile", "left"), "mean_latency_ms", "p95_latency_ms", "p99_latency_ms")
+
+
+#: Quantiles kept by the latency sketches.
+SKETCH_PS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def q_latency_sketch(spark, sf_dir):
+    """Read latencies as one sketch per (profile, minute), stored, merged into days; are ranks within the bound?"""
+    reads = _reads(spark, sf_dir).withColumn("minute", F.date_trunc("minute", "ts")).withColumn("window_start", F.date_trunc("day", "ts"))
+    g = ["profile", "window_start"]
+    path = scratch_path(spark, "latency_sketches")
+    metrics.latency_sketches(reads, [*g, "minute"]).write.parquet(path)
+    days = metrics.merged_quantiles(spark.read.parquet(path), g, SKETCH_PS)
+    out = metrics.rank_errors(reads, days.drop("n"), g, SKETCH_PS)
+    return out.select(*g, F.col("n").alias("n_reads"),
+                      *[(F.col(f"{c}_rank_error") <= metrics.SKETCH_RANK_ERROR).alias(f"{c}_within") for c in SKETCH_PS])
 
 
 def q_throughput(spark, sf_dir):
@@ -327,7 +350,7 @@ def q_metrics_log(spark, sf_dir):
 # ------------------------------------------------------------------ ground truth
 
 # Probes used by the pivot-list search checks and the growth study.
-PIVOT_PROBES = 5
+PIVOT_PROBES = 20
 DEGRADATION_PROBES = 20
 SCALING_PROBES = 20
 
@@ -380,10 +403,22 @@ def q_ivf_postings(spark, sf_dir):
     return ivf.list_sizes(idx)
 
 
+def _serving_index(sp):
+    return ST.pivot_index(sp, ivf.serving_lists(sp.n_base))
+
+
 def q_ivf_pivot_search(spark, sf_dir):
-    """Top-10 through the 5 nearest pivot lists."""
+    """Top-10 through the 20 nearest pivot lists."""
+    sp = splits(spark, sf_dir)
+    return _long(_round(ivf.search(_serving_index(sp), sp.queries, K, PIVOT_PROBES)), "rk")
+
+
+def q_ivf_pivot_recall(spark, sf_dir):
+    """Mean recall@10 of that search; at least 0.9 is asked of it."""
     sp = splits(spark, sf_dir)
-    return _long(_round(ivf.search(ST.pivot_index(sp), sp.queries, K, PIVOT_PROBES)), "rk")
+    idx = _serving_index(sp)
+    out = metrics.mean_recall(ST.exact(sp), ivf.search(idx, sp.queries, K, PIVOT_PROBES), K)
+    return _round(out.withColumns({"lists": F.lit(idx.lists).cast("long"), "recall_ok": F.col("mean_recall") >= 0.9}), "mean_recall")
 
 
 def q_ivf_search(spark, sf_dir):
@@ -410,7 +445,7 @@ def q_ivf_probe_sweep(spark, sf_dir):
 def q_recall_at_k(spark, sf_dir):
     """Per-query recall@10 of the pivot-list search against the exact top-10."""
     sp = splits(spark, sf_dir)
-    res = ivf.search(ST.pivot_index(sp), sp.queries, K, PIVOT_PROBES)
+    res = ivf.search(_serving_index(sp), sp.queries, K, PIVOT_PROBES)
     out = metrics.recall_per_query(ST.exact(sp), res, K)
     return _round(out, "recall")
 
@@ -418,7 +453,7 @@ def q_recall_at_k(spark, sf_dir):
 def q_recall_curve(spark, sf_dir):
     """Mean recall at k = 1, 10, 50, 100 of a depth-100 pivot-list search."""
     sp = splits(spark, sf_dir)
-    res = ivf.search(ST.pivot_index(sp), sp.queries, GT.DEPTH, PIVOT_PROBES)
+    res = ivf.search(_serving_index(sp), sp.queries, GT.DEPTH, PIVOT_PROBES)
     out = metrics.recall_curve(ST.exact(sp, GT.DEPTH), res)
     return _long(_round(out, "mean_recall"), "k")
 
@@ -504,9 +539,9 @@ def q_pk_violations(spark, sf_dir):
     """A load retried without the anti join duplicates keys; the check finds them (D3)."""
     sp = splits(spark, sf_dir)
     path = _items_table(spark, sp, "pk")
-    rows = _ins(sp, 0, sp.checkpoints[0])
-    TB.append(rows, path)
-    TB.append(rows, path)
+    for lo, hi in zip([0, *sp.checkpoints], sp.checkpoints):
+        TB.append(_ins(sp, lo, hi), path)
+    TB.append(_ins(sp, 0, sp.checkpoints[-2]), path)  # the retry of all ranges but the last
     return TB.pk_violations(spark.read.parquet(path))
 
 
@@ -700,18 +735,28 @@ def q_stream_cyclic_ingest(spark, sf_dir):
     return _round(out.select("id", "vec_ix", "list_id", "centroid_distance"), "centroid_distance")
 
 
-def q_stream_lookup(spark, sf_dir):
-    """Queries arriving while the index serves: foreachBatch pivot-list search (ST2)."""
+def _stream_lookup(spark, sf_dir):
     sp = splits(spark, sf_dir)
     d = STR.scratch(spark, "lookup")
     idx_path = scratch_path(spark, "lookup_index")
-    lists = ivf.lists_for(sp.n_base)
+    lists = ivf.serving_lists(sp.n_base)
     cents = ivf.pivot_centroids(ST.perm_base(sp), lists)
     ivf.build(sp.base.select("id", "embedding"), cents, lists, path=idx_path)
     timelog.write_log(sp.queries.select("qid", "embedding"), d["log"], "qid")
     STR.lookups(spark, d["log"], idx_path, cents, lists, d["out"], d["checkpoint"], K, PIVOT_PROBES)
-    out = spark.read.parquet(d["out"]).select("qid", "rk", "id", "distance")
-    return _long(_round(out), "rk")
+    return sp, spark.read.parquet(d["out"]).select("qid", "rk", "id", "distance")
+
+
+def q_stream_lookup(spark, sf_dir):
+    """Queries arriving while the index serves: foreachBatch pivot-list search (ST2)."""
+    return _long(_round(_stream_lookup(spark, sf_dir)[1]), "rk")
+
+
+def q_stream_lookup_recall(spark, sf_dir):
+    """Mean recall@10 of the streamed lookups; at least 0.9 is asked of them (ST2, E1)."""
+    sp, found = _stream_lookup(spark, sf_dir)
+    out = metrics.mean_recall(ST.exact(sp), found, K)
+    return _round(out.withColumn("recall_ok", F.col("mean_recall") >= 0.9), "mean_recall")
 
 
 def q_stream_workload_windows(spark, sf_dir):
@@ -748,6 +793,34 @@ def q_embed_pool_batched(spark, sf_dir):
     return _embedding_summary(EM.embed_batches(t, "text", EM.numpy_hashed_encoder(), EM.DIM))
 
 
+def q_embedding_rate(spark, sf_dir):
+    """All sentences embedded and written once; rows, batches and rate as the write observed them."""
+    texts = corpus(spark, sf_dir).numbered.select(F.col("pool_pos").alias("id"), "text")
+    path = scratch_path(spark, "embedding_rate")
+    got = EM.embed_and_measure(texts, "text", EM.numpy_hashed_encoder(), EM.DIM, path)
+    stored = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_stored"))
+    return stored.select(F.lit(got["rows"]).alias("n_observed"), "n_stored",
+                         F.lit(got["rows"] <= got["batches"] * EM.BATCH_SIZE).alias("batches_cover"),
+                         F.lit(got["rows_per_sec"] > 0).alias("rate_positive"))
+
+
+def q_stage_cache(spark, sf_dir):
+    """Every corpus stage asked for three times: rows read, and how often it was built."""
+    c = corpus(spark, sf_dir)
+    parts = {"numbered": lambda: c.numbered, "pool": lambda: c.perm, "tiers": lambda: c.tiers(), "inserts": lambda: c.inserts}
+    out = []
+    for name, source in parts.items():
+        path, built = scratch_path(spark, "stage_cache", name), []
+
+        def build():
+            built.append(1)
+            return source()
+
+        counts = {staged(spark, path, build).count() for _ in range(3)}
+        out.append((name, counts.pop(), len(built), not counts))
+    return spark.createDataFrame(out, "stage string, n_rows long, n_builds long, same_rows boolean")
+
+
 def q_text_items(spark, sf_dir):
     """Vectors of every sentence tier, the queries and the inserts, from one stored embedding pass."""
     c = corpus(spark, sf_dir)
@@ -900,6 +973,7 @@ def queries() -> dict[str, Query]:
         "knn_join_l1": _knn_join("l1"),
         # operation-log metrics
         "latency_summary": q_latency_summary,
+        "latency_sketch": q_latency_sketch,
         "throughput": q_throughput,
         "workload_summary": q_workload_summary,
         "metrics_log": q_metrics_log,
@@ -911,6 +985,7 @@ def queries() -> dict[str, Query]:
         "ivf_pivot_postings": q_ivf_pivot_postings,
         "ivf_postings": q_ivf_postings,
         "ivf_pivot_search": q_ivf_pivot_search,
+        "ivf_pivot_recall": q_ivf_pivot_recall,
         "ivf_search": q_ivf_search,
         "ivf_recall": q_ivf_recall,
         "ivf_probe_sweep": q_ivf_probe_sweep,
@@ -938,6 +1013,8 @@ def queries() -> dict[str, Query]:
         # embedding stage
         "embed_pool": q_embed_pool,
         "embed_pool_batched": q_embed_pool_batched,
+        "stage_cache": q_stage_cache,
+        "embedding_rate": q_embedding_rate,
         # corpus to search
         "text_items": q_text_items,
         "text_ground_truth": q_text_ground_truth,
@@ -953,6 +1030,7 @@ def queries() -> dict[str, Query]:
         # streaming
         "stream_ingest": q_stream_ingest,
         "stream_lookup": q_stream_lookup,
+        "stream_lookup_recall": q_stream_lookup_recall,
         "stream_cyclic_ingest": q_stream_cyclic_ingest,
         "stream_workload_windows": q_stream_workload_windows,
     }

@@ -157,6 +157,8 @@ def cos_(a: str, b: str) -> str:
 NLISTS = """nl AS (SELECT CAST(round(sqrt(nb)) AS BIGINT) AS lists FROM sz),
 pbase AS (SELECT b.id, b.pool_pos, b.embedding, p.perm_rank FROM base b JOIN perm p USING (pool_pos))"""
 
+SERVING_LISTS = NLISTS.replace("round(sqrt(nb))", "round(0.75 * sqrt(nb))")
+
 CENTS = """cents AS (SELECT perm_rank AS list_id, embedding AS centroid FROM pbase, nl WHERE perm_rank < nl.lists)"""
 
 ASG = f"""asg AS (SELECT id, list_id, cd FROM (
@@ -307,8 +309,9 @@ UNION ALL SELECT 's_queries', 's_tier_max', (SELECT count(*) FROM squeries WHERE
 UNION ALL SELECT 'v_base', 'v_inserts', (SELECT count(*) FROM base WHERE pool_pos IN (SELECT pool_pos FROM ins))
 UNION ALL SELECT 'v_base', 'v_queries', (SELECT count(*) FROM base WHERE pool_pos IN (SELECT pool_pos FROM qs))
 UNION ALL SELECT 'v_inserts', 'v_queries', (SELECT count(*) FROM ins WHERE pool_pos IN (SELECT pool_pos FROM qs))"""
-    s["csv_roundtrip"] = with_(*SENT_ALL) + """SELECT id, text, length(text) AS n_chars FROM stiers, mt
-  WHERE tier = mt.mt"""
+    s["csv_roundtrip"] = with_(*SENT_ALL) + """SELECT part, id, text, length(text) AS n_chars FROM (
+  SELECT 'tier_' || CAST(tier AS VARCHAR) AS part, id, text FROM stiers UNION ALL SELECT 'queries', qid, text FROM squeries
+  UNION ALL SELECT 'inserts', seq, text FROM sinserts)"""
     # vector functions
     s["vec_l2"] = _pair(l2("a.embedding", "b.embedding"), "distance")
     s["vec_cosine"] = _pair(cosine("a.embedding", "b.embedding"), "distance")
@@ -325,8 +328,9 @@ UNION ALL SELECT 'v_inserts', 'v_queries', (SELECT count(*) FROM ins WHERE pool_
   round(max({norm('embedding')}), 6) AS max_norm FROM tiers GROUP BY tier"""
     s["dim_quarantine"] = """SELECT len(embedding) AS dims, count(*) AS n_rows, len(embedding) <> 64 AS quarantined
 FROM embeddings GROUP BY len(embedding)"""
-    s["vector_tsv_roundtrip"] = with_(PERM, BASE) + f"""SELECT id, {vec_text('embedding')} AS embedding_text,
-  len(embedding) AS dims, 0.0 AS max_abs_err FROM base"""
+    s["vector_tsv_roundtrip"] = with_(PERM, BASE, INSERTS, QUERIES) + f"""SELECT part, id, {vec_text('embedding')} AS embedding_text,
+  len(embedding) AS dims, 0.0 AS max_abs_err FROM (SELECT 'base' AS part, id, embedding FROM base
+  UNION ALL SELECT 'inserts', seq, embedding FROM ins UNION ALL SELECT 'queries', qid, embedding FROM qs)"""
     # search
     s["knn_join_cosine"] = knn_sql("cosine", 10)
     s["knn_join_l2"] = knn_sql("l2", 10)
@@ -339,8 +343,11 @@ FROM embeddings GROUP BY len(embedding)"""
     # operation-log metrics
     s["latency_summary"] = with_(OPS, """reads AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY ts, event_id) AS seq
   FROM ops WHERE is_read)""") + """SELECT profile, count(*) AS n_ops, round(avg(latency_ms), 6) AS mean_latency_ms,
-  round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms, round(quantile_cont(latency_ms, 0.99), 6) AS p99_latency_ms
-FROM reads WHERE seq > 20 GROUP BY profile"""
+  round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms, round(quantile_cont(latency_ms, 0.99), 6) AS p99_latency_ms,
+  count_if(seq <= 20) AS n_warmup
+FROM reads GROUP BY profile"""
+    s["latency_sketch"] = with_(OPS) + """SELECT profile, time_bucket(INTERVAL 1 day, ts) AS window_start, count(*) AS n_reads,
+  true AS p50_within, true AS p95_within, true AS p99_within FROM ops WHERE is_read GROUP BY ALL"""
     s["throughput"] = with_(OPS) + """SELECT profile, count(*) AS n_reads,
   round(count(*) / (date_diff('microsecond', min(ts), max(ts)) / 1e6), 6) AS qps_wall,
   round(count(*) / (sum(latency_ms) / 1000.0), 6) AS qps_latency_sum,
@@ -363,13 +370,18 @@ FROM {topk_of(f"(SELECT t.tier, q.qid, t.id, t.pool_pos, {cosine('q.embedding',
 FROM ggt, sz GROUP BY ci, sz.nb"""
     # inverted lists
     s["ivf_pivot_postings"] = with_(PERM, BASE, NLISTS, CENTS, ASG) + f"SELECT id, list_id, {r6('cd')} AS centroid_distance FROM asg"
-    s["ivf_pivot_search"] = with_(PERM, BASE, QUERIES, NLISTS, CENTS, ASG, probes_cte(5), pivot_search_cte(5, 10)) + \
+    s["ivf_pivot_search"] = with_(PERM, BASE, QUERIES, SERVING_LISTS, CENTS, ASG, probes_cte(20), pivot_search_cte(20, 10)) + \
         f"SELECT qid, rk, id, {r6('distance')} AS distance FROM res"
     s["ivf_search"] = knn_sql("cosine", 10)
-    s["recall_at_k"] = with_(PERM, BASE, QUERIES, NLISTS, CENTS, ASG, probes_cte(5), pivot_search_cte(5, 10), EXACT10) + \
+    recall = with_(PERM, BASE, QUERIES, SERVING_LISTS, CENTS, ASG, probes_cte(20), pivot_search_cte(20, 10), EXACT10, """hits AS (
+  SELECT t.qid, count(r.id) / count(*) AS recall FROM exact t LEFT JOIN res r ON r.qid = t.qid AND r.id = t.id GROUP BY t.qid)""")
+    s["ivf_pivot_recall"] = recall + f"""SELECT {r6('avg(recall)')} AS mean_recall, count(*) AS n_queries, (SELECT lists FROM nl) AS lists,
+  avg(recall) >= 0.9 AS recall_ok FROM hits"""
+    s["stream_lookup_recall"] = recall + f"SELECT {r6('avg(recall)')} AS mean_recall, count(*) AS n_queries, avg(recall) >= 0.9 AS recall_ok FROM hits"
+    s["recall_at_k"] = with_(PERM, BASE, QUERIES, SERVING_LISTS, CENTS, ASG, probes_cte(20), pivot_search_cte(20, 10), EXACT10) + \
         f"""SELECT t.qid, {r6('count(r.id) / count(*)')} AS recall, count(*) AS n_truth
 FROM exact t LEFT JOIN res r ON r.qid = t.qid AND r.id = t.id GROUP BY t.qid"""
-    s["recall_curve"] = with_(PERM, BASE, QUERIES, NLISTS, CENTS, ASG, probes_cte(5), pivot_search_cte(5, 100), EXACT100,
+    s["recall_curve"] = with_(PERM, BASE, QUERIES, SERVING_LISTS, CENTS, ASG, probes_cte(20), pivot_search_cte(20, 100), EXACT100,
                               "ks AS (SELECT unnest([1, 10, 50, 100]) AS k)") + f"""SELECT k, {r6('avg(recall)')} AS mean_recall,
   count(*) AS n_queries, max(depth) AS depth FROM (
   SELECT ks.k, t.qid, count(r.id) / count(*) AS recall, count(*) AS depth
@@ -417,7 +429,7 @@ FROM ({degradation_sql(20)}) WHERE NOT (checkpoint_pct = 0 AND phase = 'no_rebui
     s["load_tier"] = with_(PERM, TIERS) + """SELECT tier, count(*) AS n_rows, tier AS n_expected, true AS count_ok
 FROM tiers GROUP BY tier"""
     s["pk_violations"] = with_(PERM, INSERTS) + """SELECT 800000000 + seq AS id, CAST(2 AS BIGINT) AS n_copies
-FROM ins, sz WHERE seq < sz.nb * 10 // 100"""
+FROM ins, sz WHERE seq < sz.nb * 30 // 100"""
     s["append_range"] = with_(PERM, BASE, INSERTS) + """SELECT id, pool_pos FROM base
 UNION ALL SELECT 800000000 + seq, pool_pos FROM ins, sz WHERE seq < sz.nb * 50 // 100"""
     s["append_resume"] = with_(PERM, BASE, INSERTS) + """SELECT id, CAST(1 AS BIGINT) AS n_copies FROM base
@@ -470,6 +482,11 @@ FROM w GROUP BY window_start, profile"""
   {r6("list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i))")} AS checksum,
   len(list_filter(embedding, lambda x: x <> 0)) AS n_nonzero FROM vec"""
     s["embed_pool_batched"] = s["embed_pool"]
+    s["embedding_rate"] = with_(SENTS, NUMBERED) + """SELECT count(*) AS n_observed, count(*) AS n_stored, true AS batches_cover,
+  true AS rate_positive FROM numbered"""
+    s["stage_cache"] = with_(*SENT_ALL) + """SELECT stage, n_rows, CAST(1 AS BIGINT) AS n_builds, true AS same_rows FROM (
+  SELECT 'numbered' AS stage, count(*) AS n_rows FROM numbered UNION ALL SELECT 'pool', count(*) FROM sperm
+  UNION ALL SELECT 'tiers', count(*) FROM stiers UNION ALL SELECT 'inserts', count(*) FROM sinserts)"""
     # neighbour graph
     s["graph_search_l2"] = knn_sql("l2", 10)
     s["graph_validate"] = with_(PERM) + """SELECT nb AS n_nodes, CAST(0 AS BIGINT) AS n_self_edges,

@@ -19,11 +19,13 @@ def test_sql_and_numpy_encoders_agree(spark):
     assert all(x == 0 for x in a[1])  # no token: zero vector
 
 
-def test_rate_and_determinism(spark):
+def test_rate_and_determinism(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    timed = EM.embed_batches(docs, "text", EM.numpy_hashed_encoder(), EM.DIM, with_timing=True)
-    rate = EM.embedding_rate(timed).first()
-    assert rate["rows"] == docs.count() and rate["rows_per_sec"] > 0
+    rate = EM.embed_and_measure(docs, "text", EM.numpy_hashed_encoder(), EM.DIM, str(tmp_path / "e"), batch_size=7)
+    assert rate["rows"] == docs.count() == spark.read.parquet(str(tmp_path / "e")).count() and rate["rows_per_sec"] > 0
+    assert rate["batches"] * 7 >= rate["rows"]
+    none = EM.embed_and_measure(docs.limit(0), "text", EM.numpy_hashed_encoder(), EM.DIM, str(tmp_path / "none"))
+    assert (none["rows"], none["batches"], none["rows_per_sec"]) == (0, 0, 0.0)
     one = docs.select("id", EM.hashed_embedding("text").alias("e")).orderBy("id").collect()
     two = docs.select("id", EM.hashed_embedding("text").alias("e")).orderBy("id").collect()
     assert one == two

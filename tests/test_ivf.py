@@ -38,6 +38,24 @@ def test_recall_non_decreasing_in_probes_and_sweep_matches_single(sp):
     assert single == pytest.approx(rec[3])
 
 
+def test_scan_equals_blocks_for_any_bound(sp, spark):
+    """Map-only scan and block join give the same rows, also with groups and for a sweep."""
+    idx = ST.pivot_index(sp)
+    for probes in (1, 4, idx.lists + 3):
+        one, two = (sorted(map(tuple, ivf.search(idx, sp.queries, 10, probes, limit=x).collect())) for x in (1 << 30, 0))
+        assert one == two and one
+    grouped = ivf.IvfIndex(idx.centroids, idx.postings.withColumn("slab", F.col("id") % 3), idx.lists, "cosine")
+    one, two = (sorted(map(tuple, ivf.search(grouped, sp.queries, 5, 4, ["slab"], limit=x).collect())) for x in (1 << 30, 0))
+    assert one == two
+    one, two = (sorted(map(tuple, ivf.probe_sweep(idx, sp.queries, 10, (1, 3, 9), limit=x).collect())) for x in (1 << 30, 0))
+    assert one == two
+    odd = sp.queries.limit(2).unionByName(spark.createDataFrame([(900, [0.0] * 64), (901, None), (902, [1.0])], sp.queries.select("qid", "embedding").schema), allowMissingColumns=True)
+    assert ivf.search(idx, odd, 3, 2).select("qid").distinct().count() == 2
+    assert ivf.search(idx, sp.queries.limit(0), 3, 2).count() == 0
+    plan = ivf.search(idx, sp.queries.limit(1), 3, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list_id" in plan and "CoGroup" not in plan
+
+
 def test_trained_lists_write_partitioned(spark, sp, tmp_path):
     path = str(tmp_path / "postings")
     idx = ST.trained_index(sp, path=path)

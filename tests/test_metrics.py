@@ -36,12 +36,27 @@ def test_query_without_results_counts_zero(spark):
     assert metrics.mean_recall(truth, res, 1).first()["mean_recall"] == 0.5
 
 
-def test_warmup_drops_first_operations_per_group(spark):
+def test_warmup_operations_are_timed_again(spark):
     rows = [(i, i % 2, i) for i in range(50)]
     df = spark.createDataFrame(rows, "event_id long, g long, ts long")
-    kept = metrics.warmup_flags(df, ["g"], ["ts", "event_id"], "event_id", warmup=20)
-    assert kept.count() == 10
-    assert kept.agg(F.min("event_id")).first()[0] == 40
+    runs = metrics.with_warmup(df, ["g"], ["ts", "event_id"], warmup=20)
+    assert sorted(r.event_id for r in runs.where("phase = 'timed'").collect()) == list(range(50))
+    assert sorted(r.event_id for r in runs.where("phase = 'warmup'").collect()) == list(range(40))
+
+
+def test_sketches_merge_within_the_bound(spark):
+    ops = spark.range(60_000).select(
+        (F.col("id") % 2).alias("g"), F.floor(F.col("id") / 500).alias("minute"), F.when(F.col("id") % 97 != 0, F.pow(F.rand(3), F.lit(4.0)) * 900).alias("latency_ms"))
+    ops = ops.union(spark.createDataFrame([(7, 0, 1.5), (8, 0, None)], ops.schema)).cache()
+    parts = metrics.latency_sketches(ops, ["g", "minute"])
+    ps = {"p50": 0.5, "p99": 0.99}
+    days = metrics.merged_quantiles(parts, ["g"], ps)
+    assert {r.g: r.n for r in days.collect()} == {r.g: r.n for r in ops.groupBy("g").agg(F.count("latency_ms").alias("n")).where("n > 0").collect()}
+    errors = metrics.rank_errors(ops, days.drop("n"), ["g"], ps).collect()
+    assert len(errors) == 3 and all(max(r.p50_rank_error, r.p99_rank_error) <= metrics.SKETCH_RANK_ERROR for r in errors)
+    assert max(r.size for r in parts.select(F.octet_length("sketch").alias("size")).collect()) < 16 * metrics.SKETCH_K
+    wrong = days.withColumn("p50", F.col("p99")).drop("n")
+    assert metrics.rank_errors(ops, wrong, ["g"], ps).where("g < 7 AND p50_rank_error < 0.4").count() == 0
 
 
 def test_empty_read_set_gives_zero_qps_and_null_percentiles(spark):
