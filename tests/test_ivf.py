@@ -74,19 +74,20 @@ def test_lists_rule():
 
 def test_small_blocks_match_whole_lists(sp, monkeypatch):
     idx = ST.pivot_index(sp)
-    one = ivf.search(idx, sp.queries, 10, 4).orderBy("qid", "rk").collect()
+    one = ivf.search(idx, sp.queries, 10, 4, limit=0).orderBy("qid", "rk").collect()
     monkeypatch.setattr(knn, "ITEM_BLOCK", 5)
     monkeypatch.setattr(knn, "QUERY_BLOCK", 3)
-    many = ivf.search(idx, sp.queries, 10, 4).orderBy("qid", "rk").collect()
+    many = ivf.search(idx, sp.queries, 10, 4, limit=0).orderBy("qid", "rk").collect()
     assert one == many
 
 
 def test_search_reads_stored_postings_and_assigns_nothing(sp):
     idx = ST.pivot_index(sp)
-    found = ivf.search(idx, sp.queries, 10, 3)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert any(idx.path.split("/")[-1] in f for f in found.inputFiles())
-    assert "MapInArrow" not in plan and "CoGroupsInArrow" in plan
+    for limit, scans, joins in ((1 << 30, 1, 0), (0, 0, 1)):  # one scan of the postings, or the block join; no second kernel
+        found = ivf.search(idx, sp.queries, 10, 3, limit=limit)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert any(idx.path.split("/")[-1] in f for f in found.inputFiles())
+        assert (plan.count("MapInArrow"), plan.count("CoGroupsInArrow")) == (scans, joins)
 
 
 def test_clamped_probes_are_reported(sp):
