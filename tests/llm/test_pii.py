@@ -55,6 +55,89 @@ def test_coreference_distinctness_and_key(spark):
     assert again == texts[: len(many)] and sum(a == b for a, b in zip(other, again)) < 5
 
 
+def test_persons_are_known_by_name(spark):
+    """One person under several titles and without one; IPv6; telephone formats; a name in Han script."""
+    text = "Dr Anna Keller … Frau Anna Keller … Anna Keller, ANNA KELLER … Anna Kellermann … John Smith … 01 23 45 67 89, 0171 2345678, 5551234567, Dr. 李明, 2001:db8::1"
+    (new,), (n,) = run(spark, [text])
+    m = re.fullmatch(
+        r"Dr (\w+ \w+) … Frau (\w+ \w+) … (\w+ \w+), ANNA KELLER … Anna Kellermann … John Smith … (0\d \d\d \d\d \d\d \d\d), (0\d{3} \d{7}), (\d{10}), Dr\. (\w{2,4}), ([0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f])", new)
+    assert m, new
+    assert m[1] == m[2] == m[3] != "Anna Keller" and m[1].split()[0] in pii.NAMES["latin"]["f"]
+    assert m[4] != "01 23 45 67 89" and m[6] != "5551234567" and m[7] != "李明" and m[8] != "2001:db8::1"
+    assert n == 8
+    texts, n = run(spark, ["+33 1 23 45 67 89", "+49 30 1234567", "+44 (0)20 7946 0958", "030/1234567", "Mr Kim Lee and Mrs Kim Lee"])
+    assert n == [1, 1, 1, 1, 2] and all(re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) and a != b for a, b in zip(texts[:4], ["+33 1 23 45 67 89", "+49 30 1234567", "+44 (0)20 7946 0958", "030/1234567"]))
+    a, b = re.fullmatch(r"Mr (.*) and Mrs (.*)", texts[4]).groups()
+    assert a == b
+
+
+def brute(text):
+    """Mentions of a text, found with another engine: (begin, end, kind)."""
+    import regex
+
+    out, at = [], 0
+    rules = {k: regex.compile(p.replace(r"\p{IsHan}", r"\p{Han}"), regex.V0) for k, p in pii.PATTERNS.items()}
+    while True:
+        found = [(m.start(), i, m.end(), k) for i, (k, r) in enumerate(rules.items()) if (m := r.search(text, at))]
+        if not found:
+            return out
+        begin, _, end, kind = min(found)
+        out.append((begin, end, kind))
+        at = end
+
+
+def brute_norm(kind, mention):
+    title = re.match(rf"(?:{pii._TITLE})\.?[ \u00a0]?", mention)
+    value = re.match(r"""(?:[A-Za-z_-]+['"]?\s*[=:]\s*['"]?)?(.*)$""", mention, re.S)[1]
+    return {
+        "email": mention.lower(), "ip6": mention.lower(), "iban": mention.replace(" ", ""), "secret": value,
+        "person": mention[title.end() :].lower().replace("\u00a0", " ") if title else "",
+    }.get(kind, re.sub(r"\D", "", mention) if kind in ("card", "phone", "ssn") else mention)
+
+
+def test_equals_brute_force_on_the_documents(spark):
+    """Every mention that a plain search finds is replaced, nothing else is, and entities stay apart and the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    old = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    seen, entities = {}, 0
+    for r in pii.replace_pii(docs).collect():
+        found = brute(old[r.doc_id] or "")
+        assert r.n_entities == len(found)
+        if not found:
+            assert r.text == old[r.doc_id]
+            continue
+        entities += len(found)
+        gaps = [old[r.doc_id][a:b] for a, b in zip([0, *(f[1] for f in found)], [*(f[0] for f in found), None])]
+        rest, parts = r.text, []
+        assert rest.startswith(gaps[0])
+        m = re.fullmatch("(.+?)".join(map(re.escape, gaps)), rest, re.S)
+        assert m, r.doc_id
+        for (begin, end, kind), new in zip(found, m.groups()):
+            mention = old[r.doc_id][begin:end]
+            assert new != mention and re.sub(r"[a-z]", "a", re.sub(r"\d", "0", new.lower())) != "" and kind in pii.PATTERNS
+            key = (kind, brute_norm(kind, mention))
+            assert seen.setdefault(key, brute_norm(kind, new)) == brute_norm(kind, new)
+    assert entities > 50
+    by_kind = {}
+    for (kind, norm), sur in seen.items():
+        assert by_kind.setdefault((kind, sur), norm) == norm, "two entities share a surrogate"
+        assert (kind, sur) not in seen, "a surrogate is an entity"
+
+
+@pytest.mark.parametrize("text", ["abcdefghij" * 100_000, "0123456789" * 100_000, "a." * 500_000, "a@" * 500_000, "x@" + "a." * 500_000, "Mr Aa" + "a" * 1_000_000, "a:" * 500_000, "1 " * 500_000, "token=" + "a" * 1_000_000, "+1" * 500_000, "letters" * 140_000 + "@"])
+def test_long_runs_are_linear(spark, text):
+    import time
+
+    def find(text):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        return df.select(pii._has_pii(pii.F.col("text")).alias("h"), pii.F.size(pii.mentions_of(pii.F.col("text"))).alias("n")).collect()
+
+    find(text[:100_000])  # code is compiled
+    begin = time.perf_counter()
+    find(text)
+    assert time.perf_counter() - begin < 4  # two scans and the job, on a busy machine
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     """With one family name and one given name, distinct people still get distinct names."""
     monkeypatch.setitem(pii.NAMES, "latin", {"f": ["Ada"], "m": ["Bo"], "family": [f"F{chr(97 + i)}" for i in range(6)]})
@@ -109,6 +192,18 @@ def test_long_text_with_many_mentions(spark):
     assert n == 5000 and "@mail.com" not in new and len(set(re.findall(r"\S+@\S+", new))) == 50
 
 
+def test_long_run_is_replaced_whole_and_clashing_columns(spark):
+    rows = [(1, "x@" + "a." * 5000 + " mail me@b.org", "t", "k")]
+    (r,) = pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string, _row string, norm string")).collect()
+    assert "me@b.org" not in r.text and r.text.startswith("x@a.a.") and r.n_entities == 1
+
+
+def test_addresses_side_by_side(spark):
+    text = "a@b.org+c@d.org 'e@f.net' " + "y" * 300 + "@g.com"
+    (new,), (n,) = run(spark, [text])
+    assert n == 4 and not any(x in new for x in ("b.org", "d.org", "f.net", "g.com"))
+
+
 @pytest.mark.parametrize("rows", [[], [(None, "x 1.2.3.4"), (None, "x 1.2.3.4"), (1, None)]])
 def test_null_ids_repeated_rows_empty_table(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
