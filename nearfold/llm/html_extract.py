@@ -12,7 +12,9 @@ Names like ``has-sidebar`` on a wrapper say what lies within, not what the
 wrapper is.  So names on html and body do not count, and boilerplate words do
 not count on main (or role main), on what holds main, and on what holds the
 longest article or a h1 together with most of the text that would otherwise be
-content.
+content.  Words that may also name an article's subject (``legal-news``,
+``share-price``) do not count on what holds most of such text either, where the
+page has no article, main or h1.
 
 Pages are independent: the work is map-only, one page at a time.
 
@@ -36,16 +38,18 @@ from pyspark.sql import functions as F
 
 from nearfold.llm.common import python_ready
 
-#: A tag, a comment, a declaration; quoted attribute values may hold ">".
+#: A tag, a comment, a declaration.  A quote opens a quoted value only right behind "="; what is not closed ends with
+#: the page.  All repeats are possessive and none can fail late, so a page is read once.
 _MARK = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)*+)(>|\Z)",
     re.S,
 )
 #: An attribute: its name and its value in double, single or no quotes.
-_ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]++))?)?""")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
-_PARTS = re.compile(r"[a-z]+")
+#: Words of a class name or id: they end at other characters and at a change of case.
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: White space of HTML and the no-break space's kin.
 _SPACE = re.compile(r"\s+")
 
@@ -69,11 +73,16 @@ BIAS = 0.3
 TAG_ODDS = {"article": 3.0, "main": 2.0, "p": 0.8, "h1": 0.8, "h2": 0.6, "h3": 0.6, "h4": 0.4, "blockquote": 0.5, "pre": 0.5, "td": -0.2, "li": -0.3,
             "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "header": -3.0, "button": -9.0, "menu": -9.0, "dialog": -9.0, "fieldset": -9.0}
 WORD_ODDS = {"content": 1.5, "article": 1.5, "post": 0.8, "entry": 1.2, "story": 1.2, "body": 0.3, "main": 1.0,
-             "ad": -9.0, "ads": -9.0, "advert": -9.0, "advertisement": -9.0, "banner": -9.0, "sponsor": -9.0, "sponsored": -9.0, "promo": -9.0,
-             "nav": -9.0, "navbar": -9.0, "navigation": -9.0, "menu": -9.0, "breadcrumb": -9.0, "breadcrumbs": -9.0, "sidebar": -9.0, "footer": -9.0, "header": -4.0, "masthead": -9.0,
-             "comment": -9.0, "comments": -9.0, "reply": -9.0, "replies": -9.0, "disqus": -9.0, "cookie": -9.0, "cookies": -9.0, "consent": -9.0, "notice": -9.0, "popup": -9.0, "modal": -9.0,
-             "newsletter": -9.0, "subscribe": -9.0, "signup": -9.0, "login": -9.0, "share": -9.0, "sharing": -9.0, "social": -9.0, "related": -9.0, "recommended": -9.0, "widget": -6.0, "pagination": -9.0,
-             "copyright": -9.0, "legal": -6.0, "disclaimer": -6.0, "search": -9.0, "toolbar": -9.0, "complementary": -9.0, "contentinfo": -9.0}
+             "ad": -9.0, "ads": -9.0, "advert": -9.0, "adverts": -9.0, "advertisement": -9.0, "advertising": -9.0, "adsense": -9.0, "banner": -9.0, "sponsor": -9.0, "sponsored": -9.0,
+             "nav": -9.0, "navbar": -9.0, "navigation": -9.0, "menu": -9.0, "breadcrumb": -9.0, "breadcrumbs": -9.0, "sidebar": -9.0, "footer": -9.0, "masthead": -9.0,
+             "comment": -9.0, "comments": -9.0, "reply": -9.0, "replies": -9.0, "responses": -9.0, "discussion": -9.0, "discussions": -9.0, "respond": -9.0, "disqus": -9.0,
+             "cookie": -9.0, "cookies": -9.0, "consent": -9.0, "gdpr": -9.0, "popup": -9.0, "modal": -9.0, "overlay": -6.0,
+             "newsletter": -9.0, "subscribe": -9.0, "signup": -9.0, "breaking": -3.0, "pagination": -9.0, "pager": -9.0, "copyright": -9.0, "toolbar": -9.0, "complementary": -9.0, "contentinfo": -9.0}
+#: Words that name an article's subject as well as a part of a page.
+SOFT_ODDS = {"header": -4.0, "notice": -9.0, "promo": -9.0, "login": -9.0, "share": -9.0, "sharing": -9.0, "social": -9.0, "related": -9.0, "recommended": -9.0, "widget": -6.0,
+             "legal": -6.0, "disclaimer": -6.0, "search": -9.0, "alert": -6.0, "meta": -3.0, "tags": -6.0, "author": -2.0}
+#: Two words side by side in one name.
+PAIR_ODDS = {("site", "info"): -9.0, ("site", "header"): -9.0, ("site", "footer"): -9.0, ("skip", "link"): -9.0, ("read", "more"): -6.0, ("user", "notes"): -9.0, ("guest", "book"): -9.0}
 LINK_ODDS = -4.0
 LENGTH_ODDS = 0.25
 #: Capacity of an edge between neighbouring blocks, and between blocks of one parent.
@@ -93,6 +102,7 @@ class _Element:
     silent: bool
     number: int
     inside: bool  # within article or main
+    box: int  # number of the innermost element here that is not inline
 
 
 @dataclass
@@ -104,6 +114,7 @@ class _Node:
     odds: float  # all its own
     plain: float  # without the boilerplate words of its names
     main: bool
+    firm: float  # without the soft ones of them
 
 
 @dataclass
@@ -130,21 +141,23 @@ def _hidden(attributes: dict[str, str]) -> bool:
     )
 
 
-def _names_odds(attributes: dict[str, str]) -> tuple[float, float]:
-    """Sums of the positive and of the negative log odds of the words in class, id and role."""
-    good = bad = 0.0
+def _names_odds(attributes: dict[str, str]) -> tuple[float, float, float]:
+    """Sums of the positive, the negative and the soft negative log odds of the words in class, id and role."""
+    good = bad = soft = 0.0
     for key in ("class", "id", "role"):
-        for word in _PARTS.findall(attributes.get(key, "").lower()):
-            odds = WORD_ODDS.get(word, 0.0)
-            good, bad = good + max(0.0, odds), bad + min(0.0, odds)
-    return good, bad
+        for name in attributes.get(key, "").split():
+            words = [w.lower() for w in _PARTS.findall(name)]
+            for odds in [*(WORD_ODDS.get(w, 0.0) for w in words), *(PAIR_ODDS.get(pair, 0.0) for pair in zip(words, words[1:]))]:
+                good, bad = good + max(0.0, odds), bad + min(0.0, odds)
+            soft += sum(SOFT_ODDS.get(w, 0.0) for w in words)
+    return good, bad, soft
 
 
-def _sums(nodes: list[_Node], plain: set[int]) -> list[float]:
-    """Log odds of each element with those around it; in ``plain`` boilerplate words do not count."""
+def _sums(nodes: list[_Node], plain: set[int], firm: set[int] | range = frozenset()) -> list[float]:
+    """Log odds of each element with those around it; in ``plain`` boilerplate words do not count, in ``firm`` no soft ones."""
     out: list[float] = []
     for i, node in enumerate(nodes):
-        out.append((out[node.above] if i else BIAS) + (node.plain if i in plain else node.odds))
+        out.append((out[node.above] if i else BIAS) + (node.plain if i in plain else node.firm if i in firm else node.odds))
     return out
 
 
@@ -177,61 +190,80 @@ def _element_odds(nodes: list[_Node], blocks: list[Block]) -> list[float]:
 
     articles = [i for i, node in enumerate(nodes) if node.name == "article" and node.odds > 0]
     heads = [i for i, node in enumerate(nodes) if node.name == "h1"]
+    if not articles and not heads and not main:
+        chars = held(_sums(nodes, main, range(len(nodes))))
+        return _sums(nodes, main, {i for i, node in enumerate(nodes) if node.firm > node.odds and 2 * chars[i] > chars[0]})
     chars = held(_sums(nodes, main | around(articles + heads)))
     wrappers = around([max(articles, key=chars.__getitem__)] if articles else []) | around(heads)
     return _sums(nodes, main | {i for i in wrappers if 2 * chars[i] > chars[0]})
 
 
+class _Stack:
+    """Open elements, with the places of each name and of the fences, so that no end tag walks the stack."""
+
+    def __init__(self) -> None:
+        self.items = [_Element("", False, 0, False, 0)]
+        self.places: dict[str, list[int]] = {}
+        self.fences = [0]
+        self.links = 0
+
+    def push(self, e: _Element) -> None:
+        self.places.setdefault(e.name, []).append(len(self.items))
+        if e.name in _FENCE:
+            self.fences.append(len(self.items))
+        self.links += e.name == "a"
+        self.items.append(e)
+
+    def last(self, name: str) -> int:
+        """Place of the innermost open ``name`` that an end tag reaches, or 0."""
+        place = (self.places.get(name) or [0])[-1]
+        return place if name in _FENCE or place > self.fences[-1] else 0
+
+    def close(self, place: int) -> None:
+        """Close the element at ``place`` and all within it."""
+        while place and len(self.items) > place:
+            e = self.items.pop()
+            self.places[e.name].pop()
+            self.links -= e.name == "a"
+            if self.fences[-1] == len(self.items):
+                self.fences.pop()
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order with their log odds for content."""
-    state, stack, nodes = _Page(), [_Element("", False, 0, False)], [_Node("", 0, 0.0, 0.0, False)]
-    links = 0
+    state, stack, nodes = _Page(), _Stack(), [_Node("", 0, 0.0, 0.0, False, 0.0)]
 
     def close_block() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(state.words))).strip()
+        text = _SPACE.sub(" ", html.unescape("".join(state.words))).strip() if state.words else ""
         if text:
-            top = next(e for e in reversed(stack) if e.name not in _INLINE)
             share = state.linked / max(1, state.shown)
             odds = LINK_ODDS * share + LENGTH_ODDS * min(8.0, len(text) ** 0.5 / 3)
-            state.blocks.append(Block(text, odds, top.number))
+            state.blocks.append(Block(text, odds, stack.items[-1].box))
         state.words, state.linked, state.shown = [], 0, 0
 
     def text_here(text: str) -> None:
-        if text and not stack[-1].silent:
+        if text and not stack.items[-1].silent:
             state.words.append(text)
             n = len(text.strip())
             state.shown += n
-            if links:
+            if stack.links:
                 state.linked += n
 
-    def pop_to(name: str) -> None:
-        """Close the innermost open ``name``; an inline name does not reach past a block's start."""
-        nonlocal links
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name == name:
-                links -= sum(e.name == "a" for e in stack[i:])
-                del stack[i:]
-                return
-            if stack[i].name in _FENCE and name not in _FENCE:
-                return
-
     at, end = 0, len(page)
     while at < end:
         mark = _MARK.search(page, at)
         if mark is None:
-            # A tag cut off by the end of the page shows nothing.
-            cut = re.search(r"<[/a-zA-Z!?]", page[at:])
-            text_here(page[at : at + cut.start()] if cut else page[at:])
+            text_here(page[at:])
             break
         text_here(page[at : mark.start()])
         at = mark.end()
         name = (mark.group(2) or "").lower()
-        if not name:
+        if not name or not mark.group(4):  # a tag cut off by the end of the page shows nothing
             continue
         if mark.group(1):
             if name not in _INLINE:
                 close_block()
-            pop_to(name)
+            stack.close(stack.last(name))
             continue
         if name == "br":
             text_here(" ")
@@ -240,28 +272,24 @@ def blocks_of(page: str) -> list[Block]:
         if name not in _INLINE:
             close_block()
             # A block closes an open paragraph, and inline elements left open in it.
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == "p" or stack[i].name in _CLOSES.get(name, ()):
-                    pop_to(stack[i].name)
-                    break
-                if stack[i].name in _FENCE:
-                    break
+            place = max(stack.last(x) for x in ("p", *_CLOSES.get(name, ())))
+            stack.close(place if place > stack.fences[-1] else 0)
         if name in _VOID or written.endswith("/") and name in ("svg", "path"):
             continue
         if name in _RAW:
-            over = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            over = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I).search(page, at)
             at = over.end() if over else end
             continue
-        above, attributes = stack[-1], _attributes(written) if written else {}
+        above, attributes = stack.items[-1], _attributes(written) if written else {}
         own = TAG_ODDS.get(name, 0.0)
         if name == "header" and above.inside:
             own = -0.5  # an article's own heading
-        good, bad = _names_odds(attributes) if name not in ("html", "body") else (0.0, 0.0)
+        good, bad, soft = _names_odds(attributes) if name not in ("html", "body") else (0.0, 0.0, 0.0)
         silent = above.silent or name in _SILENT or _hidden(attributes)
         main = name == "main" or "main" in attributes.get("role", "").lower().split()
-        stack.append(_Element(name, silent, len(nodes), above.inside or name in ("article", "main")))
-        nodes.append(_Node(name, above.number, max(-9.0, own + good + bad), max(-9.0, own + good), main))
-        links += name == "a"
+        number = len(nodes)
+        stack.push(_Element(name, silent, number, above.inside or name in ("article", "main"), above.box if name in _INLINE else number))
+        nodes.append(_Node(name, above.number, max(-9.0, own + good + bad + soft), max(-9.0, own + good), main, max(-9.0, own + good + bad)))
     close_block()
     sums = _element_odds(nodes, state.blocks)
     for b in state.blocks:

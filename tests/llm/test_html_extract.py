@@ -122,3 +122,102 @@ def test_odd_rows(spark):
     got = sorted((r.page_id or 0, r.n_chars) for r in h.extract_pages(df).collect())
     assert [g for g in got if g[0] in (0, 1)] == [(0, 0), (1, 0)] and got[-1][1] == 5000 * len("some words here.") + 2 * 4999
     assert h.extract_pages(df.limit(0)).count() == 0
+
+
+QUOTES = "The story goes on for a while, and nobody minds that it does."
+
+
+@pytest.mark.parametrize("tag", ["<p class=don't>", "<p title=o'neill>", '<p title=6"inch class=x>', "<p a=b'c d='e>f' g>", "<p hidden=\"\" >x</p><p>", "<p data-x='a>b' title=\"c>d\">", "<p / >", "<P\nCLASS = 'x'>"])
+def test_quotes_inside_values(tag):
+    assert h.extract(f"<article>{tag}{QUOTES}</p><p>{QUOTES} Twice.</p></article>") == f"{QUOTES}\n\n{QUOTES} Twice."
+
+
+@pytest.mark.parametrize("name", ["class='cookieBanner'", "class='commentList'", "id='discussion'", "class='site-info'", "class='responses'", "id='userComments'", "class='GDPRNotice'", "class='adverts'"])
+def test_names_of_side_parts(name):
+    side = f"<div {name}><p>Something else that is written here beside the text, and it is not short.</p></div>"
+    assert h.extract(f"<article>{LONG}{side}</article>") == LONG[3:-4].strip()
+    assert h.extract(f"<div>{LONG}</div>{side}") == LONG[3:-4].strip()
+
+
+@pytest.mark.parametrize("names", ["post search-result", "legal-news", "news-search", "share-price story", "socialHistory"])
+def test_subjects_in_names_of_the_text(names):
+    side = "<div class='sidebar'><p>Other things to read.</p></div><div class='share'><p>Tell your friends.</p></div>"
+    assert h.extract(f"<body><div class='{names}'>{LONG}{LONG}</div>{side}</body>") == "\n\n".join([LONG[3:-4].strip()] * 2)
+
+
+@pytest.mark.parametrize("page", ["<p " * 330_000, "<a b='" * 160_000, "<b>" * 150_000, "<b></i>" * 80_000, "<div>" * 100_000 + "</p>" * 50_000, "<!--" * 250_000, "<" * 1_000_000, "<script>" * 120_000, "<script>x</script " * 50_000, "<p>x" * 100_000, "=\"" * 400_000, "<a " + "b " * 400_000, "<a " + "=" * 800_000])
+def test_long_pages_are_linear(page):
+    import time
+
+    begin = time.perf_counter()
+    h.blocks_of(page)
+    assert time.perf_counter() - begin < 4
+
+
+def plain_blocks(page):
+    """Blocks of a well-formed page by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.words = [], []
+
+        def cut(self, tag):
+            if tag == "br":
+                self.words.append(" ")
+            elif tag not in h._INLINE:
+                self.out.append(" ".join("".join(self.words).split()))
+                self.words = []
+
+        def handle_starttag(self, tag, attrs):
+            self.cut(tag)
+
+        def handle_endtag(self, tag):
+            self.cut(tag)
+
+        def handle_data(self, data):
+            self.words.append(data)
+
+    r = Reader()
+    r.feed(page)
+    r.close()
+    r.cut("div")
+    return [x for x in r.out if x]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_extraction_equals_brute_force_on_small_pages(seed):
+    """Blocks by another parser; labels by trying all labellings."""
+    rng = random.Random(seed)
+
+    def grow(depth):
+        out = ""
+        for _ in range(rng.randint(1, 3)):
+            kind = rng.random()
+            if kind < 0.5 or depth > 3:
+                words = " ".join(rng.choice(["alpha", "beta &amp; co", "<b>gamma</b>", "<a href='x>y'>delta</a>", "it's", "6 &lt; 7", "x<br>y"]) for _ in range(rng.randint(1, 9)))
+                out += f"<p class={rng.choice(['a', 'don-t', chr(34) + 'comment x' + chr(34), 'menuItem'])}>{words}</p>"
+            else:
+                tag = rng.choice(["div", "section", "article", "nav", "ul", "footer"])
+                out += f"<{tag} id='{rng.choice(['main', 'searchBox', 'story', 'z'])}'>{grow(depth + 1)}</{tag}>"
+        return out
+
+    page = f"<body>{grow(0)}</body>"
+    blocks = h.blocks_of(page)
+    assert [b.text for b in blocks] == plain_blocks(page)
+    if len(blocks) > 12:
+        return
+    edges, last = [], {}
+    for i, b in enumerate(blocks):
+        edges += [(i - 1, i, h.NEXT_EDGE)] if i else []
+        edges += [(last[b.parent], i, h.PARENT_EDGE)] if b.parent in last else []
+        last[b.parent] = i
+
+    def energy(keep):
+        return sum(max(0, -b.odds) if k else max(0, b.odds) for b, k in zip(blocks, keep)) + sum(w for a, b, w in edges if keep[a] != keep[b])
+
+    least = min(energy(k) for k in itertools.product([False, True], repeat=len(blocks)))
+    keep = h.label(blocks)
+    assert abs(energy(keep) - least) < 1e-9
+    assert h.extract(page) == "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
