@@ -74,16 +74,52 @@ def test_odd_rows_and_empty_batches(spark, odd, empty):
     led.commit(0, change_feed(empty)[0])
     assert totals(led) == {}
     led.commit(1, change_feed(odd)[0])
-    rows = {(r.doc_id if r.doc_id is not None else ("none", r.text)): r for r in odd.collect()}
-    assert totals(led) == expected([(r.text, r.source, r.lang) for r in rows.values()])
+    rows = odd.collect()
+    assert totals(led) == expected([(r.text, r.source, r.lang) for r in rows])
     led.commit(2, changes(spark, [("delete", i, None, None, None) for i in range(1, 12)]))
     assert sum(v for k, v in totals(led).items() if k[3] == "documents") == 3 * 2
 
 
+def test_every_row_of_repeated_and_null_ids_counts(spark):
+    rows = [(7, "a b"), (7, "a b"), (7, "c"), (None, "a b"), (None, "a b"), (None, None), (3, "c"), (9, "tail \n"), (9, "a b"), (8, "tail \n"), (None, "x ")]
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in rows], "doc_id long, text string, source string, lang string")
+    led = ledger(spark)
+    load, fix = change_feed(docs)
+    led.commit(0, load)
+    assert totals(led) == expected([(t, "s", "en") for _, t in rows])
+    for _ in range(2):
+        led.commit(1, fix)
+        # (7, c) and (9, a b), (9, tail) have a smaller id elsewhere; white space at the end goes; null ids stay.
+        left = ["a b", "a b", "a b", "a b", None, "c", "tail", "x"]
+        assert totals(led) == expected([(t, "s", "en") for t in left])
+
+
+def test_a_crash_leaves_the_earlier_state(spark, monkeypatch):
+    led = ledger(spark)
+    led.commit(0, changes(spark, [("insert", 1, "a b", "s", "en")]))
+    other = changes(spark, [("insert", 2, "c d e", "s", "en")])
+    monkeypatch.setattr(led.spark, "createDataFrame", lambda *a, **k: 1 / 0)  # after the entries are written
+    try:
+        led.commit(0, other)
+    except ZeroDivisionError:
+        pass
+    monkeypatch.undo()
+    assert totals(TokenLedger(spark, led.path)) == totals(led) == expected([("a b", "s", "en")])
+
+
+def test_an_id_and_a_text_never_meet(spark):
+    led = ledger(spark)
+    led.commit(0, changes(spark, [("insert", None, "5", "s", "en"), ("insert", 5, "x", "s", "en")]))
+    led.commit(1, changes(spark, [("delete", 5, None, None, None)]))
+    assert totals(led) == expected([("5", "s", "en")])
+
+
 def test_conflicting_rows_in_one_batch(spark):
     led = ledger(spark)
     led.commit(0, changes(spark, [("insert", 1, "a", "s", "en"), ("insert", 1, "a", "s", "en"), ("delete", 2, None, None, None), ("insert", 2, "b", "s", "en")]))
-    assert totals(led) == expected([("a", "s", "en")])
+    assert totals(led) == expected([("a", "s", "en")] * 2)
+    led.commit(1, changes(spark, [("revise", 1, "x", "s", "en"), ("revise", 1, "y z", "s", "en"), ("add", 3, "q", "s", "en"), ("remove", 3, "q", None, None)]))
+    assert totals(led)["s", "en", WORDS, "documents"] == 2
 
 
 def test_gaps_are_refused(spark):
