@@ -81,3 +81,15 @@ def test_odd_rows_and_empty_tables(spark, odd, empty, name):
             assert out.columns == df.columns
         n = out.count()
         assert n == 0 if df is empty else n > 0
+
+
+def test_repeated_rows_keep_clashing_columns(spark, odd):
+    """Columns named like the stages' own (``_id``, ``_th``, ``_times``) pass through mixing unchanged."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as P
+
+    docs = odd.withColumns({"_id": F.lit("mine"), "_th": F.lit("too"), "_times": F.lit(9)})
+    out = P.mixed(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {(r["_id"], r["_th"], r["_times"]) for r in out.collect()} == {("mine", "too", 9)}
