@@ -4,6 +4,9 @@ Nested tiers and growth checkpoints are both "prefix" sets: tier t is the
 union of slabs 0..t.  One scan computes the top-k per (slab, query); every
 tier/checkpoint is then a merge of at most (#slabs x k) rows per query, since
 the top-k of a union is the top-k of the members' top-k lists.
+
+For a growing table the slabs' lists are stored, one partition per slab, and a
+later checkpoint scans only the slabs that are not there yet (``extend_truth``).
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.operators import knn
+from nearfold.session import path_exists, scratch_path
 
 # Fixed value: depth of stored ground truth (supports recall@1..@100).
 DEPTH = 100
@@ -57,19 +61,40 @@ def checkpoint_pct(count_col, n_base: int):
     return F.bround(F.col(count_col) * 100.0 / n_base, 0).cast("int")
 
 
+def extend_truth(items: DataFrame, queries: DataFrame, path: str, k: int, metric: str = "cosine") -> list[int]:
+    """Add the top-k lists of the slabs of ``items`` (slab, id, embedding) that ``path`` does not hold yet; returns these slabs.
+
+    ``path`` belongs to one table of queries, one ``k`` and metric.  ``topk`` has a
+    partition per slab, ``done`` names the finished ones; a slab that a crash
+    left behind is written again as a whole."""
+    spark = items.sparkSession
+    done = {r["slab"] for r in spark.read.parquet(f"{path}/done").collect()} if path_exists(spark, f"{path}/done") else set()
+    new = sorted({r["slab"] for r in items.select("slab").distinct().collect()} - done)  # one row per checkpoint
+    if new:
+        found = knn.knn_join(items.where(F.col("slab").isin(new)), queries, k, metric, group_cols=["slab"])
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slab").parquet(f"{path}/topk")
+        spark.createDataFrame([(s,) for s in new], "slab int").coalesce(1).write.mode("append").parquet(f"{path}/done")
+    return new
+
+
 def growing_ground_truth(base: DataFrame, inserts: DataFrame, queries: DataFrame, checkpoints: Sequence[int],
-                         n_base: int, offset: int, k: int = 10, metric: str = "cosine") -> DataFrame:
+                         n_base: int, offset: int, k: int = 10, metric: str = "cosine", path: str | None = None) -> DataFrame:
     """Top-k over base ∪ first c inserts for c in (0, *checkpoints).
 
+    With the ``path`` of an earlier run (whose checkpoints these continue) only the new slabs are scanned.
     Returns (checkpoint_pct, cumulative_inserts, qid, rk, id, distance)."""
     cps = [0, *checkpoints]
     grown = base.select(F.col("id").alias("gpos"), "embedding").withColumn("slab", F.lit(0)).unionByName(
-        inserts.select(
+        inserts.where(F.col("seq") < max(cps)).select(
             (F.col("seq") + n_base).alias("gpos"), "embedding", (slab_of("seq", list(checkpoints)) + 1).alias("slab")
         )
     )
     items = grown.select("slab", remap_ids("gpos", n_base, offset).alias("id"), "embedding")
-    per_slab = knn.knn_join(items, queries, k, metric, group_cols=["slab"])
+    spark = base.sparkSession
+    path = path or scratch_path(spark, "growing_truth")
+    extend_truth(items, queries, path, k, metric)
+    schema = "slab long, qid long, rk int, id long, distance double"
+    per_slab = spark.read.schema(schema).parquet(f"{path}/topk")
     merged = knn.cumulative_topk(per_slab, list(range(len(cps))), k, out_col="cp_ix")
     cp_map = F.array(*[F.lit(int(c)) for c in cps])
     merged = merged.withColumn("cumulative_inserts", F.element_at(cp_map, (F.col("cp_ix") + 1).cast("int")).cast("long"))
