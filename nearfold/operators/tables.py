@@ -80,7 +80,9 @@ def append_checked(spark: SparkSession, rows: DataFrame, path: str, rejected_pat
         .when(F.size(vec) != dim, "dimension")
         .when(V.has_nan(vec), "nan")
     )
-    one = Window.partitionBy(key, F.col("reason").isNull()).orderBy(F.xxhash64(vec))
+    # faulty rows, null keys among them, are dealt by their hash: only good rows of one key need to meet
+    part = F.when(F.col("reason").isNotNull(), F.xxhash64(*rows.columns))
+    one = Window.partitionBy(key, F.col("reason").isNull(), part).orderBy(F.xxhash64(vec))
     judged = rows.withColumn("reason", fault).withColumn("_nf_nth", F.row_number().over(one))
     known = spark.read.parquet(path).select(F.col(key).alias("_nf_known"))
     judged = judged.withColumn("reason", F.coalesce("reason", F.when(F.col("_nf_nth") > 1, "repeated_key"))).drop("_nf_nth")
