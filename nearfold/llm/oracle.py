@@ -7,6 +7,8 @@ tested against brute-force versions in ``tests/llm``.
 
 from __future__ import annotations
 
+from nearfold.llm import quality_rules
+
 _WORD = r"[^\x20\x09-\x0D]+"
 _BLANK = r"[\x20\x09-\x0D]"
 
@@ -40,6 +42,14 @@ b AS (
 SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM b
 """
 
+_CELLS = ", ".join(f"('{p}', '{r}', {quality_rules.mask(p)}, {quality_rules.bit(r)})" for p, rules in quality_rules.POLICIES.items() for r in rules)
+ABLATIONS = f"""
+SELECT policy, rule, count_if(failed_bits & bit <> 0) AS n_failed, count_if(failed_bits & mask = bit) AS n_only_this,
+  count_if(failed_bits & mask & ~bit = 0) AS n_kept_without, count_if(failed_bits & mask = 0) AS n_kept, bit_or(failed_bits) AS all_bits
+FROM ({QUALITY}) led, (VALUES {_CELLS}) c(policy, rule, mask, bit)
+GROUP BY policy, rule
+"""
+
 NEAR = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
 s AS (
@@ -101,6 +111,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 def sql() -> dict[str, str]:
     return {
         "op2_quality_rules": QUALITY,
+        "quality_ablations": ABLATIONS,
         "op3_ngram_join": NEAR,
         "op6_warc": WARC,
         "op7_chat_formatting": CHAT,

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import python_ready, row_id
+from nearfold.llm.common import python_ready, row_id, staged
 from nearfold.llm.words import _IS_SPACE, doc_sums, line_repeats, repeated_window_words, words_of
 
 #: Characters that count as symbols.
@@ -96,6 +96,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_measure, schema).withColumn("failed_bits", failure_bits())
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger written to the shared folder and read back: policies and ablations then read no text again."""
+    return staged(ledger(docs), "quality_ledger")
+
+
 def passes(policy: str = CURRENT) -> Column:
     """True where the ledger row passes the policy."""
     return F.col("failed_bits").bitwiseAND(F.lit(mask(policy))) == 0

@@ -34,10 +34,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    led = quality_rules.apply_policy(quality_rules.stored_ledger(table(spark, sf_dir, "documents")))
     return led.drop("_id", "_th")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per policy version and rule, from the stored ledger: documents that fail it, that it alone rejects, kept without it."""
+    return quality_rules.ablations(quality_rules.stored_ledger(table(spark, sf_dir, "documents")))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents")).drop("is_first", "_id", "_th")
 
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_token_counts,
         op2_quality_rules,
+        quality_ablations,
         op3_ngram_join,
         op4_pii_surrogates,
         op5_html_extraction,

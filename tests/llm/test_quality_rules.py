@@ -45,3 +45,10 @@ def test_ablations_equal_direct_counts(spark, docs):
         assert r.n_only_this == sum(b & mask == bit for b in bits)
         assert r.n_kept == sum(b & mask == 0 for b in bits)
         assert r.n_kept_without == sum(b & mask & ~bit == 0 for b in bits)
+
+
+def test_policies_read_the_stored_ledger_only(spark, docs):
+    led = q.stored_ledger(docs)
+    plan = q.ablations(led)._jdf.queryExecution().toString() + q.apply_policy(led, "v1")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "documents.parquet" not in plan
+    assert sorted(map(tuple, led.collect())) == sorted(map(tuple, q.ledger(docs).collect()))
