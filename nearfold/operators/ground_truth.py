@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.operators import knn
-from nearfold.session import path_exists, scratch_path
+from nearfold.session import path_exists
 
 # Fixed value: depth of stored ground truth (supports recall@1..@100).
 DEPTH = 100
@@ -81,7 +81,8 @@ def growing_ground_truth(base: DataFrame, inserts: DataFrame, queries: DataFrame
                          n_base: int, offset: int, k: int = 10, metric: str = "cosine", path: str | None = None) -> DataFrame:
     """Top-k over base ∪ first c inserts for c in (0, *checkpoints).
 
-    With the ``path`` of an earlier run (whose checkpoints these continue) only the new slabs are scanned.
+    With a ``path`` the slabs' lists are kept there, and only slabs that an earlier run (whose checkpoints these
+    continue) has not stored are scanned.
     Returns (checkpoint_pct, cumulative_inserts, qid, rk, id, distance)."""
     cps = [0, *checkpoints]
     grown = base.select(F.col("id").alias("gpos"), "embedding").withColumn("slab", F.lit(0)).unionByName(
@@ -90,11 +91,11 @@ def growing_ground_truth(base: DataFrame, inserts: DataFrame, queries: DataFrame
         )
     )
     items = grown.select("slab", remap_ids("gpos", n_base, offset).alias("id"), "embedding")
-    spark = base.sparkSession
-    path = path or scratch_path(spark, "growing_truth")
-    extend_truth(items, queries, path, k, metric)
-    schema = "slab long, qid long, rk int, id long, distance double"
-    per_slab = spark.read.schema(schema).parquet(f"{path}/topk")
+    if path is None:
+        per_slab = knn.knn_join(items, queries, k, metric, group_cols=["slab"])
+    else:
+        extend_truth(items, queries, path, k, metric)
+        per_slab = base.sparkSession.read.schema("slab long, qid long, rk int, id long, distance double").parquet(f"{path}/topk")
     merged = knn.cumulative_topk(per_slab, list(range(len(cps))), k, out_col="cp_ix")
     cp_map = F.array(*[F.lit(int(c)) for c in cps])
     merged = merged.withColumn("cumulative_inserts", F.element_at(cp_map, (F.col("cp_ix") + 1).cast("int")).cast("long"))

@@ -374,6 +374,15 @@ def q_growing_ground_truth(spark, sf_dir):
     return _round(_growing(splits(spark, sf_dir)))
 
 
+def q_growing_truth_incremental(spark, sf_dir):
+    """The same truth kept as the table grows: after the first two checkpoints, then after all; only new slabs are scanned (K5)."""
+    sp = splits(spark, sf_dir)
+    path = scratch_path(spark, "growing_truth")
+    for cps in (sp.checkpoints[:2], sp.checkpoints):
+        out = GT.growing_ground_truth(sp.base, sp.inserts, sp.queries, cps, sp.n_base, INSERT_ID_OFFSET, K, path=path)
+    return _round(out)
+
+
 def q_gt_validate(spark, sf_dir):
     """Validity checks of the growing ground truth (K7)."""
     sp = splits(spark, sf_dir)
@@ -996,6 +1005,7 @@ def queries() -> dict[str, Query]:
         # ground truth
         "ground_truth_topk": q_ground_truth_topk,
         "growing_ground_truth": q_growing_ground_truth,
+        "growing_truth_incremental": q_growing_truth_incremental,
         "gt_validate": q_gt_validate,
         # inverted lists and evaluation
         "ivf_pivot_postings": q_ivf_pivot_postings,

@@ -362,6 +362,7 @@ FROM {topk_of(f"(SELECT t.tier, q.qid, t.id, t.pool_pos, {cosine('q.embedding',
     s["growing_ground_truth"] = with_(PERM, BASE, QUERIES, INSERTS, CPS, GROWN, GROW_GT) + f"""SELECT
   CAST(round(ci * 100.0 / sz.nb) AS BIGINT) AS checkpoint_pct, ci AS cumulative_inserts, qid, rk, id,
   {r6('distance')} AS distance FROM ggt, sz"""
+    s["growing_truth_incremental"] = s["growing_ground_truth"]
     s["gt_validate"] = with_(PERM, BASE, QUERIES, INSERTS, CPS, GROWN, GROW_GT) + """SELECT
   CAST(round(ci * 100.0 / sz.nb) AS BIGINT) AS checkpoint_pct, ci AS cumulative_inserts, count(*) AS n_rows,
   count_if(isnan(distance) OR distance IS NULL) AS n_nan, count_if(id < 0) AS n_negative,

@@ -20,6 +20,6 @@ def test_growing_truth_scans_new_slabs_only(spark, monkeypatch):
     second = run(cps, path=path)
     again = run(cps, path=path)
     assert scanned == [sp.n_base + cps[1], cps[-1] - cps[1]]  # the second run reads the new slabs, the third none
-    whole = run(cps)
+    whole = run(cps)  # one scan, nothing stored
     assert second == again == whole
     assert first == [r for r in whole if r[1] in (0, *cps[:2])]
