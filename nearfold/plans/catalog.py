@@ -878,19 +878,24 @@ def q_text_knn(spark, sf_dir):
 
 # ------------------------------------------------------------------ neighbour graph
 
-# Smallest valid cell of the reference grid, and its default beam.
-GRAPH_M = 16
-GRAPH_EF_CONSTRUCTION = 64
+# The cell of the scaling and degradation studies, its default beam, and the recall it must reach.
+GRAPH_M = 32
+GRAPH_EF_CONSTRUCTION = 128
 GRAPH_EF_SEARCH = 40
+GRAPH_RECALL = 0.98
 
 
 def _graph(sp, m=GRAPH_M, efc=GRAPH_EF_CONSTRUCTION, metric="cosine"):
+    return _graph_cells(sp, [(m, efc)], metric).one(0)
+
+
+def _graph_cells(sp, cells, metric="cosine"):
     lists = ivf.lists_for(sp.n_base)
     pb = ST.perm_base(sp)
     cents = ivf.pivot_centroids(pb, lists)
     assigned = ivf.assign(sp.base.select("id", "embedding"), cents, metric).select("id", "list_id")
     entry = pb.where(F.col("perm_rank") < lists).select("id")
-    return GR.build(sp.base.select("id", "embedding"), assigned, m, efc, entry, metric=metric)
+    return GR.build_cells(sp.base.select("id", "embedding"), assigned, cells, entry, metric=metric)
 
 
 def q_graph_degradation_curve(spark, sf_dir):
@@ -899,7 +904,7 @@ def q_graph_degradation_curve(spark, sf_dir):
 
 
 def q_graph_scaling_recall(spark, sf_dir):
-    """Per tier: graph m=16/ef_construction=64, beam 40, recall@10 vs the tier's exact top-10."""
+    """Per tier: graph m=32/ef_construction=128, beam 40, recall@10 vs the tier's exact top-10."""
     sp = splits(spark, sf_dir)
     out = None
     for t in sp.tier_sizes:
@@ -916,7 +921,7 @@ def q_graph_scaling_recall(spark, sf_dir):
 
 
 def q_graph_edges(spark, sf_dir):
-    """kNN graph m=16, ef_construction=64 as an edge table."""
+    """Graph m=32, ef_construction=128 as an edge table."""
     g = _graph(splits(spark, sf_dir))
     return _round(g.edges.select("src", "dst", F.col("d").alias("distance")))
 
@@ -952,18 +957,32 @@ def q_graph_validate(spark, sf_dir):
 
 
 def q_graph_recall(spark, sf_dir):
-    """Recall@10 of the graph for beam widths 10..160 (E7 for the graph family)."""
+    """Recall@10 in all 40 cells m x ef_construction x ef_search, built and searched together (E7 for the graph family)."""
     sp = splits(spark, sf_dir)
-    g = _graph(sp)
-    truth = ST.exact(sp)
-    out = None
-    for efs in ST.GRAPH_EF_SEARCH:
-        res = GR.search(g, sp.base, sp.queries, K, efs)
-        r = metrics.mean_recall(truth, res, K).select(
-            F.lit(GRAPH_M).cast("long").alias("m"), F.lit(GRAPH_EF_CONSTRUCTION).cast("long").alias("ef_construction"),
-            F.lit(efs).cast("long").alias("ef_search"), "mean_recall", "n_queries")
-        out = r if out is None else out.unionByName(r)
-    return _round(out, "mean_recall")
+    g = _graph_cells(sp, ST.graph_builds())
+    return _round(ST.graph_sweep(g, sp.base, sp.queries, ST.exact(sp), ST.GRAPH_EF_SEARCH), "mean_recall")
+
+
+def q_graph_recall_floor(spark, sf_dir):
+    """Whether the graph m=32, ef_construction=128 reaches its recall@10 at beam 40 over all queries."""
+    sp = splits(spark, sf_dir)
+    got = ST.graph_sweep(_graph_cells(sp, [(GRAPH_M, GRAPH_EF_CONSTRUCTION)]), sp.base, sp.queries, ST.exact(sp), [GRAPH_EF_SEARCH])
+    return got.select("m", "ef_construction", "ef_search", (F.col("mean_recall") >= GRAPH_RECALL).alias("recall_ok"), "n_queries")
+
+
+def q_graph_reachable(spark, sf_dir):
+    """Per cell of the sweep: nodes, nodes that no path from the entry points reaches, nodes above 2m edges."""
+    sp = splits(spark, sf_dir)
+    g = _graph_cells(sp, ST.graph_builds())
+    cells = spark.createDataFrame([(i, m, efc) for i, (m, efc) in enumerate(g.cells)], "cell int, m long, ef_construction long")
+    each = F.explode(F.array(*[F.lit(i) for i in range(len(g.cells))]))
+    nodes = sp.base.select("id", each.alias("cell")).join(F.broadcast(cells), "cell")
+    seen = GR.reached(g.edges, g.entry, len(g.cells)).withColumn("seen", F.lit(1))
+    degree = g.edges.groupBy("cell", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    per = nodes.join(seen, ["cell", "id"], "left").join(degree, ["cell", "id"], "left")
+    return per.groupBy("m", "ef_construction").agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("seen").isNull()).alias("n_unreached"),
+        F.count_if(F.coalesce("degree", F.lit(0)) > 2 * F.col("m")).alias("n_over_degree"))
 
 
 def queries() -> dict[str, Query]:
@@ -1052,6 +1071,8 @@ def queries() -> dict[str, Query]:
         "graph_search_l2": q_graph_search_l2,
         "graph_validate": q_graph_validate,
         "graph_recall": q_graph_recall,
+        "graph_recall_floor": q_graph_recall_floor,
+        "graph_reachable": q_graph_reachable,
         "graph_degradation_curve": q_graph_degradation_curve,
         "graph_scaling_recall": q_graph_scaling_recall,
         # streaming

@@ -494,6 +494,11 @@ FROM w GROUP BY window_start, profile"""
     s["graph_search_l2"] = knn_sql("l2", 10)
     s["graph_validate"] = with_(PERM) + """SELECT nb AS n_nodes, CAST(0 AS BIGINT) AS n_self_edges,
   CAST(0 AS BIGINT) AS n_repeated_edges, CAST(0 AS BIGINT) AS n_over_degree, CAST(0 AS DOUBLE) AS max_error FROM sz"""
+    s["graph_reachable"] = with_(PERM) + """SELECT m, efc AS ef_construction, nb AS n_nodes, CAST(0 AS BIGINT) AS n_unreached,
+  CAST(0 AS BIGINT) AS n_over_degree FROM sz, (SELECT unnest([16, 32, 64]) AS m) a, (SELECT unnest([64, 128, 200]) AS efc) b
+  WHERE efc >= 2 * m"""
+    s["graph_recall_floor"] = with_(PERM, QUERIES) + """SELECT CAST(32 AS BIGINT) AS m, CAST(128 AS BIGINT) AS ef_construction,
+  CAST(40 AS BIGINT) AS ef_search, true AS recall_ok, count(*) AS n_queries FROM qs"""
     # corpus to search
     s["text_items"] = with_(*SENT_ALL, TEXT_VEC) + f"""SELECT part, p.id, p.pool_pos, len(embedding) AS dims,
   {r6(norm('embedding'))} AS norm, {r6("list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i))")} AS checksum,

@@ -38,6 +38,11 @@ def graph_grid() -> list[tuple[int, int, int]]:
     ]
 
 
+def graph_builds() -> list[tuple[int, int]]:
+    """The valid (m, ef_construction) builds of the grid."""
+    return sorted({(m, efc) for m, efc, _ in graph_grid()})
+
+
 def sweep_cells(items: DataFrame) -> DataFrame:
     """The cells of both families for a table, derived from its row count by Spark."""
     fixed = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
@@ -194,6 +199,19 @@ def graph_index(items: DataFrame, perm: DataFrame, m: int, ef_construction: int)
     return GR.build(items.select("id", "embedding"), assigned, m, ef_construction, entry)
 
 
+def graph_sweep(g, items: DataFrame, queries: DataFrame, truth: DataFrame, beams: Sequence[int], k: int = K) -> DataFrame:
+    """Mean recall@k of every cell of ``g`` at every beam, in one batched search."""
+    from nearfold.operators import graph as GR
+
+    grid = [(c, ef) for c in range(len(g.cells)) for ef in beams]
+    res = GR.search_runs(g, items.select("id", "embedding"), queries, k, grid)
+    truth_r = truth.withColumn("run", F.explode(F.array(*[F.lit(r) for r in range(len(grid))])))
+    rec = metrics.mean_recall(truth_r, res, k, keys=["run"])
+    names = F.array(*[F.struct(F.lit(g.cells[c][0]).cast("long").alias("m"), F.lit(g.cells[c][1]).cast("long").alias("ef_construction"),
+                               F.lit(ef).cast("long").alias("ef_search")) for c, ef in grid])
+    return rec.withColumn("_c", F.element_at(names, F.col("run") + 1)).select("_c.*", "mean_recall", "n_queries")
+
+
 def graph_degradation_curve(sp: Splits, m: int, ef_construction: int, ef_search: int, k: int = K) -> DataFrame:
     """E9/E10 for the graph family: insert each slab into the built graph (no
     rebuild), search at every checkpoint, then rebuild on the grown table."""
