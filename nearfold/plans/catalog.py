@@ -886,7 +886,7 @@ GRAPH_RECALL = 0.98
 
 
 def _graph(sp, m=GRAPH_M, efc=GRAPH_EF_CONSTRUCTION, metric="cosine"):
-    return _graph_cells(sp, [(m, efc)], metric).one(0)
+    return GR.laid_out(_graph_cells(sp, [(m, efc)], metric).one(0))
 
 
 def _graph_cells(sp, cells, metric="cosine"):
