@@ -7,6 +7,13 @@ demand has the largest dot product with what is left of the sequence
 fill the rest.  What is left when a group of documents ends goes into
 sequences whose lengths are powers of two, which need no padding.
 
+:func:`pack_examples` packs instruction data, where the three demands differ
+from example to example: an example's runs of text with one loss flag are its
+segments, and the text under the flag bears loss.  Examples within the limits
+stay whole; longer ones are cut at the ends of segments, and a segment beyond
+the limits by tokens.  Demands are weighed by how much the group asks for of
+each limit.
+
 Groups are runs of documents within an input partition, closed at
 ``GROUP_TOKENS`` tokens, so packing needs no shuffle, a task holds one group
 at a time, and hot sources or groups of copies do not matter.  Sequence ids
@@ -16,7 +23,8 @@ reads the same rows and gives the same sequences.
 Defined results: a null or empty text has the closing id alone; every id of
 every document lies in exactly one piece; a text of any length is cut into
 as many pieces as needed; repeated rows are packed as rows; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored.  An example without text (null or empty
+segments only) has no piece.
 """
 
 from __future__ import annotations
@@ -43,6 +51,13 @@ SCHEMA = (
     "sequence_id long, offset long, loss_tokens long, sequence_length long"
 )
 
+#: Limits of a sequence of instruction examples.
+EXAMPLE_LIMITS = (2048, 16, 1024)
+EXAMPLE_SCHEMA = (
+    "conv_id long, start long, length long, segments long, loss_tokens long, ids_crc32 long, "
+    "example_tokens long, sequence_id long, offset long, sequence_length long"
+)
+
 
 def pack_group(lengths: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (item, start, length) over items of the given lengths.
@@ -191,3 +206,121 @@ def pack(
     paths = paths or bpe.default_paths()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(lambda it: _pack(it, paths, limits, group_tokens), SCHEMA)
+
+
+def cut_example(lengths: list[int], loss: list[bool], limits: tuple[int, int, int]) -> list[tuple[int, int, int, int]]:
+    """Pieces (start, length, segments, loss-bearing) of an example with segments of these lengths, each within the limits."""
+    out: list[tuple[int, int, int, int]] = []
+    whole = (sum(lengths), len(lengths), sum(n for n, bears in zip(lengths, loss, strict=True) if bears))
+    if all(d <= c for d, c in zip(whole, limits, strict=True)):
+        return [(0, *whole)]
+    at, size, segs, bearing = 0, 0, 0, 0
+    for n, bears in zip(lengths, loss, strict=True):
+        while n:
+            room = min(limits[0], limits[2]) if bears else limits[0]
+            take = min(n, room)
+            if segs and (size + take > limits[0] or segs == limits[1] or bearing + take * bears > limits[2]):
+                out.append((at, size, segs, bearing))
+                at, size, segs, bearing = at + size, 0, 0, 0
+            size, segs, bearing, n = size + take, segs + 1, bearing + take * bears, n - take
+    if segs:
+        out.append((at, size, segs, bearing))
+    return out
+
+
+def pack_vectors(demands: np.ndarray, limits: tuple[int, int, int]) -> list[list[int]]:
+    """Bins of item numbers by dot products: a bin takes, again and again, the item that
+    fits and whose scaled demand has the largest dot product with what is left, each limit
+    weighed by the mean demand on it.  Ties go to the first of the distinct demands in order,
+    and of these to the first item; every demand must keep within the limits."""
+    if not len(demands):
+        return []
+    kinds, kind_of = np.unique(np.asarray(demands, np.int64), axis=0, return_inverse=True)
+    order = np.argsort(kind_of.ravel(), kind="stable")
+    left = np.bincount(kind_of.ravel(), minlength=len(kinds))
+    first = np.cumsum(left) - left
+    cap = np.asarray(limits, float)
+    scaled = kinds / cap
+    weight = scaled[kind_of.ravel()].mean(0)
+    out: list[list[int]] = []
+    alive = np.flatnonzero(left)
+    while len(alive):
+        rest, taken = np.asarray(limits, np.int64), []
+        while True:
+            fits = alive[(kinds[alive] <= rest).all(1) & (left[alive] > 0)]
+            if not len(fits):
+                break
+            j = int(fits[np.argmax(scaled[fits] @ (weight * rest / cap))])
+            taken.append(int(order[first[j]]))
+            first[j] += 1
+            left[j] -= 1
+            rest = rest - kinds[j]
+        out.append(taken)
+        alive = alive[left[alive] > 0]
+    return out
+
+
+def _pack_examples(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], limits: tuple[int, int, int], group_tokens: int) -> Iterator[pa.RecordBatch]:
+    base, made = TaskContext.get().partitionId() << 40, 0
+    names = [f.split()[0] for f in EXAMPLE_SCHEMA.split(", ")]
+    held: list[tuple] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held, size, made
+        rows = []
+        for seq in pack_vectors(np.array([h[2:5] for h in held]), limits):
+            at, whole = 0, sum(held[i][2] for i in seq)
+            for i in seq:
+                conv, start, length, segs, bearing, crc, tokens = held[i]
+                rows.append((conv, start, length, segs, bearing, crc, tokens, base + made, at, whole))
+                at += length
+            made += 1
+        held, size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+
+    for batch in batches:
+        segments = batch.column("segments")
+        # Segments that hold no text of their own are none; neighbours of one flag are one.
+        convs, texts, flags, counts = batch.column("conv_id").to_pylist(), [], [], []
+        for example in segments.to_pylist():
+            before = len(texts)
+            for s in example or ():
+                if s and s["text"]:
+                    if len(texts) > before and flags[-1] == bool(s["loss"]):
+                        texts[-1].append(s["text"])
+                    else:
+                        texts.append([s["text"]])
+                        flags.append(bool(s["loss"]))
+            counts.append(len(texts) - before)
+        ids, first = bpe.encode(pa.array(["".join(t) for t in texts], pa.large_string()), paths)
+        view = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+        at = 0
+        for conv, n in zip(convs, counts, strict=True):
+            lengths, loss = np.diff(first[at : at + n + 1]).tolist(), flags[at : at + n]
+            begin = int(first[at])
+            for start, length, segs, bearing in cut_example(lengths, loss, limits):
+                crc = zlib.crc32(view[4 * (begin + start) : 4 * (begin + start + length)])
+                if length:
+                    held.append((conv, start, length, segs, bearing, crc, sum(lengths)))
+                    size += length
+            at += n
+            if size >= group_tokens:
+                yield flush()
+    if held:
+        yield flush()
+
+
+def pack_examples(
+    examples: DataFrame,
+    paths: tuple[str, str] | None = None,
+    limits: tuple[int, int, int] = EXAMPLE_LIMITS,
+    group_tokens: int = GROUP_TOKENS,
+) -> DataFrame:
+    """One row per piece of ``examples`` (``conv_id, segments``: array of text and loss), see ``EXAMPLE_SCHEMA``.
+
+    Rows of a task are sorted by ``conv_id``, so a task that runs again packs them alike."""
+    python_ready(examples.sparkSession)
+    paths = paths or bpe.default_paths()
+    rows = examples.select(F.col("conv_id").cast("long").alias("conv_id"), "segments").sortWithinPartitions("conv_id", "segments")
+    return rows.mapInArrow(lambda it: _pack_examples(it, paths, limits, group_tokens), EXAMPLE_SCHEMA)

@@ -83,6 +83,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, formatted with loss flags, packed under limits on tokens, segments and loss-bearing tokens."""
+    return packing.pack_examples(chat_format.format_conversations(table(spark, sf_dir, "conversations")))
+
+
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -114,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_mixing,
         op9_exact_dedup,
         op10_packing,
+        packed_conversations,
         op11_collocations,
         op12_spelling_variants,
         op13_toxicity,
