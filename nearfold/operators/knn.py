@@ -39,7 +39,9 @@ _BLOCK_BYTES = 8 << 20  # bound on one array of a distance block inside a task
 QUERY_STEP, ITEM_STEP = 512, 4_096  # queries and items whose distances a task computes at once
 # items, and queries of one key, that a task holds where both sides are cut into blocks
 ITEM_BLOCK, QUERY_BLOCK = 65_536, 4_096
+ITEM_BLOCK_BYTES = 64 << 20  # of the items' vectors in such a block, in single precision
 _MOST_TASKS = 4_000  # that pairs of blocks are dealt to
+OUT_ROWS = 65_536  # in one batch of a task's candidates
 MERGE_SALT = 8  # groups in which a query's candidates are merged first
 TIE_DECIMALS = 12  # of distances relative to their scale: 1 for cosine, the query's length for dot
 
@@ -111,28 +113,67 @@ def distances(metric: str, P: dict, qsel, X: np.ndarray) -> np.ndarray:
 
 
 def nearest_distances(metric: str, P: dict, qsel, X: np.ndarray, k: int) -> np.ndarray:
-    """As :func:`distances`, but with the k smallest of each row exact to the last digits.
-
-    The matrix form of L2 cancels where vectors are long and near.  Its error
-    has a bound, so the items that may be among the k nearest are known; they
-    are computed again from ``q - x``, and the others are left out (+inf)."""
-    if metric != "l2":
+    """As :func:`distances`, but the k smallest of each row depend on the pair of vectors alone, to the last digit.
+
+    The last digits of a matrix product change with the place of a row in its
+    block, so a copy could round to another distance than its twin.  The matrix
+    form of L2 cancels where vectors are long and near.  Either error has a
+    bound, so the items that may be among the k nearest are known; they are
+    computed again from the two vectors (cosine and dot: where the error could
+    change the rounded distance), and L2 leaves the others out (+inf)."""
+    if metric == "l1":
         return distances(metric, P, qsel, X)
-    Q = P["Q"][qsel]
-    size = P["q2"][qsel][:, None] + (X * X).sum(axis=1)[None, :]
-    D2 = size - 2.0 * (Q @ X.T)
-    error = 8.0 * np.finfo(float).eps * (Q.shape[1] + 2) * size
-    upper = np.where(np.isfinite(D2), D2 + error, np.inf)
-    worst = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(Q), np.inf)
-    i, j = np.nonzero(np.isfinite(D2) & (D2 - error <= worst[:, None]))
-    D = np.full(D2.shape, np.inf)
-    step = max(1, _BLOCK_BYTES // max(1, 16 * Q.shape[1]))
-    for s in range(0, len(i), step):
-        a, b = i[s : s + step], j[s : s + step]
-        D[a, b] = np.sqrt(((Q[a] - X[b]) ** 2).sum(axis=1))
+    rows = np.arange(len(P["Q"]))[qsel]
+    Q, eps = P["Q"][rows], np.finfo(float).eps
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        x2 = (X * X).sum(axis=1)
+        norm = np.sqrt(x2)
+        if metric == "l2":
+            size = P["q2"][rows][:, None] + x2[None, :]
+            near = size - 2.0 * (Q @ X.T)
+            error = 8.0 * eps * (Q.shape[1] + 2) * size
+        else:
+            scale = _dot_scale(P["q2"][rows])[:, None] if metric == "dot" else 1.0
+            near = -(Q @ X.T) / scale if metric == "dot" else 1.0 - (Q @ X.T) / norm[None, :]
+            error = 4.0 * eps * (Q.shape[1] + 8) * (np.maximum(2.0 * norm, 1e-300)[None, :] if metric == "dot" else 1.0)
+        real = np.isfinite(near)
+        slack = error if metric == "l2" else error + 0.5 * 10.0**-TIE_DECIMALS  # the rounding moves a distance as well
+        worst = np.full(len(Q), np.inf)
+        if near.shape[1] > k:
+            worst = np.partition(np.where(real, near + slack, np.inf), k - 1, axis=1)[:, k - 1]
+        i, j = np.nonzero(real & (near - slack <= worst[:, None]))
+        if metric == "l2":
+            D = np.full(near.shape, np.inf)
+        else:
+            D = np.where(real, np.round(near, TIE_DECIMALS) * scale, np.inf)
+            steps = near[i, j] * 10.0**TIE_DECIMALS
+            doubt = np.broadcast_to(error, near.shape)[i, j] * 10.0**TIE_DECIMALS + 4.0 * eps * np.abs(steps)
+            unsure = np.abs(steps - np.floor(steps) - 0.5) <= doubt
+            i, j = i[unsure], j[unsure]
+    D[i, j] = _pair_by_pair(metric, P, rows[i], X, norm, j)
     return D
 
 
+def _pair_by_pair(metric: str, P: dict, a: np.ndarray, X: np.ndarray, norm: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distances of the pairs (query a[i], item b[i]) in double precision, each from its two vectors alone."""
+    out = np.empty(len(a))
+    step = max(1, _BLOCK_BYTES // (16 * max(1, X.shape[1])))
+    for s in range(0, len(a), step):
+        q, x = a[s : s + step], b[s : s + step]
+        A, B = P["Q"][q], X[x]
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            if metric == "cosine":
+                d = np.round(1.0 - np.einsum("ij,ij->i", A, B) / norm[x], TIE_DECIMALS)
+            elif metric == "l2":
+                d = np.sqrt(((A - B) ** 2).sum(axis=1))
+            else:
+                scale = _dot_scale(P["q2"][q])
+                d = np.round(-np.einsum("ij,ij->i", A, B) / scale, TIE_DECIMALS) * scale
+        out[s : s + step] = d
+    out[~np.isfinite(out)] = np.inf
+    return out
+
+
 def _dot_scale(q2: np.ndarray) -> np.ndarray:
     """The power of two that inner products of a query are rounded relative to."""
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -184,22 +225,7 @@ class _Screen:
 
     def exact(self, P: dict, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """The distances of the pairs (q[i], item j) in double precision."""
-        out = np.empty(len(i))
-        step = max(1, _BLOCK_BYTES // (16 * max(1, self.X.shape[1])))
-        for s in range(0, len(i), step):
-            a, b = q[i[s : s + step]], j[s : s + step]
-            A, B = P["Q"][a], self.X[b]
-            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-                if self.metric == "cosine":
-                    d = np.round(1.0 - np.einsum("ij,ij->i", A, B) / self.norm[b], TIE_DECIMALS)
-                elif self.metric == "l2":
-                    d = np.sqrt(((A - B) ** 2).sum(axis=1))
-                else:
-                    scale = _dot_scale(P["q2"][a])
-                    d = np.round(-np.einsum("ij,ij->i", A, B) / scale, TIE_DECIMALS) * scale
-            out[s : s + step] = d
-        out[~np.isfinite(out)] = np.inf
-        return out
+        return _pair_by_pair(self.metric, P, q[i], self.X, self.norm, j)
 
 
 def keep_nearest(metric: str, P: dict, asked: np.ndarray, X: np.ndarray, ids: np.ndarray, Dk: np.ndarray, Ik: np.ndarray) -> None:
@@ -215,7 +241,7 @@ def keep_nearest(metric: str, P: dict, asked: np.ndarray, X: np.ndarray, ids: np
     step = ITEM_STEP if np.isfinite(Dk[asked]).all() else first
     at = 0
     while at < len(X):
-        part, part_ids = X[at : at + step], ids[at : at + step]
+        part, part_ids = np.asarray(X[at : at + step], dtype=np.float64), ids[at : at + step]
         screen = _Screen(metric, part) if metric != "l1" else None
         for s in range(0, len(asked), QUERY_STEP):
             q = asked[s : s + QUERY_STEP]
@@ -287,7 +313,7 @@ def _kernel(bc, k, metric, id_col, vec_col, group_cols):
                 continue
             ids = rb.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = rb.column(vec_col).flatten().to_numpy(zero_copy_only=False)
-            X = flat.astype(np.float64, copy=False).reshape(-1, d)
+            X = flat.reshape(-1, d)
             if not group_cols:
                 absorb((), X, ids)
                 continue
@@ -296,22 +322,26 @@ def _kernel(bc, k, metric, id_col, vec_col, group_cols):
                 kv = kv if isinstance(kv, tuple) else (kv,)
                 absorb(tuple(int(v) for v in kv), X[rows], ids[rows])
 
-        for gkey, (Dk, Ik) in state.items():
-            m = np.isfinite(Dk)
-            n = int(m.sum())
-            if n == 0:
-                continue
-            arrays = {c: pa.array(np.full(n, v, dtype=np.int64)) for c, v in zip(group_cols, gkey, strict=True)}
-            arrays["qid"] = pa.array(np.repeat(qids, k).reshape(Dk.shape)[m])
-            arrays["id"] = pa.array(Ik[m])
-            arrays["distance"] = pa.array(Dk[m])
-            yield pa.RecordBatch.from_pydict(arrays)
+        step = max(1, OUT_ROWS // k)
+        while state:  # a group's lists go as they are written out, some queries at a time
+            gkey, (Dk, Ik) = state.popitem()
+            for s in range(0, len(qids), step):
+                D, m = Dk[s : s + step], np.isfinite(Dk[s : s + step])
+                n = int(m.sum())
+                if n == 0:
+                    continue
+                arrays = {c: pa.array(np.full(n, v, dtype=np.int64)) for c, v in zip(group_cols, gkey, strict=True)}
+                arrays["qid"] = pa.array(np.repeat(qids[s : s + step], k).reshape(D.shape)[m])
+                arrays["id"] = pa.array(Ik[s : s + step][m])
+                arrays["distance"] = pa.array(D[m])
+                yield pa.RecordBatch.from_pydict(arrays)
 
     return run
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    """The vectors as they are stored; double precision is for the parts that are computed on."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def _block_kernel(k: int, metric: str, dim: int, key: tuple[str, ...], group_cols: tuple[str, ...], schema: pa.Schema):
@@ -535,14 +565,14 @@ def meet_in_blocks(items: DataFrame, asked: DataFrame, k: int, metric: str, dim:
     """Candidates (group..., key..., qid, id, distance): top-k of every query over blocks of the items of its key.
 
     ``items``: key..., group..., ``id, embedding``; ``asked``: key..., ``qid, embedding``.
-    Items of one key are cut into blocks of ``item_block`` rows and its queries
+    Items of one key are cut into blocks of ``item_block`` rows (wide vectors: fewer, by their bytes) and its queries
     into blocks of ``query_block``; a task holds one pair of blocks, however
     many rows a key has.  Without a key all items meet all queries.  Nothing
     passes through the driver; the broadcast has one row per key."""
     ship_package(items.sparkSession)
     key, group_cols = tuple(key), tuple(group_cols)
     key_of = [F.col(c).cast("long").alias(c) for c in key]
-    sizes = {"_nf_nq": (asked, query_block or QUERY_BLOCK), "_nf_ni": (items, item_block or ITEM_BLOCK)}
+    sizes = {"_nf_nq": (asked, query_block or QUERY_BLOCK), "_nf_ni": (items, item_block or max(1, min(ITEM_BLOCK, ITEM_BLOCK_BYTES // (4 * max(1, dim)))))}
     dealt = ()
     if key:
         per = [df.groupBy(*key_of).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(c)) for c, (df, size) in sizes.items()]
