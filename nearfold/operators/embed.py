@@ -5,7 +5,7 @@ Two paths produce ``embedding array<float>`` for a text column:
 * ``hashed_embedding`` (default): a deterministic signed hashed bag of words
   written with SQL functions, so it runs JVM-side with no Python worker.
   token -> md5 -> bucket (first 8 hex digits mod d) and sign (parity of the
-  9th hex digit); the bucket counts are L2-normalised (all-zero when the text
+  9th hex digit); the bucket sums are L2-normalised (all-zero when the text
   has no token).
 * ``embed_batches``: a pluggable encoder ``Callable[[list[str]], ndarray]``
   (e.g. a sentence model) applied with ``mapInPandas`` to Arrow batches of at
@@ -30,42 +30,38 @@ from nearfold.session import ship_package, spread
 # Token pattern (runs of letters/digits), default dimension and
 # the reference's encoder batch size.
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+TOKEN = r"[\p{L}\p{N}]+"
 DIM = 64
 BATCH_SIZE = 256
 
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(text, TOKEN_SPLIT, -1), lambda t: t != "")
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def hashed_embedding(text, dim: int = DIM) -> Column:
     """Signed hashed bag of words, L2-normalised, as a Column (JVM-side).
 
-    One ``aggregate`` over the token array: md5 runs once per token (the
-    array argument is evaluated once), the accumulator is the d bucket sums,
-    and the finish step normalises.  Lambdas are not subject to common
-    subexpression elimination, so nothing expensive is referenced from inside
-    a per-element lambda."""
+    md5 runs once per token, which becomes one number for bucket and sign; a
+    bucket's sum is the difference of two counts over these numbers, and the
+    norm is computed once per text.  Lambdas are not subject to common
+    subexpression elimination, so what a body names more than once is bound
+    to a variable."""
     text = F.col(text) if isinstance(text, str) else text
-    toks = F.transform(
-        _tokens(text),
-        lambda t: F.struct(
-            F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int").alias("b"),
-            F.when(F.pmod(F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("long"), F.lit(2)) == 0, F.lit(1.0))
-            .otherwise(F.lit(-1.0))
-            .alias("s"),
-        ),
-    )
-    zero = F.array_repeat(F.lit(0.0), dim)
+    digits = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.conv(F.substring(F.md5(t), 1, 9), 16, 10).cast("long"))
+    # bucket from the first eight digits; negative where the ninth is odd
+    codes = F.transform(digits, lambda x: (F.pmod(F.shiftright(x, 4), F.lit(dim)) + F.lit(dim) * x.bitwiseAND(F.lit(1))).cast("int"))
 
-    def add(acc, x):
-        return F.transform(acc, lambda v, j: v + F.when(j == x["b"], x["s"]).otherwise(F.lit(0.0)))
+    def sums(c):
+        without = lambda code: F.size(F.array_remove(c, code))
+        return F.array(*[(without(b + dim) - without(b)).cast("double") for b in range(dim)])
 
-    def finish(acc):
-        n = F.sqrt(F.aggregate(acc, F.lit(0.0), lambda a, y: a + y * y))
-        return F.transform(acc, lambda v: F.when(n > 0, v / n).otherwise(F.lit(0.0)).cast("float"))
+    def normalised(v):
+        n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y))
+        return _bound(n, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)).cast("float")))
 
-    return F.aggregate(toks, zero, add, finish)
+    return F.when(text.isNotNull(), _bound(_bound(codes, sums), normalised))
 
 
 def numpy_hashed_encoder(dim: int = DIM) -> Callable[[list[str]], np.ndarray]:
