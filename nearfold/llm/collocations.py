@@ -10,9 +10,11 @@ phrase that both overlap in; a proposal seen often enough is a candidate of the
 next level.  Both its shorter parts are then candidates of this level, so no
 frequent phrase can be missed, and nothing is joined that the texts do not hold.
 
-Bounds: a trie holds at most ``MAX_CANDIDATES`` phrases.  More candidates are
-dealt over several tries by their hash; every pair of tries then gets a scan of
-its own, with two tries in memory.  The driver holds one trie at a time while
+Bounds: a trie holds about ``MAX_CANDIDATES`` phrases.  More candidates are
+dealt over several tries by their hash.  A scan matches up to ``SCAN_TRIES`` of
+them, and proposes from all pairs among these; only where a level has more
+tries does it take several scans, one per pair of half-sized groups of them.
+The driver holds one trie at a time while
 it is built.  The candidates per trie do not depend on the size of the corpus.
 
 Words are ``[^\x20\x09]+`` of the pieces between ``[.,;:!?\x0A-\x0D]``, with A-Z
@@ -49,6 +51,11 @@ TOP = 2000
 COVERED = 80
 #: Phrases in one trie.
 MAX_CANDIDATES = 1 << 19
+#: Tries that a scan holds.
+SCAN_TRIES = 4
+#: Bits of a phrase's place in its trie; its number among all phrases of a level has the trie's number above them.
+_PLACE_BITS = 20
+_NUMBER_BITS = 31
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -103,8 +110,7 @@ class DoubleArray:
             slots = self._place(state[first], d[first])
             node = np.cumsum(fresh) - 1
             state = slots[node]
-        self.accept = np.full(len(self.base), -1, np.int32)
-        self.accept[state] = order
+        self.base[state] = order  # paths are equally long, so a last state has no children: it holds its phrase
 
     def _grow(self, size: int) -> None:
         more = size - len(self.base)
@@ -180,7 +186,7 @@ class DoubleArray:
                 to = self.base[state].astype(np.int64) + np.divmod(code[at + k], self.radix)[half]
                 on = self.check[to] == state
                 at, state = at[on], to[on]
-        return at, self.accept[state].astype(np.int64)
+        return at, self.base[state].astype(np.int64)
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -234,31 +240,40 @@ def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _scanner(left, right, counts: bool, proposals: bool):
-    """Counts of ``left``'s phrases and overlaps of a phrase of ``left`` with the next position's phrase of ``right``."""
+def _scanner(tries: dict, fresh: set[int], group: dict[int, int], proposals: bool):
+    """Counts of the phrases of the tries of ``fresh`` groups, and overlaps of a phrase with the next position's phrase.
+
+    ``tries`` are the broadcast tries by their number.  Pairs within a group are counted where it is fresh, other pairs always."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = left.value, right.value if right is not None else None
-        total = np.zeros(one.n, np.int64)
+        held = {number: shared.value for number, shared in tries.items()}
+        counted = {number: np.zeros(t.n, np.int64) for number, t in held.items() if group[number] in fresh}
+        of = np.full(max(tries) + 1, -1)
+        of[list(tries)] = [group[number] for number in tries]
+        is_fresh = np.zeros(max(group.values()) + 1, bool)
+        is_fresh[list(fresh)] = True
         for batch in batches:
             t = tokens(batch.column("text"))
             langs = batch.column("lang")
-            at, phrase = one.match(t, langs)
-            if counts:
-                total += np.bincount(phrase, minlength=one.n)
-            if proposals and len(at):
-                here = np.full(len(t.codes) + 1, -1, np.int64)
-                if two is None:
-                    here[at] = phrase
-                else:
-                    there, other = two.match(t, langs)
-                    here[there] = other
-                on = t.joined[at] & (here[at + 1] >= 0)
-                keys, n = np.unique((phrase[on] << 32) | here[at[on] + 1], return_counts=True)
-                yield _rows(_PROPOSAL, keys, n)
-        if counts:
+            here = np.full(len(t.codes) + 1, -1, np.int64)  # a position begins one phrase at most
+            for number, one in held.items():
+                at, phrase = one.match(t, langs)
+                here[at] = (number << _PLACE_BITS) | phrase
+                if number in counted:
+                    counted[number] += np.bincount(phrase, minlength=one.n)
+            if proposals:
+                at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0) & t.joined)
+                left, right = here[at], here[at + 1]
+                if len(held) > 1:
+                    a, b = of[left >> _PLACE_BITS], of[right >> _PLACE_BITS]
+                    new = (a != b) | is_fresh[a]
+                    left, right = left[new], right[new]
+                keys, n = np.unique((left << _NUMBER_BITS) | right, return_counts=True)
+                if len(keys):
+                    yield _rows(_PROPOSAL, keys, n)
+        for number, total in counted.items():
             seen = np.flatnonzero(total)
-            yield _rows(_COUNT, seen, total[seen])
+            yield _rows(_COUNT, (number << _PLACE_BITS) | seen, total[seen])
 
     return scan
 
@@ -280,12 +295,24 @@ def _dealt(phrases: DataFrame, max_candidates: int, name: str) -> tuple[DataFram
     total = phrases.count()
     if not total:
         return phrases, 0
-    # Hashes deal unevenly: half of the room stays free where several tries are needed.
-    n = 1 if total <= max_candidates else math.ceil(2 * total / max_candidates)
+    # Hashes deal unevenly: some room stays free where several tries are needed.
+    room = max(max_candidates / 2, max_candidates - 6 * math.sqrt(max_candidates))
+    n = 1 if total <= max_candidates else math.ceil(total / room)
+    if n >= 1 << (_NUMBER_BITS - _PLACE_BITS) or max_candidates > 1 << (_PLACE_BITS - 1):
+        raise ValueError(f"{total} candidates in tries of {max_candidates}")
     shard = F.pmod(F.xxhash64("lang", "phrase"), F.lit(n)).cast("int")
     return staged(dense_index(phrases.withColumn("shard", shard), ["lang", "phrase"], "idx", ["shard"]), name), n
 
 
+def _groups(n: int, alone: bool) -> list[list[list[int]]]:
+    """The scans of ``n`` tries: each a list of groups of tries, so that all pairs of tries meet (``alone``: each trie once)."""
+    if n <= SCAN_TRIES or alone:
+        return [[list(range(a, min(n, a + SCAN_TRIES)))] for a in range(0, n, SCAN_TRIES)]
+    half = max(1, SCAN_TRIES // 2)
+    groups = [list(range(a, min(n, a + half))) for a in range(0, n, half)]
+    return [[groups[i], groups[j]] for i in range(len(groups)) for j in range(i + 1, len(groups))]
+
+
 def _level(docs: DataFrame, candidates: DataFrame, n: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Counts ``lang, phrase, f`` of one level's candidates, and the phrases proposed for the next level."""
     sc = docs.sparkSession.sparkContext
@@ -293,27 +320,34 @@ def _level(docs: DataFrame, candidates: DataFrame, n: int, last: bool) -> tuple[
     def trie(shard: int):
         return sc.broadcast(Trie.build(candidates.where(F.col("shard") == shard).select("idx", "lang", "phrase").toArrow()))
 
-    found = []
-    for a in range(n):
-        left = trie(a)
-        for b in range(n) if not last else [a]:
-            right = None if a == b else trie(b)
-            sums = docs.mapInArrow(_scanner(left, right, a == b, not last), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-            found.append(staged(sums.where(F.col("n") >= MIN_COUNT).withColumns({"a": F.lit(a), "b": F.lit(b)}), "collocation_scan"))
-            if right is not None:
-                right.destroy()
-        left.destroy()
+    found, held, done = [], {}, set()
+    for scan in _groups(n, last):
+        wanted = [x for g in scan for x in g]
+        for x in set(held) - set(wanted):
+            held.pop(x).destroy()
+        for x in wanted:
+            if x not in held:
+                held[x] = trie(x)
+        group = {x: g[0] for g in scan for x in g}
+        fresh = set(group.values()) - done
+        done |= fresh
+        sums = docs.mapInArrow(_scanner(dict(held), fresh, group, not last), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        found.append(staged(sums.where(F.col("n") >= MIN_COUNT), "collocation_scan"))
+    for x in held.values():
+        x.destroy()
     sums = found[0]
     for x in found[1:]:
         sums = sums.unionByName(x)
-    here = candidates.select(F.col("shard").alias("a"), F.col("idx").alias("i"), "lang", "phrase")
-    counted = sums.where(F.col("kind") == _COUNT).select("a", F.col("key").alias("i"), F.col("n").alias("f"))
-    counts = counted.join(here, ["a", "i"]).select("lang", "phrase", "f")
+    number = F.shiftleft(F.col("shard").cast("long"), _PLACE_BITS).bitwiseOR(F.col("idx").cast("long"))
+    here = candidates.select(number.alias("i"), "lang", "phrase")
+    counted = sums.where(F.col("kind") == _COUNT).select(F.col("key").alias("i"), F.col("n").alias("f"))
+    counts = counted.join(here, "i").select("lang", "phrase", "f")
     if last:
         return counts, None
-    there = here.select(F.col("a").alias("b"), F.col("i").alias("j"), F.element_at(F.split("phrase", " "), -1).alias("next"))
-    split = sums.where(F.col("kind") == _PROPOSAL).select("a", "b", F.shiftright("key", 32).alias("i"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("j"))
-    more = split.join(here, ["a", "i"]).join(there, ["b", "j"]).select("lang", F.concat_ws(" ", "phrase", "next").alias("phrase"))
+    there = here.select(F.col("i").alias("j"), F.element_at(F.split("phrase", " "), -1).alias("next"))
+    split = sums.where(F.col("kind") == _PROPOSAL).select(
+        F.shiftright("key", _NUMBER_BITS).alias("i"), F.col("key").bitwiseAND(F.lit((1 << _NUMBER_BITS) - 1)).alias("j"))
+    more = split.join(here, "i").join(there, "j").select("lang", F.concat_ws(" ", "phrase", "next").alias("phrase"))
     return counts, staged(more, "collocation_candidates")
 
 
